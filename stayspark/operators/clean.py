@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from stayspark import functions as SF
 from stayspark import schema as S
-from stayspark.operators.quantiles import attach, exact_quantiles
+from stayspark.operators.quantiles import as_scalar, attach, exact_quantiles
 
 DATE_COLUMNS = ["arrival", "departure", "created"]
 
@@ -145,23 +145,33 @@ def clean_and_enrich(df: DataFrame, date_formats: Mapping[str, str] | None = Non
     # also keeps the quantile subquery out of _has_nulls (pruned when unused)
     df = df.withColumn("_has_nulls", SF.any_null(df.columns))
     if "amount" in cols:
-        df = with_iqr_flag(df, "amount", "_is_outlier", outlier_factor, approx_quantiles)
+        # scalar subquery (not a join): skipped entirely when _is_outlier is not used
+        b = as_scalar(iqr_bounds(df, "amount", outlier_factor, approx_quantiles))
+        x = F.col("amount")
+        df = df.withColumn("_is_outlier", F.coalesce((x < b["lo"]) | (x > b["hi"]), F.lit(False)))
     else:
         df = df.withColumn("_is_outlier", F.lit(False))
     return df.select(*[c for c in df.columns if c != "_has_nulls"], "_has_nulls")
 
 
+def iqr_bounds(df: DataFrame, col: str, factor: float = 1.5, approx: bool = False) -> DataFrame:
+    """One row: ``lo = Q1 - k*IQR`` and ``hi = Q3 + k*IQR`` of the column."""
+    if approx:
+        q = df.agg(F.percentile_approx(F.col(col).cast("double"), [0.25, 0.75], 10000).alias("a")
+                   ).select(F.col("a")[0].alias("q1"), F.col("a")[1].alias("q3"))
+    else:
+        q = exact_quantiles(df, col, {"q1": 0.25, "q3": 0.75})
+    iqr = F.col("q3") - F.col("q1")
+    return q.select((F.col("q1") - factor * iqr).alias("lo"), (F.col("q3") + factor * iqr).alias("hi"))
+
+
 def with_iqr_flag(df: DataFrame, col: str, out: str, factor: float = 1.5,
                   approx: bool = False) -> DataFrame:
     """``x < Q1 - k*IQR or x > Q3 + k*IQR`` with whole-column
-    quantiles (one scalar subquery); NULL is never flagged."""
-    q = exact_quantiles(df, col, {"q1": 0.25, "q3": 0.75}) if not approx else \
-        df.agg(F.percentile_approx(F.col(col).cast("double"), [0.25, 0.75], 10000).alias("a")
-               ).select(F.col("a")[0].alias("q1"), F.col("a")[1].alias("q3"))
-    df = attach(df, "_q", q)
-    q1, q3 = F.col("_q.q1"), F.col("_q.q3")
+    quantiles (one scalar subquery, referenced twice); NULL never flagged."""
+    df = attach(df, "_q", iqr_bounds(df, col, factor, approx))
     x = F.col(col)
-    flag = F.coalesce((x < q1 - factor * (q3 - q1)) | (x > q3 + factor * (q3 - q1)), F.lit(False))
+    flag = F.coalesce((x < F.col("_q.lo")) | (x > F.col("_q.hi")), F.lit(False))
     return df.withColumn(out, flag).drop("_q")
 
 

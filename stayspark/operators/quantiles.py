@@ -37,10 +37,9 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: Mapping[str, float]
     counts = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     if buckets > 1:
         bounds = v.agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 1000)
-                       .alias("b")).scalar()
-        # the bounds are projected first: subqueries may not sit inside a lambda
-        counts = (counts.withColumn("_b", bounds)
-                  .withColumn("bucket", F.coalesce(F.size(F.filter("_b", lambda b: b < F.col("v"))),
+                       .alias("b"))
+        counts = (attach(counts, "_b", bounds)
+                  .withColumn("bucket", F.coalesce(F.size(F.filter("_b.b", lambda b: b < F.col("v"))),
                                                    F.lit(0)))
                   .drop("_b"))
     else:
@@ -91,10 +90,16 @@ def as_scalar(one_row: DataFrame) -> Column:
 
 
 def attach(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:
-    """Add the one-row result as a struct column ``name`` (a scalar subquery
-    evaluated once); refer to it as ``F.col(name)[field]`` and drop it after.
-    Referencing the column (not the subquery) keeps a single copy."""
-    return df.withColumn(name, as_scalar(one_row))
+    """Add a one-row result (a global aggregate, so exactly one row by
+    construction) to every row as the struct column ``name``.
+
+    This is the broadcast of a scalar (J2): the one-row side is computed
+    once and broadcast; every input row meets exactly one row, so nothing
+    multiplies. Unlike a scalar subquery, the optimizer cannot copy the
+    aggregate into each filter that uses it.
+    """
+    scalar = F.broadcast(one_row.select(F.struct(*one_row.columns).alias(name)))
+    return df.crossJoin(scalar)
 
 
 def quantile_scalar(df: DataFrame, col: str | Column, probs: Mapping[str, float],

@@ -6,8 +6,7 @@ every query can be checked against an independent engine.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +49,31 @@ def bookings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_CURATED: dict[tuple, DataFrame] = {}
+
+
+def curated(spark: SparkSession, name: str, sf_dir: str, build, **kw) -> DataFrame:
+    """Build an input view once per session and keep it (memory, spilling to
+    disk). Lost blocks are recomputed from the lineage, so losing an executor
+    costs time, not results. ``release()`` unpersists everything."""
+    key = (spark.sparkContext.applicationId, name, sf_dir, tuple(sorted(kw.items())))
+    df = _CURATED.get(key)
+    if df is None:
+        df = build(spark, sf_dir, **kw).persist(StorageLevel.MEMORY_AND_DISK)
+        _CURATED[key] = df
+    return df
+
+
+def release() -> None:
+    for df in _CURATED.values():
+        df.unpersist()
+    _CURATED.clear()
+
+
 def bookings_clean(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    return clean_and_enrich(bookings_raw(spark, sf_dir), **kw)
+    """Cleaned and enriched bookings (all statuses), curated once per session."""
+    return curated(spark, "bookings_clean", sf_dir,
+                   lambda sp, d, **k: clean_and_enrich(bookings_raw(sp, d), **k), **kw)
 
 
 def bookings(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
@@ -72,6 +94,10 @@ def _lineitem_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured market listings (plus the line keys used as arrival order)."""
+    return curated(spark, "market", sf_dir, _market)
+
+
+def _market(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     return _lineitem_dims(spark, sf_dir).select(
         F.col("p_name").alias("nombre"),
