@@ -26,7 +26,7 @@ def listing_price(text, nights) -> Column:
     n = col_or_lit(nights)
     low = F.lower(t)
     is_total = low.contains("total") | low.contains("estancia")
-    per_night = F.when(is_total & (n > 1), F.greatest(F.lit(1), F.floor(first / n).cast("int")))
+    per_night = F.when(is_total & (n > 1) & first.isNotNull(), F.greatest(F.lit(1), F.floor(first / n).cast("int")))
     return F.when(nonblank(t), F.coalesce(per_night, first))
 
 

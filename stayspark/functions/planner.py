@@ -44,5 +44,5 @@ def stay_nights(checkin, checkout) -> Column:
     """whole days between two ISO dates, at least 1; bad dates -> 1."""
     def d(x):
         x = col_or_lit(x)
-        return F.try_to_date(x.cast("string"), F.lit("yyyy-MM-dd"))
+        return F.try_to_date(x.cast("string"), "yyyy-MM-dd")
     return F.greatest(F.coalesce(F.datediff(d(checkout), d(checkin)), F.lit(1)), F.lit(1))

@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _CASED = r"[\p{Lu}\p{Ll}\p{Lt}]"
+# Characters Python's str.strip()/str.split() treat as blanks, written out so
+# that Java and RE2 regexes agree on them.
+PY_WS = (r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+         r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
 
 def col_or_lit(c) -> Column:
@@ -14,7 +18,12 @@ def col_or_lit(c) -> Column:
 
 def py_strip(c) -> Column:
     """Remove leading/trailing Unicode blanks (like Python ``str.strip``)."""
-    return F.regexp_replace(col_or_lit(c).cast("string"), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(col_or_lit(c).cast("string"), f"^{PY_WS}+|{PY_WS}+$", "")
+
+
+def py_split(c) -> Column:
+    """Python ``str.split()``: split on runs of blanks, no empty parts."""
+    return F.split(py_strip(c), f"{PY_WS}+")
 
 
 def py_title(c) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stayspark import functions as SF
 from stayspark import schema as S
@@ -15,7 +16,8 @@ from stayspark.operators.quantiles import attach, exact_quantiles
 
 # -- X1-X3 -------------------------------------------------------------------
 
-def extract_cards(cards: DataFrame, site_root: str = S.LISTING_SITE_ROOT) -> DataFrame:
+def extract_cards(cards: DataFrame, site_root: str = S.LISTING_SITE_ROOT,
+                  keep: Sequence[str] = ()) -> DataFrame:
     """Captured cards -> listing rows; cards without a usable price
     (missing, fewer than two digits, or 0) are dropped (W10).
 
@@ -25,6 +27,7 @@ def extract_cards(cards: DataFrame, site_root: str = S.LISTING_SITE_ROOT) -> Dat
     nights = SF.stay_nights("checkin", "checkout")
     price_text = SF.card_price_text("price_raw", "text")
     out = cards.select(
+        *keep,
         SF.card_title("title_raw", "text").alias("nombre"),
         SF.listing_price(price_text, nights).alias("precio_noche"),
         SF.card_rating("text").alias("rating"),
@@ -78,34 +81,32 @@ def robot_page_flag(pages: DataFrame, html: str = "html") -> Column:
 
 # -- K1 / N8 -----------------------------------------------------------------
 
-def upsert_listings(existing: DataFrame | None, new: DataFrame, order: Sequence[str] = ()) -> DataFrame:
-    """K1: append ``new`` to ``existing`` and keep the last row per
+def upsert_listings(existing: DataFrame | None, new: DataFrame, order: Sequence[str] = (),
+                    drop: Sequence[str] = ()) -> DataFrame:
+    """K1 + N8: append ``new`` to ``existing`` and keep the last row per
     (url, checkin); the price becomes int with bad/NULL -> 0.
 
-    "Last" = new before old, then the ``order`` columns (arrival order
-    inside a batch). Done as a grouped ``max_by`` so duplicates collapse in
-    the map-side partial aggregation: a hot key never lands in one task as
-    raw rows.
+    "Last" = rows of ``new`` after rows of ``existing``, then the ``order``
+    columns ascending (arrival order inside a batch; NULLs first). Done as a
+    grouped ``max_by`` so duplicates collapse in the map-side partial
+    aggregation: a hot key never reaches one task as raw rows. ``drop``
+    removes helper columns (e.g. the arrival keys) from the result.
     """
-    cols = [c for c in new.columns if c not in order]
     parts = [new.withColumn("_seq", F.lit(1))]
     if existing is not None:
-        e = existing
-        for c in order:
-            if c not in e.columns:
-                e = e.withColumn(c, F.lit(None).cast(new.schema[c].dataType))
-        parts.insert(0, e.select(*cols, *order).withColumn("_seq", F.lit(0)))
+        parts.insert(0, existing.withColumn("_seq", F.lit(0)))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p, allowMissingColumns=True)
-    rank = F.struct(F.col("_seq"), *[F.col(c) for c in order])
+    cols = [c for c in u.columns if c != "_seq"]
     keep = [c for c in cols if c not in ("url", "checkin")]
+    rank = F.struct(F.col("_seq"), *[F.col(c) for c in order])
     g = u.groupBy("url", "checkin").agg(F.max_by(F.struct(*keep), rank).alias("r"))
     out = g.select("url", "checkin", *[F.col(f"r.{c}").alias(c) for c in keep])
     out = out.withColumn("precio_noche",
                          F.coalesce(F.col("precio_noche").cast("string").try_cast("double").try_cast("int"),
                                     F.lit(0)))
-    return out.select(*cols)
+    return out.select(*[c for c in cols if c not in drop])
 
 
 # -- A30-A32, W7, W8 -----------------------------------------------------------
@@ -113,9 +114,14 @@ def upsert_listings(existing: DataFrame | None, new: DataFrame, order: Sequence[
 def coerce_market(m: DataFrame) -> DataFrame:
     """F36 + W5: numeric price / rating, date check-in, rows without price
     dropped."""
-    out = m.withColumn("precio_noche", F.col("precio_noche").cast("string").try_cast("double"))
+    def numeric(c: str):
+        # numbers keep their type (as pandas.to_numeric does); text is parsed
+        if isinstance(m.schema[c].dataType, T.NumericType):
+            return F.col(c)
+        return F.col(c).cast("string").try_cast("double")
+    out = m.withColumn("precio_noche", numeric("precio_noche"))
     if "rating" in m.columns:
-        out = out.withColumn("rating", F.col("rating").cast("string").try_cast("double"))
+        out = out.withColumn("rating", numeric("rating"))
     if "checkin" in m.columns:
         out = out.withColumn("checkin", F.try_to_date(F.col("checkin").cast("string")))
     return out.where(F.col("precio_noche").isNotNull())
@@ -203,13 +209,16 @@ def price_histogram(market: DataFrame, bins: int = 20) -> DataFrame:
                     (F.col("_r.lo") + (F.col("bin") + 1) * w).alias("hi"), "n")
 
 
-def price_box(market: DataFrame, own_price: Column | float) -> DataFrame:
-    """Five-number summary of market prices and of the own price."""
+def price_box(market: DataFrame, own: DataFrame | float) -> DataFrame:
+    """Five-number summary of market prices, and the own price (a
+    one-row DataFrame with column ``p``, or a number) as a flat box."""
     m = coerce_market(market)
     q = exact_quantiles(m, "precio_noche", {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p100": 1.0})
-    own = own_price if isinstance(own_price, Column) else F.lit(float(own_price))
-    mk = q.select(F.lit("Mercado").alias("origen"), "p0", "p25", "p50", "p75", "p100")
-    me = q.select(F.lit("Tu Propiedad").alias("origen"), *[own.alias(c) for c in ["p0", "p25", "p50", "p75", "p100"]])
+    names = ["p0", "p25", "p50", "p75", "p100"]
+    mk = q.select(F.lit("Mercado").alias("origen"), *names)
+    if not isinstance(own, DataFrame):
+        own = m.sparkSession.createDataFrame([(float(own),)], "p double")
+    me = own.select(F.lit("Tu Propiedad").alias("origen"), *[F.col("p").alias(c) for c in names])
     return mk.unionByName(me)
 
 

@@ -465,3 +465,481 @@ FROM (SELECT count(*) AS n, sum(y) AS total, avg(y) AS mean,
       FROM (SELECT *, row_number() OVER (ORDER BY year DESC) AS yr FROM an))""", *FORECAST_SQL[:5]))
 def q_growth(spark, sf):
     return FC.growth_metrics(FX.bookings(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Per property
+# ---------------------------------------------------------------------------
+
+KPI_SQL = f"""kpi AS (
+  SELECT property, coalesce(sum(amount), 0.0) AS total_ingresos, avg(amount) AS ingresos_mes,
+    avg(price_per_night) AS precio_medio, count(*) AS total_reservas,
+    coalesce(sum(nights), 0.0) AS total_noches,
+    least(coalesce(sum(nights), 0.0) / greatest(floor(date_diff('second', min(arrival), max(arrival)) / 86400.0), 1)
+          * 100, 100.0) AS ocupacion_pct
+  FROM bookings WHERE property IS NOT NULL GROUP BY property)"""
+KPI_COLS = ["total_ingresos", "ingresos_mes", "precio_medio", "total_noches", "ocupacion_pct"]
+
+
+@register("property_kpis", with_bookings(
+    "SELECT property, total_reservas, " + ", ".join(f"{rnd(c)} AS {c}" for c in KPI_COLS) + " FROM kpi", KPI_SQL))
+def q_property_kpis(spark, sf):
+    return rcols(PR.property_kpis(FX.bookings(spark, sf)), KPI_COLS)
+
+
+PMONTH_SQL = """pmon AS (SELECT property, month, month_short, coalesce(sum(amount), 0.0) AS ingresos,
+  coalesce(sum(nights), 0.0) AS noches FROM bookings WHERE property IS NOT NULL AND month IS NOT NULL
+  GROUP BY property, month, month_short)"""
+DAYS = "[31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]"
+
+
+@register("occupancy_month", with_bookings(f"""
+SELECT property, month, month_short, {rnd('noches')} AS noches, {DAYS}[month] AS dias_mes,
+       {rnd(f'least(greatest(noches / {DAYS}[month] * 100, 0.0), 100.0)')} AS ocupacion_pct FROM pmon""",
+    PMONTH_SQL))
+def q_occupancy_month(spark, sf):
+    return rcols(PR.occupancy_by_month(FX.bookings(spark, sf)), ["noches", "ocupacion_pct"])
+
+
+@register("occupancy_quarter", with_bookings(f"""
+SELECT property, quarter, {rnd('noches')} AS noches, {rnd('ingresos')} AS ingresos, dias,
+       {rnd('least(greatest(noches / dias * 100, 0.0), 100.0)')} AS ocupacion
+FROM (SELECT property, quarter, coalesce(sum(nights), 0.0) AS noches, coalesce(sum(amount), 0.0) AS ingresos,
+             CASE quarter WHEN 'Q1' THEN 90 WHEN 'Q2' THEN 91 WHEN 'Q3' THEN 92 WHEN 'Q4' THEN 92 END AS dias
+      FROM bookings WHERE property IS NOT NULL AND quarter IS NOT NULL GROUP BY property, quarter)"""))
+def q_occupancy_quarter(spark, sf):
+    return rcols(PR.occupancy_by_quarter(FX.bookings(spark, sf)), ["noches", "ingresos", "ocupacion"])
+
+
+@register("golden_month", with_bookings(f"""
+SELECT property, arg_min(month_short, (-ingresos, month)) AS gold_month, {rnd('max(ingresos)')} AS gold_value
+FROM pmon GROUP BY property""", PMONTH_SQL))
+def q_golden_month(spark, sf):
+    return rcols(PR.golden_month(FX.bookings(spark, sf)), ["gold_value"])
+
+
+PEER_SQL = f"""
+SELECT propiedad_sel, property, {rnd('ingresos')} AS ingresos, reservas, {rnd('precio')} AS precio FROM (
+  SELECT s.property AS propiedad_sel, l.property, l.ingresos, l.reservas, l.precio,
+         row_number() OVER (PARTITION BY s.property ORDER BY l.ingresos DESC, l.property) AS r
+  FROM k s JOIN (SELECT * FROM k ORDER BY ingresos DESC, property LIMIT 11) l ON s.property <> l.property)
+WHERE r <= 10
+UNION ALL
+SELECT property AS propiedad_sel, '{S.PEER_PREFIX}' || property AS property, {rnd('ingresos')} AS ingresos,
+       reservas, {rnd('precio')} AS precio FROM k"""
+
+
+@register("peer_comparison", with_bookings(
+    PEER_SQL, KPI_SQL,
+    "k AS (SELECT property, total_ingresos AS ingresos, total_reservas AS reservas, precio_medio AS precio FROM kpi)"))
+def q_peer_comparison(spark, sf):
+    return rcols(PR.peer_comparison(FX.bookings(spark, sf)), ["ingresos", "precio"])
+
+
+GAP_SQL = """gap AS (
+  SELECT property, precio_medio, media_cartera,
+         CASE WHEN precio_medio > 0 THEN
+           CASE WHEN media_cartera IS NULL THEN NULL WHEN media_cartera <> 0
+                THEN (precio_medio - media_cartera) / media_cartera * 100 ELSE 0.0 END END AS diff_pct
+  FROM (SELECT o.property, o.precio_medio,
+               (t.s - coalesce(o.s, 0.0)) / CASE WHEN t.c - o.c = 0 THEN NULL ELSE t.c - o.c END AS media_cartera
+        FROM (SELECT property, avg(price_per_night) AS precio_medio, sum(price_per_night) AS s,
+                     count(price_per_night) AS c FROM bookings WHERE property IS NOT NULL GROUP BY property) o
+        CROSS JOIN (SELECT sum(price_per_night) AS s, count(price_per_night) AS c FROM bookings
+                    WHERE property IS NOT NULL) t))"""
+
+
+@register("price_gap_rules", with_bookings(f"""
+SELECT property, {rnd('precio_medio')} AS precio_medio, {rnd('media_cartera')} AS media_cartera,
+       {rnd('diff_pct', 4)} AS diff_pct,
+       CASE WHEN diff_pct < -10 THEN 'raise' WHEN diff_pct > 15 THEN 'review' END AS regla FROM gap""", GAP_SQL))
+def q_price_gap(spark, sf):
+    g = PR.price_gap(FX.bookings(spark, sf))
+    return g.select("property", r2(F.col("precio_medio")).alias("precio_medio"),
+                    r2(F.col("media_cartera")).alias("media_cartera"), r2(F.col("diff_pct"), 4).alias("diff_pct"),
+                    "regla")
+
+
+def _sql_text(template: str, **fills: str) -> str:
+    """SQL string expression for a template with {name} holes."""
+    parts, rest = [], template
+    while "{" in rest:
+        a = rest.index("{")
+        b = rest.index("}", a)
+        parts.append("'" + rest[:a].replace("'", "''") + "'")
+        parts.append(f"({fills[rest[a + 1:b]]})")
+        rest = rest[b + 1:]
+    parts.append("'" + rest.replace("'", "''") + "'")
+    return " || ".join(parts)
+
+
+def _title(key: str) -> str:
+    return "'" + S.RECOMMENDATIONS[key][0].replace("'", "''") + "'"
+
+
+def _f0(x: str) -> str:
+    return f"format('{{:,.0f}}', {rnd(x, 0)})"
+
+
+_R = S.RECOMMENDATIONS
+RECS_SQL = f"""
+SELECT property, CAST(row_number() OVER (PARTITION BY property ORDER BY o) AS INTEGER) AS rec_no, title, text FROM (
+  SELECT property, 1 AS o, {_title('raise')} AS title, {_sql_text(_R['raise'][1], top3='top3')} AS text
+    FROM j WHERE top3 IS NOT NULL
+  UNION ALL SELECT property, 2, {_title('low_season')}, {_sql_text(_R['low_season'][1], bot3='bot3')}
+    FROM j WHERE top3 IS NOT NULL
+  UNION ALL SELECT property, 3, {_title('price_up')},
+    {_sql_text(_R['price_up'][1], ppn=_f0('precio_medio'), pct=_f0('abs(diff_pct)'), media=_f0('media_cartera'))}
+    FROM j WHERE diff_pct < -10
+  UNION ALL SELECT property, 4, {_title('price_review')}, {_sql_text(_R['price_review'][1], pct=_f0('diff_pct'))}
+    FROM j WHERE diff_pct > 15
+  UNION ALL SELECT property, 5, {_title('reviews')}, {_sql_text(_R['reviews'][1])} FROM j
+  UNION ALL SELECT property, 6, {_title('min_stay')}, {_sql_text(_R['min_stay'][1], gold="coalesce(gold, 'N/A')")}
+    FROM j)"""
+RECS_CTES = [
+    GAP_SQL,
+    "pr AS (SELECT *, row_number() OVER (PARTITION BY property ORDER BY ingresos DESC, month) AS t, "
+    "row_number() OVER (PARTITION BY property ORDER BY ingresos, month) AS b FROM pmon)",
+    "mf AS (SELECT property, string_agg(month_short, ', ' ORDER BY t) FILTER (WHERE t <= 3) AS top3, "
+    "string_agg(month_short, ', ' ORDER BY b) FILTER (WHERE b <= 3) AS bot3, "
+    "arg_min(month_short, (-ingresos, month)) AS gold FROM pr GROUP BY property)",
+    "j AS (SELECT g.*, mf.top3, mf.bot3, mf.gold FROM gap g LEFT JOIN mf USING (property))",
+]
+
+
+@register("recommendations", with_bookings(RECS_SQL, PMONTH_SQL, *RECS_CTES))
+def q_recommendations(spark, sf):
+    return PR.recommendations(FX.bookings(spark, sf)).withColumn("rec_no", F.col("rec_no").cast("int"))
+
+
+@register("projection", with_bookings(f"""
+SELECT property, {rnd('ingresos_mes * (1 + 0.12)')} AS proy_ingreso_mensual,
+       {rnd('total_ingresos * (1 + 0.12)')} AS proy_ingreso_anual,
+       {rnd('least(ocupacion_pct * 1.07, 100.0)')} AS ocupacion_objetivo FROM kpi""", KPI_SQL))
+def q_projection(spark, sf):
+    return rcols(PR.projection(FX.bookings(spark, sf)),
+                 ["proy_ingreso_mensual", "proy_ingreso_anual", "ocupacion_objetivo"])
+
+
+@register("projection_monthly", with_bookings(f"""
+SELECT property, month, month_short, {rnd('ingresos')} AS ingresos, {rnd('ingresos * (1 + 0.12)')} AS proyeccion
+FROM pmon""", PMONTH_SQL))
+def q_projection_monthly(spark, sf):
+    return rcols(PR.projection_monthly(FX.bookings(spark, sf)), ["ingresos", "proyeccion"])
+
+
+_T = S.DIAGNOSIS_TEXT
+
+
+def _esc(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+DIAG_CTES = [
+    "d AS (SELECT * FROM bookings WHERE property IS NOT NULL)",
+    "base AS (SELECT property, avg(price_per_night) AS ppn, coalesce(sum(amount), 0.0) AS rev_total, "
+    "count(*) AS bookings, count(amount) AS n_amount FROM d GROUP BY property)",
+    "g AS (SELECT avg(price_per_night) AS gppn FROM d)",
+    "mn AS (SELECT avg(n_amount) AS mean_n FROM base)",
+    "ch0 AS (SELECT property, channel, count(*) AS c FROM d GROUP BY property, channel)",
+    "ch AS (SELECT property, arg_min(channel, (-c, channel)) AS top_channel, max(c) / sum(c) AS top_share "
+    "FROM ch0 GROUP BY property)",
+    "mo0 AS (SELECT property, month, coalesce(sum(amount), 0.0) AS rev, count(amount) AS cnt FROM d "
+    "WHERE month IS NOT NULL GROUP BY property, month)",
+    "mo1 AS (SELECT *, {MED} AS med FROM mo0)",
+    f"mo AS (SELECT property, stddev_samp(rev) / CASE WHEN avg(rev) = 0 THEN NULL ELSE avg(rev) END AS cv, "
+    f"list_transform(list_sort(list(month) FILTER (WHERE cnt >= med)), lambda x: {MONTHS_LONG}[x]) AS raise_months "
+    f"FROM mo1 GROUP BY property)",
+]
+
+
+def _diag_sql() -> str:
+    from stayspark.plans.oracle import q_list
+    med = q_list("(list_sort(list(CAST(cnt AS DOUBLE)) OVER (PARTITION BY property)))", 0.5)
+    ctes = [c.replace("{MED}", med) for c in DIAG_CTES]
+    pros = (f"list_filter([CASE WHEN ppn > gppn * 1.1 THEN 'ADR Superior: Su precio por noche (' || "
+            f"printf('%.0f', {rnd('ppn', 0)}) || '€) es un ' || printf('%.1f', {rnd('(ppn / gppn - 1) * 100', 1)}) "
+            f"|| '% superior a la media.' END, CASE WHEN bookings > mean_n THEN {_esc(_T['rotation'])} END, "
+            f"CASE WHEN top_share < 0.5 THEN {_esc(_T['diversified'])} END], lambda x: x IS NOT NULL)")
+    cons = (f"list_filter([CASE WHEN ppn < gppn * 0.9 THEN 'ADR Bajo: El precio por noche está por debajo de la "
+            f"media global (' || printf('%.0f', {rnd('gppn', 0)}) || '€).' END, "
+            f"CASE WHEN cv > 0.5 THEN {_esc(_T['volatile'])} END, "
+            f"CASE WHEN top_share > 0.7 THEN 'Riesgo de Dependencia: El ' || printf('%.0f', {rnd('top_share * 100', 0)}) "
+            f"|| '% de reservas vienen de ' || top_channel || '.' END], lambda x: x IS NOT NULL)")
+    sql = f"""
+SELECT property,
+  array_to_string(CASE WHEN len(pros) > 0 THEN pros ELSE [{_esc(_T['no_pros'])}] END, ' | ') AS pros,
+  array_to_string(CASE WHEN len(cons) > 0 THEN cons ELSE [{_esc(_T['no_cons'])}] END, ' | ') AS cons,
+  array_to_string(coalesce(raise_months, []), ', ') AS raise_months,
+  {rnd('rev_total')} AS rev_total, {rnd('ppn')} AS ppn, bookings
+FROM (SELECT base.*, {pros} AS pros, {cons} AS cons, mo.raise_months
+      FROM base CROSS JOIN g CROSS JOIN mn LEFT JOIN ch USING (property) LEFT JOIN mo USING (property))"""
+    return with_bookings(sql, *ctes)
+
+
+@register("property_diagnosis", _diag_sql())
+def q_property_diagnosis(spark, sf):
+    d = PR.property_diagnosis(FX.bookings(spark, sf))
+    return d.select("property", F.array_join("pros", " | ").alias("pros"), F.array_join("cons", " | ").alias("cons"),
+                    F.array_join("raise_months", ", ").alias("raise_months"),
+                    r2(F.col("rev_total")).alias("rev_total"), r2(F.col("ppn")).alias("ppn"), "bookings")
+
+
+MKT_STATS_SQL = (f"mstats AS (SELECT avg(precio_noche) AS m_mean, {q_agg('precio_noche', 0.5)} AS m_median, "
+                 f"{q_agg('precio_noche', 0.75)} AS m_p75, count(precio_noche) AS n_listings "
+                 f"FROM market WHERE precio_noche IS NOT NULL)")
+ADV_COLS = ["total_ingresos", "precio_medio", "ocupacion_pct", "gold_value", "m_mean", "m_median", "diff_m"]
+
+
+@register("advisor_facts", with_bookings(
+    "SELECT property, total_reservas, gold_month, " + ", ".join(f"{rnd(c)} AS {c}" for c in ADV_COLS) + f""" FROM (
+  SELECT kpi.property, total_ingresos, precio_medio, ocupacion_pct, total_reservas,
+         coalesce(gm.gold_month, 'N/A') AS gold_month, coalesce(gm.gold_value, 0.0) AS gold_value, m_mean, m_median,
+         CASE WHEN m_mean <> 0 THEN (precio_medio - m_mean) / m_mean * 100 ELSE 0.0 END AS diff_m
+  FROM kpi LEFT JOIN (SELECT property, arg_min(month_short, (-ingresos, month)) AS gold_month,
+                             max(ingresos) AS gold_value FROM pmon GROUP BY property) gm USING (property)
+  CROSS JOIN mstats)""", KPI_SQL, PMONTH_SQL, MARKET, MKT_STATS_SQL))
+def q_advisor_facts(spark, sf):
+    a = PR.advisor_facts(FX.bookings(spark, sf), FX.market(spark, sf))
+    return rcols(a, ADV_COLS)
+
+
+# ---------------------------------------------------------------------------
+# Market (K1, N8, A30-A32, W7, W8, X1-X3)
+# ---------------------------------------------------------------------------
+
+UPSERT_ORDER = ["l_orderkey", "l_linenumber", "precio_noche", "rating", "ciudad"]
+MARKET_PAYLOAD = ["url", "checkin", "nombre", "precio_noche", "rating", "num_reviews", "tipo", "capacidad", "ciudad"]
+
+
+@register("market_upsert", with_views(f"""
+SELECT {', '.join(MARKET_PAYLOAD[:3])}, coalesce(TRY_CAST(precio_noche AS INTEGER), 0) AS precio_noche,
+       {', '.join(MARKET_PAYLOAD[4:])} FROM (
+  SELECT *, row_number() OVER (PARTITION BY url, checkin ORDER BY l_orderkey DESC, l_linenumber DESC,
+                               precio_noche DESC, rating DESC NULLS LAST, ciudad DESC) AS rn FROM market)
+WHERE rn = 1""", MARKET))
+def q_market_upsert(spark, sf):
+    return MK.upsert_listings(None, FX.market(spark, sf), order=UPSERT_ORDER,
+                              drop=["l_orderkey", "l_linenumber"]).select(*MARKET_PAYLOAD)
+
+
+MK_COLS = ["precio_medio", "m_mean", "m_median", "m_p75", "pos_pct", "diff_vs_mean"]
+
+
+@register("market_kpis", with_bookings(
+    "SELECT property, n_listings, " + ", ".join(f"{rnd(c)} AS {c}" for c in MK_COLS) + """ FROM (
+  SELECT k.property, k.precio_medio, m_mean, m_median, m_p75, n_listings,
+    CASE WHEN n_listings > 1 THEN (SELECT count(*) FROM market mk WHERE mk.precio_noche IS NOT NULL
+                                   AND mk.precio_noche < k.precio_medio) / n_listings * 100 ELSE 0.0 END AS pos_pct,
+    CASE WHEN m_mean <> 0 THEN (k.precio_medio - m_mean) / m_mean * 100 ELSE 0.0 END AS diff_vs_mean
+  FROM kpi k CROSS JOIN mstats)""", KPI_SQL, MARKET, MKT_STATS_SQL))
+def q_market_kpis(spark, sf):
+    own = PR.property_kpis(FX.bookings(spark, sf)).select("property", "precio_medio")
+    k = MK.market_kpis(own, FX.market(spark, sf))
+    return rcols(k.select("property", "n_listings", *MK_COLS), MK_COLS)
+
+
+@register("market_histogram", with_views(f"""
+SELECT bin, {rnd('lo + bin * ((hi - lo) / 20.0)')} AS lo, {rnd('lo + (bin + 1) * ((hi - lo) / 20.0)')} AS hi,
+       count(*) AS n FROM (
+  SELECT CASE WHEN (hi - lo) / 20.0 = 0 THEN 0
+              ELSE CAST(least(floor((precio_noche - lo) / ((hi - lo) / 20.0)), 19) AS INTEGER) END AS bin, lo, hi
+  FROM (SELECT CAST(precio_noche AS DOUBLE) AS precio_noche FROM market WHERE precio_noche IS NOT NULL)
+  CROSS JOIN (SELECT CAST(min(precio_noche) AS DOUBLE) AS lo, CAST(max(precio_noche) AS DOUBLE) AS hi
+              FROM market WHERE precio_noche IS NOT NULL))
+GROUP BY bin, lo, hi""".replace("20.0", "CAST(20 AS DOUBLE)"), MARKET))
+def q_market_histogram(spark, sf):
+    return rcols(MK.price_histogram(FX.market(spark, sf), 20), ["lo", "hi"])
+
+
+@register("market_by_type", with_views(f"""
+SELECT tipo, {rnd('avg(precio_noche)')} AS precio_noche FROM market WHERE precio_noche IS NOT NULL GROUP BY tipo""",
+    MARKET))
+def q_market_by_type(spark, sf):
+    return rcols(MK.price_by_type(FX.market(spark, sf)), ["precio_noche"])
+
+
+BOX = [("p0", 0.0), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p100", 1.0)]
+BOX_SQL = ("SELECT 'Mercado' AS origen, " + ", ".join(f"{rnd(q_agg('precio_noche', p))} AS {n}" for n, p in BOX)
+           + " FROM market UNION ALL SELECT 'Tu Propiedad' AS origen, "
+           + ", ".join(f"{rnd('p')} AS {n}" for n, _ in BOX)
+           + " FROM (SELECT avg(price_per_night) AS p FROM bookings)")
+
+
+@register("market_box", with_bookings(BOX_SQL, MARKET))
+def q_market_box(spark, sf):
+    """A31 box summary: market prices vs the portfolio's mean nightly price."""
+    own = FX.bookings(spark, sf).agg(F.avg("price_per_night").alias("p"))
+    box = MK.price_box(FX.market(spark, sf), own)
+    return rcols(box, [n for n, _ in BOX])
+
+
+@register("direct_competitors", with_bookings("""
+SELECT nombre, precio_noche, rating, tipo, url FROM market CROSS JOIN (SELECT avg(price_per_night) AS p FROM bookings)
+WHERE precio_noche IS NOT NULL AND precio_noche >= p * (1 - 0.3) AND precio_noche <= p * (1 + 0.3)""", MARKET))
+def q_direct_competitors(spark, sf):
+    from stayspark.operators.quantiles import attach
+    m = attach(FX.market(spark, sf), "_own", FX.bookings(spark, sf).agg(F.avg("price_per_night").alias("p")))
+    return MK.direct_competitors(m, F.col("_own.p"), 0.30)
+
+
+@register("market_season_filter", with_views("""
+SELECT nombre, precio_noche, url, checkin, ciudad FROM market
+WHERE precio_noche IS NOT NULL AND ((SELECT count(checkin) FROM market WHERE precio_noche IS NOT NULL) = 0
+      OR month(checkin) IN (7, 8))""", MARKET))
+def q_market_season(spark, sf):
+    m = MK.season_filter(MK.coerce_market(FX.market(spark, sf)), "Alta (Jul-Ago)")
+    return m.select("nombre", F.col("precio_noche").cast("int").alias("precio_noche"), "url", "checkin", "ciudad")
+
+
+CARDS_X = FX.CARD_CHECKIN
+CARD_SQL = f"""cx AS (SELECT l_orderkey, l_linenumber, title_raw, price_raw, text, href,
+  DATE '{FX.CARD_CHECKIN}' AS checkin, CAST(DATE '{FX.CARD_CHECKIN}' + to_days(CAST(nights AS INTEGER)) AS DATE) AS checkout,
+  ciudad, ciudad AS propiedad_referencia, DATE '{FX.CARD_SCRAPED_ON}' AS scraped_on FROM cards)"""
+
+
+def _card_sql() -> str:
+    generic = " OR ".join(f"contains(lower(x), '{g}')" for g in S.GENERIC_TITLE_WORDS)
+    noise = " OR ".join(f"contains(lower(x), '{w}')" for w in S.CARD_NOISE_WORDS)
+    ws = __import__("stayspark.plans.oracle", fromlist=["WS"]).WS
+    strip = lambda e: f"regexp_replace({e}, '^{ws}+|{ws}+$', '', 'g')"
+    types = " ".join(f"WHEN contains(lower(text), '{t.lower()}') THEN '{t}'" for t in S.LODGING_TYPES)
+    return f"""
+t1 AS (SELECT *, title_raw IS NOT NULL AND title_raw <> '' AS has_title,
+  CASE WHEN title_raw IS NOT NULL AND title_raw <> '' THEN string_split({strip('title_raw')}, chr(10))[1]
+       ELSE '{S.NO_TITLE}' END AS name0,
+  list_filter(list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}),
+                          lambda x: length(x) > 5), lambda x: NOT ({noise})) AS cands FROM cx),
+t2 AS (SELECT *, list_position(list_transform(cands, lambda x: NOT ({generic}) AND length(x) > 8), true) AS good,
+  list_filter(cands, lambda x: x <> name0 AND length(x) > 15) AS longer FROM t1),
+t3 AS (SELECT *, CASE WHEN (NOT has_title OR {generic.replace('x)', 'name0)')}) AND text IS NOT NULL AND text <> ''
+  THEN CASE WHEN good IS NOT NULL AND good > 0 THEN cands[good]
+            WHEN len(longer) > 0 AND list_max(list_transform(longer, lambda x: length(x))) > length(name0)
+            THEN longer[list_position(list_transform(longer, lambda x: length(x)),
+                                      list_max(list_transform(longer, lambda x: length(x))))]
+            ELSE name0 END ELSE name0 END AS nombre,
+  CASE WHEN price_raw IS NOT NULL AND price_raw <> '' THEN price_raw
+       WHEN text IS NOT NULL AND text <> '' THEN nullif(regexp_extract(text, '(\\d[\\d.\\s,]*)\\s*€', 0), '') END AS ptxt,
+  greatest(coalesce(date_diff('day', checkin, checkout), 1), 1) AS stay FROM t2),
+t4 AS (SELECT *, TRY_CAST(nullif(regexp_extract(replace(translate(ptxt, '.,', ''), chr(160), ' '), '(\\d{{2,5}})', 1), '')
+                          AS INTEGER) AS p1 FROM t3),
+t5 AS (SELECT *, CASE WHEN ptxt IS NULL OR ptxt = '' THEN NULL
+  WHEN (contains(lower(ptxt), 'total') OR contains(lower(ptxt), 'estancia')) AND stay > 1 AND p1 IS NOT NULL
+  THEN greatest(1, CAST(floor(p1 / stay) AS INTEGER)) ELSE p1 END AS precio_noche FROM t4)
+SELECT l_orderkey, l_linenumber, nombre, precio_noche,
+  CASE WHEN regexp_matches(text, '(\\d)[,.](\\d{{2}})\\s*\\((\\d+)\\)')
+       THEN TRY_CAST(regexp_extract(text, '(\\d)[,.](\\d{{2}})\\s*\\((\\d+)\\)', 1) || '.' ||
+                     regexp_extract(text, '(\\d)[,.](\\d{{2}})\\s*\\((\\d+)\\)', 2) AS DOUBLE)
+       WHEN regexp_matches(text, '(\\d)[,.](\\d{{2}})\\s*(?:sobre|out)')
+       THEN TRY_CAST(regexp_extract(text, '(\\d)[,.](\\d{{2}})\\s*(?:sobre|out)', 1) || '.' ||
+                     regexp_extract(text, '(\\d)[,.](\\d{{2}})\\s*(?:sobre|out)', 2) AS DOUBLE) END AS rating,
+  CASE WHEN regexp_matches(text, '(\\d)[,.](\\d{{2}})\\s*\\((\\d+)\\)')
+       THEN TRY_CAST(regexp_extract(text, '(\\d)[,.](\\d{{2}})\\s*\\((\\d+)\\)', 3) AS INTEGER) END AS num_reviews,
+  CASE {types} ELSE '{S.UNKNOWN_TYPE}' END AS tipo,
+  TRY_CAST(nullif(regexp_extract(text, '(?i)(\\d+)\\s*(?:huésped|huesped|guest)', 1), '') AS INTEGER) AS capacidad,
+  CASE WHEN href IS NULL OR href = '' THEN '' WHEN starts_with(href, 'http') THEN href
+       ELSE '{S.LISTING_SITE_ROOT}' || href END AS url,
+  scraped_on AS fecha_scraping, checkin, checkout, ciudad, propiedad_referencia
+FROM t5 WHERE precio_noche IS NOT NULL AND precio_noche <> 0"""
+
+
+@register("card_extract", "WITH " + CARDS + ",\n" + CARD_SQL + ",\n" + _card_sql())
+def q_card_extract(spark, sf):
+    return MK.extract_cards(FX.captured_cards(spark, sf), keep=["l_orderkey", "l_linenumber"])
+
+
+def _page_sql() -> str:
+    li = r"(?is)<li\b[^>]*>(.*?)</li>"
+    p = r"(?is)<p\b[^>]*>(.*?)</p>"
+    return f"""
+SELECT page_id, CAST(k - 1 AS INTEGER) AS card_no,
+       trim(regexp_replace(regexp_replace(blocks[k], '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text
+FROM (SELECT page_id, blocks, generate_subscripts(blocks, 1) AS k FROM (
+  SELECT page_id, CASE WHEN len(regexp_extract_all(html, '{li}', 1)) > 0 THEN regexp_extract_all(html, '{li}', 1)
+                       WHEN len(regexp_extract_all(html, '{p}', 1)) > 0 THEN regexp_extract_all(html, '{p}', 1)
+                       ELSE [] END AS blocks FROM pages))"""
+
+
+@register("page_cards", _page_sql())
+def q_page_cards(spark, sf):
+    pages = FX.table(spark, sf, "pages").select("page_id", "html")
+    return MK.page_cards(pages, FX.PAGE_MARKERS).withColumn("card_no", F.col("card_no").cast("int"))
+
+
+@register("robot_page_flag", f"""
+SELECT count(*) AS n_pages,
+  count_if((contains(lower(html), 'captcha') OR contains(lower(html), 'are you a robot'))
+           AND NOT (contains(html, '{S.LISTING_PAGE_MARKERS[0]}') OR contains(html, '{S.LISTING_PAGE_MARKERS[1]}')))
+    AS n_robot,
+  count_if(contains(html, '{S.LISTING_PAGE_MARKERS[0]}') OR contains(html, '{S.LISTING_PAGE_MARKERS[1]}'))
+    AS n_with_listings
+FROM pages""")
+def q_robot_flag(spark, sf):
+    pages = FX.table(spark, sf, "pages").select("html")
+    listing = F.lit(False)
+    for m in S.LISTING_PAGE_MARKERS:
+        listing = listing | F.col("html").contains(m)
+    return pages.agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(MK.robot_page_flag(pages)).alias("n_robot"),
+                     F.count_if(listing).alias("n_with_listings"))
+
+
+# ---------------------------------------------------------------------------
+# Search planner (N9, N10) and text tables
+# ---------------------------------------------------------------------------
+
+def _city_sql(col: str) -> str:
+    arms = " ".join(f"WHEN contains(lower({col}), '{k}') THEN '{v}'" for k, v in FX.FIXTURE_CITY_KEYWORDS)
+    return f"CASE {arms} END"
+
+
+def _search_inputs_sql() -> str:
+    from stayspark.plans.oracle import strip
+    prop = strip("CAST(R_PROPERTY_NAME AS VARCHAR)")
+    date = strip("R_ARRIVAL")
+    parsed = f"coalesce(try_strptime({date}, '%d/%m/%Y'), try_strptime({date}, '%Y-%m-%d'), try_strptime({date}, '%d-%m-%Y'))"
+    nights = "greatest(coalesce(TRY_CAST(TRY_CAST(replace(R_NIGHTS, ',', '.') AS DOUBLE) AS INTEGER), 1), 1)"
+    return f"""si AS (SELECT propiedad, ciudad, checkin, CAST(checkin + to_days(noches) AS DATE) AS checkout, noches FROM (
+  SELECT {prop} AS propiedad, {_city_sql(prop)} AS ciudad, CAST({parsed} AS DATE) AS checkin, {nights} AS noches
+  FROM bookings_raw WHERE R_STATUS IN ('Booked', 'Fact.', 'Confirmada'))
+  WHERE ciudad IS NOT NULL AND checkin IS NOT NULL)"""
+
+
+@register("search_inputs", with_views("SELECT * FROM si", BOOKINGS_RAW, _search_inputs_sql()))
+def q_search_inputs(spark, sf):
+    return PL.search_inputs(FX.bookings_raw(spark, sf), FX.FIXTURE_CITY_KEYWORDS)
+
+
+SEARCH_AS_OF = "2001-01-01"
+
+
+@register("search_plan", with_views(f"""
+SELECT ciudad, checkin, checkout, propiedad AS propiedad_referencia FROM pd
+WHERE (has_future AND future AND fk <= 3) OR (NOT has_future AND coalesce(before, 0) < 3)""",
+    BOOKINGS_RAW, _search_inputs_sql(),
+    f"""pd0 AS (SELECT propiedad, checkin, min(checkout) AS checkout, min(ciudad) AS ciudad, count(*) AS n,
+  checkin >= DATE '{SEARCH_AS_OF}' AS future FROM si GROUP BY propiedad, checkin)""",
+    """pd AS (SELECT *, max(CAST(future AS INTEGER)) OVER (PARTITION BY propiedad) = 1 AS has_future,
+  row_number() OVER (PARTITION BY propiedad, future ORDER BY checkin) AS fk,
+  sum(n) OVER (PARTITION BY propiedad ORDER BY checkin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM pd0)"""))
+def q_search_plan(spark, sf):
+    return PL.search_plan(PL.search_inputs(FX.bookings_raw(spark, sf), FX.FIXTURE_CITY_KEYWORDS), SEARCH_AS_OF)
+
+
+def _text_lines_sql() -> str:
+    from stayspark.plans.oracle import WS
+    return f"""
+SELECT doc_id, CAST(k - 1 AS INTEGER) AS line_no, len(cells) AS n_cells, array_to_string(cells, chr(31)) AS cells
+FROM (SELECT doc_id, k, regexp_split_to_array(regexp_replace(lines[k], '^{WS}+|{WS}+$', '', 'g'), '{WS}+') AS cells,
+             regexp_replace(lines[k], '^{WS}+|{WS}+$', '', 'g') AS s
+      FROM (SELECT doc_id, lines, generate_subscripts(lines, 1) AS k
+            FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)))
+WHERE s <> ''"""
+
+
+@register("text_table_lines", _text_lines_sql())
+def q_text_table_lines(spark, sf):
+    from stayspark.sources.text_table import text_table_lines
+    t = text_table_lines(FX.table(spark, sf, "documents").select("doc_id", "text"))
+    return t.select("doc_id", "line_no", F.size("cells").alias("n_cells"),
+                    F.array_join("cells", "\u001f").alias("cells"))

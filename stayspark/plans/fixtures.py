@@ -140,3 +140,22 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1 + l_orderkey % 6").alias("nights"),
         F.col("n_name").alias("ciudad"),
     )
+
+
+# Planner keyword table for these views: property names are NATION_<k>, so
+# the map is generated by a rule, in order; NATION_12 meets "nation_1" first.
+FIXTURE_CITY_KEYWORDS = [(f"nation_{i}", f"City {i}") for i in range(25)]
+CARD_CHECKIN = "2026-07-15"
+CARD_SCRAPED_ON = "2026-07-01"
+# The driver's pages carry no listing markers; list items, then paragraphs.
+PAGE_MARKERS = ["li", "p"]
+
+
+def captured_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cards`` with the search context a capture carries (dates, place)."""
+    c = cards(spark, sf_dir)
+    checkin = F.lit(CARD_CHECKIN).cast("date")
+    return c.select("l_orderkey", "l_linenumber", "title_raw", "price_raw", "text", "href",
+                    checkin.alias("checkin"), F.date_add(checkin, F.col("nights").cast("int")).alias("checkout"),
+                    "ciudad", F.col("ciudad").alias("propiedad_referencia"),
+                    F.lit(CARD_SCRAPED_ON).cast("date").alias("scraped_on"))
