@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stayspark import schema as S
-from stayspark.functions.text import col_or_lit, py_strip
+from stayspark.functions.text import PY_WS, col_or_lit, py_strip
 
-__all__ = ["listing_price", "rating_value", "review_count", "card_title",
+__all__ = ["listing_price", "rating_value", "review_count", "card_title", "card_title_name0",
+           "card_title_candidates", "card_title_pick",
            "card_price_text", "card_rating", "card_reviews", "lodging_type",
            "capacity", "absolute_url", "nonblank"]
 
@@ -51,26 +52,49 @@ def _any_contains(low: Column, words) -> Column:
     return out
 
 
-def card_title(title_raw, text) -> Column:
-    """first title line, or a more descriptive line of the card text."""
-    tr, tx = col_or_lit(title_raw), col_or_lit(text)
-    has_title = nonblank(tr)
-    name0 = F.when(has_title, F.split(py_strip(tr), "\n").getItem(0)).otherwise(S.NO_TITLE)
-    generic0 = _any_contains(F.lower(name0), S.GENERIC_TITLE_WORDS)
-    lines = F.filter(F.transform(F.split(tx, "\n"), py_strip), lambda l: F.length(l) > 5)
-    cands = F.filter(lines, lambda l: ~_any_contains(F.lower(l), S.CARD_NOISE_WORDS))
-    init = F.struct(name0.alias("best"), F.lit(False).alias("done"))
+def card_title_name0(title_raw) -> Column:
+    """First line of the selector title, or the placeholder when missing."""
+    tr = col_or_lit(title_raw)
+    return F.when(nonblank(tr), F.split(py_strip(tr), "\n").getItem(0)).otherwise(S.NO_TITLE)
+
+
+def card_title_candidates(text) -> Column:
+    """Card text lines (stripped, longer than 5, without noise words) as
+    ``array<struct<s, low>>`` (the line and its lower-case form).
+
+    One multi-line regex pass yields the stripped non-blank lines (only
+    ``\\n`` ends a line, as ``str.split('\\n')``), instead of a strip per line.
+    """
+    nws = "[^" + PY_WS[1:]
+    lines = F.regexp_extract_all(col_or_lit(text), F.lit(f"(?md)^{PY_WS}*({nws}(?:[^\\n]*{nws})?)"), 1)
+    pairs = F.transform(F.filter(lines, lambda l: F.length(l) > 5),
+                        lambda l: F.struct(l.alias("s"), F.lower(l).alias("low")))
+    return F.filter(pairs, lambda p: ~_any_contains(p["low"], S.CARD_NOISE_WORDS))
+
+
+def card_title_pick(title_raw, text, name0, cands) -> Column:
+    """F26 from precomputed ``name0`` / ``cands``: the first non-generic
+    line longer than 8 wins; before it, longer generic lines (> 15 chars)
+    replace the running best."""
+    tr, tx, n0, cs = col_or_lit(title_raw), col_or_lit(text), col_or_lit(name0), col_or_lit(cands)
+    generic0 = _any_contains(F.lower(n0), S.GENERIC_TITLE_WORDS)
+    init = F.struct(n0.alias("best"), F.lit(False).alias("done"))
 
     def step(acc, c):
-        good = ~_any_contains(F.lower(c), S.GENERIC_TITLE_WORDS) & (F.length(c) > 8)
-        longer = (c != name0) & (F.length(c) > F.length(acc["best"])) & (F.length(c) > 15)
+        good = ~_any_contains(c["low"], S.GENERIC_TITLE_WORDS) & (F.length(c["s"]) > 8)
+        longer = (c["s"] != n0) & (F.length(c["s"]) > F.length(acc["best"])) & (F.length(c["s"]) > 15)
         return (F.when(acc["done"], acc)
-                .when(good, F.struct(c.alias("best"), F.lit(True).alias("done")))
-                .when(longer, F.struct(c.alias("best"), F.lit(False).alias("done")))
+                .when(good, F.struct(c["s"].alias("best"), F.lit(True).alias("done")))
+                .when(longer, F.struct(c["s"].alias("best"), F.lit(False).alias("done")))
                 .otherwise(acc))
 
-    picked = F.aggregate(cands, init, step)["best"]
-    return F.when((~has_title | generic0) & nonblank(tx), picked).otherwise(name0)
+    picked = F.aggregate(cs, init, step)["best"]
+    return F.when((~nonblank(tr) | generic0) & nonblank(tx), picked).otherwise(n0)
+
+
+def card_title(title_raw, text) -> Column:
+    """first title line, or a more descriptive line of the card text."""
+    return card_title_pick(title_raw, text, card_title_name0(title_raw), card_title_candidates(text))
 
 
 def card_price_text(price_raw, text) -> Column:

@@ -98,7 +98,8 @@ def parse_elected(c: str, elected: int, formats: Sequence[str] = S.DATE_FORMATS)
 # -- P10 ---------------------------------------------------------------------
 
 def clean_and_enrich(df: DataFrame, date_formats: Mapping[str, str] | None = None,
-                     outlier_factor: float = 3.0, approx_quantiles: bool = False) -> DataFrame:
+                     outlier_factor: float = 3.0, approx_quantiles: bool = False,
+                     outlier_flag: bool = True) -> DataFrame:
     """P10: rename -> amount -> dates -> nights -> status -> channel -> ppn ->
     calendar -> flags. The output columns depend on the input columns.
 
@@ -144,14 +145,24 @@ def clean_and_enrich(df: DataFrame, date_formats: Mapping[str, str] | None = Non
     # _is_outlier is never NULL, so it is left out of the null check; this
     # also keeps the quantile subquery out of _has_nulls (pruned when unused)
     df = df.withColumn("_has_nulls", SF.any_null(df.columns))
-    if "amount" in cols:
-        # scalar subquery (not a join): skipped entirely when _is_outlier is not used
+    if not outlier_flag:
+        return df
+    return add_outlier_flag(df, outlier_factor, approx_quantiles)
+
+
+def add_outlier_flag(df: DataFrame, outlier_factor: float = 3.0, approx_quantiles: bool = False) -> DataFrame:
+    """``_is_outlier`` on ``amount`` (k x IQR over all rows), placed
+    before ``_has_nulls``. A scalar subquery: queries that do not read the
+    column never compute the quantiles."""
+    if "amount" in df.columns:
         b = as_scalar(iqr_bounds(df, "amount", outlier_factor, approx_quantiles))
         x = F.col("amount")
-        df = df.withColumn("_is_outlier", F.coalesce((x < b["lo"]) | (x > b["hi"]), F.lit(False)))
+        flag = F.coalesce((x < b["lo"]) | (x > b["hi"]), F.lit(False))
     else:
-        df = df.withColumn("_is_outlier", F.lit(False))
-    return df.select(*[c for c in df.columns if c != "_has_nulls"], "_has_nulls")
+        flag = F.lit(False)
+    df = df.withColumn("_is_outlier", flag)
+    return df.select(*[c for c in df.columns if c not in ("_is_outlier", "_has_nulls")], "_is_outlier",
+                     *[c for c in ("_has_nulls",) if c in df.columns])
 
 
 def iqr_bounds(df: DataFrame, col: str, factor: float = 1.5, approx: bool = False) -> DataFrame:

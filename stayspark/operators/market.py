@@ -24,12 +24,16 @@ def extract_cards(cards: DataFrame, site_root: str = S.LISTING_SITE_ROOT,
     Input columns: title_raw, price_raw, text, href, checkin, checkout,
     ciudad, propiedad_referencia, scraped_on (dates may be ISO strings).
     """
-    nights = SF.stay_nights("checkin", "checkout")
-    price_text = SF.card_price_text("price_raw", "text")
-    out = cards.select(
+    # intermediate values get their own projection so each is computed once
+    staged = cards.select(
+        "*", SF.stay_nights("checkin", "checkout").alias("_nights"),
+        SF.card_price_text("price_raw", "text").alias("_ptxt"),
+        SF.card_title_name0("title_raw").alias("_name0"),
+        SF.card_title_candidates("text").alias("_cands"))
+    out = staged.select(
         *keep,
-        SF.card_title("title_raw", "text").alias("nombre"),
-        SF.listing_price(price_text, nights).alias("precio_noche"),
+        SF.card_title_pick("title_raw", "text", "_name0", "_cands").alias("nombre"),
+        SF.listing_price("_ptxt", "_nights").alias("precio_noche"),
         SF.card_rating("text").alias("rating"),
         SF.card_reviews("text").alias("num_reviews"),
         SF.lodging_type("text").alias("tipo"),

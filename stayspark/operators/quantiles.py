@@ -5,9 +5,9 @@ so a global percentile over row-level data funnels the whole column into a
 single task. Here the work stays partitioned:
 
 1. pre-aggregate ``value -> count`` (map-side combine, collapses hot values);
-2. split the value domain into buckets with approximate quantile bounds (a
-   bounded sketch); the bounds only balance the work, they never change the
-   answer;
+2. split the value domain into buckets with approximate quantile bounds of
+   the distinct values (a bounded sketch); the bounds only balance the work,
+   they never change the answer;
 3. running count inside each bucket (window partitioned by bucket) plus the
    bucket offsets (one row per bucket);
 4. keep the at most two rows around each wanted rank and interpolate.
@@ -36,8 +36,10 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: Mapping[str, float]
     v = df.select(c.cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     counts = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     if buckets > 1:
-        bounds = v.agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 1000)
-                       .alias("b"))
+        # bounds over the distinct values (what the window below sorts), so
+        # the source is not scanned a second time
+        bounds = counts.agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 1000)
+                            .alias("b"))
         counts = (attach(counts, "_b", bounds)
                   .withColumn("bucket", F.coalesce(F.size(F.filter("_b.b", lambda b: b < F.col("v"))),
                                                    F.lit(0)))

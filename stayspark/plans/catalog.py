@@ -136,7 +136,7 @@ SELECT (SELECT count(*) FROM bookings_raw) AS total_rows,
 FROM bookings_clean"""))
 def q_quality_report(spark, sf):
     raw = FX.bookings_raw(spark, sf)
-    r = CL.quality_report(raw, CL.clean_and_enrich(raw))
+    r = CL.quality_report(raw, FX.bookings_clean(spark, sf))
     return r.withColumns({"date_range_min": F.to_date("date_range_min"),
                           "date_range_max": F.to_date("date_range_max")})
 

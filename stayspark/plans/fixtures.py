@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayspark.operators.clean import clean_and_enrich, filter_confirmed_paid
+from stayspark.operators.clean import add_outlier_flag, clean_and_enrich, filter_confirmed_paid
 from stayspark.session import configure
 
 
@@ -71,9 +71,11 @@ def release() -> None:
 
 
 def bookings_clean(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    """Cleaned and enriched bookings (all statuses), curated once per session."""
-    return curated(spark, "bookings_clean", sf_dir,
-                   lambda sp, d, **k: clean_and_enrich(bookings_raw(sp, d), **k), **kw)
+    """Cleaned and enriched bookings (all statuses), curated once per session;
+    the outlier flag is added on top, so only its readers pay for it."""
+    base = curated(spark, "bookings_clean", sf_dir,
+                   lambda sp, d, **k: clean_and_enrich(bookings_raw(sp, d), outlier_flag=False, **k), **kw)
+    return add_outlier_flag(base)
 
 
 def bookings(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
