@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +11,6 @@ from stayspark import schema as S
 from stayspark.functions.text import PY_WS, col_or_lit, py_strip
 
 __all__ = ["listing_price", "rating_value", "review_count", "card_title", "card_title_name0",
-           "card_title_candidates", "card_title_pick",
            "card_price_text", "card_rating", "card_reviews", "lodging_type",
            "capacity", "absolute_url", "nonblank"]
 
@@ -58,43 +59,44 @@ def card_title_name0(title_raw) -> Column:
     return F.when(nonblank(tr), F.split(py_strip(tr), "\n").getItem(0)).otherwise(S.NO_TITLE)
 
 
-def card_title_candidates(text) -> Column:
-    """Card text lines (stripped, longer than 5, without noise words) as
-    ``array<struct<s, low>>`` (the line and its lower-case form).
-
-    One multi-line regex pass yields the stripped non-blank lines (only
-    ``\\n`` ends a line, as ``str.split('\\n')``), instead of a strip per line.
-    """
+def _line_regex(min_len: int, exclude: list[str]) -> str:
+    """Multi-line regex whose group 1 is a stripped line of at least
+    ``min_len`` characters containing none of ``exclude`` (any case). Only
+    ``\\n`` ends a line, as ``str.split('\\n')``."""
     nws = "[^" + PY_WS[1:]
-    lines = F.regexp_extract_all(col_or_lit(text), F.lit(f"(?md)^{PY_WS}*({nws}(?:[^\\n]*{nws})?)"), 1)
-    pairs = F.transform(F.filter(lines, lambda l: F.length(l) > 5),
-                        lambda l: F.struct(l.alias("s"), F.lower(l).alias("low")))
-    return F.filter(pairs, lambda p: ~_any_contains(p["low"], S.CARD_NOISE_WORDS))
-
-
-def card_title_pick(title_raw, text, name0, cands) -> Column:
-    """F26 from precomputed ``name0`` / ``cands``: the first non-generic
-    line longer than 8 wins; before it, longer generic lines (> 15 chars)
-    replace the running best."""
-    tr, tx, n0, cs = col_or_lit(title_raw), col_or_lit(text), col_or_lit(name0), col_or_lit(cands)
-    generic0 = _any_contains(F.lower(n0), S.GENERIC_TITLE_WORDS)
-    init = F.struct(n0.alias("best"), F.lit(False).alias("done"))
+    words = "|".join(re.escape(w) for w in exclude)
+    guard = f"(?![^\\n]*?(?:{words}))" if exclude else ""
+    body = f"{nws}[^\\n]{{{max(min_len - 2, 0)},}}{nws}" if min_len >= 2 else f"{nws}(?:[^\\n]*{nws})?"
+    return f"(?imdu)^{PY_WS}*{guard}({body})"
 
-    def step(acc, c):
-        good = ~_any_contains(c["low"], S.GENERIC_TITLE_WORDS) & (F.length(c["s"]) > 8)
-        longer = (c["s"] != n0) & (F.length(c["s"]) > F.length(acc["best"])) & (F.length(c["s"]) > 15)
-        return (F.when(acc["done"], acc)
-                .when(good, F.struct(c["s"].alias("best"), F.lit(True).alias("done")))
-                .when(longer, F.struct(c["s"].alias("best"), F.lit(False).alias("done")))
-                .otherwise(acc))
 
-    picked = F.aggregate(cs, init, step)["best"]
-    return F.when((~nonblank(tr) | generic0) & nonblank(tx), picked).otherwise(n0)
+def card_title_name0(title_raw) -> Column:
+    """First line of the selector title, or the placeholder when missing."""
+    tr = col_or_lit(title_raw)
+    return F.when(nonblank(tr), F.split(py_strip(tr), "\n").getItem(0)).otherwise(S.NO_TITLE)
 
 
 def card_title(title_raw, text) -> Column:
-    """first title line, or a more descriptive line of the card text."""
-    return card_title_pick(title_raw, text, card_title_name0(title_raw), card_title_candidates(text))
+    """keep the first title line unless it is missing or generic; then
+    take the first card-text line (stripped, > 5 chars, no noise word) that is
+    not generic and longer than 8; failing that, the first of the longest
+    such lines longer than 15 that differ from the title, if longer than it.
+
+    (The original walks the lines keeping a running "longest so far", which
+    ends on the first line of maximum length; the regexes find the same
+    lines in one pass each, without per-line lambdas.)
+    """
+    tr, tx = col_or_lit(title_raw), col_or_lit(text)
+    name0 = card_title_name0(tr)
+    generic0 = _any_contains(F.lower(name0), S.GENERIC_TITLE_WORDS)
+    good = F.nullif(F.regexp_extract(tx, _line_regex(9, S.CARD_NOISE_WORDS + S.GENERIC_TITLE_WORDS), 1),
+                    F.lit(""))
+    longs = F.filter(F.regexp_extract_all(tx, F.lit(_line_regex(16, S.CARD_NOISE_WORDS)), 1),
+                     lambda c: c != name0)
+    top = F.array_max(F.transform(longs, F.length))
+    longest = F.when(top > F.length(name0), F.filter(longs, lambda c: F.length(c) == top)[0])
+    picked = F.coalesce(good, longest, name0)
+    return F.when((~nonblank(tr) | generic0) & nonblank(tx), picked).otherwise(name0)
 
 
 def card_price_text(price_raw, text) -> Column:

@@ -270,3 +270,22 @@ def unconfirmed_statuses(clean: DataFrame) -> DataFrame:
                                          F.count_if(F.col("status_group") == "Confirmada").alias("c")))
     return (gate.where((F.col("_g.n") > 0) & (F.col("_g.c") == 0))
             .select(F.col("status").cast("string").alias("status")).distinct())
+
+
+def amount_sample(clean: DataFrame, n: int = 5) -> DataFrame:
+    """A few processed amounts (amount, nights, price_per_night) to eyeball."""
+    cols = [c for c in ("amount", "nights", "price_per_night") if c in clean.columns]
+    return clean.select(*cols).limit(n)
+
+
+def raw_mode_columns(df_or_cols) -> dict[str, str | None]:
+    """Columns used when the file is analysed without cleaning: property
+    (mandatory), amount, nightly price (falls back to amount), nights."""
+    cols = df_or_cols.columns if isinstance(df_or_cols, DataFrame) else list(df_or_cols)
+    prop = next((c for c in ["property", "R_PROPERTY_NAME"] if c in cols), None)
+    if not prop:
+        raise ValueError(f"No property column. Available: {cols}")
+    amount = "amount" if "amount" in cols else "R_TOTAL_AMOUNT"
+    return {"property": prop, "amount": amount,
+            "price": "price_per_night" if "price_per_night" in cols else amount,
+            "nights": "nights" if "nights" in cols else None}

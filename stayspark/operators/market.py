@@ -27,12 +27,10 @@ def extract_cards(cards: DataFrame, site_root: str = S.LISTING_SITE_ROOT,
     # intermediate values get their own projection so each is computed once
     staged = cards.select(
         "*", SF.stay_nights("checkin", "checkout").alias("_nights"),
-        SF.card_price_text("price_raw", "text").alias("_ptxt"),
-        SF.card_title_name0("title_raw").alias("_name0"),
-        SF.card_title_candidates("text").alias("_cands"))
+        SF.card_price_text("price_raw", "text").alias("_ptxt"))
     out = staged.select(
         *keep,
-        SF.card_title_pick("title_raw", "text", "_name0", "_cands").alias("nombre"),
+        SF.card_title("title_raw", "text").alias("nombre"),
         SF.listing_price("_ptxt", "_nights").alias("precio_noche"),
         SF.card_rating("text").alias("rating"),
         SF.card_reviews("text").alias("num_reviews"),

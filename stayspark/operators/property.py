@@ -27,6 +27,18 @@ def select_months(df: DataFrame, months: Sequence[str] | None = None) -> DataFra
     return df.where(F.col("month_short").isin(list(months))) if months else df
 
 
+def property_list(df: DataFrame) -> DataFrame:
+    """Sorted distinct properties."""
+    return df.select(P).where(F.col(P).isNotNull()).distinct().orderBy(P)
+
+
+def months_available(df: DataFrame) -> DataFrame:
+    """(property, month, month_short) present, in month order (the
+    month choices of each property)."""
+    return (df.where(F.col(P).isNotNull() & F.col("month").isNotNull())
+            .select(P, "month", "month_short").dropDuplicates([P, "month"]).orderBy(P, "month"))
+
+
 def property_kpis(df: DataFrame, months: Sequence[str] | None = None) -> DataFrame:
     """A15 + A16: revenue, mean booking value, mean nightly price, bookings,
     nights and occupancy over the arrival span (capped at 100)."""
@@ -250,6 +262,6 @@ def advisor_facts(df: DataFrame, market: DataFrame, months: Sequence[str] | None
                     diff.alias("diff_m"))
 
 
-__all__ = ["property_kpis", "property_monthly", "golden_month", "occupancy_by_month",
+__all__ = ["property_list", "months_available", "property_kpis", "property_monthly", "golden_month", "occupancy_by_month",
            "occupancy_by_quarter", "peer_comparison", "price_gap", "recommendations", "projection",
            "projection_monthly", "property_diagnosis", "advisor_facts", "join_on_keys"]

@@ -57,10 +57,10 @@ def price_sample(df: DataFrame, price: str = "price_per_night", qty: str = "nigh
 
 
 def price_bins(df: DataFrame, n_bins: int = 10, price: str = "price_per_night",
-               qty: str = "nights") -> DataFrame:
+               qty: str = "nights", cap_quantile: float = 0.95) -> DataFrame:
     """Equal-width, right-closed bins over [min, max]; the first edge
     is lowered by 0.1 % of the range (so the minimum falls in bin 1)."""
-    d = price_sample(df, price, qty)
+    d = price_sample(df, price, qty, cap_quantile)
     d = attach(d, "_r", d.agg(F.min("p").alias("lo"), F.max("p").alias("hi")))
     lo, hi = F.col("_r.lo"), F.col("_r.hi")
     step = (hi - lo) / F.lit(float(n_bins))
@@ -112,10 +112,11 @@ def _binom2(i: Column) -> Column:
 
 
 def elasticity_fit(df: DataFrame, n_bins: int = 10, price: str = "price_per_night",
-                   qty: str = "nights") -> DataFrame:
+                   qty: str = "nights", bins: DataFrame | None = None) -> DataFrame:
     """A25 + A26 summary: log-log OLS over the bins, sweet spot, label.
-    Fewer than 3 bins or identical x -> slope 0, r2 0, p 1."""
-    b = price_bins(df, n_bins, price, qty).select(
+    Fewer than 3 bins or identical x -> slope 0, r2 0, p 1. ``bins`` reuses
+    an already computed :func:`price_bins` result."""
+    b = (bins if bins is not None else price_bins(df, n_bins, price, qty)).select(
         "bin", "avg_price", "revenue_proxy",
         F.log(F.col("avg_price") + 1).alias("x"), F.log(F.col("demand") + 1).alias("y"))
     g = b.agg(
@@ -142,9 +143,10 @@ def elasticity_fit(df: DataFrame, n_bins: int = 10, price: str = "price_per_nigh
 
 
 def elasticity_trend_line(df: DataFrame, n_bins: int = 10, points: int = 50,
-                          price: str = "price_per_night", qty: str = "nights") -> DataFrame:
+                          price: str = "price_per_night", qty: str = "nights",
+                          fit: DataFrame | None = None) -> DataFrame:
     """``points`` evenly spaced log prices, back in original units."""
-    f = elasticity_fit(df, n_bins, price, qty).where("fitted")
+    f = (fit if fit is not None else elasticity_fit(df, n_bins, price, qty)).where("fitted")
     i = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
     f = f.select("*", i)
     xr = F.when(F.col("i") == points - 1, F.col("x_max")).otherwise(
@@ -154,6 +156,15 @@ def elasticity_trend_line(df: DataFrame, n_bins: int = 10, points: int = 50,
                     r2(F.exp(F.col("intercept") + F.col("slope") * F.col("xr")) - 1).alias("demand_pred"))
 
 
+def price_elasticity(df: DataFrame, n_bins: int = 10, points: int = 50, price: str = "price_per_night",
+                     qty: str = "nights") -> dict[str, DataFrame]:
+    """A24-A26 in one pass: the bins (at most ``n_bins`` rows) are computed
+    once and kept; the fit and the trend line are derived from them."""
+    bins = price_bins(df, n_bins, price, qty).persist()
+    fit = elasticity_fit(df, n_bins, price, qty, bins=bins)
+    return {"binned": bins, "fit": fit, "trend_line": elasticity_trend_line(df, n_bins, points, fit=fit)}
+
+
 # -- A27 ---------------------------------------------------------------------
 
 def dynamic_pricing(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -356,10 +356,22 @@ ELAST_SQL = [
 BIN_OUT = ["bin_lo", "bin_hi", "avg_nights", "avg_price", "demand", "revenue_proxy"]
 
 
+_ELASTICITY: dict[tuple, dict] = {}
+
+
+def _elasticity(spark, sf) -> dict:
+    """One elasticity computation per session and input, shared by the
+    three elasticity queries (as one call returns bins, fit and line)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _ELASTICITY:
+        _ELASTICITY[key] = ST.price_elasticity(FX.bookings(spark, sf))
+    return _ELASTICITY[key]
+
+
 @register("elasticity_bins", with_bookings(
     "SELECT bin, bookings, " + ", ".join(f"{rnd(c, 4)} AS {c}" for c in BIN_OUT) + " FROM bins", *ELAST_SQL))
 def q_elasticity_bins(spark, sf):
-    b = ST.price_bins(FX.bookings(spark, sf))
+    b = _elasticity(spark, sf)["binned"]
     return b.select("bin", "bookings", *[r2(F.col(c), 4).alias(c) for c in BIN_OUT])
 
 
@@ -396,7 +408,7 @@ FROM (SELECT CASE WHEN ok THEN slope ELSE 0.0 END AS s, CASE WHEN ok THEN r * r
              CASE WHEN ok THEN {_pvalue_sql('t', '(n - 2)')} ELSE 1.0 END AS p, sweet, n FROM fit)""",
     *ELAST_SQL, *FIT_SQL))
 def q_elasticity_fit(spark, sf):
-    return ST.elasticity_fit(FX.bookings(spark, sf)).select(
+    return _elasticity(spark, sf)["fit"].select(
         "elasticity", "r_squared", "p_value", "sweet_spot", "n_bins", "interpretation")
 
 
@@ -406,7 +418,7 @@ FROM (SELECT CAST(i AS INTEGER) AS i, slope, intercept,
              CASE WHEN i = 49 THEN x_max ELSE x_min + CAST(i AS DOUBLE) * ((x_max - x_min) / CAST(49 AS DOUBLE)) END AS xr
       FROM fit CROSS JOIN range(0, 50) AS g(i) WHERE ok)""", *ELAST_SQL, *FIT_SQL))
 def q_elasticity_trend(spark, sf):
-    return ST.elasticity_trend_line(FX.bookings(spark, sf))
+    return _elasticity(spark, sf)["trend_line"]
 
 
 # ---------------------------------------------------------------------------

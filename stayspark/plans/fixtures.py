@@ -11,11 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayspark.operators.clean import add_outlier_flag, clean_and_enrich, filter_confirmed_paid
-from stayspark.session import configure
+from stayspark.session import configure, ensure_parallelism
+
+
+# Large tables are spread over the task slots when their scan is narrow.
+SPREAD_KEYS = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"],
+               "documents": ["doc_id"], "pages": ["page_id"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in SPREAD_KEYS:
+        df = ensure_parallelism(df, SPREAD_KEYS[name])
+    return df
 
 
 _US_MONEY = "format_number(CAST(o_totalprice AS DECIMAL(18,2)), 2)"
