@@ -35,7 +35,14 @@ def clean_money(c) -> Column:
 
 
 def parse_timestamp(c, fmt: str) -> Column:
-    return F.try_to_timestamp(col_or_lit(c).cast("string"), F.lit(fmt))
+    """``try_to_timestamp`` that is only attempted when the text contains the
+    pattern's separators (a necessary condition, so the result is the same;
+    it skips the cost of failed parses on the other layouts)."""
+    s = col_or_lit(c).cast("string")
+    guard = F.lit(True)
+    for sep in sorted({ch for ch in fmt if ch in "/-:"}):
+        guard = guard & (F.instr(s, sep) > 0)
+    return F.when(guard, F.try_to_timestamp(s, F.lit(fmt)))
 
 
 def parse_timestamp_any(c, formats=S.DATE_FALLBACK_FORMATS) -> Column:

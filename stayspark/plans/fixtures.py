@@ -6,12 +6,11 @@ every query can be checked against an independent engine.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayspark.operators.clean import add_outlier_flag, clean_and_enrich, filter_confirmed_paid
-from stayspark.session import configure, ensure_parallelism
+from stayspark.session import MATERIALIZE_CONF, configure, ensure_parallelism, materialize
 
 
 # Large tables are spread over the task slots when their scan is narrow.
@@ -61,13 +60,15 @@ _CURATED: dict[tuple, DataFrame] = {}
 
 
 def curated(spark: SparkSession, name: str, sf_dir: str, build, **kw) -> DataFrame:
-    """Build an input view once per session and keep it (memory, spilling to
-    disk). Lost blocks are recomputed from the lineage, so losing an executor
-    costs time, not results. ``release()`` unpersists everything."""
-    key = (spark.sparkContext.applicationId, name, sf_dir, tuple(sorted(kw.items())))
+    """Build an input view once per session and keep it (see
+    :func:`stayspark.session.materialize`: persisted by default, or written
+    to the shared checkpoint folder to cut the lineage on a cluster).
+    ``release()`` unpersists everything."""
+    key = (spark.sparkContext.applicationId, name, sf_dir, tuple(sorted(kw.items())),
+           spark.conf.get(MATERIALIZE_CONF, "persist"))
     df = _CURATED.get(key)
     if df is None:
-        df = build(spark, sf_dir, **kw).persist(StorageLevel.MEMORY_AND_DISK)
+        df = materialize(build(spark, sf_dir, **kw), name)
         _CURATED[key] = df
     return df
 

@@ -69,3 +69,30 @@ def ensure_parallelism(df, keys, min_partitions: int | None = None):
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, *keys)
+
+
+MATERIALIZE_CONF = "stayspark.materialize"
+
+
+def materialize(df, name: str):
+    """Keep an intermediate result for reuse, per ``stayspark.materialize``:
+
+    * ``persist`` (default): memory and disk; lost blocks are recomputed
+      from lineage;
+    * ``checkpoint``: reliable checkpoint in ``spark.checkpoint.dir``
+      (cuts the lineage);
+    * ``table``: written as Parquet under ``spark.checkpoint.dir`` and read
+      back (cuts the lineage; survives the loss of any executor).
+    """
+    from pyspark import StorageLevel
+    spark = df.sparkSession
+    mode = spark.conf.get(MATERIALIZE_CONF, "persist")
+    if mode == "checkpoint":
+        ensure_checkpoint_dir(spark)
+        return df.checkpoint(eager=True)
+    if mode == "table":
+        import uuid
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stayspark/{name}-{uuid.uuid4().hex}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -141,3 +141,23 @@ def test_market_csv_store_and_snapshot(spark, tmpdir_path):
     assert cur == {"u1": 101, "u2": 0}
     snap = MS.snapshot(MS.current_listings(spark, root), os.path.join(tmpdir_path, "snaps"), dt.date(2026, 7, 2))
     assert snap.endswith("snapshot_date=20260702") and spark.read.parquet(snap).count() == 2
+
+
+@pytest.mark.parametrize("mode", ["table", "checkpoint"])
+def test_materialize_modes(spark, mode):
+    from stayspark.session import MATERIALIZE_CONF, materialize
+    spark.conf.set(MATERIALIZE_CONF, mode)
+    try:
+        df = materialize(spark.range(10).selectExpr("id * 2 AS x"), "t")
+        assert sorted(r.x for r in df.collect()) == list(range(0, 20, 2))
+        assert "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset(MATERIALIZE_CONF)
+
+
+def test_planner_csv_strict(spark, tmpdir_path):
+    p = write(os.path.join(tmpdir_path, "rows.csv"), CSV)
+    from stayspark.operators.planner import search_inputs
+    si = search_inputs(FS.read_planner_bookings(spark, p)).collect()
+    assert sorted((r.propiedad, r.ciudad, str(r.checkin), r.noches) for r in si) == [
+        ("Casa Peñiscola", "Peñíscola", "2024-10-03", 3), ("Casa Peñiscola", "Peñíscola", "2024-10-04", 1)]
