@@ -53,15 +53,19 @@ def rename_canonical(df: DataFrame, mapping: Mapping[str, str | None] | None = N
     mapping = map_columns(df) if mapping is None else mapping
     target = {phys: logical for logical, phys in mapping.items() if phys}
     taken = set(target.values())
-    out = []
-    for c in df.columns:
+    # renamed by position (toDF), so names that differ only in case (Name /
+    # NAME) never make a reference ambiguous
+    names, dropped = [], []
+    for i, c in enumerate(df.columns):
         if c in target:
-            out.append(F.col(f"`{c}`").alias(target[c]))
+            names.append(target[c])
         elif c in taken:
-            continue
+            names.append(f"__shadowed_{i}")
+            dropped.append(f"__shadowed_{i}")
         else:
-            out.append(F.col(f"`{c}`"))
-    return df.select(*out)
+            names.append(c)
+    out = df.toDF(*names)
+    return out.drop(*dropped) if dropped else out
 
 
 # -- F2: column-level date format election -----------------------------------

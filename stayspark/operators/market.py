@@ -3,6 +3,7 @@ W7, W8, W10, F36, F37, P7)."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -46,20 +47,25 @@ def extract_cards(cards: DataFrame, site_root: str = S.LISTING_SITE_ROOT,
     return out.where(F.col("precio_noche").isNotNull() & (F.col("precio_noche") != 0))
 
 
-def _block_pattern(marker: str) -> str:
-    """Regex for the element that carries the marker: a bare tag name
-    (``li``) or an attribute text (``data-testid="card-container"``)."""
+def _marker_blocks(html: Column, marker: str) -> Column:
+    """Card blocks for one marker. A bare tag name (``li``) takes each
+    element's inner HTML; an attribute text (``data-testid="card-container"``)
+    takes the HTML from one occurrence to the next (cards nest other
+    elements, so a closing tag cannot delimit them)."""
     if marker.isalnum():
-        return rf"(?is)<{marker}\b[^>]*>(.*?)</{marker}>"
-    tag_attr = marker.replace('"', '\\"')
-    return rf"(?is)<(?:div|li|article|section)\b[^>]*{tag_attr}[^>]*>(.*?)</(?:div|li|article|section)>"
+        return F.regexp_extract_all(html, F.lit(rf"(?is)<{marker}\b[^>]*>(.*?)</{marker}>"), 1)
+    parts = F.split(html, re.escape(marker))
+    # drop the rest of the marker's own tag and a trailing partial tag
+    tidy = lambda b: F.regexp_replace(F.regexp_replace(b, r"^[^<>]*>", ""), r"<[^>]*$", "")
+    return F.when(F.size(parts) > 1, F.transform(F.slice(parts, 2, F.size(parts) - 1), tidy)).otherwise(
+        F.array().cast("array<string>"))
 
 
 def page_cards(pages: DataFrame, markers: Sequence[str] = S.CARD_MARKERS, html: str = "html",
                page_id: str = "page_id") -> DataFrame:
     """Cards of each page, from the first marker that matches anything
     on that page; tags stripped, blanks collapsed."""
-    blocks = [F.regexp_extract_all(F.col(html), F.lit(_block_pattern(m)), 1) for m in markers]
+    blocks = [_marker_blocks(F.col(html), m) for m in markers]
     chosen = None
     for b in blocks:
         chosen = (F.when if chosen is None else chosen.when)(F.size(b) > 0, b)

@@ -1,7 +1,7 @@
 """Per-property dashboard facts for all properties at once (A15-A19, A28,
 A33-A36, W3, W4, O3, U1).
 
-The reference computes these for one selected property; here each output
+A dashboard shows these for one selected property; here each output
 has one row (or a few rows) per property and a selection is just a filter.
 Group sizes are bounded where windows are used (<= 12 months, <= 11 peers).
 """

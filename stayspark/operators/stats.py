@@ -64,10 +64,18 @@ def price_bins(df: DataFrame, n_bins: int = 10, price: str = "price_per_night",
     d = attach(d, "_r", d.agg(F.min("p").alias("lo"), F.max("p").alias("hi")))
     lo, hi = F.col("_r.lo"), F.col("_r.hi")
     step = (hi - lo) / F.lit(float(n_bins))
-    # bin = 1 + number of inner edges (lo + i*step, i = 1..n-1) below the value
-    inner = F.aggregate(F.sequence(F.lit(1), F.lit(n_bins - 1)), F.lit(0),
-                        lambda acc, i: acc + (F.col("p") > i.cast("double") * F.col("_step") + lo).cast("int"))
-    d = d.withColumn("_step", step).withColumn("bin", F.when(hi == lo, F.lit(1)).otherwise(inner + 1))
+    # bin = 1 + number of inner edges (lo + i*step, i = 1..n-1) below the
+    # value: estimated by division, then corrected by one step against the
+    # very same edge expressions (so it equals the edge-by-edge count)
+    p = F.col("p")
+    edge = lambda k: k.cast("double") * F.col("_step") + lo
+    k = F.least(F.greatest(F.ceil((p - lo) / F.col("_step")) - 1, F.lit(0)), F.lit(n_bins - 1))
+    d = d.withColumn("_step", step).withColumn("_k", F.when(hi == lo, F.lit(0)).otherwise(k))
+    d = d.withColumn("_k", F.when((F.col("_k") < n_bins - 1) & (p > edge(F.col("_k") + 1)), F.col("_k") + 1)
+                     .otherwise(F.col("_k")))
+    d = d.withColumn("_k", F.when((F.col("_k") > 0) & (p <= edge(F.col("_k"))), F.col("_k") - 1)
+                     .otherwise(F.col("_k")))
+    d = d.withColumn("bin", (F.col("_k") + 1).cast("int"))
     g = d.groupBy("bin").agg(
         F.count("q").alias("bookings"), F.avg("q").alias("avg_nights"), F.avg("p").alias("avg_price"),
         F.first("_r").alias("_r"))

@@ -1 +1 @@
-"""Structured Streaming wiring (the reference itself is batch only)."""
+"""Structured Streaming wiring for captured listings (the analytics themselves are batch)."""

@@ -112,3 +112,39 @@ def test_city_join_table_form(spark):
     kw = PL.city_keywords_table(spark, [("nation_1", "A"), ("nation_12", "B"), ("oropesa", "O")])
     got = {r.propiedad: r.ciudad for r in PL.detect_city_join(props, kw).collect()}
     assert got == {"NATION_12": "A", "Casa Oropesa": "O"}
+
+
+def test_rename_with_case_duplicates(spark):
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        df = spark.createDataFrame([("1", "ana", "ANA", "10,5", "x")], "R_ID string, Name string, NAME string, "
+                                                                        "total string, id string")
+        out = CL.rename_canonical(df)
+        assert out.columns == ["id", "Name", "owner", "amount"]
+        assert tuple(out.first()) == ("1", "ana", "ANA", "10,5")
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", "false")
+
+
+def test_page_cards_markers(spark):
+    html = ('<div data-testid="card-container"><div><span>Casa A</span></div><div>120 €</div></div>'
+            '<div data-testid="card-container"><div>Casa B</div></div><p>x</p>')
+    pages = spark.createDataFrame([(1, html), (2, "<ul><li>uno</li><li><b>dos</b></li></ul>"), (3, "nada")],
+                                  "page_id long, html string")
+    got = {(r.page_id, r.card_no): r.text for r in MK.page_cards(pages, ['data-testid="card-container"', "li"])
+           .collect()}
+    assert got == {(1, 0): "Casa A 120 €", (1, 1): "Casa B x", (2, 0): "uno", (2, 1): "dos"}
+    flags = pages.select(MK.robot_page_flag(pages).alias("f")).collect()
+    assert [r.f for r in flags] == [False, False, False]
+
+
+def test_wide_matrix_and_peak_summary(spark):
+    from stayspark.operators import summary as SM
+    df = spark.createDataFrame([("P", "2024-01", 10.0), ("P", "2024-02", 5.0), ("Q", "2024-02", 7.0)],
+                               "property string, year_month string, amount double")
+    wide = {r.property: (r["2024-01"], r["2024-02"]) for r in SM.property_month_matrix(df).collect()}
+    assert wide == {"P": (10.0, 5.0), "Q": (0.0, 7.0)}
+    rows = [(m, 1.0, 1.0, 10.0) for m in range(1, 13) for _ in range(10 if m in (7, 8) else (1 if m == 1 else 5))]
+    b = spark.createDataFrame(rows, "month int, amount double, nights double, price_per_night double")
+    s = ST.demand_peaks_summary(b).first()
+    assert list(s.peaks) == ["Jul", "Ago"] and list(s.valleys) == ["Ene"]
