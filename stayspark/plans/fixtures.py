@@ -163,7 +163,12 @@ PAGE_MARKERS = ["li", "p"]
 
 
 def captured_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``cards`` with the search context a capture carries (dates, place)."""
+    """``cards`` with the search context a capture carries (dates, place),
+    curated once per session like a stored capture table."""
+    return curated(spark, "captured_cards", sf_dir, _captured_cards)
+
+
+def _captured_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cards(spark, sf_dir)
     checkin = F.lit(CARD_CHECKIN).cast("date")
     return c.select("l_orderkey", "l_linenumber", "title_raw", "price_raw", "text", "href",
