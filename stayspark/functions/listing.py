@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from stayspark import schema as S
 from stayspark.functions.text import PY_WS, col_or_lit, py_strip
 
-__all__ = ["listing_price", "rating_value", "review_count", "card_title", "card_title_name0",
+__all__ = ["listing_price", "listing_price_digits", "listing_price_from", "rating_value", "review_count",
+           "card_title", "card_title_name0", "card_title_generic", "card_title_from", "card_rating_match",
            "card_price_text", "card_rating", "card_reviews", "lodging_type",
            "capacity", "absolute_url", "nonblank"]
 
@@ -20,18 +21,27 @@ def nonblank(c) -> Column:
     return c.isNotNull() & (c != "")
 
 
-def listing_price(text, nights) -> Column:
-    """first 2-5 digit run; total prices are divided by the nights."""
-    t = col_or_lit(text)
-    cleaned = F.replace(F.translate(t, ".,", ""), F.lit("\u00a0"), F.lit(" "))
-    first = F.nullif(F.regexp_extract(cleaned, r"(\d{2,5})", 1), F.lit("")).try_cast("int")
-    n = col_or_lit(nights)
+def listing_price_digits(text) -> Column:
+    """F23 step 1: the first run of 2-5 digits after removing ``.``/``,``."""
+    cleaned = F.replace(F.translate(col_or_lit(text), ".,", ""), F.lit("\u00a0"), F.lit(" "))
+    return F.nullif(F.regexp_extract(cleaned, r"(\d{2,5})", 1), F.lit("")).try_cast("int")
+
+
+def listing_price_from(text, digits, nights) -> Column:
+    """F23 step 2: total prices ('total' / 'estancia') are divided by the
+    nights (floor, at least 1); no text or no digits -> NULL."""
+    t, first, n = col_or_lit(text), col_or_lit(digits), col_or_lit(nights)
     low = F.lower(t)
     is_total = low.contains("total") | low.contains("estancia")
     per_night = F.when(is_total & (n > 1) & first.isNotNull(), F.greatest(F.lit(1), F.floor(first / n).cast("int")))
     return F.when(nonblank(t), F.coalesce(per_night, first))
 
 
+def listing_price(text, nights) -> Column:
+    """first 2-5 digit run; total prices are divided by the nights."""
+    return listing_price_from(text, listing_price_digits(text), nights)
+
+
 def rating_value(text) -> Column:
     """'4,85 (203)' -> 4.85."""
     t = col_or_lit(text)
@@ -76,6 +86,23 @@ def card_title_name0(title_raw) -> Column:
     return F.when(nonblank(tr), F.split(py_strip(tr), "\n").getItem(0)).otherwise(S.NO_TITLE)
 
 
+def card_title_generic(name0) -> Column:
+    return _any_contains(F.lower(col_or_lit(name0)), S.GENERIC_TITLE_WORDS)
+
+
+def card_title_from(title_raw, text, name0, generic0) -> Column:
+    """F26 given the first title line and whether it is generic."""
+    tr, tx, n0 = col_or_lit(title_raw), col_or_lit(text), col_or_lit(name0)
+    good = F.nullif(F.regexp_extract(tx, _line_regex(9, S.CARD_NOISE_WORDS + S.GENERIC_TITLE_WORDS), 1),
+                    F.lit(""))
+    longs = F.filter(F.regexp_extract_all(tx, F.lit(_line_regex(16, S.CARD_NOISE_WORDS)), 1),
+                     lambda c: c != n0)
+    top = F.array_max(F.transform(longs, F.length))
+    longest = F.when(top > F.length(n0), F.filter(longs, lambda c: F.length(c) == top)[0])
+    picked = F.coalesce(good, longest, n0)
+    return F.when((~nonblank(tr) | col_or_lit(generic0)) & nonblank(tx), picked).otherwise(n0)
+
+
 def card_title(title_raw, text) -> Column:
     """keep the first title line unless it is missing or generic; then
     take the first card-text line (stripped, > 5 chars, no noise word) that is
@@ -84,19 +111,12 @@ def card_title(title_raw, text) -> Column:
 
     (The original walks the lines keeping a running "longest so far", which
     ends on the first line of maximum length; the regexes find the same
-    lines in one pass each, without per-line lambdas.)
+    lines in one pass each, without per-line lambdas.) In a wide projection
+    prefer computing ``card_title_name0`` / ``card_title_generic`` first and
+    calling :func:`card_title_from`, so they are evaluated once per row.
     """
-    tr, tx = col_or_lit(title_raw), col_or_lit(text)
-    name0 = card_title_name0(tr)
-    generic0 = _any_contains(F.lower(name0), S.GENERIC_TITLE_WORDS)
-    good = F.nullif(F.regexp_extract(tx, _line_regex(9, S.CARD_NOISE_WORDS + S.GENERIC_TITLE_WORDS), 1),
-                    F.lit(""))
-    longs = F.filter(F.regexp_extract_all(tx, F.lit(_line_regex(16, S.CARD_NOISE_WORDS)), 1),
-                     lambda c: c != name0)
-    top = F.array_max(F.transform(longs, F.length))
-    longest = F.when(top > F.length(name0), F.filter(longs, lambda c: F.length(c) == top)[0])
-    picked = F.coalesce(good, longest, name0)
-    return F.when((~nonblank(tr) | generic0) & nonblank(tx), picked).otherwise(name0)
+    name0 = card_title_name0(title_raw)
+    return card_title_from(title_raw, text, name0, card_title_generic(name0))
 
 
 def card_price_text(price_raw, text) -> Column:
@@ -110,19 +130,25 @@ _RATING_FULL = r"(\d)[,.](\d{2})\s*\((\d+)\)"
 _RATING_ONLY = r"(\d)[,.](\d{2})\s*(?:sobre|out)"
 
 
-def card_rating(text) -> Column:
-    """'d,dd (n)' else 'd,dd sobre|out'."""
+def card_rating_match(text) -> Column:
+    """The 'd,dd (n)' match, else the 'd,dd sobre|out' match, else ''."""
     t = col_or_lit(text)
-    full = F.concat(F.regexp_extract(t, _RATING_FULL, 1), F.lit("."),
-                    F.regexp_extract(t, _RATING_FULL, 2)).try_cast("double")
-    only = F.concat(F.regexp_extract(t, _RATING_ONLY, 1), F.lit("."),
-                    F.regexp_extract(t, _RATING_ONLY, 2)).try_cast("double")
-    return F.when(t.rlike(_RATING_FULL), full).when(t.rlike(_RATING_ONLY), only)
+    full = F.regexp_extract(t, _RATING_FULL, 0)
+    return F.when(full != "", full).otherwise(F.regexp_extract(t, _RATING_ONLY, 0))
 
 
-def card_reviews(text) -> Column:
-    t = col_or_lit(text)
-    return F.when(t.rlike(_RATING_FULL), F.regexp_extract(t, _RATING_FULL, 3).try_cast("int"))
+def card_rating(text, match=None) -> Column:
+    """rating from 'd,dd (n)' or 'd,dd sobre|out'; groups are read from
+    the (short) match."""
+    m = col_or_lit(match) if match is not None else card_rating_match(text)
+    return F.when(m != "", F.concat(F.regexp_extract(m, r"(\d)[,.](\d{2})", 1), F.lit("."),
+                                    F.regexp_extract(m, r"(\d)[,.](\d{2})", 2)).try_cast("double"))
+
+
+def card_reviews(text, match=None) -> Column:
+    """review count, only from the 'd,dd (n)' form."""
+    m = col_or_lit(match) if match is not None else card_rating_match(text)
+    return F.when(m.rlike(r"\)$"), F.regexp_extract(m, r"\((\d+)\)", 1).try_cast("int"))
 
 
 def lodging_type(text) -> Column:

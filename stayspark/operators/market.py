@@ -26,15 +26,21 @@ def extract_cards(cards: DataFrame, site_root: str = S.LISTING_SITE_ROOT,
     ciudad, propiedad_referencia, scraped_on (dates may be ISO strings).
     """
     # intermediate values get their own projection so each is computed once
-    staged = cards.select(
+    # per-row intermediates get their own projection: each is computed once
+    # (a non-cheap expression used several times is not inlined again)
+    s1 = cards.select(
         "*", SF.stay_nights("checkin", "checkout").alias("_nights"),
-        SF.card_price_text("price_raw", "text").alias("_ptxt"))
-    out = staged.select(
+        SF.card_price_text("price_raw", "text").alias("_ptxt"),
+        SF.card_title_name0("title_raw").alias("_name0"),
+        SF.card_rating_match("text").alias("_rmatch"))
+    s2 = s1.select("*", SF.listing_price_digits("_ptxt").alias("_digits"),
+                   SF.card_title_generic("_name0").alias("_generic0"))
+    out = s2.select(
         *keep,
-        SF.card_title("title_raw", "text").alias("nombre"),
-        SF.listing_price("_ptxt", "_nights").alias("precio_noche"),
-        SF.card_rating("text").alias("rating"),
-        SF.card_reviews("text").alias("num_reviews"),
+        SF.card_title_from("title_raw", "text", "_name0", "_generic0").alias("nombre"),
+        SF.listing_price_from("_ptxt", "_digits", "_nights").alias("precio_noche"),
+        SF.card_rating("text", "_rmatch").alias("rating"),
+        SF.card_reviews("text", "_rmatch").alias("num_reviews"),
         SF.lodging_type("text").alias("tipo"),
         SF.capacity("text").alias("capacidad"),
         SF.absolute_url("href", site_root).alias("url"),
