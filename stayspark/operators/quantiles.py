@@ -27,8 +27,10 @@ DEFAULT_BUCKETS = 64
 
 
 def exact_quantiles(df: DataFrame, col: str | Column, probs: Mapping[str, float],
-                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """One-row DataFrame: ``n`` plus one column per entry of ``probs``.
+                    buckets: int = DEFAULT_BUCKETS, neighbors: bool = False) -> DataFrame:
+    """One-row DataFrame: ``n`` plus one column per entry of ``probs``
+    (with ``neighbors``, also ``<name>_a`` / ``<name>_b``: the values at the
+    two ranks the quantile interpolates between).
 
     NULL values are ignored; with no values every quantile is NULL.
     """
@@ -83,6 +85,8 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: Mapping[str, float]
         t = F.col(f"{name}__h") - F.col(f"{name}__lo")
         # numpy's lerp: a + (b-a)*t, computed from the upper end when t >= 0.5
         cols.append(F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t).alias(name))
+        if neighbors:
+            cols += [a.alias(f"{name}_a"), b.alias(f"{name}_b")]
     return out.select(*cols)
 
 

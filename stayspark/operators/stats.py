@@ -46,22 +46,35 @@ def demand_peaks_summary(df: DataFrame, keys: Sequence[str] = (), cut: float = 0
 
 # -- A24-A26 -----------------------------------------------------------------
 
+def _positive_prices(df: DataFrame, price: str, qty: str) -> DataFrame:
+    """Rows with a positive price and a quantity."""
+    return df.select(F.col(price).alias("p"), F.col(qty).alias("q")).where(
+        F.col("p").isNotNull() & F.col("q").isNotNull() & (F.col("p") > 0))
+
+
+def _capped_range(d: DataFrame, cap_quantile: float) -> DataFrame:
+    """One row: the cap (W6) and the min / max of the values kept under it,
+    all from one quantile pass. The largest kept value is the upper rank
+    neighbour of the cap when the cap reaches it, else the lower one."""
+    q = exact_quantiles(d, "p", {"cap": cap_quantile, "p0": 0.0}, neighbors=True)
+    return q.select("cap", F.col("p0").alias("lo"),
+                    F.when(F.col("cap") >= F.col("cap_b"), F.col("cap_b")).otherwise(F.col("cap_a")).alias("hi"))
+
+
 def price_sample(df: DataFrame, price: str = "price_per_night", qty: str = "nights",
                  cap_quantile: float = 0.95) -> DataFrame:
     """W5 + W6: positive prices with a quantity, rows above the price
     quantile dropped."""
-    d = df.select(F.col(price).alias("p"), F.col(qty).alias("q")).where(
-        F.col("p").isNotNull() & F.col("q").isNotNull() & (F.col("p") > 0))
-    d = attach(d, "_cap", exact_quantiles(d, "p", {"cap": cap_quantile}))
-    return d.where(F.col("p") <= F.col("_cap.cap")).drop("_cap")
+    d = attach(_positive_prices(df, price, qty), "_r", _capped_range(_positive_prices(df, price, qty), cap_quantile))
+    return d.where(F.col("p") <= F.col("_r.cap")).drop("_r")
 
 
 def price_bins(df: DataFrame, n_bins: int = 10, price: str = "price_per_night",
                qty: str = "nights", cap_quantile: float = 0.95) -> DataFrame:
     """Equal-width, right-closed bins over [min, max]; the first edge
     is lowered by 0.1 % of the range (so the minimum falls in bin 1)."""
-    d = price_sample(df, price, qty, cap_quantile)
-    d = attach(d, "_r", d.agg(F.min("p").alias("lo"), F.max("p").alias("hi")))
+    d0 = _positive_prices(df, price, qty)
+    d = attach(d0, "_r", _capped_range(d0, cap_quantile)).where(F.col("p") <= F.col("_r.cap"))
     lo, hi = F.col("_r.lo"), F.col("_r.hi")
     step = (hi - lo) / F.lit(float(n_bins))
     # bin = 1 + number of inner edges (lo + i*step, i = 1..n-1) below the
@@ -82,14 +95,12 @@ def price_bins(df: DataFrame, n_bins: int = 10, price: str = "price_per_night",
     adj = (F.col("_r.hi") - F.col("_r.lo")) * 0.001
     stepc = (F.col("_r.hi") - F.col("_r.lo")) / F.lit(float(n_bins))
     const_adj = F.when(F.col("_r.lo") == 0, F.lit(0.001)).otherwise(F.abs(F.col("_r.lo")) * 0.001)
-    edge = lambda i: F.col("_r.lo") + F.lit(float(i)) * stepc
     g = g.withColumn("bin_lo", F.when(F.col("_r.hi") == F.col("_r.lo"), F.col("_r.lo") - const_adj)
                      .when(F.col("bin") == 1, F.col("_r.lo") - adj)
                      .otherwise(F.col("_r.lo") + (F.col("bin") - 1).cast("double") * stepc))
     g = g.withColumn("bin_hi", F.when(F.col("_r.hi") == F.col("_r.lo"), F.col("_r.hi") + const_adj)
                      .when(F.col("bin") == n_bins, F.col("_r.hi"))
                      .otherwise(F.col("_r.lo") + F.col("bin").cast("double") * stepc))
-    del edge
     g = g.withColumn("demand", F.col("bookings") * F.col("avg_nights"))
     g = g.withColumn("revenue_proxy", F.col("avg_price") * F.col("demand"))
     return g.drop("_r")
