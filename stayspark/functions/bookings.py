@@ -87,6 +87,7 @@ def price_per_night(amount, nights) -> Column:
 
 
 def _pick(labels, one_based_idx) -> Column:
+    """Dictionary lookup as a literal array (no join)."""
     return F.try_element_at(F.array(*[F.lit(x) for x in labels]), one_based_idx)
 
 

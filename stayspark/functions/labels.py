@@ -31,7 +31,7 @@ def opportunity_label(tier) -> Column:
 
 
 def channel_commission(channel) -> Column:
-    """estimated commission, 0 for channels not listed."""
+    """estimated commission, 0 for channels not listed (J4: literal map)."""
     m = F.create_map(*[x for k, v in S.CHANNEL_COMMISSION.items() for x in (F.lit(k), F.lit(v))])
     return F.coalesce(F.try_element_at(m, col_or_lit(channel)), F.lit(0.0))
 

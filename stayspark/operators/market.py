@@ -152,13 +152,17 @@ def season_filter(m: DataFrame, season: str | None) -> DataFrame:
 
 
 def market_price_stats(m: DataFrame) -> DataFrame:
-    """One row: mean, median, p75, count and latest scrape date of prices."""
-    q = exact_quantiles(m, "precio_noche", {"m_median": 0.5, "m_p75": 0.75})
+    """One row: mean, count, latest scrape date and the five-number summary
+    of prices (``p0``, ``p25``, ``m_median``, ``m_p75``, ``p100``), from one
+    exact quantile pass; the KPIs, the box summary and the advisor facts can
+    all share it."""
+    q = exact_quantiles(m, "precio_noche", {"p0": 0.0, "p25": 0.25, "m_median": 0.5, "m_p75": 0.75,
+                                            "p100": 1.0})
     a = m.agg(F.avg("precio_noche").alias("m_mean"),
               (F.max("fecha_scraping") if "fecha_scraping" in m.columns else F.lit(None).cast("date")
                ).alias("last_scrape"))
     return attach(a, "_q", q).select("m_mean", "_q.m_median", "_q.m_p75", F.col("_q.n").alias("n_listings"),
-                                     "last_scrape")
+                                     "last_scrape", "_q.p0", "_q.p25", "_q.p100")
 
 
 def count_below(values: DataFrame, col: str, probes: DataFrame, probe_col: str,
@@ -193,12 +197,13 @@ def count_below(values: DataFrame, col: str, probes: DataFrame, probe_col: str,
 
 
 def market_kpis(own: DataFrame, market: DataFrame, price_col: str = "precio_medio",
-                season: str | None = None) -> DataFrame:
+                season: str | None = None, stats: DataFrame | None = None) -> DataFrame:
     """A30 for every own row (e.g. one per property): market mean, median,
     p75, share of listings strictly cheaper than the own price (0 when the
-    market has at most one row), difference vs the mean, latest scrape."""
+    market has at most one row), difference vs the mean, latest scrape.
+    ``stats`` reuses a :func:`market_price_stats` row of the same market."""
     m = season_filter(coerce_market(market), season)
-    stats = market_price_stats(m)
+    stats = stats if stats is not None else market_price_stats(m)
     k = count_below(m, "precio_noche", own, price_col)
     k = attach(k, "_s", stats)
     pos = F.when(F.col("_s.n_listings") > 1,
@@ -223,13 +228,14 @@ def price_histogram(market: DataFrame, bins: int = 20) -> DataFrame:
                     (F.col("_r.lo") + (F.col("bin") + 1) * w).alias("hi"), "n")
 
 
-def price_box(market: DataFrame, own: DataFrame | float) -> DataFrame:
+def price_box(market: DataFrame, own: DataFrame | float, stats: DataFrame | None = None) -> DataFrame:
     """Five-number summary of market prices, and the own price (a
     one-row DataFrame with column ``p``, or a number) as a flat box."""
     m = coerce_market(market)
-    q = exact_quantiles(m, "precio_noche", {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p100": 1.0})
+    q = stats if stats is not None else market_price_stats(m)
     names = ["p0", "p25", "p50", "p75", "p100"]
-    mk = q.select(F.lit("Mercado").alias("origen"), *names)
+    mk = q.select(F.lit("Mercado").alias("origen"), "p0", "p25", F.col("m_median").alias("p50"),
+                  F.col("m_p75").alias("p75"), "p100")
     if not isinstance(own, DataFrame):
         own = m.sparkSession.createDataFrame([(float(own),)], "p double")
     me = own.select(F.lit("Tu Propiedad").alias("origen"), *[F.col("p").alias(c) for c in names])

@@ -15,9 +15,7 @@ from pyspark.sql import functions as F
 
 from stayspark import schema as S
 from stayspark.functions.labels import clip_pct, days_in_month, days_in_quarter
-from stayspark.operators.forecast import join_on_keys
 from stayspark.operators.quantiles import attach, small_quantile
-from stayspark.operators.summary import r2
 
 P = "property"
 
@@ -33,8 +31,8 @@ def property_list(df: DataFrame) -> DataFrame:
 
 
 def months_available(df: DataFrame) -> DataFrame:
-    """(property, month, month_short) present, in month order (the
-    month choices of each property)."""
+    """O5 + U2: (property, month, month_short) present, in month order (the
+    month choices of each property); ``dropDuplicates`` on the key."""
     return (df.where(F.col(P).isNotNull() & F.col("month").isNotNull())
             .select(P, "month", "month_short").dropDuplicates([P, "month"]).orderBy(P, "month"))
 
@@ -247,12 +245,14 @@ def property_diagnosis(df: DataFrame, prop_name: str | None = None) -> DataFrame
     return out.where(F.col(P) == prop_name) if prop_name is not None else out
 
 
-def advisor_facts(df: DataFrame, market: DataFrame, months: Sequence[str] | None = None) -> DataFrame:
+def advisor_facts(df: DataFrame, market: DataFrame, months: Sequence[str] | None = None,
+                  stats: DataFrame | None = None) -> DataFrame:
     """Per property KPIs, golden month and the market mean / median
-    (whole market, before any season filter) with the relative position."""
-    from stayspark.operators.market import market_price_stats
+    (whole market, before any season filter) with the relative position.
+    ``stats`` reuses a market_price_stats row of the same market."""
+    from stayspark.operators.market import coerce_market, market_price_stats
     k = property_kpis(df, months).join(golden_month(df, months), P, "left")
-    k = attach(k, "_m", market_price_stats(market))
+    k = attach(k, "_m", stats if stats is not None else market_price_stats(coerce_market(market)))
     diff = F.when(F.col("_m.m_mean") != 0,
                   (F.col("precio_medio") - F.col("_m.m_mean")) / F.col("_m.m_mean") * 100).otherwise(0.0)
     return k.select(P, "total_ingresos", "precio_medio", "ocupacion_pct", "total_reservas",
@@ -264,4 +264,4 @@ def advisor_facts(df: DataFrame, market: DataFrame, months: Sequence[str] | None
 
 __all__ = ["property_list", "months_available", "property_kpis", "property_monthly", "golden_month", "occupancy_by_month",
            "occupancy_by_quarter", "peer_comparison", "price_gap", "recommendations", "projection",
-           "projection_monthly", "property_diagnosis", "advisor_facts", "join_on_keys"]
+           "projection_monthly", "property_diagnosis", "advisor_facts"]

@@ -697,6 +697,18 @@ def q_property_diagnosis(spark, sf):
                     r2(F.col("rev_total")).alias("rev_total"), r2(F.col("ppn")).alias("ppn"), "bookings")
 
 
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def _market_stats(spark, sf) -> DataFrame:
+    """Market price statistics (one row), computed once per session and
+    input for the market queries that need them."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SHARED:
+        _SHARED[key] = MK.market_price_stats(MK.coerce_market(FX.market(spark, sf))).persist()
+    return _SHARED[key]
+
+
 MKT_STATS_SQL = (f"mstats AS (SELECT avg(precio_noche) AS m_mean, {q_agg('precio_noche', 0.5)} AS m_median, "
                  f"{q_agg('precio_noche', 0.75)} AS m_p75, count(precio_noche) AS n_listings "
                  f"FROM market WHERE precio_noche IS NOT NULL)")
@@ -712,7 +724,7 @@ ADV_COLS = ["total_ingresos", "precio_medio", "ocupacion_pct", "gold_value", "m_
                              max(ingresos) AS gold_value FROM pmon GROUP BY property) gm USING (property)
   CROSS JOIN mstats)""", KPI_SQL, PMONTH_SQL, MARKET, MKT_STATS_SQL))
 def q_advisor_facts(spark, sf):
-    a = PR.advisor_facts(FX.bookings(spark, sf), FX.market(spark, sf))
+    a = PR.advisor_facts(FX.bookings(spark, sf), FX.market(spark, sf), stats=_market_stats(spark, sf))
     return rcols(a, ADV_COLS)
 
 
@@ -747,7 +759,7 @@ MK_COLS = ["precio_medio", "m_mean", "m_median", "m_p75", "pos_pct", "diff_vs_me
   FROM kpi k CROSS JOIN mstats)""", KPI_SQL, MARKET, MKT_STATS_SQL))
 def q_market_kpis(spark, sf):
     own = PR.property_kpis(FX.bookings(spark, sf)).select("property", "precio_medio")
-    k = MK.market_kpis(own, FX.market(spark, sf))
+    k = MK.market_kpis(own, FX.market(spark, sf), stats=_market_stats(spark, sf))
     return rcols(k.select("property", "n_listings", *MK_COLS), MK_COLS)
 
 
@@ -782,7 +794,7 @@ BOX_SQL = ("SELECT 'Mercado' AS origen, " + ", ".join(f"{rnd(q_agg('precio_noche
 def q_market_box(spark, sf):
     """A31 box summary: market prices vs the portfolio's mean nightly price."""
     own = FX.bookings(spark, sf).agg(F.avg("price_per_night").alias("p"))
-    box = MK.price_box(FX.market(spark, sf), own)
+    box = MK.price_box(FX.market(spark, sf), own, stats=_market_stats(spark, sf))
     return rcols(box, [n for n, _ in BOX])
 
 

@@ -3,7 +3,6 @@ invariants, and a property test of the money rule."""
 
 import re
 
-import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
