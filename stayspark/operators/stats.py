@@ -10,15 +10,23 @@ from pyspark.sql import functions as F
 
 from stayspark import schema as S
 from stayspark.functions.labels import elasticity_label
-from stayspark.operators.clean import with_iqr_flag, with_zscore_flag
 from stayspark.operators.quantiles import attach, exact_quantiles, small_quantile
 from stayspark.operators.summary import monthly_summary, r2
 
 
 def outlier_report(df: DataFrame, col: str = "amount", factor: float = 1.5,
                    threshold: float = 3.0) -> DataFrame:
-    """Rows flagged by IQR or Z-score, largest value first."""
-    f = with_zscore_flag(with_iqr_flag(df, col, "is_outlier_iqr", factor), col, "is_outlier_z", threshold)
+    """Rows flagged by IQR or Z-score, largest value first. Both sets
+    of statistics come from the base rows (two one-row aggregates)."""
+    from stayspark.operators.clean import iqr_bounds
+    z = df.agg(F.avg(col).alias("mu"), F.stddev_pop(col).alias("sd"))
+    f = attach(attach(df, "_q", iqr_bounds(df, col, factor)), "_z", z)
+    x = F.col(col)
+    f = f.withColumns({
+        "is_outlier_iqr": F.coalesce((x < F.col("_q.lo")) | (x > F.col("_q.hi")), F.lit(False)),
+        "is_outlier_z": F.coalesce(F.abs(F.try_divide(x - F.col("_z.mu"), F.col("_z.sd"))) > threshold,
+                                   F.lit(False)),
+    }).drop("_q", "_z")
     f = f.withColumn("is_outlier", F.col("is_outlier_iqr") | F.col("is_outlier_z"))
     return f.where("is_outlier").orderBy(F.desc(col), *[c for c in ("id",) if c in df.columns])
 
