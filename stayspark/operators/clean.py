@@ -70,29 +70,22 @@ def rename_canonical(df: DataFrame, mapping: Mapping[str, str | None] | None = N
 
 # -- F2: column-level date format election -----------------------------------
 
-_ELECTED: dict[tuple, dict[str, int]] = {}
-
-
 def elect_date_formats(df: DataFrame, cols: Sequence[str],
                        formats: Sequence[str] = S.DATE_FORMATS) -> dict[str, int]:
     """For each column the index of the first format that parses more than
     half of *all* rows, else -1.
 
-    One aggregation pass (partial counts per task, 1 + cols x formats
-    numbers to the driver); memoised per input plan so repeated queries over
-    the same input do not rescan it.
+    One aggregation pass (partial counts per task; 1 + cols x formats
+    numbers reach the driver). Callers curate the cleaned table once, so
+    the pass runs once per input.
     """
-    key = (df.semanticHash(), tuple(cols), tuple(formats))
-    if key not in _ELECTED:
-        aggs = [F.count(F.lit(1)).alias("n")]
-        for c in cols:
-            for i, f in enumerate(formats):
-                aggs.append(F.count_if(SF.parse_timestamp(c, f).isNotNull()).alias(f"{c}__{i}"))
-        row = df.agg(*aggs).first()
-        n = row["n"]
-        _ELECTED[key] = {c: next((i for i in range(len(formats)) if row[f"{c}__{i}"] * 2 > n), -1)
-                         for c in cols}
-    return dict(_ELECTED[key])
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for c in cols:
+        for i, f in enumerate(formats):
+            aggs.append(F.count_if(SF.parse_timestamp(c, f).isNotNull()).alias(f"{c}__{i}"))
+    row = df.agg(*aggs).first()
+    n = row["n"]
+    return {c: next((i for i in range(len(formats)) if row[f"{c}__{i}"] * 2 > n), -1) for c in cols}
 
 
 def parse_elected(c: str, elected: int, formats: Sequence[str] = S.DATE_FORMATS) -> Column:
