@@ -163,9 +163,9 @@ def recommendations(df: DataFrame, months: Sequence[str] | None = None) -> DataF
     recs = F.array(
         rec("raise", txt("raise", top3=F.col("top3")), has_months),
         rec("low_season", txt("low_season", bot3=F.col("bot3")), has_months),
-        rec("price_up", txt("price_up", ppn=_fmt0(F.col("precio_medio")), pct=_fmt0(F.abs(F.col("diff_pct"))),
+        rec("price_up", txt("price_up", ppn=_fmt0(F.col("precio_medio")), pct=_fmt(F.abs(F.col("diff_pct")), 0),
                                    media=_fmt0(F.col("media_cartera"))), F.col("regla") == "raise"),
-        rec("price_review", txt("price_review", pct=_fmt0(F.col("diff_pct"))), F.col("regla") == "review"),
+        rec("price_review", txt("price_review", pct=_fmt(F.col("diff_pct"), 0)), F.col("regla") == "review"),
         rec("reviews", F.lit(R["reviews"][1])),
         rec("min_stay", txt("min_stay", gold=F.coalesce(F.col("gold"), F.lit("N/A")))),
     )

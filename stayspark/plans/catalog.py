@@ -590,9 +590,15 @@ def _title(key: str) -> str:
 
 
 def _f0(x: str) -> str:
+    """{:,.0f}"""
     return f"format('{{:,.0f}}', {rnd(x, 0)})"
 
 
+def _p0(x: str) -> str:
+    """{:.0f}"""
+    return f"printf('%.0f', {rnd(x, 0)})"
+
+
 _R = S.RECOMMENDATIONS
 RECS_SQL = f"""
 SELECT property, CAST(row_number() OVER (PARTITION BY property ORDER BY o) AS INTEGER) AS rec_no, title, text FROM (
@@ -601,9 +607,9 @@ SELECT property, CAST(row_number() OVER (PARTITION BY property ORDER BY o) AS IN
   UNION ALL SELECT property, 2, {_title('low_season')}, {_sql_text(_R['low_season'][1], bot3='bot3')}
     FROM j WHERE top3 IS NOT NULL
   UNION ALL SELECT property, 3, {_title('price_up')},
-    {_sql_text(_R['price_up'][1], ppn=_f0('precio_medio'), pct=_f0('abs(diff_pct)'), media=_f0('media_cartera'))}
+    {_sql_text(_R['price_up'][1], ppn=_f0('precio_medio'), pct=_p0('abs(diff_pct)'), media=_f0('media_cartera'))}
     FROM j WHERE diff_pct < -10
-  UNION ALL SELECT property, 4, {_title('price_review')}, {_sql_text(_R['price_review'][1], pct=_f0('diff_pct'))}
+  UNION ALL SELECT property, 4, {_title('price_review')}, {_sql_text(_R['price_review'][1], pct=_p0('diff_pct'))}
     FROM j WHERE diff_pct > 15
   UNION ALL SELECT property, 5, {_title('reviews')}, {_sql_text(_R['reviews'][1])} FROM j
   UNION ALL SELECT property, 6, {_title('min_stay')}, {_sql_text(_R['min_stay'][1], gold="coalesce(gold, 'N/A')")}
