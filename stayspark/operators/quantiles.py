@@ -108,18 +108,6 @@ def attach(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(scalar)
 
 
-def quantile_scalar(df: DataFrame, col: str | Column, probs: Mapping[str, float],
-                    approx: bool = False, accuracy: int = 10000) -> Column:
-    """Scalar struct of quantiles; ``approx=True`` uses ``percentile_approx``."""
-    if approx:
-        c = col if isinstance(col, Column) else F.col(col)
-        names = list(probs)
-        arr = F.percentile_approx(c.cast("double"), [probs[k] for k in names], accuracy)
-        one = df.agg(arr.alias("a")).select(*[F.col("a")[i].alias(k) for i, k in enumerate(names)])
-        return as_scalar(one)
-    return as_scalar(exact_quantiles(df, col, probs))
-
-
 def lerp_quantile(sorted_values: Column, p: float) -> Column:
     """numpy 'linear' quantile of a sorted array column (NULL if empty)."""
     n = F.size(sorted_values)

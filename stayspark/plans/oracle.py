@@ -197,11 +197,6 @@ def q_agg(col: str, p: float) -> str:
     return q_list(f"list_sort(list(CAST({col} AS DOUBLE)) FILTER (WHERE {col} IS NOT NULL))", p)
 
 
-def quantile_sql(table: str, col: str, probs: dict[str, float]) -> str:
-    cols = ", ".join(f"{q_agg(col, p)} AS {k}" for k, p in probs.items())
-    return f"SELECT {cols} FROM {table}"
-
-
 BOOKINGS_CLEAN = BOOKINGS_CLEAN.replace("{Q1}", q_agg("amount", 0.25)).replace("{Q3}", q_agg("amount", 0.75))
 BOOKINGS_WITH = "WITH " + BOOKINGS_RAW + ",\n" + BOOKINGS_CLEAN
 

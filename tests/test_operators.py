@@ -148,3 +148,11 @@ def test_wide_matrix_and_peak_summary(spark):
     b = spark.createDataFrame(rows, "month int, amount double, nights double, price_per_night double")
     s = ST.demand_peaks_summary(b).first()
     assert list(s.peaks) == ["Jul", "Ago"] and list(s.valleys) == ["Ene"]
+
+
+def test_price_sample_caps_at_quantile(spark):
+    rows = [(float(v), 1.0) for v in range(1, 101)] + [(0.0, 1.0), (None, 1.0), (5.0, None)]
+    df = spark.createDataFrame(rows, "price_per_night double, nights double")
+    got = sorted(r.p for r in ST.price_sample(df, cap_quantile=0.95).collect())
+    # positive prices 1..100; the 95th percentile is 95.05, so 1..95 stay
+    assert got == [float(v) for v in range(1, 96)]
