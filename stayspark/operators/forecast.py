@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stayspark.functions.labels import opportunity_label
 from stayspark.operators.stats import dynamic_pricing
-from stayspark.operators.summary import grouped, period_of, r2
+from stayspark.operators.summary import exact_avg, exact_sum, grouped, period_of, r2
 
 METRIC_NAMES = ("ingresos", "reservas", "ppn_medio")
 
@@ -105,7 +105,7 @@ def growth_metrics(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.max(F.when(F.col("_rn") == 1, F.col("ingresos"))).alias("m1"),
         F.max(F.when(F.col("_rn") == 2, F.col("ingresos"))).alias("m2"),
         F.count(F.lit(1)).alias("n_months"),
-        F.sum("ingresos").alias("total"), F.avg("ingresos").alias("mean"),
+        exact_sum("ingresos").alias("total"), exact_avg("ingresos").alias("mean"),
         F.min_by("year_month", F.struct(-F.col("ingresos"), F.col("period"))).alias("best_month"))
     j = join_on_keys(mo, yoy, keys)
     pct = lambda a, b: F.try_divide(F.col(a) - F.col(b), F.col(b)) * 100

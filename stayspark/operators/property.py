@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from stayspark import schema as S
 from stayspark.functions.labels import clip_pct, days_in_month, days_in_quarter
 from stayspark.operators.quantiles import attach, small_quantile
+from stayspark.operators.summary import exact_avg, exact_sum
 
 P = "property"
 
@@ -42,8 +43,8 @@ def property_kpis(df: DataFrame, months: Sequence[str] | None = None) -> DataFra
     nights and occupancy over the arrival span (capped at 100)."""
     d = select_months(df.where(F.col(P).isNotNull()), months)
     g = d.groupBy(P).agg(
-        F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_ingresos"),
-        F.avg("amount").alias("ingresos_mes"),
+        F.coalesce(exact_sum("amount"), F.lit(0.0)).alias("total_ingresos"),
+        exact_avg("amount").alias("ingresos_mes"),
         F.avg("price_per_night").alias("precio_medio"),
         F.count(F.lit(1)).alias("total_reservas"),
         F.coalesce(F.sum("nights"), F.lit(0.0)).alias("total_noches"),
@@ -57,7 +58,7 @@ def property_monthly(df: DataFrame, months: Sequence[str] | None = None) -> Data
     """Revenue and nights per (property, month number), years merged."""
     d = select_months(df.where(F.col(P).isNotNull() & F.col("month").isNotNull()), months)
     return d.groupBy(P, "month", "month_short").agg(
-        F.coalesce(F.sum("amount"), F.lit(0.0)).alias("ingresos"),
+        F.coalesce(exact_sum("amount"), F.lit(0.0)).alias("ingresos"),
         F.coalesce(F.sum("nights"), F.lit(0.0)).alias("noches"))
 
 

@@ -22,10 +22,21 @@ def r2(c: Column, d: int = 2) -> Column:
     return F.bround(c, d)
 
 
+def exact_sum(col: str) -> Column:
+    """Sum of money as an exact decimal, returned as double: the result does
+    not depend on the order rows are added in (partitions, retries), so a
+    rounded mean that sits on a half-way point rounds the same every time."""
+    return F.sum(F.col(col).try_cast("decimal(38,10)")).cast("double")
+
+
+def exact_avg(col: str) -> Column:
+    return exact_sum(col) / F.count(col)
+
+
 METRICS = {
     "reservas": lambda: F.count("amount"),
-    "ingresos": lambda: F.coalesce(F.sum("amount"), F.lit(0.0)),
-    "ticket_medio": lambda: F.avg("amount"),
+    "ingresos": lambda: F.coalesce(exact_sum("amount"), F.lit(0.0)),
+    "ticket_medio": lambda: exact_avg("amount"),
     "noches_totales": lambda: F.coalesce(F.sum("nights"), F.lit(0.0)),
     "ppn_medio": lambda: F.avg("price_per_night"),
 }
@@ -127,7 +138,7 @@ def property_month_revenue(df: DataFrame) -> DataFrame:
     """A11, long form: revenue per (property, year_month) present."""
     return (df.where(F.col("property").isNotNull() & F.col("year_month").isNotNull())
             .groupBy("property", "year_month")
-            .agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("ingresos")))
+            .agg(F.coalesce(exact_sum("amount"), F.lit(0.0)).alias("ingresos")))
 
 
 def property_month_matrix(df: DataFrame) -> DataFrame:
@@ -153,7 +164,7 @@ def property_peaks_valleys(df: DataFrame) -> DataFrame:
         F.max("ingresos").alias("valor_pico"),
         F.min_by("year_month", F.struct(F.col("ingresos"), F.col("year_month"))).alias("mes_valle"),
         F.min("ingresos").alias("valor_valle"),
-        F.avg("ingresos").alias("media_mensual"),
+        exact_avg("ingresos").alias("media_mensual"),
     )
     return g.select(F.col("property").alias("propiedad"), "mes_pico", r2(F.col("valor_pico")).alias("valor_pico"),
                     "mes_valle", r2(F.col("valor_valle")).alias("valor_valle"),

@@ -48,10 +48,12 @@ def rcols(df: DataFrame, cols, d=2) -> DataFrame:
     return df.withColumns({c: F.bround(F.col(c), d) for c in cols})
 
 
+XSUM = "CAST(sum(CAST(amount AS DECIMAL(38,10))) AS DOUBLE)"
+XAVG = f"({XSUM} / count(amount))"
 SQL_METRIC = {
     "reservas": "count(amount) AS reservas",
-    "ingresos": f"{rnd('coalesce(sum(amount), 0.0)')} AS ingresos",
-    "ticket_medio": f"{rnd('avg(amount)')} AS ticket_medio",
+    "ingresos": f"{rnd(f'coalesce({XSUM}, 0.0)')} AS ingresos",
+    "ticket_medio": f"{rnd(XAVG)} AS ticket_medio",
     "noches_totales": f"{rnd('coalesce(sum(nights), 0.0)')} AS noches_totales",
     "ppn_medio": f"{rnd('avg(price_per_night)')} AS ppn_medio",
 }
@@ -208,8 +210,8 @@ def q_channel(spark, sf):
 @register("property_top_n", with_bookings(f"""
 SELECT property, reservas, {rnd('ingresos')} AS ingresos, {rnd('ticket_medio')} AS ticket_medio,
        {rnd('noches_totales')} AS noches_totales, {rnd('ppn_medio')} AS ppn_medio
-FROM (SELECT property, count(amount) AS reservas, coalesce(sum(amount), 0.0) AS ingresos,
-             avg(amount) AS ticket_medio, coalesce(sum(nights), 0.0) AS noches_totales,
+FROM (SELECT property, count(amount) AS reservas, coalesce({XSUM}, 0.0) AS ingresos,
+             {XAVG} AS ticket_medio, coalesce(sum(nights), 0.0) AS noches_totales,
              avg(price_per_night) AS ppn_medio
       FROM bookings WHERE property IS NOT NULL GROUP BY property
       ORDER BY ingresos DESC, property LIMIT 20)"""))
@@ -239,20 +241,21 @@ def q_heatmap(spark, sf):
 
 
 @register("property_month_matrix", with_bookings(f"""
-SELECT property, year_month, {rnd('coalesce(sum(amount), 0.0)')} AS ingresos FROM bookings
+SELECT property, year_month, {rnd(f'coalesce({XSUM}, 0.0)')} AS ingresos FROM bookings
 WHERE property IS NOT NULL AND year_month IS NOT NULL GROUP BY property, year_month"""))
 def q_property_month_matrix(spark, sf):
     return rcols(SM.property_month_revenue(FX.bookings(spark, sf)), ["ingresos"])
 
 
-PM_SQL = """pm AS (SELECT property, year_month, coalesce(sum(amount), 0.0) AS ingresos FROM bookings
+PM_SQL = f"""pm AS (SELECT property, year_month, coalesce({XSUM}, 0.0) AS ingresos FROM bookings
   WHERE property IS NOT NULL AND year_month IS NOT NULL GROUP BY property, year_month)"""
 
 
 @register("property_peaks_valleys", with_bookings(f"""
 SELECT property AS propiedad, max(CASE WHEN rp = 1 THEN year_month END) AS mes_pico,
   {rnd('max(ingresos)')} AS valor_pico, max(CASE WHEN rv = 1 THEN year_month END) AS mes_valle,
-  {rnd('min(ingresos)')} AS valor_valle, {rnd('avg(ingresos)')} AS media_mensual
+  {rnd('min(ingresos)')} AS valor_valle,
+  {rnd('CAST(sum(CAST(ingresos AS DECIMAL(38,10))) AS DOUBLE) / count(ingresos)')} AS media_mensual
 FROM (SELECT *, row_number() OVER (PARTITION BY property ORDER BY ingresos DESC, year_month) AS rp,
              row_number() OVER (PARTITION BY property ORDER BY ingresos, year_month) AS rv FROM pm)
 GROUP BY property""", PM_SQL))
@@ -427,7 +430,7 @@ def q_elasticity_trend(spark, sf):
 
 FORECAST_SQL = [
     "ts AS (SELECT year_month, CAST(year_month || '-01' AS DATE) AS period, "
-    "coalesce(sum(amount), 0.0) AS y FROM bookings WHERE year_month IS NOT NULL GROUP BY year_month)",
+    f"coalesce({XSUM}, 0.0) AS y FROM bookings WHERE year_month IS NOT NULL GROUP BY year_month)",
     "t2 AS (SELECT *, month(period) AS month, year(period) AS year, "
     "row_number() OVER (ORDER BY period DESC) AS rn FROM ts)",
     "st AS (SELECT count(*) AS n, max(period) AS last_period, avg(y) AS overall, "
@@ -470,7 +473,8 @@ def q_opportunity(spark, sf):
 SELECT CASE WHEN (SELECT count(*) FROM an) >= 2 THEN {rnd('(y1 - y2) / y2 * 100', 1)} ELSE 0.0 END AS yoy_growth_pct,
        CASE WHEN n >= 2 THEN {rnd('(m1 - m2) / m2 * 100', 1)} ELSE 0.0 END AS mom_growth_pct,
        {rnd('total')} AS total_revenue, {rnd('mean')} AS avg_monthly, coalesce(best, '-') AS best_month
-FROM (SELECT count(*) AS n, sum(y) AS total, avg(y) AS mean,
+FROM (SELECT count(*) AS n, CAST(sum(CAST(y AS DECIMAL(38,10))) AS DOUBLE) AS total,
+             CAST(sum(CAST(y AS DECIMAL(38,10))) AS DOUBLE) / count(y) AS mean,
              max(y) FILTER (WHERE rn = 1) AS m1, max(y) FILTER (WHERE rn = 2) AS m2,
              arg_min(year_month, (-y, period)) AS best FROM t2) CROSS JOIN
      (SELECT max(total) FILTER (WHERE yr = 1) AS y1, max(total) FILTER (WHERE yr = 2) AS y2
@@ -484,7 +488,7 @@ def q_growth(spark, sf):
 # ---------------------------------------------------------------------------
 
 KPI_SQL = f"""kpi AS (
-  SELECT property, coalesce(sum(amount), 0.0) AS total_ingresos, avg(amount) AS ingresos_mes,
+  SELECT property, coalesce({XSUM}, 0.0) AS total_ingresos, {XAVG} AS ingresos_mes,
     avg(price_per_night) AS precio_medio, count(*) AS total_reservas,
     coalesce(sum(nights), 0.0) AS total_noches,
     least(coalesce(sum(nights), 0.0) / greatest(floor(date_diff('second', min(arrival), max(arrival)) / 86400.0), 1)
@@ -499,7 +503,7 @@ def q_property_kpis(spark, sf):
     return rcols(PR.property_kpis(FX.bookings(spark, sf)), KPI_COLS)
 
 
-PMONTH_SQL = """pmon AS (SELECT property, month, month_short, coalesce(sum(amount), 0.0) AS ingresos,
+PMONTH_SQL = f"""pmon AS (SELECT property, month, month_short, coalesce({XSUM}, 0.0) AS ingresos,
   coalesce(sum(nights), 0.0) AS noches FROM bookings WHERE property IS NOT NULL AND month IS NOT NULL
   GROUP BY property, month, month_short)"""
 DAYS = "[31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]"
