@@ -56,7 +56,7 @@ def money_rule(s):
         return 0.0
 
 
-@settings(max_examples=1, deadline=None)
+@settings(max_examples=5, deadline=None)
 @given(st.lists(st.text(alphabet="0123456789.,- €$EUR", max_size=12), min_size=200, max_size=200))
 def test_clean_money_property(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "x string")
