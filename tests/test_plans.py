@@ -33,3 +33,16 @@ def test_pushdown_and_pruning_on_scans(spark):
 def test_all_queries_run_small(spark):
     for name, build in E.queries().items():
         build(spark, SF_SMALL).limit(5).collect()
+
+
+def test_table_materialization_same_result(spark):
+    from stayspark.session import MATERIALIZE_CONF
+    q = E.queries()["channel_summary"]
+    base = sorted(tuple(r) for r in q(spark, SF_SMALL).collect())
+    spark.conf.set(MATERIALIZE_CONF, "table")
+    try:
+        df = q(spark, SF_SMALL)
+        assert "InMemoryRelation" not in df._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(tuple(r) for r in df.collect()) == base
+    finally:
+        spark.conf.unset(MATERIALIZE_CONF)
