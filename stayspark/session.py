@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,10 +47,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (tests, local runs) a scratch folder is created.
+    is. A scratch folder is created only when it is unset and the master is
+    local (tests); on a cluster a machine-local folder would lose data, so an
+    unset folder is an error there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="stayspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -71,6 +77,14 @@ def ensure_parallelism(df, keys, min_partitions: int | None = None):
     return df.repartition(want, *keys)
 
 
+def written(df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: cuts the lineage and survives the loss of any executor."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stayspark/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 MATERIALIZE_CONF = "stayspark.materialize"
 
 
@@ -91,8 +105,5 @@ def materialize(df, name: str):
         ensure_checkpoint_dir(spark)
         return df.checkpoint(eager=True)
     if mode == "table":
-        import uuid
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stayspark/{name}-{uuid.uuid4().hex}"
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        return written(df, name)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
