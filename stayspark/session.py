@@ -81,7 +81,7 @@ def written(df, name: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: cuts the lineage and survives the loss of any executor."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stayspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
