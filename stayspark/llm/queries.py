@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality, simhash, topk, toxicity, url_filter
+from . import arc_warc, quality, simhash, topk, toxicity, url_filter
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,28 @@ FROM urls u LEFT JOIN fits USING (page_id)
 """
 
 
+@query
+def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = arc_warc.archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# Base 32 takes 5 bits a letter: 5 hex digits are 20 bits, 4 letters.
+ORACLE["op7_arc_to_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha1(encode(coalesce(html, ''))) AS hex FROM pages),
+d AS (
+  SELECT page_id, octet_length(body)::BIGINT AS payload_bytes,
+         list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+           (('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4)))::INTEGER & 31), 1)), 'string_agg', '') AS payload_digest
+  FROM p),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM g
+"""
+
+
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
