@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import arc_warc, quality, simhash, topk, toxicity, url_filter
+from . import arc_warc, packing, quality, simhash, topk, toxicity, url_filter
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score(docs, model), 0.5)
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(),
+                                 keep={"ids_crc32": F.crc32("ids")})
+    return out.withColumnRenamed("id", "doc_id")
+
+
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -69,7 +81,7 @@ ORACLE["op7_arc_to_warc"] = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha1(encode(coalesce(html, ''))) AS hex FROM pages),
 d AS (
   SELECT page_id, octet_length(body)::BIGINT AS payload_bytes,
-         list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+         list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
            (('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4)))::INTEGER & 31), 1)), 'string_agg', '') AS payload_digest
   FROM p),
 g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
@@ -102,9 +114,9 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op10_top_k"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS e FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, d.vec_id AS vec_id, list_dot_product(q.e, d.e)::BIGINT AS score
   FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id AND len(q.e) = len(d.e))
