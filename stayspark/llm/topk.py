@@ -33,8 +33,10 @@ MAX_CENTERS = 512
 BLOCK = 4096
 QUERY_GROUP = 65_536
 QUERY_TREE = 1024
-#: Points of a leaf.
-LEAF = 48
+#: Points of a leaf, least mean points of a node's children, points scored at once.
+LEAF = 128
+POINTS_PER_CHILD = 16
+POINTS = 1024
 MAX_DIMENSIONS = 50
 
 
@@ -43,8 +45,10 @@ MAX_DIMENSIONS = 50
 class CoverTree:
     """Nodes over a permutation of the points: ``center`` (a point),
     ``radius`` (to the farthest point below), ``lo``/``hi`` (points below) and
-    ``children``. Children of a node at scale s are centers more than s/2
-    apart that cover its points within s/2."""
+    ``children``. Children of a node of radius s are centers more than s/2
+    apart that cover its points within s/2. A node stays a leaf when it is
+    small, or when its points have no such structure (the children would be
+    almost as many as the points)."""
 
     def __init__(self, points: np.ndarray):
         self.points = points
@@ -52,7 +56,7 @@ class CoverTree:
         self.radius: list[float] = []
         self.lo: list[int] = []
         self.hi: list[int] = []
-        self.children: list[list[int]] = []
+        self.children: list[np.ndarray] = []
         self.order: list[np.ndarray] = []
         self._filled = 0
         if len(points):
@@ -60,97 +64,128 @@ class CoverTree:
         self.perm = np.concatenate(self.order) if self.order else np.empty(0, np.int64)
         norms = np.sqrt(np.einsum("ij,ij->i", points, points))
         self.norm = norms[self.center] if len(points) else norms
+        self.leaf = np.array([not len(c) for c in self.children], bool)
+        self.rad = np.array(self.radius)
 
     def _distances(self, center: int, at: np.ndarray) -> np.ndarray:
         d = self.points[at] - self.points[center]
         return np.sqrt(np.einsum("ij,ij->i", d, d))
 
+    def _covers(self, at: np.ndarray, center: int, cover: float) -> list[tuple[np.ndarray, int]]:
+        """Points and center of each child; none if there would be too many."""
+        out, left, c = [], at, center
+        while len(left):
+            near = self._distances(c, left) <= cover
+            near |= left == c
+            out.append((left[near], c))
+            if len(out) * POINTS_PER_CHILD > len(at):
+                return []
+            left = left[~near]
+            c = int(left[0]) if len(left) else -1
+        return out
+
     def _grow(self, at: np.ndarray, center: int) -> int:
-        """Node over the points ``at`` (deep only as the spread has scales)."""
         me = len(self.center)
-        dist = self._distances(center, at)
-        radius = float(dist.max())
+        radius = float(self._distances(center, at).max())
         self.center.append(center)
         self.radius.append(radius)
         self.lo.append(self._filled)
         self.hi.append(self._filled + len(at))
-        self.children.append([])
-        if len(at) <= LEAF or radius == 0:
+        self.children.append(np.empty(0, np.int64))
+        parts = self._covers(at, center, radius / 2) if len(at) > LEAF and radius > 0 else []
+        if not parts:
             self.order.append(at)
             self._filled += len(at)
-            return me
-        cover = radius / 2
-        left, c = at, center
-        while len(left):
-            near = self._distances(c, left) <= cover
-            near |= left == c
-            self.children[me].append(self._grow(left[near], c))
-            left = left[~near]
-            if len(left):
-                c = int(left[0])
+        else:
+            self.children[me] = np.array([self._grow(p, c) for p, c in parts])
         return me
 
-
-def _dots(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Inner products of integer components, exact as far as doubles are
-    (2**53)."""
-    return q @ d.T
+    def rows(self, node: int) -> np.ndarray:
+        return self.perm[self.lo[node]: self.hi[node]]
 
 
 class _Best:
     """The k best (score, smaller id) of each query."""
 
     def __init__(self, n: int, k: int, floor: np.ndarray):
+        self.k = k
         self.score = np.full((n, k), -np.inf)
         self.id = np.full((n, k), np.iinfo(np.int64).max)
         self.floor = floor
 
-    def worst(self, rows: np.ndarray) -> float:
-        return float(np.maximum(self.score[rows, -1], self.floor[rows]).min())
+    def worst(self, rows: np.ndarray) -> np.ndarray:
+        return np.maximum(self.score[rows, -1], self.floor[rows])
 
     def add(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        k = self.score.shape[1]
-        s = np.concatenate([self.score[rows], score], axis=1)
-        i = np.concatenate([self.id[rows], np.broadcast_to(ids, score.shape)], axis=1)
-        pick = np.lexsort((i, -s), axis=1)[:, :k]
-        self.score[rows] = np.take_along_axis(s, pick, 1)
-        self.id[rows] = np.take_along_axis(i, pick, 1)
+        """Scores of these queries with some candidates."""
+        k = self.k
+        least = self.worst(rows)
+        if score.shape[1] > k:
+            least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k])
+        r, c = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+        if not len(r):
+            return
+        hit = np.unique(r)
+        old = np.repeat(hit, k)
+        r_all = np.concatenate([old, r])
+        s_all = np.concatenate([self.score[rows[hit]].ravel(), score[r, c]])
+        i_all = np.concatenate([self.id[rows[hit]].ravel(), ids[c]])
+        order = np.lexsort((i_all, -s_all, r_all))
+        r_all = r_all[order]
+        place = np.arange(len(r_all)) - np.searchsorted(r_all, r_all)
+        keep = place < k
+        at = order[keep]
+        self.score[rows[r_all[keep]], place[keep]] = s_all[at]
+        self.id[rows[r_all[keep]], place[keep]] = i_all[at]
 
 
 def dual_search(q: np.ndarray, q_id: np.ndarray, floor: np.ndarray, d: np.ndarray, d_id: np.ndarray,
                 data: CoverTree, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(scores, ids), each (queries, k), best first; -inf where there are
-    fewer. Scores below ``floor`` may be left out."""
+    fewer. Scores below ``floor`` may be left out. Inner products of integer
+    components are exact as far as doubles are (2**53)."""
     best = _Best(len(q), k, floor)
+    if not len(q) or not len(d):
+        return best.score, best.id
     tree = CoverTree(q)
-    centers_q, centers_d = q[tree.center], d[data.center]
-    dot = centers_q @ centers_d.T if len(q) and len(d) else np.zeros((0, 0))
-    rq, rd = np.array(tree.radius), np.array(data.radius)
-    room = dot + tree.norm[:, None] * rd + data.norm * rq[:, None] + rq[:, None] * rd
-    room += 1e-9 * (np.abs(dot) + (tree.norm[:, None] + rq[:, None]) * (data.norm + rd)) + 1e-6
-
-    stack = [(0, 0)] if len(q) and len(d) else []
-    while stack:
-        a, b = stack.pop()
-        rows = tree.perm[tree.lo[a]: tree.hi[a]]
-        if room[a, b] < best.worst(rows):
-            continue
-        ca, cb = tree.children[a], data.children[b]
-        if not ca and not cb:
-            for lo in range(data.lo[b], data.hi[b], BLOCK):
-                at = data.perm[lo: min(lo + BLOCK, data.hi[b])]
+    dot = q[tree.center] @ d[data.center].T
+    rq, rd = tree.rad[:, None], data.rad
+    room = dot + tree.norm[:, None] * rd + data.norm * rq + rq * rd
+    room += 1e-9 * (np.abs(dot) + (tree.norm[:, None] + rq) * (data.norm + rd)) + 1e-6
+
+    def opened(nodes: np.ndarray) -> np.ndarray:
+        return np.concatenate([data.children[n] if not data.leaf[n] else [n] for n in nodes.tolist()]).astype(np.int64)
+
+    def walk(a: int, nodes: np.ndarray) -> None:
+        """Query node a against the data nodes that its parent couldn't drop."""
+        rows = tree.rows(a)
+        nodes = nodes[room[a, nodes] >= best.worst(rows).min()]
+        if not len(nodes):
+            return
+        if not tree.leaf[a]:
+            nodes = opened(nodes)
+            for child in tree.children[a].tolist():
+                walk(child, nodes)
+            return
+        while not data.leaf[nodes].all():
+            nodes = opened(nodes)
+            nodes = nodes[room[a, nodes] >= best.worst(rows).min()]
+        nodes = nodes[np.argsort(-room[a, nodes], kind="stable")]
+        while len(nodes):
+            size = np.cumsum([data.hi[n] - data.lo[n] for n in nodes.tolist()])
+            take = max(1, int(np.searchsorted(size, POINTS, side="right")))
+            at = np.concatenate([data.rows(n) for n in nodes[:take].tolist()])
+            for lo in range(0, len(at), 2 * POINTS):
+                cut = at[lo: lo + 2 * POINTS]
                 for r in range(0, len(rows), 256):
-                    cut = rows[r: r + 256]
-                    s = _dots(q[cut], d[at])
-                    s[q_id[cut][:, None] == d_id[at]] = -np.inf
-                    best.add(cut, s, d_id[at])
-            continue
-        # Open the wider node; the most promising pair is walked first.
-        if cb and (not ca or rd[b] >= rq[a]):
-            pairs = [(a, c) for c in cb]
-        else:
-            pairs = [(c, b) for c in ca]
-        stack += sorted(pairs, key=lambda p: room[p])
+                    own = rows[r: r + 256]
+                    s = q[own] @ d[cut].T
+                    s[q_id[own][:, None] == d_id[cut]] = -np.inf
+                    best.add(own, s, d_id[cut])
+            nodes = nodes[take:]
+            nodes = nodes[room[a, nodes] >= best.worst(rows).min()]
+
+    walk(0, np.zeros(1, np.int64))
     return best.score, best.id
 
 

@@ -31,7 +31,7 @@ def vectors(n, dim, seed):
 @pytest.mark.parametrize("small", [False, True])
 def test_matches_brute_force(spark, monkeypatch, small):
     if small:  # many centers, blocks, query groups and leaves
-        for name, value in (("ROWS_PER_CENTER", 40), ("BLOCK", 16), ("QUERY_GROUP", 7), ("QUERY_TREE", 4), ("LEAF", 3), ("SAMPLE_ROWS", 90)):
+        for name, value in (("ROWS_PER_CENTER", 40), ("BLOCK", 16), ("QUERY_GROUP", 7), ("QUERY_TREE", 4), ("LEAF", 3), ("SAMPLE_ROWS", 90), ("POINTS_PER_CHILD", 1), ("POINTS", 5)):
             monkeypatch.setattr(topk, name, value)
     rows = vectors(400, 8, 1)
     rows += [(1001, None), (1020, [1.0, None] * 4), (1040, [float("nan")] * 8), (1060, [float("inf")] * 8), (None, [1.0] * 8),
