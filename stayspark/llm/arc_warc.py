@@ -4,8 +4,7 @@ with equivalent identifiers, dates, types and digests are written.
 
 Archives are bounded segments (``SEGMENT_BYTES``, or one longer record), one
 file each, gzip-compressed, written by Spark's writer to any store that it
-reaches and read back as whole files. Only (digest, page) pairs are grouped;
-payloads are shuffled once, to their digest's partition.
+reaches and read back as whole files. Only (digest, page) pairs are grouped.
 """
 
 from __future__ import annotations
@@ -21,11 +20,13 @@ from datetime import datetime
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import ensure_checkpoint_dir
+from .common import ensure_checkpoint_dir, small_enough, written
 
 SEGMENT_BYTES = 8 << 20
 #: Capture time of pages that have none.
 NO_DATE = "19700101000000"
+#: Repeated payloads (a digest, an id and a url each) that are broadcast.
+BROADCAST_ROWS = 50_000
 
 # --- fixed values of the two formats ---
 ARC_FIELDS = {
@@ -192,8 +193,8 @@ def _content_batches(segments: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
 
 def write_archives(segments: DataFrame, path: str, close: str) -> None:
     """A gzip-compressed file for each segment; ``close`` ends the last record."""
-    (segments.select(F.col("content").cast("string")).write.option("compression", "gzip").option("lineSep", close)
-     .option("maxRecordsPerFile", 1).text(path))
+    (segments.select(F.col("content").cast("string")).write.option("compression", "gzip")
+     .option("zlib.compress.level", "BEST_SPEED").option("lineSep", close).option("maxRecordsPerFile", 1).text(path))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -229,12 +230,13 @@ def pages_to_arc(pages: DataFrame, version: int = 1, url_col: str = "url", html_
     return kept.mapInArrow(run, "content binary")
 
 
-_PARSED = "page_id long, url string, date string, mime string, http binary, payload binary, digest string"
+_PARSED = "page_id long, url string, date string, mime string, http binary, payload binary, digest string, size long"
 
 
-def parse_arc_archives(archives: DataFrame) -> DataFrame:
-    """One row per ARC record: page, url, date, type, HTTP headers, payload
-    and the payload's digest."""
+def parse_arc_archives(archives: DataFrame, bodies: bool = True) -> DataFrame:
+    """One row per ARC record: page, url, date, type, HTTP headers, payload,
+    the payload's digest and size. Without ``bodies`` the headers and payload
+    are null."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in b.column(0):
@@ -242,22 +244,29 @@ def parse_arc_archives(archives: DataFrame) -> DataFrame:
                 for f, block in parse_arc(c.as_py()):
                     http, payload = split_http(block)
                     page = _header(http, PAGE_HEADER)
-                    rows.append((int(page) if page else None, f["URL"], f["Archive-date"], f["Content-type"], http, payload, sha1_base32(payload)))
+                    rows.append((int(page) if page else None, f["URL"], f["Archive-date"], f["Content-type"],
+                                 http if bodies else None, payload if bodies else None, sha1_base32(payload), len(payload)))
                 if rows:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.string()))],
-                        names=["page_id", "url", "date", "mime", "http", "payload", "digest"])
+                        [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.string(), pa.int64()))],
+                        names=["page_id", "url", "date", "mime", "http", "payload", "digest", "size"])
     return archives.mapInArrow(run, _PARSED)
 
 
-def with_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
+def first_captures(records: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """``(of, first)``: for each payload of at least ``min_bytes`` bytes that
+    several records have, its digest and the page, url and date of the
+    smallest page id."""
+    return (records.where(F.col("size") >= min_bytes).groupBy("digest")
+            .agg(F.count("*").alias("n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "date"))).alias("first"))
+            .where("n > 1 and first is not null").select(F.col("digest").alias("of"), "first"))
+
+
+def with_revisits(records: DataFrame, first: DataFrame) -> DataFrame:
     """Adds record_type, refers_to, to_url and to_date. Of records with equal
-    payloads of at least ``min_bytes`` bytes the smallest page id is the
-    response (rows that share it are all responses), the others revisit it;
-    smaller payloads, and groups without any id, are all responses."""
-    first = (records.where(F.length("payload") >= min_bytes).groupBy("digest")
-             .agg(F.count("*").alias("n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "date"))).alias("first"))
-             .where("n > 1 and first is not null").select(F.col("digest").alias("of"), "first"))
+    payloads the smallest page id is the response (rows that share it are all
+    responses), the others revisit it; groups without any id, and payloads
+    not in ``first``, are all responses."""
     joined = records.join(first, F.col("digest") == F.col("of"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     return joined.select(*records.columns, F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
@@ -306,8 +315,11 @@ _READ_NAMES = [f.split()[0] for f in _READ.split(", ")]
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
     """ARC files below ``arc_path`` to WARC files in ``warc_path``."""
-    records = parse_arc_archives(read_archives(spark, arc_path))
-    write_archives(records_to_warc(with_revisits(records, min_bytes)), warc_path, "\r\n\r\n")
+    archives = read_archives(spark, arc_path)
+    first = written(first_captures(parse_arc_archives(archives, bodies=False), min_bytes), "first_captures")
+    # A short list of repeated payloads goes to every task; a long one is joined by digest, payloads and all.
+    first = F.broadcast(first) if small_enough(first, BROADCAST_ROWS) else first
+    write_archives(records_to_warc(with_revisits(parse_arc_archives(archives), first)), warc_path, "\r\n\r\n")
 
 
 def archive_pages(pages: DataFrame, version: int = 1, min_bytes: int = 0, url_col: str = "url",

@@ -21,6 +21,7 @@ def brute(rows):
 @pytest.mark.parametrize("segment", [100, 8 << 20])
 def test_round_trip(spark, monkeypatch, version, segment):
     monkeypatch.setattr(A, "SEGMENT_BYTES", segment)
+    monkeypatch.setattr(A, "BROADCAST_ROWS", 0 if segment == 100 else 50_000)
     df = spark.createDataFrame([(*r, "clash") for r in ROWS], "page_id long, url string, html string, payload string").repartition(3)
     out = A.archive_pages(df, version)
     got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out.collect()]
