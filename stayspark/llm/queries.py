@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import arc_warc, decontaminate, packing, pii, quality, simhash, topk, toxicity, url_filter
+from . import arc_warc, decontaminate, packing, pii, quality, simhash, suffix_dedup, topk, toxicity, url_filter
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,30 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+@query
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE["op5_suffix_array_dedup"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT r, doc_id, h, unnest(range(0, n - 49)) AS p FROM d)),
+m AS (SELECT r, p FROM (SELECT r, p, doc_id, min(doc_id) OVER (PARTITION BY s) AS first_id FROM w) WHERE first_id < doc_id),
+c AS (SELECT DISTINCT r, b FROM (SELECT r, unnest(range(p, p + 50)) AS b FROM m)),
+g AS (SELECT r, count(*) AS n_removed, count(*) FILTER (WHERE prev IS NULL OR prev < b - 1) AS n_spans
+      FROM (SELECT r, b, lag(b) OVER (PARTITION BY r ORDER BY b) AS prev FROM c) GROUP BY r),
+k AS (SELECT r, string_agg(substr(h, 2 * b + 1, 2), '' ORDER BY b) AS h
+      FROM (SELECT r, h, unnest(range(0, n)) AS b FROM d) ANTI JOIN c USING (r, b) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(k.h, ''))) AS kept_sha256
+FROM d LEFT JOIN g USING (r) LEFT JOIN k USING (r)
+"""
+
+
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
