@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stayspark import schema as S
-from stayspark.functions.text import col_or_lit, py_strip, py_title
+from stayspark.functions.text import col_or_lit, plain_number, py_strip, py_title
 
 __all__ = [
     "clean_money", "parse_timestamp", "parse_timestamp_any", "nights_filled",
@@ -54,7 +54,7 @@ def parse_timestamp_any(c, formats=S.DATE_FALLBACK_FORMATS) -> Column:
 def nights_filled(nights, arrival, departure) -> Column:
     """numeric nights; missing ones from whole days between the dates."""
     days = F.floor((F.unix_seconds(departure) - F.unix_seconds(arrival)) / F.lit(86400.0))
-    num = col_or_lit(nights).cast("string").try_cast("double") if nights is not None else F.lit(None).cast("double")
+    num = plain_number(nights) if nights is not None else F.lit(None).cast("double")
     if arrival is None or departure is None:
         return num
     return F.coalesce(num, days.cast("double"))

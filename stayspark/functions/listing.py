@@ -80,12 +80,6 @@ def _line_regex(min_len: int, exclude: list[str]) -> str:
     return f"(?imdu)^{PY_WS}*{guard}({body})"
 
 
-def card_title_name0(title_raw) -> Column:
-    """First line of the selector title, or the placeholder when missing."""
-    tr = col_or_lit(title_raw)
-    return F.when(nonblank(tr), F.split(py_strip(tr), "\n").getItem(0)).otherwise(S.NO_TITLE)
-
-
 def card_title_generic(name0) -> Column:
     return _any_contains(F.lower(col_or_lit(name0)), S.GENERIC_TITLE_WORDS)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stayspark import schema as S
-from stayspark.functions.text import col_or_lit, py_strip
+from stayspark.functions.text import col_or_lit, plain_number, py_strip
 
 __all__ = ["planner_date", "detect_city", "nights_int", "checkout_date", "stay_nights"]
 
@@ -31,7 +31,7 @@ def nights_int(c) -> Column:
     if c is None:
         return F.lit(1)
     txt = F.replace(col_or_lit(c).cast("string"), F.lit(","), F.lit("."))
-    n = txt.try_cast("double").try_cast("int")
+    n = plain_number(txt).try_cast("int")
     return F.greatest(F.coalesce(n, F.lit(1)), F.lit(1))
 
 

@@ -21,6 +21,14 @@ def py_strip(c) -> Column:
     return F.regexp_replace(col_or_lit(c).cast("string"), f"^{PY_WS}+|{PY_WS}+$", "")
 
 
+def plain_number(c) -> Column:
+    """Text that is a plain decimal number (sign, digits, point, exponent) as
+    a double; anything else is NULL. A bare cast would also take Java's type
+    suffixes (``5d``) and the words for infinity."""
+    s = py_strip(c)
+    return F.when(s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), s.try_cast("double"))
+
+
 def py_split(c) -> Column:
     """Python ``str.split()``: split on runs of blanks, no empty parts."""
     return F.split(py_strip(c), f"{PY_WS}+")

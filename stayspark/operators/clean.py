@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from stayspark import functions as SF
 from stayspark import schema as S
-from stayspark.operators.quantiles import as_scalar, attach, exact_quantiles
+from stayspark.functions.text import plain_number
+from stayspark.operators.quantiles import as_scalar, attach, column_quantiles, exact_quantiles
 
 DATE_COLUMNS = ["arrival", "departure", "created"]
 
@@ -20,21 +21,21 @@ DATE_COLUMNS = ["arrival", "departure", "created"]
 
 def find_col(columns: Sequence[str], candidates: Sequence[str],
              case_insensitive: bool = True) -> str | None:
-    """Exact name first, then case-insensitive; candidate order wins."""
-    lowered = {c.lower(): c for c in columns}
-    for cand in candidates:
-        if cand in columns:
-            return cand
-        if case_insensitive and cand.lower() in lowered:
-            return lowered[cand.lower()]
-    return None
+    """The column with the best rank: place of its candidate first, then
+    an exact name before one that differs in case, then the last such column."""
+    place = {c: i for i, c in reversed(list(enumerate(candidates)))}
+    folded = {c.lower(): i for i, c in reversed(list(enumerate(candidates)))}
+    ranks = [(place[c], 0, -i, c) for i, c in enumerate(columns) if c in place]
+    if case_insensitive:
+        ranks += [(folded[c.lower()], 1, -i, c) for i, c in enumerate(columns) if c.lower() in folded]
+    return min(ranks)[-1] if ranks else None
 
 
 def map_columns(df_or_cols, aliases: Mapping[str, Sequence[str]] = S.BOOKING_ALIASES
                 ) -> dict[str, str | None]:
     """Logical name -> physical column (or None). Metadata only."""
-    cols = df_or_cols.columns if isinstance(df_or_cols, DataFrame) else list(df_or_cols)
-    return {k: find_col(cols, v) for k, v in aliases.items()}
+    names = getattr(df_or_cols, "columns", df_or_cols)
+    return {logical: find_col(list(names), known) for logical, known in aliases.items()}
 
 
 def mapping_report(df: DataFrame) -> DataFrame:
@@ -209,8 +210,7 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
 def impute_missing(df: DataFrame, strategy: str = "mean") -> DataFrame:
     """Fill NULLs of every numeric column with its mean / median / 0.
 
-    Medians use the exact distributed quantile operator, one column at a
-    time inside a single one-row plan per column.
+    Medians of all columns come from one exact distributed quantile pass.
     """
     num = [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
     if not num or strategy not in ("mean", "median", "zero"):
@@ -222,9 +222,8 @@ def impute_missing(df: DataFrame, strategy: str = "mean") -> DataFrame:
         df = attach(df, "_fill", base.agg(*[F.avg(c).alias(c) for c in num]))
         fills = {c: F.col("_fill")[c] for c in num}
     else:
-        for i, c in enumerate(num):
-            df = attach(df, f"_fill{i}", exact_quantiles(base, c, {"m": 0.5}))
-        fills = {c: F.col(f"_fill{i}.m") for i, c in enumerate(num)}
+        df = attach(df, "_fill", column_quantiles(base, num, 0.5))
+        fills = {c: F.col("_fill")[c] for c in num}
     out = {}
     for c in num:
         dt = df.schema[c].dataType
@@ -275,6 +274,21 @@ def amount_sample(clean: DataFrame, n: int = 5) -> DataFrame:
     return clean.select(*cols).limit(n)
 
 
+def raw_mode_frame(df: DataFrame) -> DataFrame:
+    """A file analysed without cleaning, under the names that the
+    operators take: property, amount, price_per_night and nights (NULL where
+    the file has none), as numbers; other columns are dropped."""
+    c = raw_mode_columns(df)
+
+    def number(name: str | None) -> Column:
+        if name is None:
+            return F.lit(None).cast("double")
+        return F.col(name).cast("double") if isinstance(df.schema[name].dataType, _NUMERIC) else plain_number(name)
+
+    return df.select(F.col(c["property"]).cast("string").alias("property"), number(c["amount"]).alias("amount"),
+                     number(c["price"]).alias("price_per_night"), number(c["nights"]).alias("nights"))
+
+
 def raw_mode_columns(df_or_cols) -> dict[str, str | None]:
     """Columns used when the file is analysed without cleaning: property
     (mandatory), amount, nightly price (falls back to amount), nights."""

@@ -6,13 +6,14 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stayspark import functions as SF
 from stayspark import schema as S
-from stayspark.operators.quantiles import attach, exact_quantiles
+from stayspark.functions.text import plain_number
+from stayspark.operators.quantiles import _bucketed, attach, bucket_count, exact_quantiles
 
 
 # -- X1-X3 -------------------------------------------------------------------
@@ -25,7 +26,6 @@ def extract_cards(cards: DataFrame, site_root: str = S.LISTING_SITE_ROOT,
     Input columns: title_raw, price_raw, text, href, checkin, checkout,
     ciudad, propiedad_referencia, scraped_on (dates may be ISO strings).
     """
-    # intermediate values get their own projection so each is computed once
     # per-row intermediates get their own projection: each is computed once
     # (a non-cheap expression used several times is not inlined again)
     s1 = cards.select(
@@ -71,14 +71,47 @@ def page_cards(pages: DataFrame, markers: Sequence[str] = S.CARD_MARKERS, html:
                page_id: str = "page_id") -> DataFrame:
     """Cards of each page, from the first marker that matches anything
     on that page; tags stripped, blanks collapsed."""
+    x = _page_blocks(pages, markers, html, page_id)
+    return x.select(page_id, "card_no", _plain(F.col("block")).alias("text"))
+
+
+def _page_blocks(pages: DataFrame, markers: Sequence[str], html: str, page_id: str) -> DataFrame:
+    """(page_id, card_no, block) of the first marker that a page has."""
     blocks = [_marker_blocks(F.col(html), m) for m in markers]
     chosen = None
     for b in blocks:
         chosen = (F.when if chosen is None else chosen.when)(F.size(b) > 0, b)
     chosen = chosen.otherwise(F.array().cast("array<string>"))
-    x = pages.select(F.col(page_id), F.posexplode(chosen).alias("card_no", "block"))
-    text = F.regexp_replace(F.regexp_replace(F.col("block"), r"<[^>]*>", " "), r"\s+", " ")
-    return x.select(page_id, "card_no", F.trim(text).alias("text"))
+    return pages.select(F.col(page_id), F.posexplode(chosen).alias("card_no", "block"))
+
+
+def _element(html: Column, attribute: str) -> Column:
+    """Inner HTML of the first element whose start tag matches the attribute
+    pattern, up to the next closing tag of its kind."""
+    inner = F.regexp_extract(html, rf"(?is)<(\w+)\b[^>]*{attribute}[^>]*>(.*?)</\1>", 2)
+    return F.when(F.regexp_like(html, F.lit(rf"(?is)<\w+\b[^>]*{attribute}[^>]*>")), inner)
+
+
+def _plain(html: Column) -> Column:
+    """Tags stripped, blanks collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", " "), r"\s+", " "))
+
+
+def page_listings(pages: DataFrame, checkin, checkout, scraped_on, ciudad: Column, reference: Column,
+                  markers: Sequence[str] = S.CARD_MARKERS, html: str = "html", page_id: str = "page_id",
+                  site_root: str = S.LISTING_SITE_ROOT) -> DataFrame:
+    """X2 + X1: listing rows of captured pages. A card's title and price row
+    are the first of the ordered patterns that it has, its link the first
+    ``href``; the rules of :func:`extract_cards` do the rest."""
+    blocks = _page_blocks(pages, markers, html, page_id)
+    first = lambda patterns: F.nullif(F.coalesce(*[_plain(_element(F.col("block"), p)) for p in patterns]), F.lit(""))
+    cards = blocks.select(
+        page_id, "card_no", first(S.CARD_TITLE_ATTRIBUTES).alias("title_raw"), first(S.CARD_PRICE_ATTRIBUTES).alias("price_raw"),
+        F.trim(F.regexp_replace(F.regexp_replace("block", r"<[^>]*>", "\n"), r"\n\s*", "\n")).alias("text"),
+        F.nullif(F.regexp_extract("block", r'(?is)<a\b[^>]*href="([^"]*)"', 1), F.lit("")).alias("href"),
+        F.lit(checkin).cast("date").alias("checkin"), F.lit(checkout).cast("date").alias("checkout"),
+        ciudad.alias("ciudad"), reference.alias("propiedad_referencia"), F.lit(scraped_on).cast("date").alias("scraped_on"))
+    return extract_cards(cards, site_root, keep=[page_id, "card_no"])
 
 
 def robot_page_flag(pages: DataFrame, html: str = "html") -> Column:
@@ -101,8 +134,9 @@ def upsert_listings(existing: DataFrame | None, new: DataFrame, order: Sequence[
     (url, checkin); the price becomes int with bad/NULL -> 0.
 
     "Last" = rows of ``new`` after rows of ``existing``, then the ``order``
-    columns ascending (arrival order inside a batch; NULLs first). Done as a
-    grouped ``max_by`` so duplicates collapse in the map-side partial
+    columns ascending (arrival order inside a batch; NULLs first), then the
+    row's hash, so that ties keep the same row however partitions are dealt.
+    Done as a grouped ``max_by`` so duplicates collapse in the map-side partial
     aggregation: a hot key never reaches one task as raw rows. ``drop``
     removes helper columns (e.g. the arrival keys) from the result.
     """
@@ -114,7 +148,7 @@ def upsert_listings(existing: DataFrame | None, new: DataFrame, order: Sequence[
         u = u.unionByName(p, allowMissingColumns=True)
     cols = [c for c in u.columns if c != "_seq"]
     keep = [c for c in cols if c not in ("url", "checkin")]
-    rank = F.struct(F.col("_seq"), *[F.col(c) for c in order])
+    rank = F.struct(F.col("_seq"), *[F.col(c) for c in order], F.xxhash64(*keep))
     g = u.groupBy("url", "checkin").agg(F.max_by(F.struct(*keep), rank).alias("r"))
     out = g.select("url", "checkin", *[F.col(f"r.{c}").alias(c) for c in keep])
     out = out.withColumn("precio_noche",
@@ -132,7 +166,7 @@ def coerce_market(m: DataFrame) -> DataFrame:
         # numbers keep their type (as pandas.to_numeric does); text is parsed
         if isinstance(m.schema[c].dataType, T.NumericType):
             return F.col(c)
-        return F.col(c).cast("string").try_cast("double")
+        return plain_number(c)
     out = m.withColumn("precio_noche", numeric("precio_noche"))
     if "rating" in m.columns:
         out = out.withColumn("rating", numeric("rating"))
@@ -166,34 +200,31 @@ def market_price_stats(m: DataFrame) -> DataFrame:
 
 
 def count_below(values: DataFrame, col: str, probes: DataFrame, probe_col: str,
-                buckets: int = 64) -> DataFrame:
-    """For each probe row, the number of ``values`` rows strictly below the
-    probe value (an as-of rank lookup without a range join).
-
-    Values are pre-aggregated per distinct value, probes and values are cut
-    into the same value buckets, a running count inside each bucket plus
-    bucket offsets gives the rank.
+                buckets: int | None = None) -> DataFrame:
+    """For each probe row, ``n_below``: the number of ``values`` rows strictly
+    below the probe value (an as-of rank lookup without a range join); NULL
+    for a NULL probe.
+
+    Values and probes are pre-aggregated to distinct numbers, cut into value
+    buckets, and a running count inside each bucket plus the bucket's offset
+    is the rank of each distinct number; probe rows get it by their value, so
+    nothing depends on how partitions are dealt.
     """
-    from pyspark.sql import Window
-    v = values.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    vc = v.groupBy("v").agg(F.count(F.lit(1)).alias("c")).withColumn("_probe", F.lit(None).cast("long"))
-    pr = probes.withColumn("_probe", F.monotonically_increasing_id())
-    pk = pr.select(F.col(probe_col).cast("double").alias("v"), F.lit(0).cast("long").alias("c"), "_probe")
-    u = vc.unionByName(pk)
-    bounds = v.agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 1000).alias("b"))
-    u = attach(u, "_b", bounds)
-    u = u.withColumn("bucket", F.coalesce(F.size(F.filter("_b.b", lambda b: b < F.col("v"))), F.lit(0))
-                     ).drop("_b")
-    # probes sort before equal values so that only strictly smaller ones count
-    w = Window.partitionBy("bucket").orderBy("v", F.col("_probe").isNull()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    u = u.withColumn("cum", F.sum("c").over(w))
+    def distinct(df: DataFrame, c: str, n: Column) -> DataFrame:
+        return df.select(F.col(c).cast("double").alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(n.alias("c"))
+
+    u = distinct(values, col, F.count(F.lit(1))).withColumn("_probe", F.lit(False)).unionByName(
+        distinct(probes, probe_col, F.lit(0).cast("long")).withColumn("_probe", F.lit(True)))
+    u = u.groupBy("v").agg(F.sum("c").alias("c"), F.max("_probe").alias("_probe"))
+    u = _bucketed(u, buckets or bucket_count(values.sparkSession))
+    below = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    u = u.withColumn("cum", F.coalesce(F.sum("c").over(below), F.lit(0)))
     per = u.groupBy("bucket").agg(F.sum("c").alias("bc"))
     off = per.select("bucket", F.coalesce(F.sum("bc").over(
         Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
-    hits = (u.where(F.col("_probe").isNotNull()).join(F.broadcast(off), "bucket")
-            .select("_probe", (F.col("off") + F.col("cum")).alias("n_below")))
-    return pr.join(hits, "_probe", "left").drop("_probe")
+    ranks = (u.where("_probe").join(F.broadcast(off), "bucket")
+             .select(F.col("v").alias("_v"), (F.col("off") + F.col("cum")).alias("n_below")))
+    return probes.join(ranks, F.col(probe_col).cast("double") == F.col("_v"), "left").drop("_v")
 
 
 def market_kpis(own: DataFrame, market: DataFrame, price_col: str = "precio_medio",
@@ -243,8 +274,9 @@ def price_box(market: DataFrame, own: DataFrame | float, stats: DataFrame | None
 
 
 def price_by_type(market: DataFrame) -> DataFrame:
-    """Mean price per accommodation type, ascending."""
-    m = coerce_market(market)
+    """Mean price per accommodation type, ascending; listings without a
+    type are in no group (D1)."""
+    m = coerce_market(market).where(F.col("tipo").isNotNull())
     return m.groupBy("tipo").agg(F.avg("precio_noche").alias("precio_noche")).orderBy("precio_noche", "tipo")
 
 

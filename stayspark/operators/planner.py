@@ -53,18 +53,18 @@ def search_plan(inputs: DataFrame, as_of, per_property: int = 3) -> DataFrame:
     per_day = per_day.withColumn("future", F.col("checkin") >= as_of)
     wp = Window.partitionBy("propiedad")
     per_day = per_day.withColumn("has_future", F.max(F.col("future").cast("int")).over(wp) == 1)
-    fut = per_day.where(F.col("has_future") & F.col("future")).withColumn(
-        "_k", F.row_number().over(Window.partitionBy("propiedad").orderBy("checkin")))
-    fut = fut.where(F.col("_k") <= per_property)
-    # past branch: the latest `per_property` rows (not dates), then distinct
-    w_past = Window.partitionBy("propiedad").orderBy(F.desc("checkin")).rowsBetween(
-        Window.unboundedPreceding, -1)
-    past = per_day.where(~F.col("has_future")).withColumn(
-        "_before", F.coalesce(F.sum("n").over(w_past), F.lit(0)))
-    past = past.where(F.col("_before") < per_property)
-    cols = [F.col("r.ciudad").alias("ciudad"), "checkin", F.col("r.checkout").alias("checkout"),
-            F.col("propiedad").alias("propiedad_referencia")]
-    return fut.select(*cols).unionByName(past.select(*cols))
+    # one ranking serves both branches: future dates from the earliest, and
+    # the rows (not dates) that come after a past date
+    k = F.row_number().over(Window.partitionBy("propiedad", "future").orderBy("checkin"))
+    later = Window.partitionBy("propiedad").orderBy(F.desc("checkin")).rowsBetween(Window.unboundedPreceding, -1)
+    per_day = per_day.withColumn("_k", k).withColumn("_before", F.coalesce(F.sum("n").over(later), F.lit(0)))
+    keep = F.when(F.col("has_future"), F.col("future") & (F.col("_k") <= per_property)).otherwise(F.col("_before") < per_property)
+    return per_day.where(keep).select(F.col("r.ciudad").alias("ciudad"), "checkin", F.col("r.checkout").alias("checkout"),
+                                      F.col("propiedad").alias("propiedad_referencia"))
+
+
+#: Most rows of a keyword table.
+MAX_KEYWORDS = 10_000
 
 
 def city_keywords_table(spark, keywords: Sequence[tuple[str, str]] = S.CITY_KEYWORDS) -> DataFrame:
@@ -74,8 +74,11 @@ def city_keywords_table(spark, keywords: Sequence[tuple[str, str]] = S.CITY_KEYW
 
 
 def detect_city_join(props: DataFrame, keywords: DataFrame, col: str = "propiedad") -> DataFrame:
-    """Containment join of names with a (broadcast) keyword table; the
-    lowest priority wins. The keyword table is a configuration list."""
-    j = props.join(F.broadcast(keywords), F.lower(F.col(col)).contains(F.col("keyword")))
+    """Containment join of distinct names with a keyword table; the lowest
+    priority wins. The keyword table is a configuration list of at most
+    ``MAX_KEYWORDS`` rows (checked), so it is broadcast."""
+    if keywords.limit(MAX_KEYWORDS + 1).count() > MAX_KEYWORDS:
+        raise ValueError(f"more than {MAX_KEYWORDS} keywords")
+    j = props.select(col).distinct().join(F.broadcast(keywords), F.lower(F.col(col)).contains(F.col("keyword")))
     g = j.groupBy(col).agg(F.min_by("ciudad", "prio").alias("ciudad"))
     return g

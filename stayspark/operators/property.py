@@ -8,6 +8,7 @@ Group sizes are bounded where windows are used (<= 12 months, <= 11 peers).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,7 +82,7 @@ def occupancy_by_quarter(df: DataFrame, months: Sequence[str] | None = None) ->
     """Nights / 90, 91, 92, 92 days per quarter, clipped; plus revenue."""
     d = select_months(df.where(F.col(P).isNotNull() & F.col("quarter").isNotNull()), months)
     g = d.groupBy(P, "quarter").agg(F.coalesce(F.sum("nights"), F.lit(0.0)).alias("noches"),
-                                    F.coalesce(F.sum("amount"), F.lit(0.0)).alias("ingresos"))
+                                    F.coalesce(exact_sum("amount"), F.lit(0.0)).alias("ingresos"))
     return g.select(P, "quarter", "noches", "ingresos", days_in_quarter("quarter").alias("dias"),
                     clip_pct(F.col("noches") / days_in_quarter("quarter") * 100).alias("ocupacion"))
 
@@ -90,27 +91,29 @@ def peer_comparison(df: DataFrame, months: Sequence[str] | None = None, top: int
     """For every property, its own row (marked with a star) and the
     ``top`` other properties by revenue (W3, O4, U1).
 
-    The candidates are the global top ``top + 1`` (TakeOrderedAndProject,
-    a bounded list), so each property gets at most ``top + 1`` partner rows.
+    The candidates are the global top ``top + 1`` (a bounded list), attached
+    to each property as one sorted array: its own row leaves the array, the
+    first ``top`` stay. No join on an inequality, no shuffle of partner rows.
     """
     k = property_kpis(df, months).select(P, F.col("total_ingresos").alias("ingresos"),
                                          F.col("total_reservas").alias("reservas"),
                                          F.col("precio_medio").alias("precio"))
     leaders = k.orderBy(F.desc("ingresos"), P).limit(top + 1)
-    sel = k.select(F.col(P).alias("propiedad_sel"))
-    pairs = sel.join(F.broadcast(leaders), F.col("propiedad_sel") != F.col(P))
-    w = Window.partitionBy("propiedad_sel").orderBy(F.desc("ingresos"), P)  # <= top + 1 rows
-    pairs = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).drop("_r")
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("ingresos")).alias("o"), P, "ingresos", "reservas", "precio")))
+    sel = attach(k.select(F.col(P).alias("propiedad_sel")), "_l", leaders.agg(ranked.alias("a")))
+    others = F.slice(F.filter("_l.a", lambda x: x[P] != F.col("propiedad_sel")), 1, top)
+    pairs = sel.select("propiedad_sel", F.explode(others).alias("x")).select("propiedad_sel", "x.*")
     own = k.select(F.col(P).alias("propiedad_sel"), F.concat(F.lit(S.PEER_PREFIX), F.col(P)).alias(P),
                    "ingresos", "reservas", "precio")
     return own.unionByName(pairs.select("propiedad_sel", P, "ingresos", "reservas", "precio"))
 
 
 def price_gap(df: DataFrame, months: Sequence[str] | None = None) -> DataFrame:
-    """Own mean nightly price vs the row-level mean of all other
-    properties (total minus own), and the rule outcome."""
-    d = select_months(df.where(F.col(P).isNotNull()), months)
-    own = d.groupBy(P).agg(F.avg("price_per_night").alias("precio_medio"),
+    """Own mean nightly price vs the row-level mean of all other bookings
+    (total minus own; those without a property are among the others), and the
+    rule outcome."""
+    d = select_months(df, months)
+    own = d.where(F.col(P).isNotNull()).groupBy(P).agg(F.avg("price_per_night").alias("precio_medio"),
                            F.sum("price_per_night").alias("_s"), F.count("price_per_night").alias("_c"))
     own = attach(own, "_t", d.agg(F.sum("price_per_night").alias("s"), F.count("price_per_night").alias("c")))
     media = F.try_divide(F.col("_t.s") - F.coalesce(F.col("_s"), F.lit(0.0)), F.col("_t.c") - F.col("_c"))
@@ -123,6 +126,12 @@ def price_gap(df: DataFrame, months: Sequence[str] | None = None) -> DataFrame:
     return own.select(P, "precio_medio", "media_cartera", "diff_pct", rule.alias("regla"))
 
 
+def _filled(template: str, **fills: Column) -> Column:
+    """A fixed text with its ``{name}`` holes filled by columns."""
+    parts = [F.lit(p) if i % 2 == 0 else fills[p] for i, p in enumerate(re.split(r"[{}]", template))]
+    return F.concat(*parts)
+
+
 def _fmt0(c: Column) -> Column:
     """``{:,.0f}``: half-even to units, thousands separators."""
     return F.format_number(F.bround(c, 0), 0)
@@ -145,16 +154,7 @@ def recommendations(df: DataFrame, months: Sequence[str] | None = None) -> DataF
     j = gap.join(months_f, P, "left")
 
     def txt(key: str, **fills) -> Column:
-        template = R[key][1]
-        parts, rest = [], template
-        while "{" in rest:
-            a = rest.index("{")
-            b = rest.index("}", a)
-            parts.append(F.lit(rest[:a]))
-            parts.append(fills[rest[a + 1:b]])
-            rest = rest[b + 1:]
-        parts.append(F.lit(rest))
-        return F.concat(*parts)
+        return _filled(R[key][1], **fills)
 
     def rec(key: str, text: Column, cond: Column | None = None) -> Column:
         r = F.struct(F.lit(R[key][0]).alias("title"), text.alias("text"))
@@ -201,10 +201,11 @@ def property_diagnosis(df: DataFrame, prop_name: str | None = None) -> DataFrame
     property, from four small group-bys joined on the property."""
     T = S.DIAGNOSIS_TEXT
     d = df.where(F.col(P).isNotNull())
-    base = d.groupBy(P).agg(F.avg("price_per_night").alias("ppn"), F.avg("amount").alias("ticket"),
-                            F.coalesce(F.sum("amount"), F.lit(0.0)).alias("rev_total"),
+    base = d.groupBy(P).agg(F.avg("price_per_night").alias("ppn"),
+                            F.coalesce(exact_sum("amount"), F.lit(0.0)).alias("rev_total"),
                             F.count(F.lit(1)).alias("bookings"), F.count("amount").alias("_n_amount"))
-    glob = d.agg(F.avg("price_per_night").alias("gppn"))
+    # the portfolio's mean is taken over all bookings, with or without a property
+    glob = df.agg(F.avg("price_per_night").alias("gppn"))
     base = attach(base, "_g", glob)
     base = attach(base, "_mn", base.agg(F.avg("_n_amount").alias("v")))
     base = base.withColumn("_mean_n", F.col("_mn.v")).drop("_mn")
@@ -212,7 +213,7 @@ def property_diagnosis(df: DataFrame, prop_name: str | None = None) -> DataFrame
     ch = ch.groupBy(P).agg(F.min_by("channel", F.struct(-F.col("c"), F.col("channel"))).alias("top_channel"),
                            (F.max("c") / F.sum("c")).alias("top_share"))
     mo = d.where(F.col("month").isNotNull()).groupBy(P, "month").agg(
-        F.coalesce(F.sum("amount"), F.lit(0.0)).alias("rev"), F.count("amount").alias("cnt"))
+        F.coalesce(exact_sum("amount"), F.lit(0.0)).alias("rev"), F.count("amount").alias("cnt"))
     w = Window.partitionBy(P)  # <= 12 months per property
     mo = mo.withColumn("_med", small_quantile("cnt", 0.5, w))
     mo_agg = mo.groupBy(P).agg(
@@ -222,20 +223,14 @@ def property_diagnosis(df: DataFrame, prop_name: str | None = None) -> DataFrame
     j = base.join(ch, P, "left").join(mo_agg, P, "left")
     g = F.col("_g.gppn")
     pros = F.filter(F.array(
-        F.when(F.col("ppn") > g * 1.1, F.concat(
-            F.lit("ADR Superior: Su precio por noche ("), _fmt(F.col("ppn"), 0), F.lit("€) es un "),
-            _fmt((F.col("ppn") / g - 1) * 100, 1), F.lit("% superior a la media."))),
+        F.when(F.col("ppn") > g * 1.1, _filled(T["adr_high"], ppn=_fmt(F.col("ppn"), 0), pct=_fmt((F.col("ppn") / g - 1) * 100, 1))),
         F.when(F.col("bookings") > F.col("_mean_n"), F.lit(T["rotation"])),
         F.when(F.col("top_share") < 0.5, F.lit(T["diversified"])),
     ), lambda x: x.isNotNull())
     cons = F.filter(F.array(
-        F.when(F.col("ppn") < g * 0.9, F.concat(
-            F.lit("ADR Bajo: El precio por noche está por debajo de la media global ("), _fmt(g, 0),
-            F.lit("€)."))),
+        F.when(F.col("ppn") < g * 0.9, _filled(T["adr_low"], gppn=_fmt(g, 0))),
         F.when(F.col("cv") > 0.5, F.lit(T["volatile"])),
-        F.when(F.col("top_share") > 0.7, F.concat(
-            F.lit("Riesgo de Dependencia: El "), _fmt(F.col("top_share") * 100, 0),
-            F.lit("% de reservas vienen de "), F.col("top_channel"), F.lit("."))),
+        F.when(F.col("top_share") > 0.7, _filled(T["dependent"], share=_fmt(F.col("top_share") * 100, 0), channel=F.col("top_channel"))),
     ), lambda x: x.isNotNull())
     out = j.select(
         P,

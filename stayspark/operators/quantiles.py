@@ -8,9 +8,10 @@ single task. Here the work stays partitioned:
 2. split the value domain into buckets with approximate quantile bounds of
    the distinct values (a bounded sketch); the bounds only balance the work,
    they never change the answer;
-3. running count inside each bucket (window partitioned by bucket) plus the
-   bucket offsets (one row per bucket);
-4. keep the at most two rows around each wanted rank and interpolate.
+3. add up each bucket (one row per bucket) and keep only the buckets that
+   hold a wanted rank;
+4. sort those, keep the at most two rows around each wanted rank and
+   interpolate.
 
 Use it for row-level quantiles; small bounded groups (<= 12 months, per
 property months) can use ``F.percentile`` directly.
@@ -18,16 +19,69 @@ property months) can use ``F.percentile`` directly.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+
+
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets to balance a rank computation over: the shuffle partitions."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _bucketed(counts: DataFrame, buckets: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Add ``bucket``: the place of ``v`` among approximate quantile bounds of
+    the distinct values (per key, a handful of keys). The bounds balance the
+    work; they never change an answer."""
+    if buckets <= 1:
+        return counts.withColumn("bucket", F.lit(0))
+    probs = [i / buckets for i in range(1, buckets)]
+    bounds = counts.groupBy(*keys).agg(F.percentile_approx("v", probs, 1000).alias("_b"))
+    joined = counts.join(F.broadcast(bounds), list(keys)) if keys else attach(counts, "_o", bounds).withColumn("_b", F.col("_o._b")).drop("_o")
+    return joined.withColumn("bucket", F.coalesce(F.size(F.filter("_b", lambda b: b < F.col("v"))), F.lit(0))).drop("_b")
+
+
+def _picked(counts: DataFrame, probs: Mapping[str, float], buckets: int, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per key: n, and for every wanted quantile its rank and the
+    values at the two ranks around it. Only the buckets that hold a wanted
+    rank are sorted: at most two for each quantile and key."""
+    counts = _bucketed(counts, buckets, keys)
+    per_bucket = counts.groupBy(*keys, "bucket").agg(F.sum("c").alias("bc"))
+    # Windows over at most one row per bucket and key.
+    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select(*keys, "bucket", "bc", F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("off"),
+                                F.sum("bc").over(Window.partitionBy(*keys)).alias("n"))
+    wanted = []
+    for name, p in probs.items():
+        h = (F.col("n") - 1) * F.lit(float(p))
+        wanted.append((name, h, F.floor(h), F.ceil(h)))
+
+    def any_within(lo: Column, hi: Column) -> Column:
+        return reduce(lambda x, y: x | y, [(lo <= r) & (r <= hi) for w in wanted for r in w[2:]])
+
+    offsets = offsets.where(any_within(F.col("off"), F.col("off") + F.col("bc") - 1)).drop("bc")
+    in_bucket = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (counts.join(F.broadcast(offsets), [*keys, "bucket"]).withColumn("r_hi", F.col("off") + F.sum("c").over(in_bucket) - 1)
+              .withColumn("r_lo", F.col("r_hi") - F.col("c") + 1))
+    firsts = [F.max("n").alias("n")]
+    for name, h, lo, hi in wanted:
+        at = lambda r: (F.col("r_lo") <= r) & (r <= F.col("r_hi"))
+        firsts += [F.max(h).alias(f"{name}__h"), F.max(lo).alias(f"{name}__lo"), F.max(F.when(at(lo), F.col("v"))).alias(f"{name}__a"),
+                   F.max(F.when(at(hi), F.col("v"))).alias(f"{name}__b")]
+    return ranked.groupBy(*keys).agg(*firsts)
+
+
+def _interpolated(name: str) -> Column:
+    """numpy's lerp: a + (b - a) * t, computed from the upper end when t >= 0.5."""
+    a, b, t = F.col(f"{name}__a"), F.col(f"{name}__b"), F.col(f"{name}__h") - F.col(f"{name}__lo")
+    return F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)
 
 
 def exact_quantiles(df: DataFrame, col: str | Column, probs: Mapping[str, float],
-                    buckets: int = DEFAULT_BUCKETS, neighbors: bool = False) -> DataFrame:
+                    buckets: int | None = None, neighbors: bool = False) -> DataFrame:
     """One-row DataFrame: ``n`` plus one column per entry of ``probs``
     (with ``neighbors``, also ``<name>_a`` / ``<name>_b``: the values at the
     two ranks the quantile interpolates between).
@@ -37,59 +91,25 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: Mapping[str, float]
     c = col if isinstance(col, Column) else F.col(col)
     v = df.select(c.cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     counts = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    if buckets > 1:
-        # bounds over the distinct values (what the window below sorts), so
-        # the source is not scanned a second time
-        bounds = counts.agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 1000)
-                            .alias("b"))
-        counts = (attach(counts, "_b", bounds)
-                  .withColumn("bucket", F.coalesce(F.size(F.filter("_b.b", lambda b: b < F.col("v"))),
-                                                   F.lit(0)))
-                  .drop("_b"))
-    else:
-        counts = counts.withColumn("bucket", F.lit(0))
-    in_bucket = Window.partitionBy("bucket").orderBy("v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("cum", F.sum("c").over(in_bucket))
-    # one row per bucket; the window below runs over at most `buckets` rows
-    per_bucket = counts.groupBy("bucket").agg(F.sum("c").alias("bc"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        "bucket", F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("off"),
-        F.sum("bc").over(Window.partitionBy()).alias("n"))
-    ranked = (counts.join(F.broadcast(offsets), "bucket")
-              .select("v", "n", (F.col("off") + F.col("cum") - F.col("c")).alias("r_lo"),
-                      (F.col("off") + F.col("cum") - 1).alias("r_hi")))
-    n = F.col("n")
-    wanted = []
-    for name, p in probs.items():
-        h = (n - 1) * F.lit(float(p))
-        wanted.append((name, h, F.floor(h), F.ceil(h)))
-
-    def covers(r):
-        return (F.col("r_lo") <= r) & (r <= F.col("r_hi"))
-
-    keep = F.lit(False)
-    for _, _, lo, hi in wanted:
-        keep = keep | covers(lo) | covers(hi)
-    picked = ranked.where(keep)
-    firsts = [F.max("n").alias("n")]
-    for name, h, lo, hi in wanted:
-        firsts += [F.max(h).alias(f"{name}__h"), F.max(lo).alias(f"{name}__lo"),
-                   F.max(F.when(covers(lo), F.col("v"))).alias(f"{name}__a"),
-                   F.max(F.when(covers(hi), F.col("v"))).alias(f"{name}__b")]
-    out = picked.agg(*firsts)
+    out = _picked(counts, probs, buckets or bucket_count(df.sparkSession))
     cols = [F.coalesce(F.col("n"), F.lit(0)).alias("n")]
     for name in probs:
-        a, b = F.col(f"{name}__a"), F.col(f"{name}__b")
-        t = F.col(f"{name}__h") - F.col(f"{name}__lo")
-        # numpy's lerp: a + (b-a)*t, computed from the upper end when t >= 0.5
-        cols.append(F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t).alias(name))
+        cols.append(_interpolated(name).alias(name))
         if neighbors:
-            cols += [a.alias(f"{name}_a"), b.alias(f"{name}_b")]
+            cols += [F.col(f"{name}__a").alias(f"{name}_a"), F.col(f"{name}__b").alias(f"{name}_b")]
     return out.select(*cols)
 
 
+def column_quantiles(df: DataFrame, cols: Sequence[str], p: float, buckets: int | None = None) -> DataFrame:
+    """One-row DataFrame with the quantile of every column (NULL where a
+    column has no values), from one pass over (column, value) pairs."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]))
+    long = df.select(pairs.alias("x")).select("x.k", "x.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    counts = long.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+    found = _picked(counts, {"q": p}, buckets or bucket_count(df.sparkSession), ["k"]).select("k", _interpolated("q").alias("q"))
+    return found.agg(*[F.max(F.when(F.col("k") == i, F.col("q"))).alias(c) for i, c in enumerate(cols)])
+
+
 def as_scalar(one_row: DataFrame) -> Column:
     """Struct-valued scalar subquery of a one-row DataFrame (fields by name)."""
     return one_row.select(F.struct(*one_row.columns).alias("s")).scalar()

@@ -115,27 +115,28 @@ def price_bins(df: DataFrame, n_bins: int = 10, price: str = "price_per_night",
 
 
 def _t_two_sided_p(t: Column, df: Column) -> Column:
-    """Two-sided Student-t p-value for integer degrees of freedom, by the
-    closed finite series of the t distribution (no UDF)."""
+    """Two-sided Student-t p-value for any integer degrees of freedom, by the
+    closed finite series of the t distribution (no UDF). Each term follows
+    from the one before it, so no factorial limits the degrees of freedom."""
     theta = F.atan(F.abs(t) / F.sqrt(df.cast("double")))
     c2 = F.pow(F.cos(theta), 2)
-    k = F.sequence(F.lit(0), F.greatest((df - 2) / 2, F.lit(0)).cast("int"))
-    even_terms = F.aggregate(
-        F.filter(k, lambda i: i <= (df - 2) / 2), F.lit(0.0),
-        lambda acc, i: acc + _binom2(i) / F.pow(F.lit(4.0), i) * F.pow(c2, i))
-    odd_terms = F.aggregate(
-        F.filter(k, lambda i: i <= (df - 3) / 2), F.lit(0.0),
-        lambda acc, i: acc + F.pow(F.lit(4.0), i) / ((2 * i + 1) * _binom2(i)) * F.pow(c2, i))
-    a_even = F.sin(theta) * even_terms
-    a_odd = F.when(df == 1, 2 * theta / F.lit(math.pi)).otherwise(
-        2 / F.lit(math.pi) * (theta + F.sin(theta) * F.cos(theta) * odd_terms))
-    a = F.when(df % 2 == 0, a_even).otherwise(a_odd)
-    return 1 - a
 
+    def series(last: Column, ratio) -> Column:
+        """1 + the terms up to ``last``, each the one before times ratio(k) * cos^2."""
+        start = F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term"))
+        steps = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1)).cast("int")), lambda k: k <= last)
+
+        def add(acc: Column, k: Column) -> Column:
+            term = acc["term"] * ratio(k.cast("double")) * c2
+            return F.struct((acc["sum"] + term).alias("sum"), term.alias("term"))
+        return F.aggregate(steps, start, add)["sum"]
 
-def _binom2(i: Column) -> Column:
-    """C(2i, i) as a double (i <= 10, so the factorials are exact)."""
-    return F.factorial(2 * i).cast("double") / F.pow(F.factorial(i).cast("double"), 2)
+    even = series((df - 2) / 2, lambda k: (2 * k - 1) / (2 * k))
+    odd = series((df - 3) / 2, lambda k: 2 * k / (2 * k + 1))
+    a_even = F.sin(theta) * even
+    a_odd = F.when(df == 1, 2 * theta / F.lit(math.pi)).otherwise(
+        2 / F.lit(math.pi) * (theta + F.sin(theta) * F.cos(theta) * odd))
+    return 1 - F.when(df % 2 == 0, a_even).otherwise(a_odd)
 
 
 def elasticity_fit(df: DataFrame, n_bins: int = 10, price: str = "price_per_night",
@@ -163,8 +164,8 @@ def elasticity_fit(df: DataFrame, n_bins: int = 10, price: str = "price_per_nigh
         F.coalesce(F.col("sweet"), F.lit(0.0)).alias("sweet"), "n", "x_min", "x_max",
         ok.alias("fitted"))
     return g.select(
-        r2(F.col("slope"), 3).alias("elasticity"), r2(F.col("r2"), 3).alias("r_squared"),
-        r2(F.col("p"), 4).alias("p_value"), r2(F.col("sweet"), 2).alias("sweet_spot"),
+        F.col("slope").alias("elasticity"), F.col("r2").alias("r_squared"), F.col("p").alias("p_value"),
+        F.col("sweet").alias("sweet_spot"),
         F.col("n").alias("n_bins"), elasticity_label(F.col("slope")).alias("interpretation"),
         "slope", "intercept", "x_min", "x_max", "fitted")
 
@@ -179,15 +180,16 @@ def elasticity_trend_line(df: DataFrame, n_bins: int = 10, points: int = 50,
     xr = F.when(F.col("i") == points - 1, F.col("x_max")).otherwise(
         F.col("x_min") + F.col("i").cast("double") * ((F.col("x_max") - F.col("x_min")) / F.lit(float(points - 1))))
     f = f.withColumn("xr", xr)
-    return f.select("i", r2(F.exp("xr") - 1).alias("price"),
-                    r2(F.exp(F.col("intercept") + F.col("slope") * F.col("xr")) - 1).alias("demand_pred"))
+    return f.select("i", (F.exp("xr") - 1).alias("price"),
+                    (F.exp(F.col("intercept") + F.col("slope") * F.col("xr")) - 1).alias("demand_pred"))
 
 
 def price_elasticity(df: DataFrame, n_bins: int = 10, points: int = 50, price: str = "price_per_night",
                      qty: str = "nights") -> dict[str, DataFrame]:
-    """A24-A26 in one pass: the bins (at most ``n_bins`` rows) are computed
-    once and kept; the fit and the trend line are derived from them."""
-    bins = price_bins(df, n_bins, price, qty).persist()
+    """The bins (at most ``n_bins`` rows) are the input of the fit and
+    the trend line. Lazy; a caller that reads several of the results may cache
+    ``binned``."""
+    bins = price_bins(df, n_bins, price, qty)
     fit = elasticity_fit(df, n_bins, price, qty, bins=bins)
     return {"binned": bins, "fit": fit, "trend_line": elasticity_trend_line(df, n_bins, points, fit=fit)}
 

@@ -25,8 +25,13 @@ def r2(c: Column, d: int = 2) -> Column:
 def exact_sum(col: str) -> Column:
     """Sum of money as an exact decimal, returned as double: the result does
     not depend on the order rows are added in (partitions, retries), so a
-    rounded mean that sits on a half-way point rounds the same every time."""
-    return F.sum(F.col(col).try_cast("decimal(38,10)")).cast("double")
+    rounded mean that sits on a half-way point rounds the same every time.
+    Amounts of 28 integer digits and ten decimals are kept; a larger one (or
+    an infinity) is an error, not a silent NULL."""
+    x = F.col(col)
+    exact = x.try_cast("decimal(38,10)")
+    too_large = F.when(x.isNotNull() & ~F.isnan(x.cast("double")), F.raise_error(F.lit(f"{col}: beyond 28 integer digits")).cast("decimal(38,10)"))
+    return F.sum(F.coalesce(exact, too_large)).cast("double")
 
 
 def exact_avg(col: str) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayspark import schema as S
+from stayspark.functions.listing import rating_value, review_count
+from stayspark.functions.text import plain_number
 from stayspark.operators import clean as CL
 from stayspark.operators import forecast as FC
 from stayspark.operators import market as MK
@@ -48,7 +50,13 @@ def rcols(df: DataFrame, cols, d=2) -> DataFrame:
     return df.withColumns({c: F.bround(F.col(c), d) for c in cols})
 
 
-XSUM = "CAST(sum(CAST(amount AS DECIMAL(38,10))) AS DOUBLE)"
+def xsum(col: str) -> str:
+    """Exact decimal sum of doubles, back as the nearest double. Both casts go
+    through text: DuckDB's direct ones scale by a power of ten in binary."""
+    return f"CAST(CAST(sum(CAST(CAST({col} AS VARCHAR) AS DECIMAL(38,10))) AS VARCHAR) AS DOUBLE)"
+
+
+XSUM = xsum("amount")
 XAVG = f"({XSUM} / count(amount))"
 SQL_METRIC = {
     "reservas": "count(amount) AS reservas",
@@ -114,8 +122,8 @@ def q_temporal_enrich(spark, sf):
 @register("parse_dates_elected", with_bookings(
     "SELECT id, CAST(arrival AS DATE) AS arrival, CAST(departure AS DATE) AS departure FROM bookings_clean"))
 def q_parse_dates(spark, sf):
-    return FX.bookings_clean(spark, sf).select("id", F.to_date("arrival").alias("arrival"),
-                                               F.to_date("departure").alias("departure"))
+    return FX.bookings_clean(spark, sf, elect=True).select("id", F.to_date("arrival").alias("arrival"),
+                                                           F.to_date("departure").alias("departure"))
 
 
 @register("confirmed_paid", with_bookings("SELECT id, property, amount FROM bookings"))
@@ -156,7 +164,7 @@ IMPUTE_IN = "imp AS (SELECT CAST(R_ID AS VARCHAR) AS id, TRY_CAST(R_NIGHTS AS DO
 
 def _impute_input(spark, sf):
     return FX.bookings_raw(spark, sf).select(F.col("R_ID").cast("string").alias("id"),
-                                             F.col("R_NIGHTS").try_cast("double").alias("nights"))
+                                             plain_number("R_NIGHTS").alias("nights"))
 
 
 @register("impute_mean", with_views(
@@ -255,7 +263,7 @@ PM_SQL = f"""pm AS (SELECT property, year_month, coalesce({XSUM}, 0.0) AS ingres
 SELECT property AS propiedad, max(CASE WHEN rp = 1 THEN year_month END) AS mes_pico,
   {rnd('max(ingresos)')} AS valor_pico, max(CASE WHEN rv = 1 THEN year_month END) AS mes_valle,
   {rnd('min(ingresos)')} AS valor_valle,
-  {rnd('CAST(sum(CAST(ingresos AS DECIMAL(38,10))) AS DOUBLE) / count(ingresos)')} AS media_mensual
+  {rnd(xsum('ingresos') + ' / count(ingresos)')} AS media_mensual
 FROM (SELECT *, row_number() OVER (PARTITION BY property ORDER BY ingresos DESC, year_month) AS rp,
              row_number() OVER (PARTITION BY property ORDER BY ingresos, year_month) AS rv FROM pm)
 GROUP BY property""", PM_SQL))
@@ -337,55 +345,49 @@ def q_dynamic_pricing(spark, sf):
     return ST.dynamic_pricing(FX.bookings(spark, sf))
 
 
-ELAST_SQL = [
-    "d0 AS (SELECT price_per_night AS p, nights AS q FROM bookings "
-    "WHERE price_per_night IS NOT NULL AND nights IS NOT NULL AND price_per_night > 0)",
-    f"cap AS (SELECT {q_agg('p', 0.95)} AS cap FROM d0)",
-    "d AS (SELECT p, q FROM d0 CROSS JOIN cap WHERE p <= cap)",
-    "rg AS (SELECT min(p) AS lo, max(p) AS hi FROM d)",
-    "db AS (SELECT p, q, lo, hi, CASE WHEN hi = lo THEN 1 ELSE 1 + list_sum(list_transform(range(1, 10), "
-    "lambda i: CAST(p > CAST(i AS DOUBLE) * ((hi - lo) / CAST(10 AS DOUBLE)) + lo AS INTEGER))) END AS bin "
-    "FROM d CROSS JOIN rg)",
-    "bins AS (SELECT bin, count(q) AS bookings, avg(q) AS avg_nights, avg(p) AS avg_price, "
-    "count(q) * avg(q) AS demand, avg(p) * (count(q) * avg(q)) AS revenue_proxy, "
-    "CASE WHEN max(hi) = max(lo) THEN max(lo) - CASE WHEN max(lo) = 0 THEN 0.001 ELSE abs(max(lo)) * 0.001 END "
-    "WHEN bin = 1 THEN max(lo) - (max(hi) - max(lo)) * 0.001 "
-    "ELSE max(lo) + CAST(bin - 1 AS DOUBLE) * ((max(hi) - max(lo)) / CAST(10 AS DOUBLE)) END AS bin_lo, "
-    "CASE WHEN max(hi) = max(lo) THEN max(hi) + CASE WHEN max(lo) = 0 THEN 0.001 ELSE abs(max(lo)) * 0.001 END "
-    "WHEN bin = 10 THEN max(hi) "
-    "ELSE max(lo) + CAST(bin AS DOUBLE) * ((max(hi) - max(lo)) / CAST(10 AS DOUBLE)) END AS bin_hi "
-    "FROM db GROUP BY bin)",
-]
+def elast_sql(n: int = 10) -> list[str]:
+    """Views of the elasticity bins with ``n`` bins."""
+    return [
+        "d0 AS (SELECT price_per_night AS p, nights AS q FROM bookings "
+        "WHERE price_per_night IS NOT NULL AND nights IS NOT NULL AND price_per_night > 0)",
+        f"cap AS (SELECT {q_agg('p', 0.95)} AS cap FROM d0)",
+        "d AS (SELECT p, q FROM d0 CROSS JOIN cap WHERE p <= cap)",
+        "rg AS (SELECT min(p) AS lo, max(p) AS hi FROM d)",
+        f"db AS (SELECT p, q, lo, hi, CASE WHEN hi = lo THEN 1 ELSE 1 + list_sum(list_transform(range(1, {n}), "
+        f"lambda i: CAST(p > CAST(i AS DOUBLE) * ((hi - lo) / CAST({n} AS DOUBLE)) + lo AS INTEGER))) END AS bin "
+        "FROM d CROSS JOIN rg)",
+        "bins AS (SELECT bin, count(q) AS bookings, avg(q) AS avg_nights, avg(p) AS avg_price, "
+        "count(q) * avg(q) AS demand, avg(p) * (count(q) * avg(q)) AS revenue_proxy, "
+        "CASE WHEN max(hi) = max(lo) THEN max(lo) - CASE WHEN max(lo) = 0 THEN 0.001 ELSE abs(max(lo)) * 0.001 END "
+        "WHEN bin = 1 THEN max(lo) - (max(hi) - max(lo)) * 0.001 "
+        f"ELSE max(lo) + CAST(bin - 1 AS DOUBLE) * ((max(hi) - max(lo)) / CAST({n} AS DOUBLE)) END AS bin_lo, "
+        "CASE WHEN max(hi) = max(lo) THEN max(hi) + CASE WHEN max(lo) = 0 THEN 0.001 ELSE abs(max(lo)) * 0.001 END "
+        f"WHEN bin = {n} THEN max(hi) "
+        f"ELSE max(lo) + CAST(bin AS DOUBLE) * ((max(hi) - max(lo)) / CAST({n} AS DOUBLE)) END AS bin_hi "
+        "FROM db GROUP BY bin)",
+    ]
+
+
+ELAST_SQL = elast_sql()
 BIN_OUT = ["bin_lo", "bin_hi", "avg_nights", "avg_price", "demand", "revenue_proxy"]
 
 
-_ELASTICITY: dict[tuple, dict] = {}
-
-
-def _elasticity(spark, sf) -> dict:
-    """One elasticity computation per session and input, shared by the
-    three elasticity queries (as one call returns bins, fit and line)."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _ELASTICITY:
-        _ELASTICITY[key] = ST.price_elasticity(FX.bookings(spark, sf))
-    return _ELASTICITY[key]
-
-
 @register("elasticity_bins", with_bookings(
     "SELECT bin, bookings, " + ", ".join(f"{rnd(c, 4)} AS {c}" for c in BIN_OUT) + " FROM bins", *ELAST_SQL))
 def q_elasticity_bins(spark, sf):
-    b = _elasticity(spark, sf)["binned"]
+    b = ST.price_bins(FX.bookings(spark, sf))
     return b.select("bin", "bookings", *[r2(F.col(c), 4).alias(c) for c in BIN_OUT])
 
 
 def _pvalue_sql(t: str, dof: str) -> str:
     theta = f"atan(abs({t}) / sqrt(CAST({dof} AS DOUBLE)))"
     c2 = f"pow(cos({theta}), 2)"
-    binom = "(CAST(factorial(CAST(2 * k AS INTEGER)) AS DOUBLE) / pow(CAST(factorial(CAST(k AS INTEGER)) AS DOUBLE), 2))"
+    # C(2k, k) / 4^k by the log gamma function, for any k
+    ratio = "exp(lgamma(2 * k + 1.0) - 2 * lgamma(k + 1.0) - k * ln(4.0))"
     even = (f"coalesce(list_sum(list_transform(range(0, CAST(({dof} - 2) / 2 AS BIGINT) + 1), "
-            f"lambda k: {binom} / pow(4.0, k) * pow({c2}, k))), 0.0)")
+            f"lambda k: {ratio} * pow({c2}, k))), 0.0)")
     odd = (f"coalesce(list_sum(list_transform(range(0, CAST(greatest(({dof} - 3) / 2 + 1, 0) AS BIGINT)), "
-           f"lambda k: pow(4.0, k) / ((2 * k + 1) * {binom}) * pow({c2}, k))), 0.0)")
+           f"lambda k: 1.0 / ((2 * k + 1) * {ratio}) * pow({c2}, k))), 0.0)")
     a_even = f"sin({theta}) * {even}"
     a_odd = (f"CASE WHEN {dof} = 1 THEN 2 * {theta} / pi() "
              f"ELSE 2 / pi() * ({theta} + sin({theta}) * cos({theta}) * {odd}) END")
@@ -404,15 +406,29 @@ LABEL_SQL = ("CASE WHEN s > -0.5 THEN '" + S.ELASTICITY_LABELS[0] + "' WHEN s >
              + S.ELASTICITY_LABELS[1] + "' ELSE '" + S.ELASTICITY_LABELS[2] + "' END")
 
 
-@register("elasticity_fit", with_bookings(f"""
+def _fit_sql(n: int) -> str:
+    return with_bookings(f"""
 SELECT {rnd('s', 3)} AS elasticity, {rnd('rsq', 3)} AS r_squared, {rnd('p', 4)} AS p_value,
        {rnd('coalesce(sweet, 0.0)', 2)} AS sweet_spot, n AS n_bins, {LABEL_SQL} AS interpretation
 FROM (SELECT CASE WHEN ok THEN slope ELSE 0.0 END AS s, CASE WHEN ok THEN r * r ELSE 0.0 END AS rsq,
              CASE WHEN ok THEN {_pvalue_sql('t', '(n - 2)')} ELSE 1.0 END AS p, sweet, n FROM fit)""",
-    *ELAST_SQL, *FIT_SQL))
+                         *elast_sql(n), *FIT_SQL)
+
+
+def _fit(spark, sf, n: int) -> DataFrame:
+    f = ST.elasticity_fit(FX.bookings(spark, sf), n)
+    return f.select(r2(F.col("elasticity"), 3).alias("elasticity"), r2(F.col("r_squared"), 3).alias("r_squared"),
+                    r2(F.col("p_value"), 4).alias("p_value"), r2(F.col("sweet_spot")).alias("sweet_spot"), "n_bins", "interpretation")
+
+
+@register("elasticity_fit", _fit_sql(10))
 def q_elasticity_fit(spark, sf):
-    return _elasticity(spark, sf)["fit"].select(
-        "elasticity", "r_squared", "p_value", "sweet_spot", "n_bins", "interpretation")
+    return _fit(spark, sf, 10)
+
+
+@register("elasticity_fit_30_bins", _fit_sql(30))
+def q_elasticity_fit_30(spark, sf):
+    return _fit(spark, sf, 30)
 
 
 @register("elasticity_trend_line", with_bookings(f"""
@@ -421,7 +437,8 @@ FROM (SELECT CAST(i AS INTEGER) AS i, slope, intercept,
              CASE WHEN i = 49 THEN x_max ELSE x_min + CAST(i AS DOUBLE) * ((x_max - x_min) / CAST(49 AS DOUBLE)) END AS xr
       FROM fit CROSS JOIN range(0, 50) AS g(i) WHERE ok)""", *ELAST_SQL, *FIT_SQL))
 def q_elasticity_trend(spark, sf):
-    return _elasticity(spark, sf)["trend_line"]
+    t = ST.elasticity_trend_line(FX.bookings(spark, sf))
+    return rcols(t, ["price", "demand_pred"])
 
 
 # ---------------------------------------------------------------------------
@@ -473,8 +490,8 @@ def q_opportunity(spark, sf):
 SELECT CASE WHEN (SELECT count(*) FROM an) >= 2 THEN {rnd('(y1 - y2) / y2 * 100', 1)} ELSE 0.0 END AS yoy_growth_pct,
        CASE WHEN n >= 2 THEN {rnd('(m1 - m2) / m2 * 100', 1)} ELSE 0.0 END AS mom_growth_pct,
        {rnd('total')} AS total_revenue, {rnd('mean')} AS avg_monthly, coalesce(best, '-') AS best_month
-FROM (SELECT count(*) AS n, CAST(sum(CAST(y AS DECIMAL(38,10))) AS DOUBLE) AS total,
-             CAST(sum(CAST(y AS DECIMAL(38,10))) AS DOUBLE) / count(y) AS mean,
+FROM (SELECT count(*) AS n, {xsum('y')} AS total,
+             {xsum('y')} / count(y) AS mean,
              max(y) FILTER (WHERE rn = 1) AS m1, max(y) FILTER (WHERE rn = 2) AS m2,
              arg_min(year_month, (-y, period)) AS best FROM t2) CROSS JOIN
      (SELECT max(total) FILTER (WHERE yr = 1) AS y1, max(total) FILTER (WHERE yr = 2) AS y2
@@ -520,7 +537,7 @@ def q_occupancy_month(spark, sf):
 @register("occupancy_quarter", with_bookings(f"""
 SELECT property, quarter, {rnd('noches')} AS noches, {rnd('ingresos')} AS ingresos, dias,
        {rnd('least(greatest(noches / dias * 100, 0.0), 100.0)')} AS ocupacion
-FROM (SELECT property, quarter, coalesce(sum(nights), 0.0) AS noches, coalesce(sum(amount), 0.0) AS ingresos,
+FROM (SELECT property, quarter, coalesce(sum(nights), 0.0) AS noches, coalesce({XSUM}, 0.0) AS ingresos,
              CASE quarter WHEN 'Q1' THEN 90 WHEN 'Q2' THEN 91 WHEN 'Q3' THEN 92 WHEN 'Q4' THEN 92 END AS dias
       FROM bookings WHERE property IS NOT NULL AND quarter IS NOT NULL GROUP BY property, quarter)"""))
 def q_occupancy_quarter(spark, sf):
@@ -561,8 +578,7 @@ GAP_SQL = """gap AS (
                (t.s - coalesce(o.s, 0.0)) / CASE WHEN t.c - o.c = 0 THEN NULL ELSE t.c - o.c END AS media_cartera
         FROM (SELECT property, avg(price_per_night) AS precio_medio, sum(price_per_night) AS s,
                      count(price_per_night) AS c FROM bookings WHERE property IS NOT NULL GROUP BY property) o
-        CROSS JOIN (SELECT sum(price_per_night) AS s, count(price_per_night) AS c FROM bookings
-                    WHERE property IS NOT NULL) t))"""
+        CROSS JOIN (SELECT sum(price_per_night) AS s, count(price_per_night) AS c FROM bookings) t))"""
 
 
 @register("price_gap_rules", with_bookings(f"""
@@ -659,14 +675,14 @@ def _esc(s: str) -> str:
 
 DIAG_CTES = [
     "d AS (SELECT * FROM bookings WHERE property IS NOT NULL)",
-    "base AS (SELECT property, avg(price_per_night) AS ppn, coalesce(sum(amount), 0.0) AS rev_total, "
+    f"base AS (SELECT property, avg(price_per_night) AS ppn, coalesce({XSUM}, 0.0) AS rev_total, "
     "count(*) AS bookings, count(amount) AS n_amount FROM d GROUP BY property)",
-    "g AS (SELECT avg(price_per_night) AS gppn FROM d)",
+    "g AS (SELECT avg(price_per_night) AS gppn FROM bookings)",
     "mn AS (SELECT avg(n_amount) AS mean_n FROM base)",
     "ch0 AS (SELECT property, channel, count(*) AS c FROM d GROUP BY property, channel)",
     "ch AS (SELECT property, arg_min(channel, (-c, channel)) AS top_channel, max(c) / sum(c) AS top_share "
     "FROM ch0 GROUP BY property)",
-    "mo0 AS (SELECT property, month, coalesce(sum(amount), 0.0) AS rev, count(amount) AS cnt FROM d "
+    f"mo0 AS (SELECT property, month, coalesce({XSUM}, 0.0) AS rev, count(amount) AS cnt FROM d "
     "WHERE month IS NOT NULL GROUP BY property, month)",
     "mo1 AS (SELECT *, {MED} AS med FROM mo0)",
     f"mo AS (SELECT property, stddev_samp(rev) / CASE WHEN avg(rev) = 0 THEN NULL ELSE avg(rev) END AS cv, "
@@ -707,18 +723,6 @@ def q_property_diagnosis(spark, sf):
                     r2(F.col("rev_total")).alias("rev_total"), r2(F.col("ppn")).alias("ppn"), "bookings")
 
 
-_SHARED: dict[tuple, DataFrame] = {}
-
-
-def _market_stats(spark, sf) -> DataFrame:
-    """Market price statistics (one row), computed once per session and
-    input for the market queries that need them."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _SHARED:
-        _SHARED[key] = MK.market_price_stats(MK.coerce_market(FX.market(spark, sf))).persist()
-    return _SHARED[key]
-
-
 MKT_STATS_SQL = (f"mstats AS (SELECT avg(precio_noche) AS m_mean, {q_agg('precio_noche', 0.5)} AS m_median, "
                  f"{q_agg('precio_noche', 0.75)} AS m_p75, count(precio_noche) AS n_listings "
                  f"FROM market WHERE precio_noche IS NOT NULL)")
@@ -734,7 +738,7 @@ ADV_COLS = ["total_ingresos", "precio_medio", "ocupacion_pct", "gold_value", "m_
                              max(ingresos) AS gold_value FROM pmon GROUP BY property) gm USING (property)
   CROSS JOIN mstats)""", KPI_SQL, PMONTH_SQL, MARKET, MKT_STATS_SQL))
 def q_advisor_facts(spark, sf):
-    a = PR.advisor_facts(FX.bookings(spark, sf), FX.market(spark, sf), stats=_market_stats(spark, sf))
+    a = PR.advisor_facts(FX.bookings(spark, sf), FX.market(spark, sf))
     return rcols(a, ADV_COLS)
 
 
@@ -769,7 +773,7 @@ MK_COLS = ["precio_medio", "m_mean", "m_median", "m_p75", "pos_pct", "diff_vs_me
   FROM kpi k CROSS JOIN mstats)""", KPI_SQL, MARKET, MKT_STATS_SQL))
 def q_market_kpis(spark, sf):
     own = PR.property_kpis(FX.bookings(spark, sf)).select("property", "precio_medio")
-    k = MK.market_kpis(own, FX.market(spark, sf), stats=_market_stats(spark, sf))
+    k = MK.market_kpis(own, FX.market(spark, sf))
     return rcols(k.select("property", "n_listings", *MK_COLS), MK_COLS)
 
 
@@ -787,7 +791,7 @@ def q_market_histogram(spark, sf):
 
 
 @register("market_by_type", with_views(f"""
-SELECT tipo, {rnd('avg(precio_noche)')} AS precio_noche FROM market WHERE precio_noche IS NOT NULL GROUP BY tipo""",
+SELECT tipo, {rnd('avg(precio_noche)')} AS precio_noche FROM market WHERE precio_noche IS NOT NULL GROUP BY tipo""".replace(" GROUP BY", " AND tipo IS NOT NULL GROUP BY"),
     MARKET))
 def q_market_by_type(spark, sf):
     return rcols(MK.price_by_type(FX.market(spark, sf)), ["precio_noche"])
@@ -804,7 +808,7 @@ BOX_SQL = ("SELECT 'Mercado' AS origen, " + ", ".join(f"{rnd(q_agg('precio_noche
 def q_market_box(spark, sf):
     """A31 box summary: market prices vs the portfolio's mean nightly price."""
     own = FX.bookings(spark, sf).agg(F.avg("price_per_night").alias("p"))
-    box = MK.price_box(FX.market(spark, sf), own, stats=_market_stats(spark, sf))
+    box = MK.price_box(FX.market(spark, sf), own)
     return rcols(box, [n for n, _ in BOX])
 
 
@@ -943,23 +947,33 @@ def q_search_inputs(spark, sf):
     return PL.search_inputs(FX.bookings_raw(spark, sf), FX.FIXTURE_CITY_KEYWORDS)
 
 
-SEARCH_AS_OF = "2001-01-01"
-
-
-@register("search_plan", with_views(f"""
+def _search_plan_sql(as_of: str) -> str:
+    return with_views("""
 SELECT ciudad, checkin, checkout, propiedad AS propiedad_referencia FROM pd
 WHERE (has_future AND future AND fk <= 3) OR (NOT has_future AND coalesce(before, 0) < 3)""",
-    BOOKINGS_RAW, _search_inputs_sql(),
-    f"""pd0 AS (SELECT propiedad, checkin, min(checkout) AS checkout, min(ciudad) AS ciudad, count(*) AS n,
-  checkin >= DATE '{SEARCH_AS_OF}' AS future FROM si GROUP BY propiedad, checkin)""",
-    """pd AS (SELECT *, max(CAST(future AS INTEGER)) OVER (PARTITION BY propiedad) = 1 AS has_future,
+                      BOOKINGS_RAW, _search_inputs_sql(),
+                      f"""pd0 AS (SELECT propiedad, checkin, min(checkout) AS checkout, min(ciudad) AS ciudad, count(*) AS n,
+  checkin >= DATE '{as_of}' AS future FROM si GROUP BY propiedad, checkin)""",
+                      """pd AS (SELECT *, max(CAST(future AS INTEGER)) OVER (PARTITION BY propiedad) = 1 AS has_future,
   row_number() OVER (PARTITION BY propiedad, future ORDER BY checkin) AS fk,
   sum(n) OVER (PARTITION BY propiedad ORDER BY checkin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
-  FROM pd0)"""))
+  FROM pd0)""")
+
+
+SEARCH_AS_OF, SEARCH_AFTER_ALL = "2001-01-01", "2100-01-01"
+
+
+@register("search_plan", _search_plan_sql(SEARCH_AS_OF))
 def q_search_plan(spark, sf):
     return PL.search_plan(PL.search_inputs(FX.bookings_raw(spark, sf), FX.FIXTURE_CITY_KEYWORDS), SEARCH_AS_OF)
 
 
+@register("search_plan_past", _search_plan_sql(SEARCH_AFTER_ALL))
+def q_search_plan_past(spark, sf):
+    """N9 where every stay is past."""
+    return PL.search_plan(PL.search_inputs(FX.bookings_raw(spark, sf), FX.FIXTURE_CITY_KEYWORDS), SEARCH_AFTER_ALL)
+
+
 def _text_lines_sql() -> str:
     from stayspark.plans.oracle import WS
     return f"""
@@ -977,3 +991,150 @@ def q_text_table_lines(spark, sf):
     t = text_table_lines(FX.table(spark, sf, "documents").select("doc_id", "text"))
     return t.select("doc_id", "line_no", F.size("cells").alias("n_cells"),
                     F.array_join("cells", "\u001f").alias("cells"))
+
+
+# ---------------------------------------------------------------------------
+# Cases that the shared views don't hold (F2, F24, F25, P6, W4, O5, U2, A11,
+# A14, A30, K1, X2 -> X1, X3)
+# ---------------------------------------------------------------------------
+
+DATE_COLUMNS = {"d0": "dd/MM/yyyy", "d1": "yyyy-MM-dd", "d2": "dd-MM-yyyy", "d3": "MM/dd/yyyy", "d4": "dd/MM/yyyy HH:mm:ss"}
+DATE_SQL = ["%d/%m/%Y", "%Y-%m-%d", "%d-%m-%Y", "%m/%d/%Y", "%d/%m/%Y %H:%M:%S"]
+MIXED_DATES = ["dd.MM.yyyy", "yyyyMMdd", "dd MMM yyyy", "MMM dd, yyyy"]
+MIXED_SQL = ["%d.%m.%Y", "%Y%m%d", "%d %b %Y", "%b %d, %Y"]
+
+
+@register("parse_dates_formats", "SELECT o_orderkey, " + ", ".join(
+    f"CAST(o_orderdate AS DATE) AS {c}" for c in [*DATE_COLUMNS, "mixed"]) + ", CAST(NULL AS DATE) AS none FROM orders")
+def q_parse_dates_formats(spark, sf):
+    """a column in each elected format, one in four layouts so that none
+    wins, and one that is no date."""
+    day = F.to_date("o_orderdate")
+    mixed = F.element_at(F.array(*[F.date_format(day, f) for f in MIXED_DATES]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    text = FX.table(spark, sf, "orders").select("o_orderkey", *[F.date_format(day, f).alias(c) for c, f in DATE_COLUMNS.items()],
+                                                mixed.alias("mixed"), F.lit("soon").alias("none"))
+    cols = [*DATE_COLUMNS, "mixed", "none"]
+    elected = CL.elect_date_formats(text, cols)
+    return text.select("o_orderkey", *[F.to_date(CL.parse_elected(c, elected[c])).alias(c) for c in cols])
+
+
+@register("rating_and_reviews", r"""
+SELECT l_orderkey, l_linenumber,
+  TRY_CAST(regexp_extract(t, '(\d+)[,.](\d+)', 1) || '.' || regexp_extract(t, '(\d+)[,.](\d+)', 2) AS DOUBLE) AS rating,
+  TRY_CAST(list_extract(regexp_extract_all(t, '\d+'), -1) AS INTEGER) AS reviews
+FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 5 = 0 THEN 'Nuevo'
+        ELSE '4,' || lpad(CAST(l_partkey % 100 AS VARCHAR), 2, '0') || ' (' || CAST(l_partkey % 300 AS VARCHAR) || ')' END AS t
+      FROM lineitem)""")
+def q_rating_reviews(spark, sf):
+    """F24, F25."""
+    t = F.expr("""CASE WHEN l_partkey % 5 = 0 THEN 'Nuevo' ELSE concat('4,', lpad(CAST(l_partkey % 100 AS STRING), 2, '0'), ' (',
+                  CAST(l_partkey % 300 AS STRING), ')') END""")
+    d = FX.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", t.alias("t"))
+    return d.select("l_orderkey", "l_linenumber", rating_value("t").alias("rating"), review_count("t").alias("reviews"))
+
+
+@register("raw_mode_properties", f"""
+SELECT n_name AS property, count(o_totalprice) AS reservas, {rnd(xsum('o_totalprice'))} AS ingresos,
+  {rnd(xsum('o_totalprice') + ' / count(o_totalprice)')} AS ticket_medio
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+def q_raw_mode(spark, sf):
+    """Uncleaned bookings (numeric amounts, no nights) through a property
+    operator."""
+    o, c, n = (FX.table(spark, sf, t) for t in ("orders", "customer", "nation"))
+    raw = (o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+           .select(F.col("n_name").alias("R_PROPERTY_NAME"), F.col("o_totalprice").alias("R_TOTAL_AMOUNT")))
+    return SM.property_summary(CL.raw_mode_frame(raw), 25).select("property", "reservas", "ingresos", "ticket_medio")
+
+
+SUMMER = ["Jul", "Ago"]
+KPI_MONTHS_SQL = KPI_SQL.replace("WHERE property IS NOT NULL", "WHERE property IS NOT NULL AND month_short IN ('Jul', 'Ago')")
+
+
+@register("property_kpis_months", with_bookings(
+    "SELECT property, total_reservas, " + ", ".join(f"{rnd(c)} AS {c}" for c in KPI_COLS) + " FROM kpi", KPI_MONTHS_SQL))
+def q_property_kpis_months(spark, sf):
+    """The dashboard's month selection."""
+    return rcols(PR.property_kpis(FX.bookings(spark, sf), SUMMER), KPI_COLS)
+
+
+@register("property_list", with_bookings("SELECT DISTINCT property FROM bookings WHERE property IS NOT NULL"))
+def q_property_list(spark, sf):
+    return PR.property_list(FX.bookings(spark, sf))
+
+
+@register("months_available", with_bookings("""
+SELECT DISTINCT property, month, month_short FROM bookings WHERE property IS NOT NULL AND month IS NOT NULL"""))
+def q_months_available(spark, sf):
+    return PR.months_available(FX.bookings(spark, sf))
+
+
+@register("property_month_matrix_wide", with_bookings(
+    "PIVOT (SELECT p.property, m.year_month, coalesce(pm.ingresos, 0.0) AS ingresos FROM (SELECT DISTINCT property FROM pm) p "
+    "CROSS JOIN (SELECT DISTINCT year_month FROM pm) m LEFT JOIN pm ON pm.property = p.property AND pm.year_month = m.year_month) "
+    "ON year_month USING round(sum(ingresos), 2) GROUP BY property", PM_SQL))
+def q_matrix_wide(spark, sf):
+    """A11 as the operator returns it: one column per month."""
+    w = SM.property_month_matrix(FX.bookings(spark, sf))
+    return w.select("property", *[F.round(F.col(f"`{c}`"), 2).alias(c) for c in w.columns if c != "property"])
+
+
+@register("unconfirmed_statuses_listed", with_bookings(
+    "SELECT DISTINCT CAST(status AS VARCHAR) AS status FROM bookings_clean WHERE status_group <> 'Confirmada'"))
+def q_unconfirmed_listed(spark, sf):
+    """A14 on bookings none of which is confirmed."""
+    return CL.unconfirmed_statuses(FX.bookings_clean(spark, sf).where("status_group <> 'Confirmada'"))
+
+
+@register("customer_price_rank", with_views("""
+SELECT o_orderkey, (SELECT count(*) FROM market WHERE precio_noche < p) AS n_below
+FROM (SELECT o_orderkey, o_totalprice / (1 + o_orderkey % 7) AS p FROM orders WHERE o_orderkey % 3 = 0)
+UNION ALL SELECT o_orderkey, CAST(NULL AS BIGINT) FROM orders WHERE o_orderkey % 3 = 1""".replace(
+    "(SELECT count(*) FROM market WHERE precio_noche < p)",
+    "coalesce((SELECT max(upto) FROM ranks WHERE ranks.v < p), 0)"), MARKET,
+    """ranks AS (SELECT v, sum(c) OVER (ORDER BY v) AS upto
+  FROM (SELECT CAST(precio_noche AS DOUBLE) AS v, count(*) AS c FROM market WHERE precio_noche IS NOT NULL GROUP BY 1))"""))
+def q_customer_price_rank(spark, sf):
+    """A30's rank lookup with thousands of probes, some without a price."""
+    price = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") / (1 + F.col("o_orderkey") % 7))
+    probes = FX.table(spark, sf, "orders").where("o_orderkey % 3 < 2").select("o_orderkey", price.alias("p"))
+    return MK.count_below(FX.market(spark, sf), "precio_noche", probes, "p").select("o_orderkey", "n_below")
+
+
+@register("market_upsert_two_batches", with_views(f"""
+SELECT {', '.join(MARKET_PAYLOAD[:3])}, coalesce(TRY_CAST(precio_noche AS INTEGER), 0) AS precio_noche,
+       {', '.join(MARKET_PAYLOAD[4:])} FROM (
+  SELECT *, row_number() OVER (PARTITION BY url, checkin ORDER BY l_orderkey % 2 DESC, l_orderkey DESC, l_linenumber DESC,
+                               precio_noche DESC, rating DESC NULLS LAST, ciudad DESC) AS rn FROM market)
+WHERE rn = 1""", MARKET))
+def q_market_upsert_two(spark, sf):
+    """K1 + N8: a later capture over an existing store."""
+    old, new = FX.store_batches(spark, sf)
+    return MK.upsert_listings(old, new, order=UPSERT_ORDER, drop=["l_orderkey", "l_linenumber"]).select(*MARKET_PAYLOAD)
+
+
+@register("page_listings", rf"""
+SELECT page_id, CAST(card_no AS INTEGER) AS card_no, title AS nombre, price AS precio_noche, CAST(4.81 AS DOUBLE) AS rating,
+       CAST(113 AS INTEGER) AS num_reviews, 'Casa entera' AS tipo,
+       '{S.LISTING_SITE_ROOT}/rooms/' || CAST(page_id AS VARCHAR) || '-' || CAST(card_no + 1 AS VARCHAR) AS url
+FROM (SELECT page_id, card_no, CASE WHEN t = '' THEN '{S.NO_TITLE}' ELSE t END AS title,
+             CASE card_no WHEN 0 THEN CASE WHEN page_id % 400 >= 10 THEN CAST(page_id % 400 AS INTEGER) END
+                          ELSE greatest(1, CAST(floor((CASE WHEN page_id + 200 > 99999 THEN CAST(left(CAST(page_id + 200 AS VARCHAR), 5) AS BIGINT)
+                                                       ELSE page_id + 200 END) / 3) AS INTEGER)) END AS price
+      FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '<[^>]*>', ' ', 'g'),
+                                                '\s+', ' ', 'g')) AS t FROM pages WHERE page_id % 7 <> 0)
+           CROSS JOIN (VALUES (0), (1)) AS c(card_no))
+WHERE price IS NOT NULL AND price <> 0""")
+def q_page_listings(spark, sf):
+    """X2 -> X1: title, price and link cut from each page's cards."""
+    out = MK.page_listings(FX.pages_with_cards(spark, sf), "2026-07-15", "2026-07-18", "2026-07-01", F.lit("X"), F.lit("Y"))
+    return out.select("page_id", F.col("card_no").cast("int").alias("card_no"), "nombre", "precio_noche", "rating", "num_reviews", "tipo", "url")
+
+
+@register("robot_page_flag_mixed", """
+SELECT page_id, page_id % 5 = 0 AND page_id % 7 = 0 AS is_robot FROM pages""")
+def q_robot_mixed(spark, sf):
+    """X3 where pages hold robot checks, listings, both or neither (a card
+    page carries the listing marker)."""
+    p = FX.pages_with_cards(spark, sf)
+    p = p.withColumn("html", F.regexp_replace("html", 'itemprop="x"', 'itemprop="itemListElement"'))
+    return p.select("page_id", MK.robot_page_flag(p).alias("is_robot"))

@@ -10,19 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayspark.operators.clean import add_outlier_flag, clean_and_enrich, filter_confirmed_paid
-from stayspark.session import MATERIALIZE_CONF, configure, ensure_parallelism, materialize
-
-
-# Large tables are spread over the task slots when their scan is narrow.
-SPREAD_KEYS = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"],
-               "documents": ["doc_id"], "pages": ["page_id"]}
+from stayspark.session import configure
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in SPREAD_KEYS:
-        df = ensure_parallelism(df, SPREAD_KEYS[name])
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 _US_MONEY = "format_number(CAST(o_totalprice AS DECIMAL(18,2)), 2)"
@@ -44,52 +36,34 @@ def bookings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("date_format(o_orderdate, 'dd/MM/yyyy')").alias("R_ARRIVAL"),
         F.expr("date_format(date_add(CAST(o_orderdate AS DATE), CAST(1 + o_orderkey % 7 AS INT)),"
                " 'dd/MM/yyyy')").alias("R_DEPARTURE"),
-        F.expr("CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(1 + o_orderkey % 7 AS STRING) END"
-               ).alias("R_NIGHTS"),
+        F.expr("""CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 31 = 0 THEN '5d'
+                  ELSE CAST(1 + o_orderkey % 7 AS STRING) END""").alias("R_NIGHTS"),
         F.expr(f"""CASE o_orderkey % 4 WHEN 0 THEN concat({_US_MONEY}, ' EUR') WHEN 1 THEN {_US_MONEY}
                    WHEN 2 THEN concat(translate({_US_MONEY}, ',.', '.,'), ' €')
                    ELSE replace({_US_MONEY}, ',', '') END""").alias("R_TOTAL_AMOUNT"),
-        F.col("n_name").alias("R_PROPERTY_NAME"),
-        F.expr("""CASE o_orderpriority WHEN '1-URGENT' THEN 'booking.com' WHEN '2-HIGH' THEN 'AIRBNB es'
-                  WHEN '3-MEDIUM' THEN 'vrbo' WHEN '5-LOW' THEN 'caty' ELSE NULL END""").alias("R_SOURCE"),
+        F.expr("CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE concat(n_name, ' ', CAST(c_custkey % 8 AS STRING)) END"
+               ).alias("R_PROPERTY_NAME"),
+        F.expr("""CASE WHEN o_orderpriority = '1-URGENT' THEN 'booking.com' WHEN o_orderpriority = '2-HIGH' THEN 'AIRBNB es'
+                  WHEN o_orderpriority = '3-MEDIUM' THEN 'vrbo' WHEN o_orderpriority = '5-LOW' THEN 'caty'
+                  WHEN o_orderkey % 3 = 0 THEN 'agencia DEL sol' ELSE NULL END""").alias("R_SOURCE"),
         F.col("c_name").alias("R_GUEST_NAME"),
     )
 
 
-_CURATED: dict[tuple, DataFrame] = {}
-
-
-def curated(spark: SparkSession, name: str, sf_dir: str, build, **kw) -> DataFrame:
-    """Build an input view once per session and keep it (see
-    :func:`stayspark.session.materialize`: persisted by default, or written
-    to the shared checkpoint folder to cut the lineage on a cluster).
-    ``release()`` unpersists everything."""
-    key = (spark.sparkContext.applicationId, name, sf_dir, tuple(sorted(kw.items())),
-           spark.conf.get(MATERIALIZE_CONF, "persist"))
-    df = _CURATED.get(key)
-    if df is None:
-        df = materialize(build(spark, sf_dir, **kw), name)
-        _CURATED[key] = df
-    return df
-
-
-def release() -> None:
-    for df in _CURATED.values():
-        df.unpersist()
-    _CURATED.clear()
+# The layout of the view's dates is known; only ``elect`` runs the election.
+BOOKING_DATES = {"arrival": "dd/MM/yyyy", "departure": "dd/MM/yyyy"}
 
 
-def bookings_clean(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    """Cleaned and enriched bookings (all statuses), curated once per session;
-    the outlier flag is added on top, so only its readers pay for it."""
-    base = curated(spark, "bookings_clean", sf_dir,
-                   lambda sp, d, **k: clean_and_enrich(bookings_raw(sp, d), outlier_flag=False, **k), **kw)
-    return add_outlier_flag(base)
+def bookings_clean(spark: SparkSession, sf_dir: str, elect: bool = False) -> DataFrame:
+    """Cleaned and enriched bookings (all statuses). Lazy: filters and column
+    lists of a query reach the scans."""
+    formats = None if elect else BOOKING_DATES
+    return add_outlier_flag(clean_and_enrich(bookings_raw(spark, sf_dir), formats, outlier_flag=False))
 
 
-def bookings(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned, confirmed and paid bookings: the input of the analytics."""
-    return filter_confirmed_paid(bookings_clean(spark, sf_dir, **kw))
+    return filter_confirmed_paid(bookings_clean(spark, sf_dir))
 
 
 def _lineitem_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,17 +72,14 @@ def _lineitem_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return (li.join(p, li.l_partkey == p.p_partkey)
+    # the line table meets parts by shuffle at any size, which also spreads a narrow scan
+    return (li.join(p.hint("shuffle_hash"), li.l_partkey == p.p_partkey)
             .join(s, li.l_suppkey == s.s_suppkey)
             .join(n, s.s_nationkey == n.n_nationkey))
 
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured market listings (plus the line keys used as arrival order)."""
-    return curated(spark, "market", sf_dir, _market)
-
-
-def _market(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     return _lineitem_dims(spark, sf_dir).select(
         F.col("p_name").alias("nombre"),
@@ -116,7 +87,7 @@ def _market(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE 4.0E0 + (l_partkey % 100) / 100.0E0 END"
                ).alias("rating"),
         F.expr("CAST(l_partkey % 300 AS INT)").alias("num_reviews"),
-        F.col("p_type").alias("tipo"),
+        F.expr("CASE WHEN l_partkey % 19 = 0 THEN NULL ELSE p_type END").alias("tipo"),
         F.expr("CAST(1 + p_size % 8 AS INT)").alias("capacidad"),
         F.concat(F.lit("https://example.com/rooms/"), F.col("l_partkey").cast("string")).alias("url"),
         F.expr("CAST(date_trunc('month', l_shipdate) AS DATE)").alias("checkin"),
@@ -163,15 +134,33 @@ PAGE_MARKERS = ["li", "p"]
 
 
 def captured_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``cards`` with the search context a capture carries (dates, place),
-    curated once per session like a stored capture table."""
-    return curated(spark, "captured_cards", sf_dir, _captured_cards)
-
-
-def _captured_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cards`` with the search context a capture carries (dates, place)."""
     c = cards(spark, sf_dir)
     checkin = F.lit(CARD_CHECKIN).cast("date")
     return c.select("l_orderkey", "l_linenumber", "title_raw", "price_raw", "text", "href",
                     checkin.alias("checkin"), F.date_add(checkin, F.col("nights").cast("int")).alias("checkout"),
                     "ciudad", F.col("ciudad").alias("propiedad_referencia"),
                     F.lit(CARD_SCRAPED_ON).cast("date").alias("scraped_on"))
+
+
+def pages_with_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` as a listings site would send them: robot checks (every
+    fifth page), and card containers whose title, price row and link come
+    from the page; every seventh page has no cards."""
+    p = table(spark, sf_dir, "pages").select("page_id", "html")
+    title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
+    card = lambda i, price: F.concat(
+        F.lit('<div itemprop="x" data-testid="card-container"><a href="/rooms/'), F.col("page_id").cast("string"), F.lit(f"-{i}"),
+        F.lit('"><div id="title_'), F.col("page_id").cast("string"), F.lit('">'), title,
+        F.lit('</div></a><span>4,81 (113)</span> Casa entera<br>'), price, F.lit("</div>"))
+    priced = F.concat(F.lit('<div data-testid="price-availability-row"><b>'), (F.col("page_id") % 400).cast("string"), F.lit(" € </b>noche</div>"))
+    total = F.concat(F.lit('<span class="u1 pricingText-x">'), (F.col("page_id") + 200).cast("string"), F.lit(" € en total</span>"))
+    cards_html = F.when(F.col("page_id") % 7 == 0, F.lit("")).otherwise(F.concat(card(1, priced), card(2, total), card(3, F.lit("agotado"))))
+    robot = F.when(F.col("page_id") % 5 == 0, F.lit("<p>Are you a ROBOT? captcha</p>")).otherwise(F.lit(""))
+    return p.select("page_id", F.concat(robot, F.lit("<main>"), cards_html, F.lit("</main>")).alias("html"))
+
+
+def store_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The market listings as an existing store and a later capture."""
+    m = market(spark, sf_dir)
+    return m.where("l_orderkey % 2 = 0"), m.where("l_orderkey % 2 = 1")

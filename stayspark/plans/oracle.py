@@ -16,13 +16,14 @@ BOOKINGS_RAW = f"""bookings_raw AS (
          ELSE CASE WHEN o_orderstatus = 'F' THEN 'Fact.' ELSE 'Booked' END END AS R_STATUS,
     strftime(o_orderdate, '%d/%m/%Y') AS R_ARRIVAL,
     strftime(o_orderdate + to_days(CAST(1 + o_orderkey % 7 AS INT)), '%d/%m/%Y') AS R_DEPARTURE,
-    CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(1 + o_orderkey % 7 AS VARCHAR) END AS R_NIGHTS,
+    CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 31 = 0 THEN '5d' ELSE CAST(1 + o_orderkey % 7 AS VARCHAR) END AS R_NIGHTS,
     CASE o_orderkey % 4 WHEN 0 THEN concat({US}, ' EUR') WHEN 1 THEN {US}
          WHEN 2 THEN concat(translate({US}, ',.', '.,'), ' €')
          ELSE replace({US}, ',', '') END AS R_TOTAL_AMOUNT,
-    n_name AS R_PROPERTY_NAME,
-    CASE o_orderpriority WHEN '1-URGENT' THEN 'booking.com' WHEN '2-HIGH' THEN 'AIRBNB es'
-         WHEN '3-MEDIUM' THEN 'vrbo' WHEN '5-LOW' THEN 'caty' ELSE NULL END AS R_SOURCE,
+    CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE n_name || ' ' || CAST(c_custkey % 8 AS VARCHAR) END AS R_PROPERTY_NAME,
+    CASE WHEN o_orderpriority = '1-URGENT' THEN 'booking.com' WHEN o_orderpriority = '2-HIGH' THEN 'AIRBNB es'
+         WHEN o_orderpriority = '3-MEDIUM' THEN 'vrbo' WHEN o_orderpriority = '5-LOW' THEN 'caty'
+         WHEN o_orderkey % 3 = 0 THEN 'agencia DEL sol' ELSE NULL END AS R_SOURCE,
     c_name AS R_GUEST_NAME
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
@@ -145,7 +146,7 @@ LINEITEM_DIMS = """lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON
 MARKET = f"""market AS (
   SELECT p_name AS nombre, CAST(floor(l_extendedprice) AS INT) AS precio_noche,
     CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE 4.0E0 + (l_partkey % 100) / 100.0E0 END AS rating,
-    CAST(l_partkey % 300 AS INT) AS num_reviews, p_type AS tipo, CAST(1 + p_size % 8 AS INT) AS capacidad,
+    CAST(l_partkey % 300 AS INT) AS num_reviews, CASE WHEN l_partkey % 19 = 0 THEN NULL ELSE p_type END AS tipo, CAST(1 + p_size % 8 AS INT) AS capacidad,
     concat('https://example.com/rooms/', CAST(l_partkey AS VARCHAR)) AS url,
     CAST(date_trunc('month', l_shipdate) AS DATE) AS checkin, l_orderkey, l_linenumber, n_name AS ciudad
   FROM {LINEITEM_DIMS})"""

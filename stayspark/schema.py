@@ -81,7 +81,8 @@ DATE_FORMATS = ["d/M/yyyy", "yyyy-M-d", "d-M-yyyy", "M/d/yyyy", "d/M/yyyy H:m:s"
 # Day-first fallback when no format wins.
 DATE_FALLBACK_FORMATS = ["d/M/yyyy H:m:s", "d/M/yyyy H:m", "d/M/yyyy", "d-M-yyyy H:m:s",
                          "d-M-yyyy", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d",
-                         "d.M.yyyy", "d/M/yy", "yyyyMMdd"]
+                         "d.M.yyyy", "d/M/yy", "yyyyMMdd", "d/M/yyyy h:m:s a", "d/M/yyyy h:m a",
+                         "yyyy-M-d'T'H:m:sXXX", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy"]
 # Planner row-level formats (%d/%m/%Y, %Y-%m-%d, %d-%m-%Y).
 PLANNER_DATE_FORMATS = ["d/M/yyyy", "yyyy-M-d", "d-M-yyyy"]
 
@@ -117,6 +118,9 @@ UNKNOWN_TYPE = "Desconocido"
 # Card containers and robot check markers on captured pages.
 CARD_MARKERS = ['data-testid="card-container"', 'itemprop="itemListElement"',
                 'data-testid="listing-card-wrapper"']
+# Attributes of a card's title and price row, first match wins.
+CARD_TITLE_ATTRIBUTES = ['id="title_', 'data-testid="listing-card-title"', 'data-testid="listing-card-name"']
+CARD_PRICE_ATTRIBUTES = ['data-testid="price-availability-row"', r'class="[^"]*\b_1jo4hgw\b', 'class="[^"]*pricingText']
 LISTING_PAGE_MARKERS = ['[data-testid="card-container"]', "itemListElement"]
 ROBOT_MARKERS = ["captcha", "are you a robot"]
 
@@ -147,29 +151,6 @@ DIAGNOSIS_TEXT = {
 
 MARKET_SEASONS = {"alta": [7, 8], "media": [5, 6, 9], "baja": [10, 11, 12, 1, 2, 3, 4]}
 
-# ---------------------------------------------------------------------------
-# Fixed schemas
-# ---------------------------------------------------------------------------
-
-MARKET_SCHEMA = T.StructType([
-    T.StructField("nombre", T.StringType()),
-    T.StructField("precio_noche", T.IntegerType()),
-    T.StructField("rating", T.DoubleType()),
-    T.StructField("num_reviews", T.IntegerType()),
-    T.StructField("tipo", T.StringType()),
-    T.StructField("capacidad", T.IntegerType()),
-    T.StructField("url", T.StringType()),
-    T.StructField("fecha_scraping", T.DateType()),
-    T.StructField("checkin", T.DateType()),
-    T.StructField("checkout", T.DateType()),
-    T.StructField("ciudad", T.StringType()),
-    T.StructField("propiedad_referencia", T.StringType()),
-])
-MARKET_COLUMNS = [f.name for f in MARKET_SCHEMA.fields]
-
-CARD_COLUMNS = ["title_raw", "price_raw", "text", "href", "checkin", "checkout",
-                "ciudad", "propiedad_referencia", "scraped_on"]
-
 # Recommendation texts (title, template); {top3}, {bot3}, {ppn}, {pct},
 # {media}, {gold} are filled per property.
 RECOMMENDATIONS = {
@@ -199,3 +180,26 @@ RECOMMENDATIONS = {
 GROWTH_RATE = 0.12
 OCCUPANCY_UPLIFT = 1.07
 PEER_PREFIX = "⭐ "
+
+# ---------------------------------------------------------------------------
+# Fixed schemas
+# ---------------------------------------------------------------------------
+
+MARKET_SCHEMA = T.StructType([
+    T.StructField("nombre", T.StringType()),
+    T.StructField("precio_noche", T.IntegerType()),
+    T.StructField("rating", T.DoubleType()),
+    T.StructField("num_reviews", T.IntegerType()),
+    T.StructField("tipo", T.StringType()),
+    T.StructField("capacidad", T.IntegerType()),
+    T.StructField("url", T.StringType()),
+    T.StructField("fecha_scraping", T.DateType()),
+    T.StructField("checkin", T.DateType()),
+    T.StructField("checkout", T.DateType()),
+    T.StructField("ciudad", T.StringType()),
+    T.StructField("propiedad_referencia", T.StringType()),
+])
+MARKET_COLUMNS = [f.name for f in MARKET_SCHEMA.fields]
+
+CARD_COLUMNS = ["title_raw", "price_raw", "text", "href", "checkin", "checkout",
+                "ciudad", "propiedad_referencia", "scraped_on"]

@@ -62,21 +62,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def ensure_parallelism(df, keys, min_partitions: int | None = None):
-    """Spread a scan that yields fewer partitions than the cluster has task
-    slots (e.g. one small file with one row group) by hashing on ``keys``.
-
-    Reading partition counts of a file scan needs no job. On real inputs
-    (many files / row groups) the scan is already wide and this is a no-op,
-    so no shuffle is added there. Hashing on a key (not round-robin) keeps
-    the split deterministic on retries.
-    """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, *keys)
-
-
 def written(df, name: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: cuts the lineage and survives the loss of any executor."""

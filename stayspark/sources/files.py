@@ -25,6 +25,13 @@ from pyspark.sql import functions as F
 SEPARATORS = [";", ",", "\t"]
 
 
+# Words that a spreadsheet export writes for a missing value (fixed values).
+MISSING_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+                 "NULL", "NaN", "None", "n/a", "nan", "null"]
+#: Different header lines that one folder may have.
+MAX_LAYOUTS = 100
+
+
 # -- S2 / S3: delimited text ---------------------------------------------------
 
 def _header_fields(line: str, sep: str) -> list[str]:
@@ -34,18 +41,34 @@ def _header_fields(line: str, sep: str) -> list[str]:
         return []
 
 
-def sniff_separator(spark: SparkSession, path: str, strict: bool = False) -> str:
-    """First of ``;`` ``,`` tab giving more than 2 header fields; otherwise
-    ``;`` (or ``ValueError`` when ``strict``, as the planner does). Reads
-    only the first line."""
-    first = spark.read.text(path).limit(1).collect()
-    line = first[0][0] if first else ""
-    for sep in SEPARATORS:
-        if len(_header_fields(line, sep)) > 2:
-            return sep
-    if strict:
+def _layouts(spark: SparkSession, path: str, encoding: str) -> dict[str, list[str]]:
+    """Files by their first non-blank line."""
+    lines = (spark.read.option("encoding", encoding).text(path)
+             .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                     F.monotonically_increasing_id().alias("line"))
+             .where("at = 0 and trim(value) <> ''"))
+    # Ids grow along a file's first block; the least is its first line.
+    heads = lines.groupBy("file").agg(F.min_by("value", "line").alias("head"))
+    found = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).limit(MAX_LAYOUTS + 1).collect()
+    if len(found) > MAX_LAYOUTS:
+        raise ValueError(f"{path}: more than {MAX_LAYOUTS} different header lines")
+    return {r.head: r.files for r in sorted(found, key=lambda r: r.files[0])}
+
+
+def _separator(head: str) -> str | None:
+    """First of ``;`` ``,`` tab that gives more than 2 header fields."""
+    return next((sep for sep in SEPARATORS if len(_header_fields(head, sep)) > 2), None)
+
+
+def sniff_separator(spark: SparkSession, path: str, strict: bool = False, encoding: str = "ISO-8859-1") -> str:
+    """Separator of the file (of the first file of a folder): ``;`` when none
+    gives more than 2 header fields, or ``ValueError`` when ``strict``, as
+    the planner does."""
+    heads = list(_layouts(spark, path, encoding))
+    sep = _separator(heads[0]) if heads else None
+    if sep is None and strict:
         raise ValueError(f"no separator gives more than 2 columns in {path}")
-    return ";"
+    return sep or ";"
 
 
 def clean_header(name: str) -> str:
@@ -53,16 +76,32 @@ def clean_header(name: str) -> str:
 
 
 def read_bookings_csv(spark: SparkSession, path: str, strict: bool = False,
-                      encoding: str = "ISO-8859-1") -> DataFrame:
+                      encoding: str = "ISO-8859-1", multiline: bool = True) -> DataFrame:
     """All columns as strings, Latin-1, ``"`` quotes; header names lose
-    their quotes and blanks (only when a separator was recognised)."""
-    sep = sniff_separator(spark, path, strict)
-    df = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-          .option("quote", '"').option("escape", '"').option("inferSchema", False)
-          .option("mode", "PERMISSIVE").csv(path))
-    line = spark.read.text(path).limit(1).collect()
-    recognised = bool(line) and len(_header_fields(line[0][0], sep)) > 2
-    return df.toDF(*[clean_header(c) for c in df.columns]) if recognised else df
+    their quotes and blanks (only when a separator was recognised); the words
+    for a missing value are NULL.
+
+    Every file is read by its own header line, so files of a folder may have
+    other separators or columns; columns meet by name. ``multiline`` lets
+    quoted fields hold line breaks, at the price of one task per file: turn it
+    off for large files that have none.
+    """
+    out = None
+    for head, files in _layouts(spark, path, encoding).items():
+        sep = _separator(head)
+        if sep is None and strict:
+            raise ValueError(f"no separator gives more than 2 columns in {files[0]}")
+        df = (spark.read.option("header", True).option("sep", sep or ";").option("encoding", encoding)
+              .option("quote", '"').option("escape", '"').option("inferSchema", False)
+              .option("multiLine", multiline).option("mode", "PERMISSIVE").csv(files))
+        df = df.toDF(*[clean_header(c) for c in df.columns]) if sep else df
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        if strict:
+            raise ValueError(f"no separator gives more than 2 columns in {path}")
+        return spark.createDataFrame([], "value string")
+    missing = [F.when(~F.col(f"`{c}`").isin(MISSING_WORDS), F.col(f"`{c}`")).alias(c) for c in out.columns]
+    return out.select(*missing)
 
 
 def read_planner_bookings(spark: SparkSession, path: str) -> DataFrame:
@@ -150,75 +189,90 @@ def docx_content(data: bytes) -> tuple[list[list[str]], list[str]]:
     return rows, [p for p in paras if p.strip()]
 
 
-_ROWS_SCHEMA = "path string, kind string, row_no long, cells array<string>"
+_ROWS_SCHEMA = "path string, kind string, row_no long, names array<string>, cells array<string>"
+
+
+def _names(header: list, width: int) -> list[str]:
+    """Column names of a table: its header, ``_i`` for blank or missing ones,
+    ``name.k`` for repeats."""
+    out: list[str] = []
+    for i in range(max(width, len(header))):
+        name = str(header[i]) if i < len(header) and header[i] not in (None, "") else f"_{i}"
+        again, base = 0, name
+        while name in out:
+            again += 1
+            name = f"{base}.{again}"
+        out.append(name)
+    return out
+
+
+def _file_rows(content: bytes, kind: str) -> list[tuple[str, int, list[str], list]]:
+    """(kind, row, names, cells) of one file: the first row is the file's own
+    header; a document without tables gives its paragraphs."""
+    if kind == "xlsx":
+        rows, paras = xlsx_rows(content), []
+    else:
+        rows, paras = docx_content(content)
+    if rows:
+        names = _names(rows[0], max(map(len, rows)))
+        return [("table", i, names[: max(len(r), len(rows[0]))], r) for i, r in enumerate(rows)]
+    return [("paragraph", i + 1, ["texto"], [p]) for i, p in enumerate(paras)]
 
 
 def _explode_files(kind: str):
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
             for path, content in zip(b["path"], b["content"]):
-                if kind == "xlsx":
-                    for i, r in enumerate(xlsx_rows(content)):
-                        out.append((path, "table", i, r))
-                else:
-                    rows, paras = docx_content(content)
-                    if rows:
-                        out += [(path, "table", i, r) for i, r in enumerate(rows)]
-                    else:
-                        out += [(path, "paragraph", i, [p]) for i, p in enumerate(paras)]
-            yield pd.DataFrame(out, columns=["path", "kind", "row_no", "cells"])
+                rows = [(path, *r) for r in _file_rows(content, kind)]
+                yield pd.DataFrame(rows, columns=["path", "kind", "row_no", "names", "cells"])
     return fn
 
 
 def file_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Long form (path, kind, row_no, cells) of every matching file."""
+    """Long form (path, kind, row_no, names, cells) of every matching file."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(_explode_files(kind), _ROWS_SCHEMA)
 
 
-def _to_table(rows: DataFrame, header: list[str]) -> DataFrame:
-    return rows.select(*[F.try_element_at("cells", F.lit(i + 1)).alias(h) for i, h in enumerate(header)])
+def _to_table(rows: DataFrame) -> DataFrame:
+    """One column for every header name of any file, cells put by their own
+    file's names."""
+    heads = rows.groupBy("path", "kind").agg(F.max_by("names", F.size("names")).alias("names"))
+    order = heads.select("path", F.posexplode("names").alias("i", "name")).groupBy("name").agg(F.min(F.struct("i", "path")).alias("first"))
+    names = [r.name for r in order.orderBy("first").collect()]
+    if not names:
+        return rows.sparkSession.createDataFrame([], "value string")
+    body = rows.where("row_no > 0")
+    cell = F.map_from_arrays(F.slice("names", 1, F.least(F.size("names"), F.size("cells"))),
+                             F.slice("cells", 1, F.least(F.size("names"), F.size("cells"))))
+    body = body.select(cell.alias("m"))
+    return body.select(*[F.try_element_at("m", F.lit(n)).alias(n) for n in names])
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """First sheet of each workbook, first row = header (taken from the
-    first file; the files of one folder share a layout)."""
-    rows = file_rows(spark, path, "xlsx")
-    head = rows.where("row_no = 0").orderBy("path").select("cells").limit(1).collect()
-    if not head:
-        return spark.createDataFrame([], "value string")
-    header = [str(h) if h is not None else f"_{i}" for i, h in enumerate(head[0][0])]
-    return _to_table(rows.where("row_no > 0"), header)
+    """First sheet of each workbook; the first row is the workbook's own
+    header, and columns of several workbooks meet by name."""
+    return _to_table(file_rows(spark, path, "xlsx"))
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of all tables, first row is the header; without tables the
-    non-blank paragraphs as column ``texto``."""
-    rows = file_rows(spark, path, "docx")
-    kinds = {r[0] for r in rows.select("kind").distinct().collect()}
-    if "table" in kinds:
-        t = rows.where("kind = 'table'")
-        head = t.orderBy("path", "row_no").select("cells").limit(1).collect()[0][0]
-        first_path = t.orderBy("path").select("path").limit(1).collect()[0][0]
-        body = t.where(~((F.col("path") == first_path) & (F.col("row_no") == 0)))
-        return _to_table(body, [h if h else f"_{i}" for i, h in enumerate(head)])
-    return rows.select(F.col("cells")[0].alias("texto"))
+    """Rows of all tables of each document under its own header (its first
+    row); documents without tables give their non-blank paragraphs as column
+    ``texto``."""
+    return _to_table(file_rows(spark, path, "docx"))
 
 
 # -- S1 ----------------------------------------------------------------------
 
+READERS = {"csv": read_bookings_csv, "xlsx": read_xlsx, "docx": read_docx}
+NOT_BUILT = {"xls": "save legacy workbooks as .xlsx", "pdf": "parse extracted text with text_table_lines"}
+
+
 def load_file(spark: SparkSession, path: str) -> DataFrame:
-    """Dispatch on the file extension."""
-    name = path.lower().rstrip("/")
-    if name.endswith(".csv"):
-        return read_bookings_csv(spark, path)
-    if name.endswith((".xlsx", ".xls")):
-        if name.endswith(".xls"):
-            raise NotImplementedError("legacy .xls decoding is not built; save as .xlsx")
-        return read_xlsx(spark, path)
-    if name.endswith(".pdf"):
-        raise NotImplementedError("PDF decoding is not built; parse extracted text with text_table_lines")
-    if name.endswith(".docx"):
-        return read_docx(spark, path)
-    raise ValueError(f"Formato no soportado: {name}")
+    """The reader that the file's suffix names."""
+    suffix = path.rstrip("/").rpartition(".")[2].lower()
+    if suffix in NOT_BUILT:
+        raise NotImplementedError(f".{suffix} is not read here: {NOT_BUILT[suffix]}")
+    if suffix not in READERS:
+        raise ValueError(f"no reader for {path!r}; there are readers for {', '.join(sorted(READERS))}")
+    return READERS[suffix](spark, path)

@@ -1,15 +1,17 @@
 """Market listings storage.
 
 The store is append-only: every capture batch is written to its own
-``batch_id=<n>`` partition (overwriting only that partition, so a retried
-batch replaces itself), and the current listing set is the keep-last
-upsert over all batches, computed on read. Nothing is rewritten in place,
-so a failed or repeated write never loses or duplicates data.
+``run_id=<run>/batch_id=<n>`` partition (overwriting only that partition, so a
+retried batch replaces itself), and the current listing set is the keep-last
+upsert over all batches, computed on read. Nothing else is rewritten in place,
+so a failed, repeated or restarted writer never loses or duplicates data;
+``compact`` starts a new store from the current listings.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,27 +27,46 @@ def read_market_csv(spark: SparkSession, path: str) -> DataFrame:
             .option("mode", "PERMISSIVE").csv(path))
 
 
-def append_batch(listings: DataFrame, root: str, batch_id: int, order_col: str | None = None) -> None:
-    """Write one capture batch as partition ``batch_id`` (idempotent)."""
-    out = listings.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
-    if order_col is None:
-        out = out.withColumn("_pos", F.monotonically_increasing_id())
-    else:
-        out = out.withColumnRenamed(order_col, "_pos")
+def append_batch(listings: DataFrame, root: str, run_id: str, batch_id: int) -> None:
+    """Write one capture batch as partition ``run_id`` / ``batch_id``.
+
+    ``run_id`` names the writer whose batch numbers these are (a stream's own
+    id, a capture's id): a repeated batch replaces itself, and another run's
+    batch of the same number is another partition.
+    """
+    out = listings.withColumns({"run_id": F.lit(str(run_id)), "batch_id": F.lit(int(batch_id)).cast("long")})
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(root))
+     .partitionBy("run_id", "batch_id").parquet(root))
 
 
-def current_listings(spark: SparkSession, root: str) -> DataFrame:
-    """K1 on read: last row per (url, checkin) over all batches."""
+def _log(spark: SparkSession, root: str) -> DataFrame:
+    """All batches (run ids that look like numbers stay text)."""
     log = spark.read.parquet(root)
-    return upsert_listings(None, log, order=["batch_id", "_pos"], drop=["batch_id", "_pos"])
+    return log.withColumns({"run_id": F.col("run_id").cast("string"), "batch_id": F.col("batch_id").cast("long")})
+
+
+def current_listings(spark: SparkSession, root: str, order: Sequence[str]) -> DataFrame:
+    """K1 on read: last row per (url, checkin) over all batches. ``order``
+    names the columns that say which is later (a capture time, then a key);
+    rows that tie on them are ordered by batch and then by content, so the
+    answer doesn't depend on files or partitions."""
+    if not order:
+        raise ValueError("name the columns that order captures")
+    return upsert_listings(None, _log(spark, root), order=[*order, "batch_id", "run_id"], drop=["batch_id", "run_id"])
+
+
+def compact(spark: SparkSession, root: str, new_root: str, order: Sequence[str]) -> None:
+    """Write the current listings as the first batch of a new store, so that
+    reads no longer add up all history."""
+    append_batch(current_listings(spark, root, order), new_root, "compacted", 0)
 
 
-def upsert_to(existing: DataFrame | None, new: DataFrame, out_path: str, fmt: str = "parquet") -> DataFrame:
-    """K1 as one job: union, keep last, write to a *new* path."""
-    res = upsert_listings(existing, new)
-    res.write.mode("overwrite").format(fmt).option("header", True).save(out_path)
+def upsert_to(existing: DataFrame | None, new: DataFrame, out_path: str, order: Sequence[str], fmt: str = "parquet") -> DataFrame:
+    """K1 as one job: union, keep last by ``order``, write to a *new* path."""
+    if not order:
+        raise ValueError("name the columns that order captures")
+    res = upsert_listings(existing, new, order=order)
+    res.write.mode("error").format(fmt).option("header", True).save(out_path)
     return res
 
 

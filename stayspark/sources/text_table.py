@@ -17,8 +17,14 @@ def text_table_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     return lines.select(key, "line_no", SF.py_split("line").alias("cells"))
 
 
-def to_columns(lines: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """Project the first ``n`` cells to columns ``_0 .. _{n-1}`` (NULL when a
-    line is shorter), as a positional table."""
+def to_columns(lines: DataFrame, n: int | None = None, key: str = "doc_id") -> DataFrame:
+    """Cells as columns ``_0 .. _{n-1}`` (NULL when a line is shorter), a
+    positional table. Without ``n`` the longest line sets the width (one
+    number is read for that); with it, a longer line is an error."""
+    if n is None:
+        n = lines.agg(F.max(F.size("cells"))).first()[0] or 0
+    else:
+        too_long = F.raise_error(F.format_string("a line has %d cells", F.size("cells"))).cast("array<string>")
+        lines = lines.withColumn("cells", F.when(F.size("cells") > n, too_long).otherwise(F.col("cells")))
     return lines.select(key, "line_no", *[F.try_element_at("cells", F.lit(i + 1)).alias(f"_{i}")
                                           for i in range(n)])

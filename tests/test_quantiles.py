@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from stayspark.operators.market import count_below
-from stayspark.operators.quantiles import exact_quantiles, small_quantile
+from stayspark.operators.quantiles import column_quantiles, exact_quantiles, small_quantile
 
 
 def test_fixture_values(spark):
@@ -46,3 +46,30 @@ def test_count_below_matches_brute_force(spark):
     pr = spark.createDataFrame([(i, x) for i, x in enumerate(probes)], "id int, price double")
     got = {r.id: r.n_below or 0 for r in count_below(v, "p", pr, "price", buckets=7).collect()}
     assert got == {i: sum(1 for x in vals if x < p) for i, p in enumerate(probes)}
+
+
+def test_rank_lookup_does_not_depend_on_partitions(spark):
+    """20,000 probes with AQE dealing both sides differently."""
+    conf = {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rng = np.random.default_rng(5)
+        vals, probes = np.round(rng.normal(100, 30, 30_000), 1), np.round(rng.normal(100, 40, 20_000), 1)
+        v = spark.createDataFrame([(float(x),) for x in vals], "p double")
+        pr = spark.createDataFrame([(i, float(x)) for i, x in enumerate(probes)] + [(-1, None)], "id int, price double")
+        got = {r.id: r.n_below for r in count_below(v, "p", pr, "price").collect()}
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+    assert got.pop(-1) is None
+    want = np.searchsorted(np.sort(vals), probes)
+    assert [got[i] for i in range(len(probes))] == want.tolist()
+
+
+def test_column_quantiles(spark):
+    df = spark.createDataFrame([(1.0, 5, None), (2.0, None, None), (4.0, 7, None)], "a double, b int, c double")
+    r = column_quantiles(df, ["a", "b", "c"], 0.5).first()
+    assert (r.a, r.b, r.c) == (2.0, 6.0, None)

@@ -6,6 +6,7 @@ import os
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from stayspark.operators.clean import clean_and_enrich, map_columns
 from stayspark.sources import files as FS
@@ -133,14 +134,19 @@ def test_market_csv_store_and_snapshot(spark, tmpdir_path):
     assert rows["A"].precio_noche == 100 and rows["A"].checkin == dt.date(2026, 7, 15)
     assert rows["B"].precio_noche is None
     root = os.path.join(tmpdir_path, "store")
-    MS.append_batch(m, root, 0)
+    MS.append_batch(m, root, "run", 0)
     newer = m.where("nombre = 'A'").withColumn("precio_noche", m.precio_noche + 1)
-    MS.append_batch(newer, root, 1)
-    MS.append_batch(newer, root, 1)  # replayed batch: written once
-    cur = {r.url: r.precio_noche for r in MS.current_listings(spark, root).collect()}
-    assert cur == {"u1": 101, "u2": 0}
-    snap = MS.snapshot(MS.current_listings(spark, root), os.path.join(tmpdir_path, "snaps"), dt.date(2026, 7, 2))
-    assert snap.endswith("snapshot_date=20260702") and spark.read.parquet(snap).count() == 2
+    MS.append_batch(newer, root, "run", 1)
+    MS.append_batch(newer, root, "run", 1)  # replayed batch: written once
+    MS.append_batch(newer.withColumn("url", F.lit("u3")), root, "other", 0)  # another run's batch 0
+    cur = {r.url: r.precio_noche for r in MS.current_listings(spark, root, ["fecha_scraping"]).collect()}
+    assert cur == {"u1": 101, "u2": 0, "u3": 101}
+    with pytest.raises(ValueError):
+        MS.current_listings(spark, root, [])
+    MS.compact(spark, root, root + "2", ["fecha_scraping"])
+    assert {r.url: r.precio_noche for r in MS.current_listings(spark, root + "2", ["fecha_scraping"]).collect()} == cur
+    snap = MS.snapshot(MS.current_listings(spark, root, ["fecha_scraping"]), os.path.join(tmpdir_path, "snaps"), dt.date(2026, 7, 2))
+    assert snap.endswith("snapshot_date=20260702") and spark.read.parquet(snap).count() == 3
 
 
 @pytest.mark.parametrize("mode", ["table", "checkpoint"])
@@ -161,3 +167,39 @@ def test_planner_csv_strict(spark, tmpdir_path):
     si = search_inputs(FS.read_planner_bookings(spark, p)).collect()
     assert sorted((r.propiedad, r.ciudad, str(r.checkin), r.noches) for r in si) == [
         ("Casa Peñiscola", "Peñíscola", "2024-10-03", 3), ("Casa Peñiscola", "Peñíscola", "2024-10-04", 1)]
+
+
+def test_csv_folder_of_other_layouts(spark, tmpdir_path):
+    """Each file by its own header; line breaks in quotes; words for missing."""
+    write(os.path.join(tmpdir_path, "a.csv"), 'id;status;amount\n1;Booked;"10\n20"\n2;NULL;n/a\n')
+    write(os.path.join(tmpdir_path, "b.csv"), "amount,id,guest\n30,3,Ana\n")
+    got = sorted((r["id"], r["status"], r["amount"], r["guest"]) for r in FS.read_bookings_csv(spark, tmpdir_path).collect())
+    assert got == [("1", "Booked", "10\n20", None), ("2", None, None, None), ("3", None, "30", "Ana")]
+
+
+def test_workbooks_and_documents_of_other_layouts(spark, tmpdir_path):
+    for name, rows in (("a", [["id", "amount"], ["1", "10"], ["2", "20", "extra"]]), ("b", [["amount", "id"], ["30", "3"]])):
+        with open(os.path.join(tmpdir_path, f"{name}.xlsx"), "wb") as f:
+            f.write(_xlsx_bytes(rows))
+    got = sorted((r["id"], r["amount"], r["_2"]) for r in FS.read_xlsx(spark, tmpdir_path + "/*.xlsx").collect())
+    assert got == [("1", "10", None), ("2", "20", "extra"), ("3", "30", None)]
+    for name, t, p in (("a", [[["id", "amount"], ["1", "10"]]], ()), ("b", [[["id", "amount"], ["2", "20"]]], ()), ("c", None, ["Texto"])):
+        with open(os.path.join(tmpdir_path, f"{name}.docx"), "wb") as f:
+            f.write(_docx_bytes(t, p))
+    got = sorted(((r["id"], r["amount"], r["texto"]) for r in FS.read_docx(spark, tmpdir_path + "/*.docx").collect()), key=str)
+    assert got == [("1", "10", None), ("2", "20", None), (None, None, "Texto")]
+
+
+def test_store_keeps_the_same_row_however_dealt(spark, tmpdir_path):
+    rows = [("u", "2026-07-15", i, "2026-07-01") for i in range(500)]
+    df = spark.createDataFrame(rows, "url string, checkin string, precio_noche int, fecha_scraping string")
+    from stayspark.operators.market import upsert_listings
+    kept = {upsert_listings(None, df.repartition(n), order=["fecha_scraping"]).first().precio_noche for n in (1, 2, 5, 7)}
+    assert len(kept) == 1
+
+
+def test_text_columns_lose_nothing(spark):
+    lines = text_table_lines(spark.createDataFrame([(1, "a b c\nd")], "doc_id long, text string"))
+    assert to_columns(lines).columns == ["doc_id", "line_no", "_0", "_1", "_2"]
+    with pytest.raises(Exception, match="cells"):
+        to_columns(lines, 2).collect()

@@ -19,5 +19,13 @@ def test_stream_upsert(spark, tmpdir_path):
     stream = spark.readStream.schema(SCHEMA).json(src + "/*")
     q = start_listing_upsert(stream, os.path.join(tmpdir_path, "store"), os.path.join(tmpdir_path, "ckpt"))
     q.awaitTermination(120)
-    got = {r.url: r.precio_noche for r in current_listings(spark, os.path.join(tmpdir_path, "store")).collect()}
+    store = os.path.join(tmpdir_path, "store")
+    got = {r.url: r.precio_noche for r in current_listings(spark, store, ["fecha_scraping"]).collect()}
     assert got == {"https://www.airbnb.es/rooms/1": 100, "https://www.airbnb.es/rooms/2": 90}
+    # a new checkpoint starts batch numbers anew; the first run's listings stay
+    more = [("Casa Mar", "70 €", "Cabaña", "/rooms/3", "2026-07-15", "2026-07-16", "Valencia", "P", "2026-07-02")]
+    spark.createDataFrame(more, SCHEMA).write.json(os.path.join(tmpdir_path, "in2", "b0"))
+    stream = spark.readStream.schema(SCHEMA).json(os.path.join(tmpdir_path, "in2", "*"))
+    start_listing_upsert(stream, store, os.path.join(tmpdir_path, "ckpt2")).awaitTermination(120)
+    got = {r.url: r.precio_noche for r in current_listings(spark, store, ["fecha_scraping"]).collect()}
+    assert got == {"https://www.airbnb.es/rooms/1": 100, "https://www.airbnb.es/rooms/2": 90, "https://www.airbnb.es/rooms/3": 70}
