@@ -31,7 +31,7 @@ END_ID = 1
 CACHED_WORDS = 400_000
 CACHED_BYTES = 64
 #: Bytes of text tokenised at once.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 
 # --- tokens -----------------------------------------------------------------
@@ -147,7 +147,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([kept.schema["id"], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
                            T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return kept.mapInArrow(_piece_batches(tokenizer_path, capacity), schema)
+    return kept.mapInArrow(B.lean(_piece_batches(tokenizer_path, capacity)), schema)
 
 
 # --- plan -------------------------------------------------------------------

@@ -236,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = (docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(sample), id_col)
             .select("_order", F.xxhash64("_text").alias("_key"), "_label", "_text"))
     # A repeated id counts once (the text with the least hash).
-    found = (rows.mapInArrow(_feature_batches, "_order long, _key long, _label int, features array<double>")
+    found = (rows.mapInArrow(B.lean(_feature_batches), "_order long, _key long, _label int, features array<double>")
              .groupBy("_order").agg(F.min(F.struct("_key", "_label", "features")).alias("r"))
              .select("_order", "r._label", "r.features").orderBy("_order").toArrow())
     x = np.array(found["features"].to_pylist(), np.float64).reshape(len(found), len(FEATURES))
@@ -261,7 +261,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("id", kept.schema["id"].dataType), T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(_score_batches(model), schema)
+    return kept.mapInArrow(B.lean(_score_batches(model)), schema)
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -275,4 +275,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: s
             text = b.column(at).cast(pa.large_string())
             yield b.filter(pa.array(_sigmoid(model.logits(features(text))) >= threshold))
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(B.lean(run), fields)

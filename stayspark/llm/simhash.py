@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import free_name, small_enough, wide, written
 from .components import components
+from .textbytes import lean
 
 #: Fixed values of the fingerprint.
 SEED = 42
@@ -86,7 +87,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.col(text_col).cast("string")
     kept = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     schema = T.StructType([*kept.schema.fields[:2], T.StructField("fingerprint", T.LongType())])
-    return kept.mapInArrow(_fingerprint_batches(words), schema)
+    return kept.mapInArrow(lean(_fingerprint_batches(words)), schema)
 
 
 def hex_digits(fp: Column) -> Column:
@@ -260,7 +261,7 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 3) -
     homes = distinct.mapInArrow(_replica_batches(blocks, t, True), schema)
     hot = written(homes.groupBy("anchor").count().where(F.col("count") > CELL)
                   .select("anchor", F.ceil(F.col("count") / CELL).cast("int").alias("cells")), "hot_anchors")
-    rows = distinct.mapInArrow(_replica_batches(blocks, t, False), schema)
+    rows = distinct.mapInArrow(lean(_replica_batches(blocks, t, False)), schema)
     if not hot.isEmpty():
         hot = F.broadcast(hot) if small_enough(hot, HOT_ROWS) else hot
         rows = rows.join(hot, "anchor", "left")
@@ -272,7 +273,7 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 3) -
     else:
         rows = rows.withColumnRenamed("anchor", "cell")
     rows = rows.select("cell", "fp", "home").repartition(wide(spark), "cell").sortWithinPartitions("cell")
-    return rows.mapInArrow(_link_batches(max_bits), "u long, v long").distinct()
+    return rows.mapInArrow(lean(_link_batches(max_bits)), "u long, v long").distinct()
 
 
 # --- operator ---------------------------------------------------------------

@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # At most max_rows small rows: safe to broadcast.
     rows = (docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(sample), id_col)
             .select("_text", "_label", "_order").repartition(1).sortWithinPartitions("_order", "_text"))
-    found = rows.select("_text", "_label").mapInArrow(_train_batches(rates), "index long, weight double").toArrow()
+    found = rows.select("_text", "_label").mapInArrow(B.lean(_train_batches(rates)), "index long, weight double").toArrow()
     index, weight = found["index"].to_numpy(), found["weight"].to_numpy()
     if not len(index):
         return Model(np.empty(0, np.int32), np.empty(0, np.float32), 0.0)
@@ -175,4 +175,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("id", kept.schema["id"].dataType), T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(_score_batches(model), schema)
+    return kept.mapInArrow(B.lean(_score_batches(model)), schema)
