@@ -19,12 +19,18 @@ large share of the corpus has) are dealt out by whole string instead, so that
 equal strings still meet, collapsed, and others scatter.
 
 Documents are packed into blocks of bounded size, stored once in a table
-bucketed by block: both answers come back to it without moving the texts.
+bucketed by block: all answers come back to it without moving the texts.
+Whole copies of a smaller document are found first, by 128-bit digests of the
+texts; all their strings start in that document, so they are removed whole
+and send nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +40,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textbytes as B
-from .common import ensure_checkpoint_dir, wide
+from .common import ensure_checkpoint_dir, wide, written
 
 LENGTH = 50
 GRAM = 16
 #: Bytes of text in a block (a longer document is a block of its own).
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Bytes of the corpus for each bucket of classes.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 1 << 20
 #: Occurrences of a class beyond which its strings are dealt out one by one.
-HOT = 2000
+HOT = 30_000
 #: Positions of one class that travel as one segment.
 RUN = 32
 
@@ -52,17 +58,15 @@ _MUL = np.uint64(0xC2B2AE3D27D4EB4F)
 
 # --- prefix doubling ----------------------------------------------------------
 
-def _dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of each key, and whether it is there more than once."""
-    order = np.argsort(keys, kind="stable")
+def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the keys stand that are there more than once, and their ranks."""
+    order = np.argsort(keys)
     k = keys[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    rank = np.cumsum(new) - 1
-    more = (np.bincount(rank) > 1)[rank] if len(k) else np.empty(0, bool)
-    out, many = np.empty(len(k), np.int64), np.empty(len(k), bool)
-    out[order], many[order] = rank, more
-    return out, many
+    same = np.zeros(len(k) + 1, bool)
+    same[1:-1] = k[1:] == k[:-1]
+    rank = np.cumsum(~same[:-1], dtype=np.int32)
+    more = same[:-1] | same[1:]
+    return order[more], rank[more]
 
 
 def equal_strings(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -71,31 +75,49 @@ def equal_strings(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> t
     once; equal ranks, equal strings. ``length`` is at least 8."""
     n = len(text)
     size = np.diff(np.concatenate([[0], ends]))
-    left = np.repeat(ends, size) - np.arange(n)  # bytes to the segment's end
+    left = np.repeat(ends.astype(np.int32), size) - np.arange(n, dtype=np.int32)  # bytes to the segment's end
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     word = np.ndarray((n,), ">u8", buffer=padded.data, strides=(1,))
-    at = np.flatnonzero(left >= 8)
-    rank = np.full(n, -1, np.int64)
-    found, many = _dense(word[at].astype(np.uint64))
-    at, found = at[many], found[many]
-    rank[at] = found
+    at = np.flatnonzero(left >= 8).astype(np.int32)
+    where, found = _repeated(word[at].astype(np.uint64))
+    rank = np.zeros(n, np.int32)  # from 1; 0 where the string is unique or too short
     h = 8
-    while h < length:
+    while True:
+        at = at[where]
+        if h == length:
+            return at, found
+        rank.fill(0)
+        rank[at] = found
         step = min(h, length - h)
         at = at[left[at] >= h + step]
         second = rank[at + step]
-        at, second = at[second >= 0], second[second >= 0]
-        found, many = _dense(rank[at] * np.int64(n) + second)
-        at, found = at[many], found[many]
-        rank = np.full(n, -1, np.int64)
-        rank[at] = found
+        at, second = at[second > 0], second[second > 0]
+        where, found = _repeated(rank[at].astype(np.int64) * (n + 1) + second)
         h += step
-    return at, found
 
 
 # --- blocks -------------------------------------------------------------------
 
-_BLOCK = "block long, ids binary, live binary, starts binary, data binary"
+_BLOCK = "block long, ids binary, live binary, starts binary, digests binary, data binary"
+
+
+def tidy(run):
+    """A group function that gives free memory back when it is done."""
+    def wrapped(*tables: pa.Table) -> pa.Table:
+        out = run(*tables)
+        B.give_back()
+        return out
+    # applyInArrow reads the number of arguments.
+    wrapped.__signature__ = inspect.signature(run)
+    return wrapped
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    """Rows as an Arrow table of a schema of ints, longs, booleans and binaries."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows) if rows else [[]] * len(fields)
+    return pa.Table.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
 def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,19 +127,26 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         live = ids.is_valid().to_numpy(zero_copy_only=False)
         ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
         for lo, hi, data, starts in B.pieces(b.column(1), BLOCK_BYTES):
-            row = [base + k, ids[lo:hi].tobytes(), live[lo:hi].astype(np.uint8).tobytes(), starts.astype("<i8").tobytes(), data.tobytes()]
+            text = data.tobytes()
+            digests = b"".join(hashlib.blake2b(text[x:y], digest_size=16).digest() for x, y in zip(starts[:-1].tolist(), starts[1:].tolist()))
+            row = (base + k, ids[lo:hi].tobytes(), live[lo:hi].astype(np.uint8).tobytes(), starts.astype("<i8").tobytes(), digests, text)
             k += 1
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), *[pa.binary()] * 4))],
-                                             names=["block", "ids", "live", "starts", "data"])
+            yield from _table([row], _BLOCK).to_batches()
 
 
 class _Block:
     """A block's documents, and its runs of positions of one class."""
 
-    def __init__(self, row: dict, length: int):
+    def __init__(self, left: pa.Table, right: pa.Table, length: int):
+        """``right`` may hold the block's copies (bucket COPIES)."""
+        row = left.to_pylist()[0]
         self.block = row["block"]
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.live = np.frombuffer(row["live"], np.uint8).astype(bool)
+        self.named = self.live.copy()
+        self.copies = np.zeros(len(self.ids), bool)
+        self.copies[_numbers(right, COPIES, "<i4")] = True
+        self.live &= ~self.copies
         self.starts = np.frombuffer(row["starts"], "<i8")
         self.data = np.frombuffer(row["data"], np.uint8)
         self.length = length
@@ -130,7 +159,7 @@ class _Block:
         step = np.zeros(n + 1, np.int32)
         np.add.at(step, self.starts[:-1][long], 1)
         np.add.at(step, self.starts[1:][long] - self.length + 1, -1)
-        p = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+        p = np.flatnonzero(np.cumsum(step[:-1], dtype=np.int32) > 0).astype(np.int32)
         if not len(p):
             z = np.empty(0, np.int64)
             return z, z, z.astype(np.uint64), z
@@ -155,7 +184,8 @@ class _Block:
         k = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
         first, runs = np.repeat(first, cuts) + RUN * k, np.minimum(np.repeat(runs, cuts) - RUN * k, RUN)
         at = p[first]
-        return at, runs, low[first], np.searchsorted(self.starts, at, side="right") - 1
+        # Least hashes are small numbers; mixed again they spread over the buckets.
+        return at, runs, B.mix(low[first]), np.searchsorted(self.starts, at, side="right") - 1
 
 
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
@@ -169,29 +199,71 @@ def _slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(bucket[lo]), lo, hi
 
 
-# --- classes that several documents have --------------------------------------
+# --- whole copies ---------------------------------------------------------------
+
+_ANSWER = "block long, bucket int, marks binary"
+#: Bucket numbers of answers about a block's documents and its own row.
+COPIES, OWN = -2, -1
+_DIGESTS = "bucket int, block long, rows binary, ids binary, digests binary"
 
-_COUNTS = "bucket int, block long, classes binary, counts binary"
 
+def _numbers(t: pa.Table, bucket: int, kind: str) -> np.ndarray:
+    """The marks of one bucket number as an array."""
+    marks = t.filter(pc.equal(t["bucket"], bucket))["marks"].to_pylist()
+    return np.frombuffer(b"".join(marks), kind)
 
-def _count_batches(length: int, bits: int):
+
+def _digest_batches(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                block = _Block(row, length)
-                _, _, h, r = block.classes()
-                order = np.lexsort((r, h))
-                h, r = h[order], r[order]
-                new = np.r_[True, h[1:] != h[:-1]][: len(h)]
-                first = np.flatnonzero(new)
-                n = np.diff(np.append(first, len(h)))
-                several = r[first + n - 1] != r[first] if len(first) else np.empty(0, bool)
-                u = h[first]
-                code = (np.minimum(n, 32_000) * 2 + several).astype("<u2")
-                out = [(k, block.block, u[lo:hi].astype("<u8").tobytes(), code[lo:hi].tobytes()) for k, lo, hi in _slices(_bucket(u, bits))]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
-                                                     names=["bucket", "block", "classes", "counts"])
+                ids, digest = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["digests"], "<u8").reshape(-1, 2)
+                rows = np.flatnonzero(np.frombuffer(row["live"], np.uint8))
+                rows = rows[np.argsort(digest[rows, 0], kind="stable")]
+                out = []
+                for k, lo, hi in _slices(_bucket(digest[rows, 0], bits)):
+                    cut = rows[lo:hi]
+                    out.append((k, row["block"], cut.astype("<i4").tobytes(), ids[cut].tobytes(), digest[cut].tobytes()))
+                yield from _table(out, _DIGESTS).to_batches()
+    return run
+
+
+def _copies(t: pa.Table) -> pa.Table:
+    """For each block, its rows whose text a smaller document has."""
+    parts = [np.frombuffer(x, "<i4") for x in t["rows"].to_pylist()]
+    ids = np.frombuffer(b"".join(t["ids"].to_pylist()), "<i8")
+    digest = np.frombuffer(b"".join(t["digests"].to_pylist()), "<u8").reshape(-1, 2)
+    order = np.lexsort((ids, digest[:, 1], digest[:, 0]))
+    d = digest[order]
+    new = np.r_[True, (d[1:] != d[:-1]).any(axis=1)]
+    copy = np.empty(len(ids), bool)
+    copy[order] = ids[order] > ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    edge = np.cumsum([0, *map(len, parts)])
+    out = [(block, COPIES, r[copy[x:y]].tobytes()) for block, r, x, y in zip(t["block"].to_pylist(), parts, edge[:-1], edge[1:])]
+    return _table([o for o in out if o[2]], _ANSWER)
+
+
+# --- classes that several documents have --------------------------------------
+
+_COUNTS = "bucket int, block long, classes binary, counts binary"
+
+
+def _counts_of(length: int, bits: int):
+    """A block (without its copies) to its classes and their counts."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows:
+            block = _Block(left, right, length)
+            _, _, h, r = block.classes()
+            order = np.lexsort((r, h))
+            h, r = h[order], r[order]
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+            n = np.diff(np.append(first, len(h)))
+            several = r[first + n - 1] != r[first] if len(first) else np.empty(0, bool)
+            u = h[first]
+            code = (np.minimum(n, 32_767) * 2 + several).astype("<u2")
+            out = [(k, block.block, u[lo:hi].astype("<u8").tobytes(), code[lo:hi].tobytes()) for k, lo, hi in _slices(_bucket(u, bits))]
+        return _table(out, _COUNTS)
     return run
 
 
@@ -206,7 +278,7 @@ def _mark(t: pa.Table) -> pa.Table:
     mark = mark[at]
     edge = np.cumsum([0, *map(len, parts)])
     blobs = [mark[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
-    return pa.Table.from_arrays([t["block"], t["bucket"], pa.array(blobs, pa.binary())], names=["block", "bucket", "marks"])
+    return _table(list(zip(t["block"].to_pylist(), t["bucket"].to_pylist(), blobs)), _ANSWER)
 
 
 # --- segments -----------------------------------------------------------------
@@ -238,9 +310,9 @@ def _segments_of(length: int, bits: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
-            block = _Block(left.to_pylist()[0], length)
+            block = _Block(left, right, length)
             at, runs, h, row = block.classes()
-            marks = np.frombuffer(b"".join(right.sort_by("bucket")["marks"].to_pylist()), np.uint8)
+            marks = np.frombuffer(b"".join(right.filter(pc.greater_equal(right["bucket"], 0)).sort_by("bucket")["marks"].to_pylist()), np.uint8)
             _, inverse = np.unique(h, return_inverse=True)
             mark = marks[inverse]
             some, hot = mark == 1, mark == 2
@@ -257,15 +329,13 @@ def _segments_of(length: int, bits: int):
             later = doc > doc[pick][number]
             keep = block.block
             own = b"".join([np.array([len(place)], "<i8").tobytes(), place.astype("<i4").tobytes(), count.astype(np.uint8).tobytes(),
-                            number.astype("<i4").tobytes(), later.astype(np.uint8).tobytes()])
-            out.append((keep % (1 << bits), keep, True, own, b"", b""))
+                            number.astype("<i4").tobytes(), later.astype(np.uint8).tobytes(), np.flatnonzero(block.copies).astype("<i4").tobytes()])
+            out.append((zlib.crc32(str(keep).encode()) % (1 << bits), keep, True, own, b"", b""))
             for k, lo, hi in _slices(_bucket(key[pick], bits)):
                 cut = pick[lo:hi]
                 out.append((k, keep, False, doc[cut].astype("<i8").tobytes(), size[cut].astype(np.uint8).tobytes(),
                             _gather(block.data, place[cut], size[cut]).tobytes()))
-        types = (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-        names = ["bucket", "block", "own", "docs", "sizes", "text"]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, types)], names=names)
+        return _table(out, _SEGMENTS)
     return run
 
 
@@ -274,7 +344,7 @@ def _judge(length: int):
     whether a smaller document has it."""
     def run(t: pa.Table) -> pa.Table:
         own = t.filter(t["own"])
-        back = pa.Table.from_arrays([own["block"], pa.array([-1] * len(own), pa.int32()), own["docs"]], names=["block", "bucket", "marks"])
+        back = _table([(block, OWN, docs) for block, docs in zip(own["block"].to_pylist(), own["docs"].to_pylist())], _ANSWER)
         t = t.filter(pc.invert(t["own"]))
         return pa.concat_tables([back, judged(t)]) if len(t) else back
 
@@ -302,7 +372,7 @@ def _judge(length: int):
         mask = np.where(doc > least[number], ~np.uint64(0), bits[number])
         edge = np.cumsum([0, *map(len, parts)])
         blobs = [mask[a:b].astype("<u8").tobytes() for a, b in zip(edge[:-1], edge[1:])]
-        return pa.Table.from_arrays([t["block"], t["bucket"], pa.array(blobs, pa.binary())], names=["block", "bucket", "marks"])
+        return _table(list(zip(t["block"].to_pylist(), t["bucket"].to_pylist(), blobs)), _ANSWER)
     return run
 
 
@@ -315,26 +385,31 @@ def _removed(length: int):
     """A block and its answers to one row per document."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = []
-        for row in left.to_pylist():
-            b = _Block(row, length)
+        if left.num_rows:
+            b = _Block(left, right, length)
             n = len(b.data)
-            cover = np.zeros(n + 1, np.int64)
+            cover = np.zeros(n + 1, np.int32)
             if right.num_rows:
-                answers = right.sort_by("bucket")["marks"].to_pylist()
-                own = answers[0]
+                own = right.filter(pc.equal(right["bucket"], OWN))["marks"].to_pylist()[0]
                 m = int(np.frombuffer(own, "<i8", 1)[0])
                 place = np.frombuffer(own, "<i4", m, 8).astype(np.int64)
                 count = np.frombuffer(own, np.uint8, m, 8 + 4 * m).astype(np.int64)
                 number = np.frombuffer(own, "<i4", m, 8 + 5 * m)
                 later = np.frombuffer(own, np.uint8, m, 8 + 9 * m).astype(bool)
-                mask = np.frombuffer(b"".join(answers[1:]), "<u8")[number]
+                copies = np.frombuffer(own, "<i4", -1, 8 + 10 * m) if len(own) > 8 + 10 * m else np.empty(0, np.int32)
+                mask = right.filter(pc.greater_equal(right["bucket"], 0)).sort_by("bucket")["marks"].to_pylist()
+                mask = np.frombuffer(b"".join(mask), "<u8")[number]
                 mask = np.where(later, ~np.uint64(0), mask)
                 some = mask != 0
                 place, count, mask = place[some], count[some], mask[some]
                 j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 hit = (np.repeat(mask, count) >> j.astype(np.uint64)) & np.uint64(1) > 0
                 p = (np.repeat(place, count) + j)[hit]
-                cover += np.bincount(p, minlength=n + 1)[: n + 1] - np.bincount(p + length, minlength=n + 1)[: n + 1]
+                np.add.at(cover, p, 1)
+                np.add.at(cover, p + length, -1)
+                copies = copies[np.diff(b.starts)[copies] >= length]
+                np.add.at(cover, b.starts[copies], 1)
+                np.add.at(cover, b.starts[copies + 1], -1)
             gone = np.cumsum(cover[:-1]) > 0
             s, e, r = B.runs(gone, b.starts)
             kept_end = np.concatenate([[0], np.cumsum(~gone)])[b.starts]
@@ -343,7 +418,7 @@ def _removed(length: int):
             base = b.starts[r] if len(r) else np.empty(0, np.int64)
             spans = pa.StructArray.from_arrays([pa.array(s - base), pa.array(e - base)], names=["start", "end"])
             tables.append(pa.Table.from_arrays(
-                [pa.array(b.ids, mask=~b.live), pa.array(np.diff(b.starts)), pa.ListArray.from_arrays(off, spans),
+                [pa.array(b.ids, mask=~b.named), pa.array(np.diff(b.starts)), pa.ListArray.from_arrays(off, spans),
                  pa.array([kept[x:y] for x, y in zip(kept_end[:-1].tolist(), kept_end[1:].tolist())], pa.binary())],
                 names=["id", "n_bytes", "removed", "kept"]))
         return pa.concat_tables(tables) if tables else _NOTHING
@@ -377,11 +452,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         raise ValueError("length is 24 to 50")
     spark = docs.sparkSession
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = _stored(kept.mapInArrow(_block_batches, _BLOCK), spark)
+    blocks = _stored(kept.mapInArrow(B.lean(_block_batches), _BLOCK), spark)
     total = blocks.agg(F.sum(F.length("data"))).first()[0] or 0
     bits = max(0, int(total // BUCKET_BYTES).bit_length())
-    counts = blocks.mapInArrow(_count_batches(length, bits), _COUNTS)
-    marks = counts.groupBy("bucket").applyInArrow(_mark, "block long, bucket int, marks binary")
-    sent = blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_segments_of(length, bits), _SEGMENTS)
-    answers = sent.groupBy("bucket").applyInArrow(_judge(length), "block long, bucket int, marks binary")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_removed(length), _RESULT)
+    # Only the ids and digests of the blocks are read for this.
+    digests = blocks.select("block", "ids", "live", "digests").mapInArrow(B.lean(_digest_batches(bits)), _DIGESTS)
+    copies = written(digests.groupBy("bucket").applyInArrow(tidy(_copies), _ANSWER), "copies")
+
+    def with_block(answers: DataFrame, run, schema: str) -> DataFrame:
+        return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy(run), schema)
+
+    counts = with_block(copies, _counts_of(length, bits), _COUNTS)
+    marks = counts.groupBy("bucket").applyInArrow(tidy(_mark), _ANSWER)
+    sent = with_block(marks.unionByName(copies), _segments_of(length, bits), _SEGMENTS)
+    answers = sent.groupBy("bucket").applyInArrow(tidy(_judge(length)), _ANSWER)
+    return with_block(answers, _removed(length), _RESULT)
