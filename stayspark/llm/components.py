@@ -29,12 +29,14 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # Large star: every larger neighbour of u goes to the least of u and its neighbours.
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _minima(both).select("u", F.least("u", "m").alias("m"))
+        # Minima are written before they are joined: a node with very many links is then a skewed
+        # partition of a plain join, which Spark splits, and never meets its links in one task.
+        least = written(_minima(both).select("u", F.least("u", "m").alias("m")), "least")
         large = (both.join(least, "u").where(F.col("v") > F.col("u"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         large = written(large, "links")
         # Small star: u and its smaller neighbours go to the least of them.
-        least = _minima(large)
+        least = written(_minima(large), "least")
         small = large.join(least, "u")
         small = (small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(small.select("u", F.col("m").alias("v"))).distinct())

@@ -45,6 +45,8 @@ CELL = 2048
 PAIRS = 1 << 21
 #: Hot anchors whose table may be broadcast.
 HOT_ROWS = 200_000
+#: Rows to drop (an id and a hash each) whose list may be broadcast.
+LISTED_ROWS = 300_000
 
 
 # --- fingerprints -----------------------------------------------------------
@@ -314,8 +316,21 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     of_root = prints.groupBy("fingerprint").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")).alias("row"))
     keep = (of_root.join(classes, F.col("fingerprint") == F.col("fp")).groupBy("root").agg(F.min("row").alias("row"))
             .select(F.col("row.id").alias("_keep_id"), F.col("row.text_key").alias("_keep_key")))
+    keep = written(keep, "kept_rows")
+    rows = prints.groupBy("id", "text_key").agg(F.count("*").alias("n"))
+    chosen = F.col("id").eqNullSafe(F.col("_keep_id")) & (F.col("text_key") == F.col("_keep_key"))
+    drop = written(rows.join(keep, chosen, "left_anti").select("id", "text_key"), "dropped_rows")
+    twice = written(rows.where("n > 1").join(keep, chosen, "left_semi").select("id", "text_key"), "repeated_rows")
     key = free_name(docs, "_text_key")
     keyed = docs.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
-    kept = keyed.join(written(keep, "kept_rows"),
-                      keyed[id_col].eqNullSafe(F.col("_keep_id")) & (keyed[key] == F.col("_keep_key")), "left_semi")
-    return kept.dropDuplicates([id_col, key]).drop(key)
+
+    def only(df: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        """A short list goes to every task; a long one is joined by shuffle."""
+        some = some.select(F.col("id").alias("_some_id"), F.col("text_key").alias("_some_key"))
+        some = F.broadcast(some) if small_enough(some, LISTED_ROWS) else some
+        return df.join(some, df[id_col].eqNullSafe(F.col("_some_id")) & (df[key] == F.col("_some_key")), how)
+
+    kept = only(keyed, drop, "left_anti")
+    if not twice.isEmpty():
+        kept = only(kept, twice, "left_anti").unionByName(only(kept, twice, "left_semi").dropDuplicates([id_col, key]))
+    return kept.drop(key)

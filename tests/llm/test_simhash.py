@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from stayspark.llm import simhash
@@ -77,7 +78,9 @@ def test_hot_anchor_is_split(spark, monkeypatch):
     assert set(whole) == set(split) and len(whole) == 63
 
 
-def test_odd_tables(spark):
+@pytest.mark.parametrize("listed", [0, 300_000])
+def test_odd_tables(spark, monkeypatch, listed):
+    monkeypatch.setattr(simhash, "LISTED_ROWS", listed)  # joins by shuffle, or broadcast
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.drop_near_duplicates(empty).count() == 0
