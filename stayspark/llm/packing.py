@@ -28,7 +28,7 @@ from .common import wide, written
 CAPACITY = 4096
 END_ID = 1
 #: Units of text that a worker remembers the ids of, and the longest such unit in bytes.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 CACHED_BYTES = 64
 #: Bytes of text tokenised at once.
 TEXT_BYTES = 2 << 20

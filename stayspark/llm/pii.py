@@ -145,7 +145,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                        "phone": digits.between(10, 15)}, False)
     each = each.where(~F.col("base") | passes)
     ahead = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    behind = Window.partitionBy("row").orderBy("start").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # From the end: a frame that runs to the end of its rows is summed anew for each of them.
+    behind = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     each = each.withColumn("_reach", F.max(F.when(F.col("base"), F.col("end"))).over(ahead)) \
         .withColumn("_next", F.min(F.when(F.col("base"), F.col("start"))).over(behind))
     free = (F.coalesce("_reach", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("_next") >= F.col("end"), F.lit(True)))

@@ -96,11 +96,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def lean(run):
-    """A batch function that gives free memory back when its partition is
-    done: Python workers outlive their tasks, and what their allocators keep
+    """A batch function that gives free memory back before each new batch and
+    when its partition is done: Python workers outlive their tasks, and what their allocators keep
     would add up over the stages of a job."""
+    def fed(batches):
+        for b in batches:
+            yield b
+            give_back()
+
     def wrapped(batches):
-        yield from run(batches)
+        yield from run(fed(batches))
         give_back()
     return wrapped
 

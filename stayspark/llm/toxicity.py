@@ -24,6 +24,8 @@ from . import textbytes as B
 HASH_BITS = 20
 #: Most labelled rows that the model learns from (those with the least id hash).
 MAX_TRAIN_ROWS = 16_000
+#: Least rows of either label that the sums are rescaled on.
+LEAST_EACH = 30
 NGRAMS = (1, 2, 3)
 SKIPS = (2, 3)
 
@@ -77,7 +79,13 @@ def features(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def train(examples: Iterator[tuple[np.ndarray, int]], rates: Rates = Rates()) -> Model:
-    """One FTRL-proximal walk over (distinct coordinates, label) pairs."""
+    """One FTRL-proximal walk over (distinct coordinates, label) pairs.
+
+    Shrunk weights give timid probabilities, so the sums are rescaled by a
+    logistic fit to the sums that the second half of the walk saw before it
+    learned from each label.
+    """
+    seen: list[tuple[float, int]] = []
     size = (1 << HASH_BITS) + 1  # the last coordinate is the constant
     z, n = np.zeros(size), np.zeros(size)
 
@@ -90,7 +98,9 @@ def train(examples: Iterator[tuple[np.ndarray, int]], rates: Rates = Rates()) ->
     for index, label in examples:
         i = np.append(index, size - 1)
         w = weights(i)
-        p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
+        total = float(w.sum())
+        seen.append((total, label))
+        p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
         g = p - label
         sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / rates.alpha
         z[i] += g - sigma * w
@@ -98,7 +108,23 @@ def train(examples: Iterator[tuple[np.ndarray, int]], rates: Rates = Rates()) ->
     every = np.arange(size)
     w = weights(every)
     index = np.flatnonzero(w[:-1]).astype(np.int32)
-    return Model(index, w[index].astype(np.float32), float(w[-1]))
+    scale, shift = _calibrated(np.array(seen[len(seen) // 2:], np.float64).reshape(-1, 2))
+    return Model(index, (scale * w[index]).astype(np.float32), float(scale * w[-1] + shift))
+
+
+def _calibrated(seen: np.ndarray) -> tuple[float, float]:
+    """(scale, shift) of the sums that make their logistic probabilities fit
+    the labels; unchanged where either label is rare."""
+    total, label = np.clip(seen[:, 0], -35, 35), seen[:, 1]
+    if min(label.sum(), len(label) - label.sum()) < LEAST_EACH:
+        return 1.0, 0.0
+    x, w = np.stack([total, np.ones(len(total))], axis=1), np.array([1.0, 0.0])
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+        grad = x.T @ (label - q) - (w - [1.0, 0.0])
+        hess = (x * (q * (1 - q))[:, None]).T @ x + np.eye(2)
+        w = w + np.clip(np.linalg.solve(hess, grad), -1, 1)
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
