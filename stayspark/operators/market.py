@@ -26,19 +26,18 @@ def extract_cards(cards: DataFrame, site_root: str = S.LISTING_SITE_ROOT,
     Input columns: title_raw, price_raw, text, href, checkin, checkout,
     ciudad, propiedad_referencia, scraped_on (dates may be ISO strings).
     """
-    # per-row intermediates get their own projection: each is computed once
+    # cards without a usable price leave before any other rule runs; per-row
+    # intermediates get their own projection: each is computed once
     # (a non-cheap expression used several times is not inlined again)
-    s1 = cards.select(
-        "*", SF.stay_nights("checkin", "checkout").alias("_nights"),
-        SF.card_price_text("price_raw", "text").alias("_ptxt"),
-        SF.card_title_name0("title_raw").alias("_name0"),
-        SF.card_rating_match("text").alias("_rmatch"))
-    s2 = s1.select("*", SF.listing_price_digits("_ptxt").alias("_digits"),
-                   SF.card_title_generic("_name0").alias("_generic0"))
-    out = s2.select(
+    s1 = cards.select("*", SF.stay_nights("checkin", "checkout").alias("_nights"), SF.card_price_text("price_raw", "text").alias("_ptxt"))
+    s1 = s1.select("*", SF.listing_price_digits("_ptxt").alias("_digits"))
+    s1 = s1.select("*", SF.listing_price_from("_ptxt", "_digits", "_nights").alias("_price")).where("_price is not null and _price <> 0")
+    s2 = s1.select("*", SF.card_title_name0("title_raw").alias("_name0"), SF.card_rating_match("text").alias("_rmatch"))
+    s2 = s2.select("*", SF.card_title_generic("_name0").alias("_generic0"))
+    return s2.select(
         *keep,
         SF.card_title_from("title_raw", "text", "_name0", "_generic0").alias("nombre"),
-        SF.listing_price_from("_ptxt", "_digits", "_nights").alias("precio_noche"),
+        F.col("_price").alias("precio_noche"),
         SF.card_rating("text", "_rmatch").alias("rating"),
         SF.card_reviews("text", "_rmatch").alias("num_reviews"),
         SF.lodging_type("text").alias("tipo"),
@@ -50,7 +49,6 @@ def extract_cards(cards: DataFrame, site_root: str = S.LISTING_SITE_ROOT,
         F.col("ciudad").cast("string").alias("ciudad"),
         F.col("propiedad_referencia").cast("string").alias("propiedad_referencia"),
     )
-    return out.where(F.col("precio_noche").isNotNull() & (F.col("precio_noche") != 0))
 
 
 def _marker_blocks(html: Column, marker: str) -> Column:

@@ -46,7 +46,7 @@ def property_kpis(df: DataFrame, months: Sequence[str] | None = None) -> DataFra
     g = d.groupBy(P).agg(
         F.coalesce(exact_sum("amount"), F.lit(0.0)).alias("total_ingresos"),
         exact_avg("amount").alias("ingresos_mes"),
-        F.avg("price_per_night").alias("precio_medio"),
+        exact_avg("price_per_night").alias("precio_medio"),
         F.count(F.lit(1)).alias("total_reservas"),
         F.coalesce(F.sum("nights"), F.lit(0.0)).alias("total_noches"),
         F.min("arrival").alias("_a0"), F.max("arrival").alias("_a1"))
@@ -113,9 +113,9 @@ def price_gap(df: DataFrame, months: Sequence[str] | None = None) -> DataFrame:
     (total minus own; those without a property are among the others), and the
     rule outcome."""
     d = select_months(df, months)
-    own = d.where(F.col(P).isNotNull()).groupBy(P).agg(F.avg("price_per_night").alias("precio_medio"),
-                           F.sum("price_per_night").alias("_s"), F.count("price_per_night").alias("_c"))
-    own = attach(own, "_t", d.agg(F.sum("price_per_night").alias("s"), F.count("price_per_night").alias("c")))
+    own = d.where(F.col(P).isNotNull()).groupBy(P).agg(exact_avg("price_per_night").alias("precio_medio"),
+                           exact_sum("price_per_night").alias("_s"), F.count("price_per_night").alias("_c"))
+    own = attach(own, "_t", d.agg(exact_sum("price_per_night").alias("s"), F.count("price_per_night").alias("c")))
     media = F.try_divide(F.col("_t.s") - F.coalesce(F.col("_s"), F.lit(0.0)), F.col("_t.c") - F.col("_c"))
     own = own.withColumn("media_cartera", media)
     diff = F.when(F.col("media_cartera") != 0,
@@ -201,11 +201,11 @@ def property_diagnosis(df: DataFrame, prop_name: str | None = None) -> DataFrame
     property, from four small group-bys joined on the property."""
     T = S.DIAGNOSIS_TEXT
     d = df.where(F.col(P).isNotNull())
-    base = d.groupBy(P).agg(F.avg("price_per_night").alias("ppn"),
+    base = d.groupBy(P).agg(exact_avg("price_per_night").alias("ppn"),
                             F.coalesce(exact_sum("amount"), F.lit(0.0)).alias("rev_total"),
                             F.count(F.lit(1)).alias("bookings"), F.count("amount").alias("_n_amount"))
     # the portfolio's mean is taken over all bookings, with or without a property
-    glob = df.agg(F.avg("price_per_night").alias("gppn"))
+    glob = df.agg(exact_avg("price_per_night").alias("gppn"))
     base = attach(base, "_g", glob)
     base = attach(base, "_mn", base.agg(F.avg("_n_amount").alias("v")))
     base = base.withColumn("_mean_n", F.col("_mn.v")).drop("_mn")

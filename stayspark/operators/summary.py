@@ -23,8 +23,8 @@ def r2(c: Column, d: int = 2) -> Column:
 
 
 def exact_sum(col: str) -> Column:
-    """Sum of money as an exact decimal, returned as double: the result does
-    not depend on the order rows are added in (partitions, retries), so a
+    """Sum of money (to ten decimals a row) as an exact decimal, returned as
+    double: the result does not depend on the order rows are added in (partitions, retries), so a
     rounded mean that sits on a half-way point rounds the same every time.
     Amounts of 28 integer digits and ten decimals are kept; a larger one (or
     an infinity) is an error, not a silent NULL."""
@@ -43,7 +43,7 @@ METRICS = {
     "ingresos": lambda: F.coalesce(exact_sum("amount"), F.lit(0.0)),
     "ticket_medio": lambda: exact_avg("amount"),
     "noches_totales": lambda: F.coalesce(F.sum("nights"), F.lit(0.0)),
-    "ppn_medio": lambda: F.avg("price_per_night"),
+    "ppn_medio": lambda: exact_avg("price_per_night"),
 }
 
 
@@ -171,7 +171,5 @@ def property_peaks_valleys(df: DataFrame) -> DataFrame:
         F.min("ingresos").alias("valor_valle"),
         exact_avg("ingresos").alias("media_mensual"),
     )
-    return g.select(F.col("property").alias("propiedad"), "mes_pico", r2(F.col("valor_pico")).alias("valor_pico"),
-                    "mes_valle", r2(F.col("valor_valle")).alias("valor_valle"),
-                    r2(F.col("media_mensual")).alias("media_mensual")
+    return g.select(F.col("property").alias("propiedad"), "mes_pico", "valor_pico", "mes_valle", "valor_valle", "media_mensual"
                     ).orderBy(F.desc("valor_pico"), "propiedad")

@@ -57,13 +57,14 @@ def xsum(col: str) -> str:
 
 
 XSUM = xsum("amount")
+XPPN = xsum("price_per_night")
 XAVG = f"({XSUM} / count(amount))"
 SQL_METRIC = {
     "reservas": "count(amount) AS reservas",
     "ingresos": f"{rnd(f'coalesce({XSUM}, 0.0)')} AS ingresos",
     "ticket_medio": f"{rnd(XAVG)} AS ticket_medio",
     "noches_totales": f"{rnd('coalesce(sum(nights), 0.0)')} AS noches_totales",
-    "ppn_medio": f"{rnd('avg(price_per_night)')} AS ppn_medio",
+    "ppn_medio": f"{rnd(XPPN + ' / count(price_per_night)')} AS ppn_medio",
 }
 
 
@@ -220,7 +221,7 @@ SELECT property, reservas, {rnd('ingresos')} AS ingresos, {rnd('ticket_medio')}
        {rnd('noches_totales')} AS noches_totales, {rnd('ppn_medio')} AS ppn_medio
 FROM (SELECT property, count(amount) AS reservas, coalesce({XSUM}, 0.0) AS ingresos,
              {XAVG} AS ticket_medio, coalesce(sum(nights), 0.0) AS noches_totales,
-             avg(price_per_night) AS ppn_medio
+             {XPPN} / count(price_per_night) AS ppn_medio
       FROM bookings WHERE property IS NOT NULL GROUP BY property
       ORDER BY ingresos DESC, property LIMIT 20)"""))
 def q_property_top_n(spark, sf):
@@ -268,7 +269,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY property ORDER BY ingresos DESC,
              row_number() OVER (PARTITION BY property ORDER BY ingresos, year_month) AS rv FROM pm)
 GROUP BY property""", PM_SQL))
 def q_peaks_valleys(spark, sf):
-    return SM.property_peaks_valleys(FX.bookings(spark, sf))
+    return rcols(SM.property_peaks_valleys(FX.bookings(spark, sf)), ["valor_pico", "valor_valle", "media_mensual"])
 
 
 # ---------------------------------------------------------------------------
@@ -506,7 +507,7 @@ def q_growth(spark, sf):
 
 KPI_SQL = f"""kpi AS (
   SELECT property, coalesce({XSUM}, 0.0) AS total_ingresos, {XAVG} AS ingresos_mes,
-    avg(price_per_night) AS precio_medio, count(*) AS total_reservas,
+    {XPPN} / count(price_per_night) AS precio_medio, count(*) AS total_reservas,
     coalesce(sum(nights), 0.0) AS total_noches,
     least(coalesce(sum(nights), 0.0) / greatest(floor(date_diff('second', min(arrival), max(arrival)) / 86400.0), 1)
           * 100, 100.0) AS ocupacion_pct
@@ -569,16 +570,16 @@ def q_peer_comparison(spark, sf):
     return rcols(PR.peer_comparison(FX.bookings(spark, sf)), ["ingresos", "precio"])
 
 
-GAP_SQL = """gap AS (
+GAP_SQL = f"""gap AS (
   SELECT property, precio_medio, media_cartera,
          CASE WHEN precio_medio > 0 THEN
            CASE WHEN media_cartera IS NULL THEN NULL WHEN media_cartera <> 0
                 THEN (precio_medio - media_cartera) / media_cartera * 100 ELSE 0.0 END END AS diff_pct
   FROM (SELECT o.property, o.precio_medio,
                (t.s - coalesce(o.s, 0.0)) / CASE WHEN t.c - o.c = 0 THEN NULL ELSE t.c - o.c END AS media_cartera
-        FROM (SELECT property, avg(price_per_night) AS precio_medio, sum(price_per_night) AS s,
+        FROM (SELECT property, {XPPN} / count(price_per_night) AS precio_medio, {XPPN} AS s,
                      count(price_per_night) AS c FROM bookings WHERE property IS NOT NULL GROUP BY property) o
-        CROSS JOIN (SELECT sum(price_per_night) AS s, count(price_per_night) AS c FROM bookings) t))"""
+        CROSS JOIN (SELECT {XPPN} AS s, count(price_per_night) AS c FROM bookings) t))"""
 
 
 @register("price_gap_rules", with_bookings(f"""
@@ -675,9 +676,9 @@ def _esc(s: str) -> str:
 
 DIAG_CTES = [
     "d AS (SELECT * FROM bookings WHERE property IS NOT NULL)",
-    f"base AS (SELECT property, avg(price_per_night) AS ppn, coalesce({XSUM}, 0.0) AS rev_total, "
+    f"base AS (SELECT property, {XPPN} / count(price_per_night) AS ppn, coalesce({XSUM}, 0.0) AS rev_total, "
     "count(*) AS bookings, count(amount) AS n_amount FROM d GROUP BY property)",
-    "g AS (SELECT avg(price_per_night) AS gppn FROM bookings)",
+    f"g AS (SELECT {XPPN} / count(price_per_night) AS gppn FROM bookings)",
     "mn AS (SELECT avg(n_amount) AS mean_n FROM base)",
     "ch0 AS (SELECT property, channel, count(*) AS c FROM d GROUP BY property, channel)",
     "ch AS (SELECT property, arg_min(channel, (-c, channel)) AS top_channel, max(c) / sum(c) AS top_share "
