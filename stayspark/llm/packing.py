@@ -27,11 +27,11 @@ from .common import wide, written
 
 CAPACITY = 4096
 END_ID = 1
-#: Units of text that a worker remembers the ids of, and the longest such unit in bytes.
-CACHED_WORDS = 300_000
+#: Units of text that a worker remembers the ids of (twice as many at most), and the longest such unit in bytes.
+CACHED_WORDS = 200_000
 CACHED_BYTES = 64
 #: Bytes of text tokenised at once.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 4 << 20
 
 
 # --- tokens -----------------------------------------------------------------
@@ -59,6 +59,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @staticmethod
     def opened(path: str) -> "WordTokenizer":
@@ -69,10 +70,17 @@ class WordTokenizer:
     def units(self, units: list[bytes]) -> list[bytes]:
         """Ids of each unit as bytes of unsigned 32-bit numbers."""
         if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known = self.known
+            # What was used since the last turn stays; the rest goes at the next one.
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         got = list(map(known.get, units))
-        new = [i for i, ids in enumerate(got) if ids is None]
+        new = []
+        for i in [i for i, ids in enumerate(got) if ids is None]:
+            ids = older.get(units[i])
+            if ids is None:
+                new.append(i)
+            else:
+                got[i] = known[units[i]] = ids
         for lo in range(0, len(new), 20_000):
             part = new[lo: lo + 20_000]
             found = self.tokenizer.encode_batch_fast([units[i].decode() for i in part], add_special_tokens=False)
@@ -94,7 +102,9 @@ class WordTokenizer:
         letter, plain = _LETTER[text], _ASCII[text]
         cut = np.zeros(len(text), bool)
         cut[1:] = (letter[1:] != letter[:-1]) & plain[1:] & plain[:-1]
-        cut &= ~np.repeat(np.logical_or.reduceat(_WHOLE[text], word), size)
+        whole = _WHOLE[text]
+        if whole.any():
+            cut &= ~np.repeat(np.logical_or.reduceat(whole, word), size)
         cut[word] = True
         text = np.where(np.repeat(np.logical_or.reduceat(_KEEP_CASE[text], word), size), text, B.LOWER[text])
         first = np.flatnonzero(cut)
