@@ -21,8 +21,9 @@ equal strings still meet, collapsed, and others scatter.
 Documents are packed into blocks of bounded size, stored once in a table
 bucketed by block: all answers come back to it without moving the texts.
 Whole copies of a smaller document are found first, by 128-bit digests of the
-texts; all their strings start in that document, so they are removed whole
-and send nothing.
+texts (each distinct one of a block is sent once, with its least id); all
+their strings start in that document, so they are removed whole and send
+nothing.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textbytes as B
-from .common import ensure_checkpoint_dir, wide, written
+from .common import ensure_checkpoint_dir, small_enough, wide, written
 
 LENGTH = 50
 GRAM = 16
@@ -138,14 +139,21 @@ class _Block:
     """A block's documents, and its runs of positions of one class."""
 
     def __init__(self, left: pa.Table, right: pa.Table, length: int):
-        """``right`` may hold the block's copies (bucket COPIES)."""
+        """``right`` may hold the smaller ids that other blocks have of the
+        block's texts (bucket COPIES); without them ``copies`` are the
+        block's own."""
         row = left.to_pylist()[0]
         self.block = row["block"]
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.live = np.frombuffer(row["live"], np.uint8).astype(bool)
         self.named = self.live.copy()
         self.copies = np.zeros(len(self.ids), bool)
-        self.copies[_numbers(right, COPIES, "<i4")] = True
+        named = np.flatnonzero(self.named)
+        pick, number = _least_rows(np.frombuffer(row["digests"], "<u8").reshape(-1, 2)[named], self.ids[named])
+        least = self.ids[named[pick]]
+        elsewhere = _numbers(right, COPIES, ">i8").reshape(-1, 2)
+        least[number[np.searchsorted(named, elsewhere[:, 0])]] = elsewhere[:, 1]
+        self.copies[named] = self.ids[named] > least[number]
         self.live &= ~self.copies
         self.starts = np.frombuffer(row["starts"], "<i8")
         self.data = np.frombuffer(row["data"], np.uint8)
@@ -204,7 +212,11 @@ def _slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
 _ANSWER = "block long, bucket int, marks binary"
 #: Bucket numbers of answers about a block's documents and its own row.
 COPIES, OWN = -2, -1
-_DIGESTS = "bucket int, block long, rows binary, ids binary, digests binary"
+#: Blocks of one digest beyond which its least id is sent to them, not they to it.
+HOT_BLOCKS = 64
+#: Most least ids that are sent to every task; more are joined by shuffle.
+HOT_DIGESTS = 200_000
+_DIGESTS = "digest binary, id long, block long, row int"
 
 
 def _numbers(t: pa.Table, bucket: int, kind: str) -> np.ndarray:
@@ -213,34 +225,44 @@ def _numbers(t: pa.Table, bucket: int, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(marks), kind)
 
 
-def _digest_batches(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                ids, digest = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["digests"], "<u8").reshape(-1, 2)
-                rows = np.flatnonzero(np.frombuffer(row["live"], np.uint8))
-                rows = rows[np.argsort(digest[rows, 0], kind="stable")]
-                out = []
-                for k, lo, hi in _slices(_bucket(digest[rows, 0], bits)):
-                    cut = rows[lo:hi]
-                    out.append((k, row["block"], cut.astype("<i4").tobytes(), ids[cut].tobytes(), digest[cut].tobytes()))
-                yield from _table(out, _DIGESTS).to_batches()
-    return run
-
-
-def _copies(t: pa.Table) -> pa.Table:
-    """For each block, its rows whose text a smaller document has."""
-    parts = [np.frombuffer(x, "<i4") for x in t["rows"].to_pylist()]
-    ids = np.frombuffer(b"".join(t["ids"].to_pylist()), "<i8")
-    digest = np.frombuffer(b"".join(t["digests"].to_pylist()), "<u8").reshape(-1, 2)
+def _least_rows(digest: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the distinct digests with their least id, number of the
+    distinct one of each row)."""
     order = np.lexsort((ids, digest[:, 1], digest[:, 0]))
     d = digest[order]
-    new = np.r_[True, (d[1:] != d[:-1]).any(axis=1)]
-    copy = np.empty(len(ids), bool)
-    copy[order] = ids[order] > ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    edge = np.cumsum([0, *map(len, parts)])
-    out = [(block, COPIES, r[copy[x:y]].tobytes()) for block, r, x, y in zip(t["block"].to_pylist(), parts, edge[:-1], edge[1:])]
-    return _table([o for o in out if o[2]], _ANSWER)
+    new = np.ones(len(order), bool)
+    new[1:] = (d[1:] != d[:-1]).any(axis=1)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block to its distinct digests, each with its least id and that id's row."""
+    for b in batches:
+        for row in b.to_pylist():
+            ids, digest = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["digests"], "<u8").reshape(-1, 2)
+            rows = np.flatnonzero(np.frombuffer(row["live"], np.uint8))
+            rows = rows[_least_rows(digest[rows], ids[rows])[0]]
+            out = [(digest[r].tobytes(), int(ids[r]), row["block"], r) for r in rows.tolist()]
+            yield from _table(out, _DIGESTS).to_batches()
+
+
+def _copies(digests: DataFrame) -> DataFrame:
+    """For each digest of a block that another block has with a smaller id:
+    the block's row and that id (two big-endian numbers)."""
+    least = digests.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("blocks"))
+    least = written(least.where("least < most").select("digest", "least", "blocks"), "least_ids")
+    hot, rest = least.where(F.col("blocks") > HOT_BLOCKS).select("digest", "least"), least.select("digest", "least")
+    parts = []
+    if small_enough(hot, HOT_DIGESTS):
+        parts.append(digests.join(F.broadcast(hot), "digest"))
+        rest = least.where(F.col("blocks") <= HOT_BLOCKS).select("digest", "least")
+        digests = digests.join(F.broadcast(hot), "digest", "left_anti")
+    parts.append(digests.join(rest, "digest"))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    number = lambda c: F.lpad(F.hex(F.col(c).cast("long")), 16, "0")
+    return out.where("least < id").select("block", F.lit(COPIES).alias("bucket"), F.unhex(F.concat(number("row"), number("least"))).alias("marks"))
 
 
 # --- classes that several documents have --------------------------------------
@@ -456,8 +478,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     total = blocks.agg(F.sum(F.length("data"))).first()[0] or 0
     bits = max(0, int(total // BUCKET_BYTES).bit_length())
     # Only the ids and digests of the blocks are read for this.
-    digests = blocks.select("block", "ids", "live", "digests").mapInArrow(B.lean(_digest_batches(bits)), _DIGESTS)
-    copies = written(digests.groupBy("bucket").applyInArrow(tidy(_copies), _ANSWER), "copies")
+    digests = written(blocks.select("block", "ids", "live", "digests").mapInArrow(B.lean(_digest_batches), _DIGESTS), "digests")
+    copies = written(_copies(digests), "copies")
 
     def with_block(answers: DataFrame, run, schema: str) -> DataFrame:
         return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy(run), schema)

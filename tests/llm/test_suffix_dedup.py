@@ -87,3 +87,21 @@ def test_empty_and_plan(spark):
     assert "Bucketed: true" in plan
     with pytest.raises(ValueError):
         S.remove_repeats(df, 10)
+
+
+def test_a_digest_leaves_a_block_once():
+    import pyarrow as pa
+    row = (7, np.arange(300, 0, -1).astype("<i8").tobytes(), np.r_[np.ones(299, np.uint8), np.uint8(0)].tobytes(), b"", b"d" * 16 * 298 + b"e" * 32, b"")
+    sent = pa.Table.from_batches(S._digest_batches(iter(S._table([row], S._BLOCK).to_batches()))).to_pylist()
+    assert [(r["digest"], r["id"], r["block"], r["row"]) for r in sent] == [(b"d" * 16, 3, 7, 297), (b"e" * 16, 2, 7, 298)]
+
+
+@pytest.mark.parametrize("listed", [0, 100])
+def test_copies_over_many_blocks(spark, monkeypatch, listed):
+    for name, value in (("BLOCK_BYTES", 200), ("HOT_BLOCKS", 2), ("HOT_DIGESTS", listed)):
+        monkeypatch.setattr(S, name, value)
+    a, b, c = "common text " * 6, "another one " * 5, "a" * 40
+    rows = [(i, a if i % 3 else c) for i in range(40, 0, -1)] + [(50, b), (49, b), (-5, b), (51, ""), (52, None), (None, a), (1, a), (60, a + b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.id), r.n_bytes, [(x.start, x.end) for x in r.removed], bytes(r.kept)) for r in S.remove_repeats(df).collect())
+    assert got == brute(rows, S.LENGTH)
