@@ -226,42 +226,43 @@ def _dealt(vectors: DataFrame, centers: np.ndarray, dim: int, scale: float) -> D
             near = np.concatenate([(sq - 2 * (x[i: i + 2048] @ centers.T)).argmin(axis=1) for i in range(0, len(x), 2048)]) \
                 if len(x) else np.empty(0, np.int64)
             dist = np.linalg.norm(x - centers[near], axis=1) * (1 + 1e-12)
-            yield pa.RecordBatch.from_arrays([b.column(0), _blobs(x), pa.array(near.astype(np.int32)), pa.array(dist)],
-                                             names=["id", "vec", "center", "dist"])
-    return vectors.mapInArrow(run, "id long, vec binary, center int, dist double")
+            yield pa.RecordBatch.from_arrays([b.column(0), _blobs(x), pa.array(near.astype(np.int32)), pa.array(dist), b.column(2)],
+                                             names=["id", "vec", "center", "dist", "row"])
+    return vectors.mapInArrow(run, "id long, vec binary, center int, dist double, row long")
 
 
 def _search(blocks: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
-    """Cogroup blocks(block, part, id, vec) with queries(block, part, id, vec,
-    kth) into (query_id, id, score)."""
+    """Cogroup blocks(block, part, id, vec) with queries(block, part, row, id,
+    vec, kth) into (query_row, query_id, id, score)."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "id", "score"]
+        names = ["query_row", "query_id", "id", "score"]
         parts = []
         if left.num_rows and right.num_rows:
             d, d_id = _matrix(left["vec"], dim), left["id"].to_numpy()
             data = CoverTree(d)
-            right = right.sort_by([("center", "ascending"), ("id", "ascending")])
+            right = right.sort_by([("center", "ascending"), ("row", "ascending")])
             for lo in range(0, right.num_rows, QUERY_TREE):
                 cut = right.slice(lo, QUERY_TREE)
-                q, q_id, kth = _matrix(cut["vec"], dim), cut["id"].to_numpy(), cut["kth"].to_numpy()
+                q, q_row, q_id, kth = _matrix(cut["vec"], dim), cut["row"].to_numpy(), cut["id"].to_numpy(), cut["kth"].to_numpy()
                 score, ids = dual_search(q, q_id, kth, d, d_id, data, k)
                 keep = (score > -np.inf) & (score >= kth[:, None])
                 row, _ = np.nonzero(keep)
                 whole = np.clip(score[keep], -2.0 ** 63, 2.0 ** 63 - 1025).astype(np.int64)
-                parts.append(pa.Table.from_arrays([pa.array(q_id[row]), pa.array(ids[keep]), pa.array(whole)], names=names))
-        empty = pa.table([pa.array([], pa.int64())] * 3, names=names)
+                parts.append(pa.Table.from_arrays([pa.array(q_row[row]), pa.array(q_id[row]), pa.array(ids[keep]), pa.array(whole)], names=names))
+        empty = pa.table([pa.array([], pa.int64())] * 4, names=names)
         return pa.concat_tables([empty, *parts])
     return (blocks.groupBy("block", "part").cogroup(queries.groupBy("block", "part"))
-            .applyInArrow(run, "query_id long, id long, score long"))
+            .applyInArrow(run, "query_row long, query_id long, id long, score long"))
 
 
 def _one_dimension(vectors: DataFrame, is_query: Column, dim: int, k: int, scale: float) -> DataFrame:
-    spark = vectors.sparkSession
+    """``(query_id, id, score)``: for each row that is a query, its k best
+    pairs at least."""
     n = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("id", "vec").toArrow()
+    sample = vectors.orderBy(F.xxhash64("row"), "row").limit(SAMPLE_ROWS).select("id", "vec").toArrow()
     points = _quantised(sample["vec"].combine_chunks(), dim, scale)
     centers = _far_apart(points, max(1, min(MAX_CENTERS, math.ceil(n / ROWS_PER_CENTER))))
-    dealt = written(_dealt(vectors.select("id", "vec"), centers, dim, scale), "dealt_vectors")
+    dealt = written(_dealt(vectors.select("id", "vec", "row"), centers, dim, scale), "dealt_vectors")
     # One row for each center: MAX_CENTERS at most.
     meta = {r.center: (r["n"], r.radius) for r in dealt.groupBy("center").agg(
         F.count("*").alias("n"), F.max("dist").alias("radius")).collect()}
@@ -272,17 +273,17 @@ def _one_dimension(vectors: DataFrame, is_query: Column, dim: int, k: int, scale
         first[c], cells[c] = at, max(1, math.ceil(rows / BLOCK))
         at += cells[c]
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("center") + 1)
-    placed = dealt.withColumn("block", pick(first) + F.pmod(F.xxhash64("id"), pick(cells)).cast("int"))
+    placed = dealt.withColumn("block", pick(first) + F.pmod(F.xxhash64("row"), pick(cells)).cast("int"))
     queries = placed.where(is_query)
     groups = max(1, math.ceil(queries.count() / QUERY_GROUP))
-    part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int")
+    part = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(groups)).cast("int")
     blocks = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("block", "part", "id", "vec")
-    queries = queries.withColumn("part", part).select("block", "part", "id", "vec", "center")
+    queries = queries.withColumn("part", part).select("block", "part", "row", "id", "vec", "center")
 
     own = written(_search(blocks, queries.withColumn("kth", F.lit(float("-inf"))), dim, k), "own_block_scores")
-    kth = own.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
-    queries = queries.join(kth, queries.id == kth.query_id, "left").select(
-        "block", "part", "id", "vec", "center", F.when(F.col("n") >= k, F.col("least").cast("double")).otherwise(F.lit(float("-inf"))).alias("kth"))
+    kth = own.groupBy("query_row").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    queries = queries.join(kth, queries.row == kth.query_row, "left").select(
+        "block", "part", "row", "id", "vec", "center", F.when(F.col("n") >= k, F.col("least").cast("double")).otherwise(F.lit(float("-inf"))).alias("kth"))
     first_a, cells_a = np.array(first), np.array(cells)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,9 +307,7 @@ def _one_dimension(vectors: DataFrame, is_query: Column, dim: int, k: int, scale
 
     wide = queries.mapInArrow(spread, queries.schema)
     rest = _search(blocks, wide, dim, k)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return (own.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "id", "score"))
+    return own.unionByName(rest).select("query_id", "id", "score")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id",
@@ -319,20 +318,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     to the smaller id; all of them if there are fewer.
 
     Rows with a null id, a null vector or a null or non-finite component take
-    no part. Of repeated ids the least vector counts. Vectors are compared
-    with vectors of their own length (at most MAX_DIMENSIONS lengths). Scores
-    are exact up to 2**53. Other columns are ignored; an empty table, or no
-    queries, gives an empty table.
+    no part. Each different vector of a repeated id counts: as a candidate it
+    is a result of its own, as queries they share the k places of their id
+    and are not candidates of each other. A row repeated with an equal vector
+    counts once. Vectors are compared with vectors of their own length (at
+    most MAX_DIMENSIONS lengths). Scores are exact up to 2**53. Other columns
+    are ignored; an empty table, or no queries, gives an empty table.
     """
     x = F.col("vec")
     ok = x.isNotNull() & F.col("id").isNotNull() & F.forall(
         x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False)))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec")).where(ok)
-    rows = written(rows.groupBy("id").agg(F.min("vec").alias("vec")), "vectors")
+    rows = written(rows.dropDuplicates(["id", "vec"]).withColumn("row", F.monotonically_increasing_id()), "vectors")
     dims = [r.n for r in rows.select(F.size("vec").alias("n")).distinct().limit(MAX_DIMENSIONS + 1).collect()]
     if len(dims) > MAX_DIMENSIONS:
         raise ValueError(f"vectors of more than {MAX_DIMENSIONS} lengths")
-    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, id long, score long")
+    out = rows.sparkSession.createDataFrame([], "query_id long, id long, score long")
     for dim in sorted(dims):
         out = out.unionByName(_one_dimension(rows.where(F.size("vec") == dim), is_query, dim, k, scale))
-    return out
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

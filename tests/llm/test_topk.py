@@ -61,3 +61,20 @@ def test_tree_covers_and_prunes():
         for i in range(len(kids)):
             apart = np.linalg.norm(c[i + 1:] - c[i], axis=1)
             assert (apart > t.radius[n] / 2).all()
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_repeated_ids_with_different_vectors(spark, monkeypatch, small):
+    if small:
+        for name, value in (("ROWS_PER_CENTER", 40), ("BLOCK", 16), ("QUERY_GROUP", 7), ("QUERY_TREE", 4), ("LEAF", 3), ("POINTS_PER_CHILD", 1), ("POINTS", 5)):
+            monkeypatch.setattr(topk, name, value)
+    # A hot id, repeated queries (one of them of two lengths) and candidates.
+    rows = [(i % 90 if i % 3 else 7, v) for i, v in vectors(300, 6, 3)] + [(20, [9.0, 1.0]), (5, [2.0, 3.0]), (5, [4.0, 5.0])]
+    rows = [(i, list(v)) for i, v in {(i, tuple(v)) for i, v in rows}]
+    ints = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        s = sorted((-sum(a * b for a, b in zip(x, y)), d) for i, x in ints if i == q for d, y in ints if d != q and len(x) == len(y))
+        want += [(q, r + 1, d, -x) for r, (x, d) in enumerate(s[:7])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("id") % 20 == 0, k=7).collect()) == sorted(want)
