@@ -1044,7 +1044,7 @@ def q_raw_mode(spark, sf):
     o, c, n = (FX.table(spark, sf, t) for t in ("orders", "customer", "nation"))
     raw = (o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
            .select(F.col("n_name").alias("R_PROPERTY_NAME"), F.col("o_totalprice").alias("R_TOTAL_AMOUNT")))
-    return SM.property_summary(CL.raw_mode_frame(raw), 25).select("property", "reservas", "ingresos", "ticket_medio")
+    return SM.grouped(CL.raw_mode_frame(raw), [], ["property"], ["reservas", "ingresos", "ticket_medio"])
 
 
 SUMMER = ["Jul", "Ago"]
