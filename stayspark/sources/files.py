@@ -75,27 +75,41 @@ def clean_header(name: str) -> str:
     return name.replace('"', "").strip()
 
 
+def _spanning(spark: SparkSession, files: list[str], sep: str, encoding: str) -> set[str]:
+    """The files with a line whose quotes don't all enclose whole fields of
+    that line: a quoted field may hold line breaks there."""
+    left = F.regexp_replace(F.replace("value", F.lit('""'), F.lit("")), f'(^|{sep})"[^"]*"(?={sep}|$)', "$1")
+    lines = spark.read.option("encoding", encoding).text(files).select("value", F.col("_metadata.file_path").alias("file"))
+    return {r.file for r in lines.where(left.contains('"')).select("file").distinct().collect()}
+
+
 def read_bookings_csv(spark: SparkSession, path: str, strict: bool = False,
-                      encoding: str = "ISO-8859-1", multiline: bool = True) -> DataFrame:
+                      encoding: str = "ISO-8859-1", multiline: bool | None = None) -> DataFrame:
     """All columns as strings, Latin-1, ``"`` quotes; header names lose
     their quotes and blanks (only when a separator was recognised); the words
     for a missing value are NULL.
 
     Every file is read by its own header line, so files of a folder may have
-    other separators or columns; columns meet by name. ``multiline`` lets
-    quoted fields hold line breaks, at the price of one task per file: turn it
-    off for large files that have none.
+    other separators or columns; columns meet by name. Quoted fields may hold
+    line breaks: a pass over the lines finds the files that can have some, and
+    only those are read whole, by one task each; all others are split.
+    ``multiline`` saves that pass and reads all files whole, or none.
     """
     out = None
     for head, files in _layouts(spark, path, encoding).items():
         sep = _separator(head)
         if sep is None and strict:
             raise ValueError(f"no separator gives more than 2 columns in {files[0]}")
-        df = (spark.read.option("header", True).option("sep", sep or ";").option("encoding", encoding)
-              .option("quote", '"').option("escape", '"').option("inferSchema", False)
-              .option("multiLine", multiline).option("mode", "PERMISSIVE").csv(files))
-        df = df.toDF(*[clean_header(c) for c in df.columns]) if sep else df
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        whole = _spanning(spark, files, sep or ";", encoding) if multiline is None else set(files) if multiline else set()
+        for together in (False, True):
+            some = [f for f in files if (f in whole) == together]
+            if not some:
+                continue
+            df = (spark.read.option("header", True).option("sep", sep or ";").option("encoding", encoding)
+                  .option("quote", '"').option("escape", '"').option("inferSchema", False)
+                  .option("multiLine", together).option("mode", "PERMISSIVE").csv(some))
+            df = df.toDF(*[clean_header(c) for c in df.columns]) if sep else df
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
         if strict:
             raise ValueError(f"no separator gives more than 2 columns in {path}")

@@ -203,3 +203,27 @@ def test_text_columns_lose_nothing(spark):
     assert to_columns(lines).columns == ["doc_id", "line_no", "_0", "_1", "_2"]
     with pytest.raises(Exception, match="cells"):
         to_columns(lines, 2).collect()
+
+
+def test_only_files_with_open_quotes_are_read_whole(spark, tmpdir_path):
+    """Files without line breaks in quotes are split; the others lose none."""
+    n = 3000
+    plain = "id;status;note\n" + "".join(f'{i};"a;b";"say ""hi"""\n' if i % 2 else f'{i};"";x\n' for i in range(n))
+    write(os.path.join(tmpdir_path, "plain.csv"), plain)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        df = FS.read_bookings_csv(spark, tmpdir_path)
+        assert df.rdd.getNumPartitions() > 1
+        assert {(r["id"], r["status"], r["note"]) for r in df.collect()} == {
+            (str(i), "a;b", 'say "hi"') if i % 2 else (str(i), None, "x") for i in range(n)}
+        # The break hides behind an even number of quotes in "stray"; breaks at a field's end and in blank lines.
+        write(os.path.join(tmpdir_path, "breaks.csv"), 'id;status;note\nb1;ok;"two\n\nlines ""x"""\nb2;"end\n";z\n')
+        write(os.path.join(tmpdir_path, "stray.csv"), 'id;status;note\ns1;5" tv;"open\nclosed"\ns2;ok;z\n')
+        df = FS.read_bookings_csv(spark, tmpdir_path)
+        got = {(r["id"], r["status"], r["note"]) for r in df.collect()}
+        assert len(got) == df.count() == n + 4
+        assert {r for r in got if not r[0].isdigit()} == {
+            ("b1", "ok", 'two\n\nlines "x"'), ("b2", "end\n", "z"), ("s1", '5" tv', "open\nclosed"), ("s2", "ok", "z")}
+        assert got == {tuple(r) for r in FS.read_bookings_csv(spark, tmpdir_path, multiline=True).select("id", "status", "note").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
