@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import arc_warc, decontaminate, packing, pii, quality, simhash, suffix_dedup, topk, toxicity, url_filter
+from . import arc_warc, decontaminate, packing, pii, quality, simhash, suffix_dedup, topk, toxicity, url_filter, va_clusters
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,37 @@ s AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = va_clusters.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=8, rounds=10, dims=64, scale=1024.0, seed="3")
+    return out.withColumnRenamed("id", "vec_id")
+
+
+def _rounds_sql(k: int, rounds: int, dims: int) -> str:
+    """k-means in SQL: one pair of steps (nearest, means) a round."""
+    near = """a{i} AS MATERIALIZED (
+  SELECT r, min({{'d': d, 'c': c}}) AS best FROM (
+    SELECT r, c, list_sum(list_transform(range(1, {dims1}), lambda j: (v.e[j] - m.e[j]) * (v.e[j] - m.e[j])))::BIGINT AS d FROM v, c{i} m) GROUP BY r)"""
+    mean = """c{j} AS MATERIALIZED (
+  SELECT c, coalesce(n.e, o.e) AS e FROM c{i} o LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY p) AS e FROM (
+      SELECT best.c AS c, p, sum(x)::BIGINT AS s, count(*) AS n
+      FROM (SELECT best, unnest(v.e) AS x, unnest(range(1, {dims1})) AS p FROM v JOIN a{i} USING (r)) GROUP BY ALL) GROUP BY c) n USING (c))"""
+    parts = [f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, e) - 1 AS c, e FROM (
+    SELECT sha256('3:' || vec_id::VARCHAR) AS h, e FROM v ORDER BY h NULLS LAST, e LIMIT {k}))"""]
+    for i in range(rounds):
+        parts += [near.format(i=i, dims1=dims + 1), mean.format(i=i, j=i + 1, dims1=dims + 1)]
+    parts.append(near.format(i=rounds, dims1=dims + 1))
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia,
+       sum(best.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m.e, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (r) JOIN c{rounds} m ON m.c = best.c"""
+
+
+ORACLE["op11_centroid_clustering"] = _rounds_sql(8, 10, 64)
