@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import arc_warc, decontaminate, packing, pii, quality, simhash, suffix_dedup, topk, toxicity, url_filter, va_clusters
+from . import arc_warc, decontaminate, packing, pii, quality, simhash, suffix_dedup, topk, toxicity, url_filter, va_clusters, word_runs
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +219,59 @@ FROM v JOIN a{rounds} USING (r) JOIN c{rounds} m ON m.c = best.c"""
 
 
 ORACLE["op11_centroid_clustering"] = _rounds_sql(8, 10, 64)
+
+
+def planted(doc_id: Column, text: Column) -> Column:
+    """The text, words joined by one space, with the contract's repeats: of a
+    tenth of the documents (by crc32 of the id) the words from ``a`` on go on
+    with period ``p``. A null id has none."""
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[ \x09-\x0D]+"), "")
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size(words)
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (F.lit(1) + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    whole = F.concat(F.slice(words, F.lit(1), a), F.slice(again, F.lit(1), n - a))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(whole, " ")).otherwise(text)
+
+
+@query
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
+    out = word_runs.find_runs(docs)
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r.start, r.length, r.period)), "")
+    # runs are by start, then period: the first of equal exponents stays
+    most = F.aggregate("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(r.length * best.period > best.length * r.period, r).otherwise(best))
+    return out.withColumn("best", most).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+# crc32, a bit at a time: -1 is a shift, anything else a byte.
+ORACLE["op12_word_runs"] = r"""
+WITH base AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+crc AS (
+  SELECT *, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+      lambda b: [ord(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) AS h, len(w) AS n FROM base),
+cut AS (SELECT r, doc_id, w, n, h, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n ELSE 0 END AS a FROM crc),
+per AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM cut),
+docs AS MATERIALIZED (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE w END AS w
+  FROM per),
+x AS MATERIALIZED (SELECT r, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM docs),
+same AS (SELECT a.r, b.i - a.i AS q, a.i AS i FROM x a JOIN x b ON a.r = b.r AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+island AS (SELECT r, q, min(i) AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM same) GROUP BY r, q, k),
+long AS MATERIALIZED (SELECT * FROM island WHERE len >= greatest(6, 4 * q)),
+run AS MATERIALIZED (SELECT * FROM long WHERE NOT EXISTS (
+  SELECT 1 FROM long o WHERE o.r = long.r AND o.q < long.q AND long.q % o.q = 0 AND o.s <= long.s AND o.s + o.len >= long.s + long.len)),
+best AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+                first({'s': s, 'len': len, 'q': q} ORDER BY len / q DESC, s, q) AS top FROM run GROUP BY r),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM x
+         WHERE NOT EXISTS (SELECT 1 FROM run WHERE run.r = x.r AND run.s + run.q <= x.i AND x.i < run.s + run.len) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.s::BIGINT AS start, top.len::BIGINT AS length, top.q::BIGINT AS period,
+       ((1000 * top.len) // top.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM docs LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
