@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import arc_warc, decontaminate, packing, pii, quality, simhash, suffix_dedup, topk, toxicity, url_filter, va_clusters, word_runs
+from . import (arc_warc, decontaminate, license_scan, packing, pii, quality, simhash, suffix_dedup, topk, toxicity, url_filter, va_clusters,
+               word_runs)
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,3 +276,10 @@ SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.s::BIGINT AS start, to
        ((1000 * top.len) // top.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
 FROM docs LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
 """
+
+
+@query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+                      F.array_join("labels", ",").alias("labels"), "score")

@@ -182,38 +182,40 @@ def fragments(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def tile_rows(codes: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+def tile_rows(codes: np.ndarray, long: int = LONG) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """A long document's tiles, by octave: (octave, first core word, words
     before it, codes). The words beside the cores are those that Z values may
     reach."""
     n, k = len(codes), 0
     while n >= max(LEAST_WORDS, LEAST_PERIODS << k):
         size = 1 << k
-        core = max(LONG, 16 * size)
+        core = max(long, 16 * size)
         for at in range(0, n, core):
             lo = max(0, at - 3 * size)
             yield k, at, at - lo, codes[lo: min(n, at + core + 6 * size)]
         k += 1
 
 
-def _solve_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, period, start, end) of rows of tiles."""
-    for b in batches:
-        for i in range(b.num_rows):
-            row, k, at, before, blob = (b.column(c)[i].as_py() for c in range(5))
-            codes = np.frombuffer(blob, np.int32)
-            # the window's own ends may cut a Z value short, never lengthen it
-            names = Names(codes, np.array([0, len(codes)]))
-            names.words = np.full(len(codes), np.iinfo(np.int64).max)
-            for _ in range(k):
-                names.grow()
-            size = 1 << k
-            tile = np.arange(before, min(len(codes) - 2 * size + 1, before + max(LONG, 16 * size)), size)
-            ends = np.zeros(len(tile), np.int64), np.full(len(tile), len(codes))
-            t, q, lo, hi = solve(names, k, tile, *ends)
-            _, q, lo, hi = _stitched(np.zeros(len(t), np.int64), q, lo, hi)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), row, np.int64)), pa.array(q), pa.array(lo + at - before), pa.array(hi + at - before)],
-                                             ["row", "period", "start", "end"])
+def _solve_rows(long: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(row, period, start, end) of rows of tiles."""
+        for b in batches:
+            for i in range(b.num_rows):
+                row, k, at, before, blob = (b.column(c)[i].as_py() for c in range(5))
+                codes = np.frombuffer(blob, np.int32)
+                # the window's own ends may cut a Z value short, never lengthen it
+                names = Names(codes, np.array([0, len(codes)]))
+                names.words = np.full(len(codes), np.iinfo(np.int64).max)
+                for _ in range(k):
+                    names.grow()
+                size = 1 << k
+                tile = np.arange(before, min(len(codes) - 2 * size + 1, before + max(long, 16 * size)), size)
+                ends = np.zeros(len(tile), np.int64), np.full(len(tile), len(codes))
+                t, q, lo, hi = solve(names, k, tile, *ends)
+                _, q, lo, hi = _stitched(np.zeros(len(t), np.int64), q, lo, hi)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), row, np.int64)), pa.array(q), pa.array(lo + at - before), pa.array(hi + at - before)],
+                                                 ["row", "period", "start", "end"])
+    return run
 
 
 # --- documents --------------------------------------------------------------
@@ -232,32 +234,34 @@ def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int32), bounds
 
 
-def _document_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (its words, one space between them, and its
-    fragments), and a row for each row of tiles of long documents."""
-    row = TaskContext.get().partitionId() << 33
-    for b in batches:
-        id_type = b.schema.field(0).type
-        for lo, hi, data, starts in B.pieces(b.column(1), PIECE_BYTES):
-            codes, bounds = _words(data, starts)
-            n = np.diff(bounds)
-            short = n <= LONG
-            raw, cut = data.tobytes(), starts.tolist()
-            text = [b" ".join(raw[x:y].split()).decode() for x, y in zip(cut, cut[1:])]
-            few = np.where(short, n, 0)
-            doc, q, a, z = fragments(codes[np.repeat(short, n)], np.concatenate([[0], np.cumsum(few)]))
-            order = np.argsort(doc, kind="stable")
-            at = np.searchsorted(doc[order], np.arange(len(n) + 1)).astype(np.int32)
-            found = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays(
-                [pa.array(x[order]) for x in (q, a, z)], names=["period", "start", "end"]))
-            none = [pa.nulls(len(n), t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(n))), b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(text, pa.string()), found, *none], _NAMES)
-            for i in np.flatnonzero(~short):
-                for k, core, before, part in tile_rows(codes[bounds[i]: bounds[i + 1]]):
-                    empty = [pa.nulls(1, t) for t in (id_type, pa.int64(), pa.string(), found.type)]
-                    yield pa.RecordBatch.from_arrays([pa.array([row + int(i)]), *empty, pa.array([k], pa.int32()), pa.array([core]), pa.array([before]),
-                                                      pa.array([part.tobytes()], pa.binary())], _NAMES)
-            row += len(n)
+def _document_batches(long: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document (its words, one space between them, and its
+        fragments), and a row for each row of tiles of long documents."""
+        row = TaskContext.get().partitionId() << 33
+        for b in batches:
+            id_type = b.schema.field(0).type
+            for lo, hi, data, starts in B.pieces(b.column(1), PIECE_BYTES):
+                codes, bounds = _words(data, starts)
+                n = np.diff(bounds)
+                short = n <= long
+                raw, cut = data.tobytes(), starts.tolist()
+                text = [b" ".join(raw[x:y].split()).decode() for x, y in zip(cut, cut[1:])]
+                few = np.where(short, n, 0)
+                doc, q, a, z = fragments(codes[np.repeat(short, n)], np.concatenate([[0], np.cumsum(few)]))
+                order = np.argsort(doc, kind="stable")
+                at = np.searchsorted(doc[order], np.arange(len(n) + 1)).astype(np.int32)
+                found = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays(
+                    [pa.array(x[order]) for x in (q, a, z)], names=["period", "start", "end"]))
+                none = [pa.nulls(len(n), t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(n))), b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(text, pa.string()), found, *none], _NAMES)
+                for i in np.flatnonzero(~short):
+                    for k, core, before, part in tile_rows(codes[bounds[i]: bounds[i + 1]], long):
+                        empty = [pa.nulls(1, t) for t in (id_type, pa.int64(), pa.string(), found.type)]
+                        yield pa.RecordBatch.from_arrays([pa.array([row + int(i)]), *empty, pa.array([k], pa.int32()), pa.array([core]), pa.array([before]),
+                                                          pa.array([part.tobytes()], pa.binary())], _NAMES)
+                row += len(n)
+    return run
 
 
 _NAMES = ["row", "id", "n_words", "text", "found", "octave", "core", "before", "codes"]
@@ -281,7 +285,7 @@ def _collapse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(kept, pa.string())], ["id", "n_words", "runs", "collapsed"])
 
 
-def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long: int = LONG) -> DataFrame:
     """``(id, n_words, runs, collapsed)``, one row per row of ``docs``.
 
     Words are what lies between blanks (space, tab to carriage return),
@@ -293,16 +297,17 @@ def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Null and empty texts have no words; repeated rows get a row each; null ids
     stay null; other columns are ignored; an empty table gives an empty table.
+    Documents of more than ``long`` words are solved in rows of tiles.
     """
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = kept.schema["id"].dataType.simpleString()
-    read = written(kept.mapInArrow(B.lean(_document_batches),
+    read = written(kept.mapInArrow(B.lean(_document_batches(long)),
                                    f"row long, id {id_type}, n_words long, text string, found array<struct<period:long,start:long,end:long>>, "
                                    "octave int, core long, before long, codes binary"), "word_run_documents")
     documents = read.where(F.col("octave").isNull())
     tiles = read.where(F.col("octave").isNotNull()).select("row", "octave", "core", "before", "codes").repartition(wide(docs.sparkSession), "row", "octave", "core")
     found = documents.select("row", F.explode("found").alias("f")).select("row", "f.*").unionByName(
-        tiles.mapInArrow(B.lean(_solve_rows), "row long, period long, start long, end long"))
+        tiles.mapInArrow(B.lean(_solve_rows(long)), "row long, period long, start long, end long"))
 
     # Stitch: a fragment that starts beyond all before it starts a run.
     ordered = Window.partitionBy("row", "period").orderBy("start", "end")
@@ -315,7 +320,7 @@ def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     # A document's runs; no more than its words.
     runs = runs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "length", "period"))).alias("runs")).withColumnRenamed("row", "of")
     none = F.array().cast(f"array<{_RUN}>")
-    asked = (F.size("found") > 0) | (F.col("n_words") > LONG)
+    asked = (F.size("found") > 0) | (F.col("n_words") > long)
     repeated = documents.where(asked).join(runs, F.col("row") == F.col("of"), "left").select("id", "n_words", F.coalesce("runs", none).alias("runs"), "text")
     schema = f"id {id_type}, n_words long, runs array<{_RUN}>, collapsed string"
     return (documents.where(~asked).select("id", "n_words", none.alias("runs"), F.col("text").alias("collapsed"))

@@ -64,12 +64,11 @@ def texts():
 
 
 @pytest.mark.parametrize("long", [1 << 17, 12, 40])
-def test_matches_brute_force(spark, monkeypatch, long):
-    """With small ``LONG`` documents are exploded into rows of tiles."""
-    monkeypatch.setattr(word_runs, "LONG", long)
+def test_matches_brute_force(spark, long):
+    """With a small ``long`` documents are exploded into rows of tiles."""
     rows = [(i, t) for i, t in enumerate(texts())] + [(None, "q q q q q q q"), (3, "a"), (3, "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit(0), "row": F.lit(1), "runs": F.lit("x")}).repartition(3)
-    out = word_runs.find_runs(df)
+    out = word_runs.find_runs(df, long=long)
     assert out.columns == ["id", "n_words", "runs", "collapsed"]
     got = sorted((str(r.id), r.n_words, [tuple(x) for x in r.runs], r.collapsed) for r in out.collect())
     want = []
