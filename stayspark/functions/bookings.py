@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stayspark import schema as S
-from stayspark.functions.text import col_or_lit, plain_number, py_strip, py_title
+from stayspark.functions.text import bind, col_or_lit, plain_number, py_strip, py_title
 
 __all__ = [
-    "clean_money", "parse_timestamp", "parse_timestamp_any", "nights_filled",
+    "clean_money", "parse_timestamp", "nights_filled",
     "classify_status", "normalize_channel", "price_per_night", "month_name",
     "month_short", "quarter_label", "season", "dow_es", "iso_week",
     "is_weekend", "is_holiday", "year_month", "any_null", "confirmed_paid",
@@ -17,21 +17,19 @@ __all__ = [
 
 
 def clean_money(c) -> Column:
-    """F1: money text -> double; blank / unparsable -> 0.0, never null."""
-    s = py_strip(c)
-    dot, comma = F.instr(s, "."), F.instr(s, ",")
-    both = (dot > 0) & (comma > 0)
-    normalized = (
-        F.when(both & (dot < comma),
-               F.regexp_replace(F.regexp_replace(s, r"\.", ""), ",", "."))
-        .when(both, F.regexp_replace(s, ",", ""))
-        .when(comma > 0, F.regexp_replace(s, ",", "."))
-        .otherwise(s)
-    )
-    digits = F.regexp_replace(normalized, r"[^0-9.\-]", "")
-    value = F.when(s.isNull() | (s == "") | (s == "nan"), F.lit(0.0)).otherwise(
-        digits.try_cast("double"))
-    return F.coalesce(value, F.lit(0.0))
+    """F1: money text -> double; blank / unparsable -> 0.0, never null.
+
+    Everything but digits, signs and separators goes first (one regex); which
+    separator is the decimal one depends on their order.
+    """
+    def plain(d: Column) -> Column:
+        dot, comma = F.instr(d, "."), F.instr(d, ",")
+        return (F.when((dot > 0) & (dot < comma), F.translate(d, ",.", "."))
+                .when((dot > 0) & (comma > 0), F.translate(d, ",", ""))
+                .otherwise(F.translate(d, ",", ".")))
+
+    kept = F.regexp_replace(col_or_lit(c).cast("string"), r"[^0-9.,\-]+", "")
+    return F.coalesce(bind(kept, plain).try_cast("double"), F.lit(0.0))
 
 
 def parse_timestamp(c, fmt: str) -> Column:
@@ -45,12 +43,6 @@ def parse_timestamp(c, fmt: str) -> Column:
     return F.when(guard, F.try_to_timestamp(s, F.lit(fmt)))
 
 
-def parse_timestamp_any(c, formats=S.DATE_FALLBACK_FORMATS) -> Column:
-    """First format that parses wins (row level)."""
-    s = py_strip(c)
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
-
-
 def nights_filled(nights, arrival, departure) -> Column:
     """numeric nights; missing ones from whole days between the dates."""
     days = F.floor((F.unix_seconds(departure) - F.unix_seconds(arrival)) / F.lit(86400.0))

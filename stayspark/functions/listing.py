@@ -8,11 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stayspark import schema as S
-from stayspark.functions.text import PY_WS, col_or_lit, py_strip
+from stayspark.functions.text import PY_WS, bind, col_or_lit, py_strip
 
 __all__ = ["listing_price", "listing_price_digits", "listing_price_from", "rating_value", "review_count",
            "card_title", "card_title_name0", "card_title_generic", "card_title_from", "card_rating_match",
-           "card_price_text", "card_rating", "card_reviews", "lodging_type",
+           "card_price_text", "card_price", "card_rating", "card_reviews", "lodging_type",
            "capacity", "absolute_url", "nonblank"]
 
 
@@ -120,6 +120,13 @@ def card_price_text(price_raw, text) -> Column:
     return F.when(nonblank(pr), pr).when(nonblank(tx), found)
 
 
+def card_price(price_raw, text, nights) -> Column:
+    """F23 on F27: the nightly price of a card, its texts read once."""
+    raw, tx = col_or_lit(price_raw), col_or_lit(text)
+    price = lambda t: bind(listing_price_digits(t), lambda d: listing_price_from(t, d, nights))
+    return bind(raw, lambda r: bind(card_price_text(r, tx), price))
+
+
 _RATING_FULL = r"(\d)[,.](\d{2})\s*\((\d+)\)"
 _RATING_ONLY = r"(\d)[,.](\d{2})\s*(?:sobre|out)"
 

@@ -12,21 +12,31 @@ PY_WS = (r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
          r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
 
+#: The same characters as a plain text.
+PY_BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def col_or_lit(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
+def bind(value: Column, body) -> Column:
+    """``let``: ``body`` applied to a value that is computed once, however
+    often the body uses it and wherever the optimizer copies the result."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def py_strip(c) -> Column:
     """Remove leading/trailing Unicode blanks (like Python ``str.strip``)."""
-    return F.regexp_replace(col_or_lit(c).cast("string"), f"^{PY_WS}+|{PY_WS}+$", "")
+    return F.btrim(col_or_lit(c).cast("string"), F.lit(PY_BLANKS))
 
 
 def plain_number(c) -> Column:
     """Text that is a plain decimal number (sign, digits, point, exponent) as
     a double; anything else is NULL. A bare cast would also take Java's type
     suffixes (``5d``) and the words for infinity."""
-    s = py_strip(c)
-    return F.when(s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), s.try_cast("double"))
+    number = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+    return bind(py_strip(c), lambda s: F.when(s.rlike(number), s.try_cast("double")))
 
 
 def py_split(c) -> Column:

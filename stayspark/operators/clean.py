@@ -89,8 +89,27 @@ def elect_date_formats(df: DataFrame, cols: Sequence[str],
     return {c: next((i for i in range(len(formats)) if row[f"{c}__{i}"] * 2 > n), -1) for c in cols}
 
 
-def parse_elected(c: str, elected: int, formats: Sequence[str] = S.DATE_FORMATS) -> Column:
-    return SF.parse_timestamp(c, formats[elected]) if elected >= 0 else SF.parse_timestamp_any(c)
+def date_shapes(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
+    """F2 where no format wins: the date shapes of each column, by one
+    aggregate over the shapes of all rows. Only shapes that the date grammar
+    knows come back, so the list doesn't grow with the data."""
+    if not cols:
+        return {}
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), SF.date_shape(SF.py_strip(c)).alias("shape")) for i, c in enumerate(cols)]))
+    found = df.select(pairs.alias("x")).select("x.*").where(SF.is_date_shape(F.col("shape"))).distinct().collect()
+    return {c: sorted(r.shape for r in found if r.i == i) for i, c in enumerate(cols)}
+
+
+def parse_elected(c: str, elected: int, formats: Sequence[str] = S.DATE_FORMATS, shapes: Sequence[str] = ()) -> Column:
+    """The column by its elected format, or row by row by its shapes."""
+    return SF.parse_timestamp(c, formats[elected]) if elected >= 0 else SF.parse_shapes(c, shapes)
+
+
+def parse_dates(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
+    """election, then shapes for the columns that elect no format."""
+    elected = elect_date_formats(df, cols)
+    shapes = date_shapes(df, [c for c in cols if elected[c] < 0])
+    return {c: parse_elected(c, elected[c], shapes=shapes.get(c, ())) for c in cols}
 
 
 # -- P10 ---------------------------------------------------------------------
@@ -110,13 +129,9 @@ def clean_and_enrich(df: DataFrame, date_formats: Mapping[str, str] | None = Non
         df = df.withColumn("amount", SF.clean_money("amount"))
     present_dates = [c for c in DATE_COLUMNS if c in cols]
     if present_dates:
-        if date_formats:
-            parsed = {c: SF.parse_timestamp(c, date_formats[c]) if c in date_formats
-                      else SF.parse_timestamp_any(c) for c in present_dates}
-        else:
-            elected = elect_date_formats(df, present_dates)
-            parsed = {c: parse_elected(c, elected[c]) for c in present_dates}
-        df = df.withColumns(parsed)
+        given = {c: SF.parse_timestamp(c, date_formats[c]) for c in present_dates if c in (date_formats or {})}
+        others = [c for c in present_dates if c not in given]
+        df = df.withColumns({**given, **(parse_dates(df, others) if others else {})})
     has_span = "arrival" in cols and "departure" in cols
     if "nights" in cols:
         df = df.withColumn("nights", SF.nights_filled(

@@ -4,7 +4,7 @@ W7, W8, W10, F36, F37, P7)."""
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from stayspark import functions as SF
 from stayspark import schema as S
-from stayspark.functions.text import plain_number
-from stayspark.operators.quantiles import _bucketed, attach, bucket_count, exact_quantiles
+from stayspark.functions.text import bind, plain_number
+from stayspark.operators.quantiles import attach, bucket_count, exact_quantiles
+from stayspark.session import drop_written, written
 
 
 # -- X1-X3 -------------------------------------------------------------------
@@ -26,12 +27,11 @@ def extract_cards(cards: DataFrame, site_root: str = S.LISTING_SITE_ROOT,
     Input columns: title_raw, price_raw, text, href, checkin, checkout,
     ciudad, propiedad_referencia, scraped_on (dates may be ISO strings).
     """
-    # cards without a usable price leave before any other rule runs; per-row
-    # intermediates get their own projection: each is computed once
-    # (a non-cheap expression used several times is not inlined again)
-    s1 = cards.select("*", SF.stay_nights("checkin", "checkout").alias("_nights"), SF.card_price_text("price_raw", "text").alias("_ptxt"))
-    s1 = s1.select("*", SF.listing_price_digits("_ptxt").alias("_digits"))
-    s1 = s1.select("*", SF.listing_price_from("_ptxt", "_digits", "_nights").alias("_price")).where("_price is not null and _price <> 0")
+    # cards without a usable price leave before any other rule runs; the price
+    # is one expression whose parts are bound, as the filter is pushed down
+    # and copies it once; other per-row intermediates get their own projection
+    price = SF.card_price("price_raw", "text", SF.stay_nights("checkin", "checkout"))
+    s1 = cards.select("*", price.alias("_price")).where("_price is not null and _price <> 0")
     s2 = s1.select("*", SF.card_title_name0("title_raw").alias("_name0"), SF.card_rating_match("text").alias("_rmatch"))
     s2 = s2.select("*", SF.card_title_generic("_name0").alias("_generic0"))
     return s2.select(
@@ -51,43 +51,96 @@ def extract_cards(cards: DataFrame, site_root: str = S.LISTING_SITE_ROOT,
     )
 
 
-def _marker_blocks(html: Column, marker: str) -> Column:
-    """Card blocks for one marker. A bare tag name (``li``) takes each
-    element's inner HTML; an attribute text (``data-testid="card-container"``)
-    takes the HTML from one occurrence to the next (cards nest other
-    elements, so a closing tag cannot delimit them)."""
-    if marker.isalnum():
-        return F.regexp_extract_all(html, F.lit(rf"(?is)<{marker}\b[^>]*>(.*?)</{marker}>"), 1)
-    parts = F.split(html, re.escape(marker))
-    # drop the rest of the marker's own tag and a trailing partial tag
-    tidy = lambda b: F.regexp_replace(F.regexp_replace(b, r"^[^<>]*>", ""), r"<[^>]*$", "")
-    return F.when(F.size(parts) > 1, F.transform(F.slice(parts, 2, F.size(parts) - 1), tidy)).otherwise(
-        F.array().cast("array<string>"))
+#: A comment, a script or style with its text, a tag, or the text between two tags.
+_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>|[^<]+|<"
+#: Elements without an end tag of their own.
+_VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+_SCAN = "struct<at:int,depth:int,lists:int,start:int,name:string,spans:array<struct<start:int,end:int>>>"
+
+
+def _inner_spans(html: Column, opens) -> Column:
+    """(start, end) of the inner HTML of the outermost elements whose start
+    tag ``opens`` accepts (a condition on the tag's text), in order.
+
+    One walk over the page's tags carries the depth of open elements of the
+    block's own name, so a block ends where its own element closes, whatever
+    it nests; comments, scripts and styles are stepped over. ``p`` and ``li``
+    may lack their end tag: a ``p`` ends at the next one, an ``li`` at the next
+    one of its list or at the list's end. An element that is never closed
+    ends with the page.
+    """
+    def step(acc: Column, token: Column) -> Column:
+        name = F.lower(F.regexp_extract(token, r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
+        closing = token.startswith("</")
+        starting = (name != "") & ~closing & ~name.isin(_VOID) & ~token.endswith("/>") & ~name.isin("script", "style")
+        within = acc.start >= 0
+        same = within & (name == acc["name"])
+        item, para = within & (acc["name"] == "li"), within & (acc["name"] == "p")
+        is_list = name.isin("ul", "ol")
+        implied = (para & starting & (name == "p")) | (item & (acc.lists == 0) & ((starting & (name == "li")) | (closing & is_list)))
+        depth = F.when(same & starting, acc.depth + 1).when(same & closing, acc.depth - 1).otherwise(acc.depth)
+        # items of inner lists have their own depth
+        depth = F.when(item & (acc.lists > 0), acc.depth).otherwise(depth)
+        ends = within & (implied | (depth == 0))
+        begins = (~within | ends) & starting & opens(token)
+        after = acc.at + F.length(token)
+        spans = F.when(ends, F.concat(acc.spans, F.array(F.struct(acc.start.alias("start"), acc.at.alias("end"))))).otherwise(acc.spans)
+        lists = F.when(item & is_list & starting, acc.lists + 1).when(item & is_list & closing, acc.lists - 1).otherwise(acc.lists)
+        return F.struct(after.alias("at"), F.when(begins, 1).when(ends, 0).otherwise(depth).alias("depth"),
+                        F.when(begins | ends, 0).otherwise(lists).alias("lists"),
+                        F.when(begins, after).when(ends, -1).otherwise(acc.start).alias("start"),
+                        F.when(begins, name).otherwise(acc["name"]).alias("name"), spans.alias("spans")).cast(_SCAN)
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("lists"), F.lit(-1).alias("start"), F.lit("").alias("name"),
+                    F.array().cast("array<struct<start:int,end:int>>").alias("spans")).cast(_SCAN)
+    tail = lambda acc: F.when(acc.start >= 0, F.concat(acc.spans, F.array(F.struct(acc.start.alias("start"), acc.at.alias("end"))))
+                              ).otherwise(acc.spans)
+    return F.aggregate(F.regexp_extract_all(html, F.lit(_MARKUP), 0), zero, step, tail)
+
+
+def _inner(html: Column, span: Column) -> Column:
+    return F.substr(html, span.start + 1, span.end - span.start)
+
+
+def _start_tag(marker: str) -> str:
+    """Regex of the start tags of a card marker: a bare tag name (``li``), or
+    a text among the attributes."""
+    return rf"(?is)<{marker}\b[^>]*>" if marker.isalnum() else rf"(?is)<\w[^>]*{re.escape(marker)}[^>]*>"
 
 
 def page_cards(pages: DataFrame, markers: Sequence[str] = S.CARD_MARKERS, html: str = "html",
                page_id: str = "page_id") -> DataFrame:
     """Cards of each page, from the first marker that matches anything
-    on that page; tags stripped, blanks collapsed."""
+    on that page; tags stripped, blanks collapsed. A card is its element's
+    content, nested elements included; a card inside a card belongs to it."""
     x = _page_blocks(pages, markers, html, page_id)
     return x.select(page_id, "card_no", _plain(F.col("block")).alias("text"))
 
 
 def _page_blocks(pages: DataFrame, markers: Sequence[str], html: str, page_id: str) -> DataFrame:
     """(page_id, card_no, block) of the first marker that a page has."""
-    blocks = [_marker_blocks(F.col(html), m) for m in markers]
-    chosen = None
-    for b in blocks:
-        chosen = (F.when if chosen is None else chosen.when)(F.size(b) > 0, b)
-    chosen = chosen.otherwise(F.array().cast("array<string>"))
-    return pages.select(F.col(page_id), F.posexplode(chosen).alias("card_no", "block"))
-
-
-def _element(html: Column, attribute: str) -> Column:
-    """Inner HTML of the first element whose start tag matches the attribute
-    pattern, up to the next closing tag of its kind."""
-    inner = F.regexp_extract(html, rf"(?is)<(\w+)\b[^>]*{attribute}[^>]*>(.*?)</\1>", 2)
-    return F.when(F.regexp_like(html, F.lit(rf"(?is)<\w+\b[^>]*{attribute}[^>]*>")), inner)
+    page = F.col(html)
+    found = None
+    for m in markers:
+        pattern = F.lit(_start_tag(m))
+        found = (F.when if found is None else found.when)(F.regexp_like(page, pattern), pattern)
+    # the page's own pattern is chosen once, then the page is walked once
+    chosen = pages.select(F.col(page_id), page.alias("_html"), found.alias("_tag")).where(F.col("_tag").isNotNull())
+    spans = chosen.select(page_id, "_html", _inner_spans(F.col("_html"), lambda t: F.regexp_like(t, F.col("_tag"))).alias("_spans"))
+    each = spans.select(page_id, "_html", F.posexplode("_spans").alias("card_no", "_span"))
+    return each.select(page_id, "card_no", _inner(F.col("_html"), F.col("_span")).alias("block"))
+
+
+def _element(html: Column, attributes: Sequence[str]) -> Column:
+    """Inner HTML of the first element whose start tag matches an attribute
+    pattern, up to where that element closes; the first pattern that a tag of
+    the page matches counts."""
+    found = None
+    for a in attributes:
+        tag = F.lit(rf"(?is)<\w+\b[^>]*{a}[^>]*>")
+        found = (F.when if found is None else found.when)(F.regexp_like(html, tag), tag)
+    inner = lambda tag: bind(F.get(_inner_spans(html, lambda t: F.regexp_like(t, tag)), F.lit(0)), lambda s: _inner(html, s))
+    return bind(found, lambda tag: F.when(tag.isNotNull(), inner(tag)))
 
 
 def _plain(html: Column) -> Column:
@@ -102,7 +155,7 @@ def page_listings(pages: DataFrame, checkin, checkout, scraped_on, ciudad: Colum
     are the first of the ordered patterns that it has, its link the first
     ``href``; the rules of :func:`extract_cards` do the rest."""
     blocks = _page_blocks(pages, markers, html, page_id)
-    first = lambda patterns: F.nullif(F.coalesce(*[_plain(_element(F.col("block"), p)) for p in patterns]), F.lit(""))
+    first = lambda patterns: bind(_plain(_element(F.col("block"), patterns)), lambda t: F.when(t != "", t))
     cards = blocks.select(
         page_id, "card_no", first(S.CARD_TITLE_ATTRIBUTES).alias("title_raw"), first(S.CARD_PRICE_ATTRIBUTES).alias("price_raw"),
         F.trim(F.regexp_replace(F.regexp_replace("block", r"<[^>]*>", "\n"), r"\n\s*", "\n")).alias("text"),
@@ -197,31 +250,65 @@ def market_price_stats(m: DataFrame) -> DataFrame:
                                      "last_scrape", "_q.p0", "_q.p25", "_q.p100")
 
 
-def count_below(values: DataFrame, col: str, probes: DataFrame, probe_col: str,
+class RankIndex:
+    """How many values lie below a number: the distinct values with running
+    counts, stored by value range. ``bounds`` (at most one per bucket) and
+    ``offsets`` are small lists; the running counts start anew in each bucket."""
+
+    def __init__(self, table: DataFrame, bounds: Sequence[float], offsets: Mapping[int, int]):
+        self.table, self.bounds, self.offsets = table, list(bounds), dict(offsets)
+
+    def bucket(self, v: Column) -> Column:
+        """Number of bounds below ``v``."""
+        if not self.bounds:
+            return F.lit(0)
+        return F.size(F.filter(F.array(*[F.lit(b) for b in self.bounds]), lambda b: b < v))
+
+    def before(self, bucket: Column) -> Column:
+        """Values in the buckets before."""
+        last, totals = 0, []
+        for i in range(len(self.bounds) + 1):
+            totals.append(last)
+            last += self.offsets.get(i, 0)
+        return F.element_at(F.array(*[F.lit(t).cast("bigint") for t in totals]), bucket + 1)
+
+
+def rank_index(values: DataFrame, col: str, buckets: int | None = None) -> RankIndex:
+    """Build (and store) the rank index of a column's values; NULLs are left
+    out. Hot values collapse in the map-side count. Bounds come from a bounded
+    sketch of the distinct values and only balance the buckets."""
+    n = buckets or bucket_count(values.sparkSession)
+    v = values.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    counts = written(v.groupBy("v").agg(F.count(F.lit(1)).alias("c")), "value_counts")
+    probs = [i / n for i in range(1, n)]
+    found = counts.agg(F.percentile_approx("v", probs, 1000).alias("b")).first().b if probs else None
+    index = RankIndex(counts, sorted(set(found or [])), {})
+    upto = F.sum("c").over(Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    index.table = written(counts.withColumn("bucket", index.bucket(F.col("v"))).select("bucket", "v", upto.alias("upto")), "rank_index")
+    index.offsets = {r.bucket: r.n for r in index.table.groupBy("bucket").agg(F.max("upto").alias("n")).collect()}
+    drop_written(values.sparkSession, counts)
+    return index
+
+
+def count_below(values: DataFrame | RankIndex, col: str, probes: DataFrame, probe_col: str,
                 buckets: int | None = None) -> DataFrame:
     """For each probe row, ``n_below``: the number of ``values`` rows strictly
     below the probe value (an as-of rank lookup without a range join); NULL
     for a NULL probe.
 
-    Values and probes are pre-aggregated to distinct numbers, cut into value
-    buckets, and a running count inside each bucket plus the bucket's offset
-    is the rank of each distinct number; probe rows get it by their value, so
-    nothing depends on how partitions are dealt.
+    The values' rank index (:func:`rank_index`, or a stored one) and the
+    distinct probes meet sorted by value, bucket by bucket: a probe's rank is
+    the last running count before it. Probe rows get it by their value, so a
+    price that many rows have is one probe.
     """
-    def distinct(df: DataFrame, c: str, n: Column) -> DataFrame:
-        return df.select(F.col(c).cast("double").alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(n.alias("c"))
-
-    u = distinct(values, col, F.count(F.lit(1))).withColumn("_probe", F.lit(False)).unionByName(
-        distinct(probes, probe_col, F.lit(0).cast("long")).withColumn("_probe", F.lit(True)))
-    u = u.groupBy("v").agg(F.sum("c").alias("c"), F.max("_probe").alias("_probe"))
-    u = _bucketed(u, buckets or bucket_count(values.sparkSession))
-    below = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    u = u.withColumn("cum", F.coalesce(F.sum("c").over(below), F.lit(0)))
-    per = u.groupBy("bucket").agg(F.sum("c").alias("bc"))
-    off = per.select("bucket", F.coalesce(F.sum("bc").over(
-        Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
-    ranks = (u.where("_probe").join(F.broadcast(off), "bucket")
-             .select(F.col("v").alias("_v"), (F.col("off") + F.col("cum")).alias("n_below")))
+    index = values if isinstance(values, RankIndex) else rank_index(values, col, buckets)
+    p = probes.select(F.col(probe_col).cast("double").alias("v")).where(F.col("v").isNotNull()).distinct()
+    sides = index.table.withColumn("_probe", F.lit(0)).unionByName(
+        p.select(index.bucket(F.col("v")).alias("bucket"), "v", F.lit(None).cast("bigint").alias("upto"), F.lit(1).alias("_probe")))
+    # at equal values the probe comes first: strictly below
+    passed = Window.partitionBy("bucket").orderBy("v", F.desc("_probe")).rowsBetween(Window.unboundedPreceding, 0)
+    ranks = sides.withColumn("below", F.coalesce(F.max("upto").over(passed), F.lit(0)) + index.before(F.col("bucket"))).where("_probe = 1")
+    ranks = ranks.select(F.col("v").alias("_v"), F.col("below").alias("n_below"))
     return probes.join(ranks, F.col(probe_col).cast("double") == F.col("_v"), "left").drop("_v")
 
 

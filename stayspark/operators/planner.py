@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayspark import functions as SF
@@ -63,8 +63,8 @@ def search_plan(inputs: DataFrame, as_of, per_property: int = 3) -> DataFrame:
                                       F.col("propiedad").alias("propiedad_referencia"))
 
 
-#: Most rows of a keyword table.
-MAX_KEYWORDS = 10_000
+#: Most keywords that are broadcast; a longer table is joined by shuffle.
+BROADCAST_KEYWORDS = 100_000
 
 
 def city_keywords_table(spark, keywords: Sequence[tuple[str, str]] = S.CITY_KEYWORDS) -> DataFrame:
@@ -74,11 +74,30 @@ def city_keywords_table(spark, keywords: Sequence[tuple[str, str]] = S.CITY_KEYW
 
 
 def detect_city_join(props: DataFrame, keywords: DataFrame, col: str = "propiedad") -> DataFrame:
-    """Containment join of distinct names with a keyword table; the lowest
-    priority wins. The keyword table is a configuration list of at most
-    ``MAX_KEYWORDS`` rows (checked), so it is broadcast."""
-    if keywords.limit(MAX_KEYWORDS + 1).count() > MAX_KEYWORDS:
-        raise ValueError(f"more than {MAX_KEYWORDS} keywords")
-    j = props.select(col).distinct().join(F.broadcast(keywords), F.lower(F.col(col)).contains(F.col("keyword")))
-    g = j.groupBy(col).agg(F.min_by("ciudad", "prio").alias("ciudad"))
-    return g
+    """Containment join of distinct names with a keyword table of any
+    size, (name, ciudad); the lowest priority wins, names without a keyword
+    have no row.
+
+    A substring index in place of a comparison of all pairs: each distinct
+    name is exploded to its different substrings of the lengths that keywords
+    have, and those meet the keywords by equality. A name of L characters
+    gives at most L substrings for each of those lengths (a list of small
+    numbers, no longer than the longest keyword). The keywords go to the names
+    when there are few of them, else both sides are shuffled by the text;
+    a frequent substring is then a skewed key that AQE splits.
+    """
+    best = keywords.where(F.col("keyword").isNotNull()).groupBy("keyword").agg(F.min_by("ciudad", "prio").alias("ciudad"), F.min("prio").alias("prio"))
+    lengths = sorted(r.n for r in best.select(F.length("keyword").alias("n")).distinct().collect())
+    names = props.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_low", F.lower(F.col(col).cast("string")))
+
+    def of_length(n: int) -> Column:
+        if n == 0:
+            return F.array(F.lit(""))
+        at = F.sequence(F.lit(1), F.greatest(F.length("_low") - (n - 1), F.lit(1)))
+        return F.when(F.length("_low") >= n, F.transform(at, lambda i: F.substr(F.col("_low"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    if not lengths:
+        return names.select(col, F.lit(None).cast("string").alias("ciudad")).where("false")
+    parts = names.select(col, F.explode(F.array_distinct(F.flatten(F.array(*[of_length(n) for n in lengths])))).alias("keyword"))
+    side = F.broadcast(best) if best.limit(BROADCAST_KEYWORDS + 1).count() <= BROADCAST_KEYWORDS else best
+    return parts.join(side, "keyword").groupBy(col).agg(F.min_by("ciudad", "prio").alias("ciudad"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from stayspark import schema as S
 from stayspark.functions.bookings import _pick
+from stayspark.session import written
 
 
 def r2(c: Column, d: int = 2) -> Column:
@@ -146,18 +147,27 @@ def property_month_revenue(df: DataFrame) -> DataFrame:
             .agg(F.coalesce(exact_sum("amount"), F.lit(0.0)).alias("ingresos")))
 
 
-def property_month_matrix(df: DataFrame) -> DataFrame:
-    """A11, wide form: one column per year-month (chronological), gaps 0.
+def property_month_rows(df: DataFrame) -> DataFrame:
+    """A11 as sparse rows: one ``map<year_month, revenue>`` per property, in
+    month order; as many entries as the property has months."""
+    month = F.struct("year_month", "ingresos")
+    return property_month_revenue(df).groupBy("property").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(month))).alias("ingresos_por_mes"))
 
-    The pivot values come from one ``distinct`` of the month keys, a list
-    bounded by the number of months, not by the data volume.
+
+def property_month_matrix(df: DataFrame, months: Sequence[str] | None = None) -> DataFrame:
+    """A11, wide form: one column per year-month, gaps 0.
+
+    With a given list of ``months`` (a calendar) this is one lazy plan; months
+    outside the list have no column. Without one, the columns are the months
+    that occur: the sparse rows are written once, and the distinct months (a
+    list bounded by the calendar, not by the data) are read from them.
     """
-    long = property_month_revenue(df)
-    months = sorted(r[0] for r in long.select("year_month").distinct().collect())
-    if not months:
-        return long.select("property")
-    wide = long.groupBy("property").pivot("year_month", months).agg(F.sum("ingresos"))
-    return wide.fillna(0.0, subset=months)
+    rows = property_month_rows(df)
+    if months is None:
+        rows = written(rows, "property_months")
+        months = sorted(r.m for r in rows.select(F.explode(F.map_keys("ingresos_por_mes")).alias("m")).distinct().collect())
+    return rows.select("property", *[F.coalesce(F.try_element_at("ingresos_por_mes", F.lit(m)), F.lit(0.0)).alias(m) for m in months])
 
 
 def property_peaks_valleys(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ same rules for DuckDB; floats are rounded half-even in both engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,7 +48,7 @@ def r2(c, d=2):
 
 def rcols(df: DataFrame, cols, d=2) -> DataFrame:
     """Round the given float columns (half-even) in place."""
-    return df.withColumns({c: F.bround(F.col(c), d) for c in cols})
+    return df.withColumns({c.strip("`"): F.bround(F.col(c), d) for c in cols})
 
 
 def xsum(col: str) -> str:
@@ -134,7 +135,7 @@ def q_confirmed_paid(spark, sf):
 
 @register("quality_flags", with_bookings(f"SELECT id, _is_outlier, {HAS_NULLS} AS _has_nulls FROM bookings_clean"))
 def q_quality_flags(spark, sf):
-    return FX.bookings_clean(spark, sf).select("id", "_is_outlier", "_has_nulls")
+    return FX.bookings_clean(spark, sf, outlier_flag=True).select("id", "_is_outlier", "_has_nulls")
 
 
 @register("quality_report", with_bookings("""
@@ -1001,22 +1002,21 @@ def q_text_table_lines(spark, sf):
 
 DATE_COLUMNS = {"d0": "dd/MM/yyyy", "d1": "yyyy-MM-dd", "d2": "dd-MM-yyyy", "d3": "MM/dd/yyyy", "d4": "dd/MM/yyyy HH:mm:ss"}
 DATE_SQL = ["%d/%m/%Y", "%Y-%m-%d", "%d-%m-%Y", "%m/%d/%Y", "%d/%m/%Y %H:%M:%S"]
-MIXED_DATES = ["dd.MM.yyyy", "yyyyMMdd", "dd MMM yyyy", "MMM dd, yyyy"]
+MIXED_DATES = ["dd.MM.yyyy", "yyyyMMdd", "dd MMM yyyy", "MMM dd, yyyy", "dd-MMM-yyyy HH:mm", "yyyy/MM/dd HH:mm:ss.SSS", "dd MM yyyy", "d.M.yy h:mm a"]
 MIXED_SQL = ["%d.%m.%Y", "%Y%m%d", "%d %b %Y", "%b %d, %Y"]
 
 
 @register("parse_dates_formats", "SELECT o_orderkey, " + ", ".join(
     f"CAST(o_orderdate AS DATE) AS {c}" for c in [*DATE_COLUMNS, "mixed"]) + ", CAST(NULL AS DATE) AS none FROM orders")
 def q_parse_dates_formats(spark, sf):
-    """a column in each elected format, one in four layouts so that none
-    wins, and one that is no date."""
+    """a column in each elected format, one in eight layouts so that none
+    wins (read by their shapes), and one that is no date."""
     day = F.to_date("o_orderdate")
-    mixed = F.element_at(F.array(*[F.date_format(day, f) for f in MIXED_DATES]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    mixed = F.element_at(F.array(*[F.date_format(day, f) for f in MIXED_DATES]), (F.col("o_orderkey") % len(MIXED_DATES) + 1).cast("int"))
     text = FX.table(spark, sf, "orders").select("o_orderkey", *[F.date_format(day, f).alias(c) for c, f in DATE_COLUMNS.items()],
                                                 mixed.alias("mixed"), F.lit("soon").alias("none"))
-    cols = [*DATE_COLUMNS, "mixed", "none"]
-    elected = CL.elect_date_formats(text, cols)
-    return text.select("o_orderkey", *[F.to_date(CL.parse_elected(c, elected[c])).alias(c) for c in cols])
+    parsed = CL.parse_dates(text, [*DATE_COLUMNS, "mixed", "none"])
+    return text.select("o_orderkey", *[F.to_date(x).alias(c) for c, x in parsed.items()])
 
 
 @register("rating_and_reviews", r"""
@@ -1069,14 +1069,15 @@ def q_months_available(spark, sf):
     return PR.months_available(FX.bookings(spark, sf))
 
 
-@register("property_month_matrix_wide", with_bookings(
-    "PIVOT (SELECT p.property, m.year_month, coalesce(pm.ingresos, 0.0) AS ingresos FROM (SELECT DISTINCT property FROM pm) p "
-    "CROSS JOIN (SELECT DISTINCT year_month FROM pm) m LEFT JOIN pm ON pm.property = p.property AND pm.year_month = m.year_month) "
-    "ON year_month USING round(sum(ingresos), 2) GROUP BY property", PM_SQL))
+#: The calendar of the matrix' columns: the months that orders can fall in.
+MATRIX_MONTHS = [f"{y}-{m:02d}" for y in range(1992, 1999) for m in range(1, 13)]
+_MATRIX = ", ".join(f"""{rnd(f"coalesce(max(ingresos) FILTER (WHERE year_month = '{m}'), 0.0)")} AS "{m}\"""" for m in MATRIX_MONTHS)
+
+
+@register("property_month_matrix_wide", with_bookings(f"SELECT property, {_MATRIX} FROM pm GROUP BY property", PM_SQL))
 def q_matrix_wide(spark, sf):
-    """A11 as the operator returns it: one column per month."""
-    w = SM.property_month_matrix(FX.bookings(spark, sf))
-    return w.select("property", *[F.round(F.col(f"`{c}`"), 2).alias(c) for c in w.columns if c != "property"])
+    """A11 in its wide form: one column per month of a given calendar."""
+    return rcols(SM.property_month_matrix(FX.bookings(spark, sf), MATRIX_MONTHS), [f"`{m}`" for m in MATRIX_MONTHS])
 
 
 @register("unconfirmed_statuses_listed", with_bookings(
@@ -1088,7 +1089,7 @@ def q_unconfirmed_listed(spark, sf):
 
 @register("customer_price_rank", with_views("""
 SELECT o_orderkey, (SELECT count(*) FROM market WHERE precio_noche < p) AS n_below
-FROM (SELECT o_orderkey, o_totalprice / (1 + o_orderkey % 7) AS p FROM orders WHERE o_orderkey % 3 = 0)
+FROM (SELECT o_orderkey, o_totalprice / (1 + o_orderkey % 7) AS p FROM orders WHERE o_orderkey % 3 <> 1)
 UNION ALL SELECT o_orderkey, CAST(NULL AS BIGINT) FROM orders WHERE o_orderkey % 3 = 1""".replace(
     "(SELECT count(*) FROM market WHERE precio_noche < p)",
     "coalesce((SELECT max(upto) FROM ranks WHERE ranks.v < p), 0)"), MARKET,
@@ -1114,10 +1115,11 @@ def q_market_upsert_two(spark, sf):
 
 
 @register("page_listings", rf"""
-SELECT page_id, CAST(card_no AS INTEGER) AS card_no, title AS nombre, price AS precio_noche, CAST(4.81 AS DOUBLE) AS rating,
-       CAST(113 AS INTEGER) AS num_reviews, 'Casa entera' AS tipo,
+SELECT page_id, CAST(card_no AS INTEGER) AS card_no, title AS nombre, price AS precio_noche,
+       CAST('4.' || CAST(page_id % 90 + 10 AS VARCHAR) AS DOUBLE) AS rating, CAST(page_id % 500 AS INTEGER) AS num_reviews,
+       CASE WHEN page_id % 2 = 0 THEN 'Casa entera' ELSE 'Habitación privada' END AS tipo,
        '{S.LISTING_SITE_ROOT}/rooms/' || CAST(page_id AS VARCHAR) || '-' || CAST(card_no + 1 AS VARCHAR) AS url
-FROM (SELECT page_id, card_no, CASE WHEN t = '' THEN '{S.NO_TITLE}' ELSE t END AS title,
+FROM (SELECT page_id, card_no, trim(t || ' vista al mar') AS title,
              CASE card_no WHEN 0 THEN CASE WHEN page_id % 400 >= 10 THEN CAST(page_id % 400 AS INTEGER) END
                           ELSE greatest(1, CAST(floor((CASE WHEN page_id + 200 > 99999 THEN CAST(left(CAST(page_id + 200 AS VARCHAR), 5) AS BIGINT)
                                                        ELSE page_id + 200 END) / 3) AS INTEGER)) END AS price
@@ -1126,11 +1128,90 @@ FROM (SELECT page_id, card_no, CASE WHEN t = '' THEN '{S.NO_TITLE}' ELSE t END A
            CROSS JOIN (VALUES (0), (1)) AS c(card_no))
 WHERE price IS NOT NULL AND price <> 0""")
 def q_page_listings(spark, sf):
-    """X2 -> X1: title, price and link cut from each page's cards."""
+    """X2 -> X1: title, price and link cut from each page's cards; a card ends
+    with its element, so footers and texts between cards belong to none."""
     out = MK.page_listings(FX.pages_with_cards(spark, sf), "2026-07-15", "2026-07-18", "2026-07-01", F.lit("X"), F.lit("Y"))
     return out.select("page_id", F.col("card_no").cast("int").alias("card_no"), "nombre", "precio_noche", "rating", "num_reviews", "tipo", "url")
 
 
+def _block_sql(name: str) -> str:
+    """Outermost elements of a kind, from the running count of its open and
+    closed tags: an element ends at the first later closing tag with the count
+    from before it."""
+    return rf"""
+WITH token AS (
+  SELECT page_id, unnest(t) AS tok, unnest(range(len(t))) AS i
+  FROM (SELECT page_id, regexp_extract_all(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>|[^<]+|<') AS t FROM pages)),
+step AS (
+  SELECT *, CASE WHEN regexp_matches(tok, '(?i)^<{name}\b') THEN 1 WHEN regexp_matches(tok, '(?i)^</{name}\b') THEN -1 ELSE 0 END AS s FROM token),
+run AS (SELECT *, sum(s) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM step),
+opened AS (SELECT page_id, i, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS card_no FROM run WHERE s = 1 AND depth = 1),
+closed AS (SELECT o.page_id, o.card_no, o.i AS lo, min(r.i) AS hi FROM opened o JOIN run r ON r.page_id = o.page_id AND r.i > o.i AND r.s = -1 AND r.depth = 0 GROUP BY ALL)
+SELECT c.page_id, CAST(card_no AS INTEGER) AS card_no,
+       trim(regexp_replace(regexp_replace(coalesce(string_agg(tok, '' ORDER BY i), ''), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text
+FROM closed c LEFT JOIN run r ON r.page_id = c.page_id AND r.i > c.lo AND r.i < c.hi GROUP BY c.page_id, card_no"""
+
+
+@register("page_blocks", _block_sql("div"))
+def q_page_blocks(spark, sf):
+    """X2's depth scan on the pages as they are: every outermost ``div``."""
+    pages = FX.table(spark, sf, "pages").select("page_id", "html")
+    return MK.page_cards(pages, ["div"]).withColumn("card_no", F.col("card_no").cast("int"))
+
+
+@register("city_by_keyword", with_views("""
+SELECT propiedad, arg_min(ciudad, prio) AS ciudad FROM names JOIN words ON contains(lower(propiedad), keyword) GROUP BY propiedad""",
+    BOOKINGS_RAW, MARKET, """names AS (
+  SELECT DISTINCT propiedad FROM (SELECT R_PROPERTY_NAME AS propiedad FROM bookings_raw UNION ALL SELECT nombre || ' en ' || ciudad FROM market)
+  WHERE propiedad IS NOT NULL)""", """words AS (
+  SELECT n_nationkey * 2 AS prio, lower(n_name) AS keyword, 'City ' || CAST(n_nationkey AS VARCHAR) AS ciudad FROM nation
+  UNION ALL SELECT n_nationkey * 2 + 1, lower(substr(n_name, 2, 4)), 'City ' || CAST(n_nationkey AS VARCHAR) FROM nation
+  UNION ALL SELECT p_partkey % 40 * 100000 + p_partkey, lower(p_name), 'Zone ' || CAST(p_partkey AS VARCHAR) FROM part)"""))
+def q_city_by_keyword(spark, sf):
+    """Containment join with a keyword table."""
+    names, words = FX.names_and_keywords(spark, sf)
+    return PL.detect_city_join(names, words)
+
+
+_STORE = """SELECT {cols} FROM (
+  SELECT *, row_number() OVER (PARTITION BY url, checkin ORDER BY l_orderkey DESC, l_linenumber DESC, precio_noche DESC,
+                               rating DESC NULLS LAST, ciudad DESC) AS rn FROM market {where})
+WHERE rn = 1"""
+
+
+@register("market_store_merge", with_views(_STORE.format(cols=f"{', '.join(MARKET_PAYLOAD[:3])}, coalesce(TRY_CAST(precio_noche AS INTEGER), 0) AS precio_noche, "
+                                                         f"{', '.join(MARKET_PAYLOAD[4:])}", where=""), MARKET))
+def q_market_store_merge(spark, sf):
+    """K1 + N8 through the bucketed store: two batches merged, one read."""
+    from stayspark.session import run_folder
+    from stayspark.sources.market_store import ListingStore
+    old, new = FX.store_batches(spark, sf)
+    store = ListingStore(spark, f"{run_folder(spark)}/listing-store-{uuid.uuid4().hex}", UPSERT_ORDER)
+    store.merge(new, "captures", 1)
+    store.merge(old, "captures", 0)
+    return store.listings().select(*MARKET_PAYLOAD)
+
+
+@register("market_snapshot_diff", with_views("""
+SELECT coalesce(a.url, b.url) AS url, coalesce(a.checkin, b.checkin) AS checkin,
+       CASE WHEN a.url IS NULL THEN 'added' WHEN b.url IS NULL THEN 'gone' ELSE 'repriced' END AS change,
+       a.precio_noche AS old_price, b.precio_noche AS new_price
+FROM a FULL JOIN b ON a.url = b.url AND a.checkin = b.checkin
+WHERE a.url IS NULL OR b.url IS NULL OR a.precio_noche IS DISTINCT FROM b.precio_noche""", MARKET,
+    "a AS (" + _STORE.format(cols="url, checkin, precio_noche", where="WHERE l_orderkey % 2 = 0") + ")",
+    "b AS (" + _STORE.format(cols="url, checkin, precio_noche", where="WHERE l_orderkey % 2 = 1") + ")"))
+def q_market_snapshot_diff(spark, sf):
+    """K2: two dated snapshots, written and compared as of later days."""
+    import datetime as dt
+
+    from stayspark.session import run_folder
+    from stayspark.sources.market_store import snapshot, snapshot_at, snapshot_diff
+    root = f"{run_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    for day, batch in zip((dt.date(2026, 7, 1), dt.date(2026, 7, 8)), FX.store_batches(spark, sf)):
+        snapshot(MK.upsert_listings(None, batch, order=UPSERT_ORDER), root, day)
+    return snapshot_diff(snapshot_at(spark, root, dt.date(2026, 7, 5)), snapshot_at(spark, root, dt.date(2026, 7, 30)))
+
+
 @register("robot_page_flag_mixed", """
 SELECT page_id, page_id % 5 = 0 AND page_id % 7 = 0 AS is_robot FROM pages""")
 def q_robot_mixed(spark, sf):

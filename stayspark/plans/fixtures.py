@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayspark.operators.clean import add_outlier_flag, clean_and_enrich, filter_confirmed_paid
+from stayspark.operators.clean import clean_and_enrich, filter_confirmed_paid
 from stayspark.session import configure
 
 
@@ -54,11 +54,11 @@ def bookings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOOKING_DATES = {"arrival": "dd/MM/yyyy", "departure": "dd/MM/yyyy"}
 
 
-def bookings_clean(spark: SparkSession, sf_dir: str, elect: bool = False) -> DataFrame:
+def bookings_clean(spark: SparkSession, sf_dir: str, elect: bool = False, outlier_flag: bool = False) -> DataFrame:
     """Cleaned and enriched bookings (all statuses). Lazy: filters and column
-    lists of a query reach the scans."""
+    lists of a query reach the scans; ``_is_outlier`` only where asked for."""
     formats = None if elect else BOOKING_DATES
-    return add_outlier_flag(clean_and_enrich(bookings_raw(spark, sf_dir), formats, outlier_flag=False))
+    return clean_and_enrich(bookings_raw(spark, sf_dir), formats, outlier_flag=outlier_flag)
 
 
 def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,19 +145,41 @@ def captured_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages_with_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` as a listings site would send them: robot checks (every
-    fifth page), and card containers whose title, price row and link come
-    from the page; every seventh page has no cards."""
+    fifth page), card containers whose title, price row and link come from the
+    page, with elements of the containers' own kind inside them, and a footer
+    with a price of its own; every seventh page has no cards."""
     p = table(spark, sf_dir, "pages").select("page_id", "html")
     title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
     card = lambda i, price: F.concat(
-        F.lit('<div itemprop="x" data-testid="card-container"><a href="/rooms/'), F.col("page_id").cast("string"), F.lit(f"-{i}"),
+        F.lit('<div itemprop="x" data-testid="card-container"><div class="photo"><div>foto</div></div><a href="/rooms/'), F.col("page_id").cast("string"), F.lit(f"-{i}"),
         F.lit('"><div id="title_'), F.col("page_id").cast("string"), F.lit('">'), title,
-        F.lit('</div></a><span>4,81 (113)</span> Casa entera<br>'), price, F.lit("</div>"))
-    priced = F.concat(F.lit('<div data-testid="price-availability-row"><b>'), (F.col("page_id") % 400).cast("string"), F.lit(" € </b>noche</div>"))
-    total = F.concat(F.lit('<span class="u1 pricingText-x">'), (F.col("page_id") + 200).cast("string"), F.lit(" € en total</span>"))
-    cards_html = F.when(F.col("page_id") % 7 == 0, F.lit("")).otherwise(F.concat(card(1, priced), card(2, total), card(3, F.lit("agotado"))))
+        F.lit('<div class="badge"> vista</div> al mar</div></a><!-- </div> --><script>var d = "</div>";</script>'),
+        F.lit('<span>4,'), F.lpad((F.col("page_id") % 90 + 10).cast("string"), 2, "0"), F.lit(" ("), (F.col("page_id") % 500).cast("string"), F.lit(")</span> "),
+        F.when(F.col("page_id") % 2 == 0, F.lit("Casa entera")).otherwise(F.lit("Habitación privada")), F.lit("<br>"), price, F.lit("</div>"))
+    priced = F.concat(F.lit('<div data-testid="price-availability-row"><div><b>'), (F.col("page_id") % 400).cast("string"), F.lit(" € </b></div>noche</div>"))
+    total = F.concat(F.lit('<span class="u1 pricingText-x"><span>'), (F.col("page_id") + 200).cast("string"), F.lit("</span> € en total</span>"))
+    between = F.lit("<p>Publicidad 777 €</p>")
+    cards_html = F.when(F.col("page_id") % 7 == 0, F.lit("")).otherwise(
+        F.concat(card(1, priced), between, card(2, total), card(3, F.lit("agotado"))))
     robot = F.when(F.col("page_id") % 5 == 0, F.lit("<p>Are you a ROBOT? captcha</p>")).otherwise(F.lit(""))
-    return p.select("page_id", F.concat(robot, F.lit("<main>"), cards_html, F.lit("</main>")).alias("html"))
+    return p.select("page_id", F.concat(robot, F.lit("<main>"), cards_html, F.lit("</main><footer><div>Tarifas desde 999 € la noche</div></footer>")).alias("html"))
+
+
+def names_and_keywords(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Names to look places up for (properties, listings with their nation)
+    and a keyword table from the nations (whole and by their first letters)
+    and the parts."""
+    configure(spark)
+    listings = market(spark, sf_dir).select(F.concat("nombre", F.lit(" en "), "ciudad").alias("propiedad"))
+    names = bookings_raw(spark, sf_dir).select(F.col("R_PROPERTY_NAME").alias("propiedad")).unionByName(listings)
+    n, p = table(spark, sf_dir, "nation"), table(spark, sf_dir, "part")
+    city = F.concat(F.lit("City "), F.col("n_nationkey").cast("string"))
+    key = F.col("n_nationkey").cast("bigint")
+    words = (n.select((key * 2).alias("prio"), F.lower("n_name").alias("keyword"), city.alias("ciudad"))
+             .unionByName(n.select((key * 2 + 1).alias("prio"), F.lower(F.substring("n_name", 2, 4)).alias("keyword"), city.alias("ciudad")))
+             .unionByName(p.select((F.col("p_partkey") % 40 * 100000 + F.col("p_partkey")).alias("prio"), F.lower("p_name").alias("keyword"),
+                                   F.concat(F.lit("Zone "), F.col("p_partkey").cast("string")).alias("ciudad"))))
+    return names, words
 
 
 def store_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -78,11 +78,6 @@ DAYS_PER_QUARTER = {"Q1": 90, "Q2": 91, "Q3": 92, "Q4": 92}
 # Bookings date formats tried column-wide, in order (Spark patterns for
 # %d/%m/%Y, %Y-%m-%d, %d-%m-%Y, %m/%d/%Y, %d/%m/%Y %H:%M:%S).
 DATE_FORMATS = ["d/M/yyyy", "yyyy-M-d", "d-M-yyyy", "M/d/yyyy", "d/M/yyyy H:m:s"]
-# Day-first fallback when no format wins.
-DATE_FALLBACK_FORMATS = ["d/M/yyyy H:m:s", "d/M/yyyy H:m", "d/M/yyyy", "d-M-yyyy H:m:s",
-                         "d-M-yyyy", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d",
-                         "d.M.yyyy", "d/M/yy", "yyyyMMdd", "d/M/yyyy h:m:s a", "d/M/yyyy h:m a",
-                         "yyyy-M-d'T'H:m:sXXX", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy"]
 # Planner row-level formats (%d/%m/%Y, %Y-%m-%d, %d-%m-%Y).
 PLANNER_DATE_FORMATS = ["d/M/yyyy", "yyyy-M-d", "d-M-yyyy"]
 

@@ -62,33 +62,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, in the shared
+    checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stayspark/{spark.sparkContext.applicationId}"
+
+
 def written(df, name: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: cuts the lineage and survives the loss of any executor."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stayspark/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-MATERIALIZE_CONF = "stayspark.materialize"
-
-
-def materialize(df, name: str):
-    """Keep an intermediate result for reuse, per ``stayspark.materialize``:
-
-    * ``persist`` (default): memory and disk; lost blocks are recomputed
-      from lineage;
-    * ``checkpoint``: reliable checkpoint in ``spark.checkpoint.dir``
-      (cuts the lineage);
-    * ``table``: written as Parquet under ``spark.checkpoint.dir`` and read
-      back (cuts the lineage; survives the loss of any executor).
-    """
-    from pyspark import StorageLevel
-    spark = df.sparkSession
-    mode = spark.conf.get(MATERIALIZE_CONF, "persist")
-    if mode == "checkpoint":
-        ensure_checkpoint_dir(spark)
-        return df.checkpoint(eager=True)
-    if mode == "table":
-        return written(df, name)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def drop_written(spark: SparkSession, *tables) -> None:
+    """Delete intermediate tables that :func:`written` gave (results read from
+    them are gone, too); without any, all that this application has left."""
+    paths = [f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()[:1]] if tables else [run_folder(spark)]
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

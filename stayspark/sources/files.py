@@ -19,8 +19,9 @@ from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEPARATORS = [";", ",", "\t"]
 
@@ -75,12 +76,113 @@ def clean_header(name: str) -> str:
     return name.replace('"', "").strip()
 
 
-def _spanning(spark: SparkSession, files: list[str], sep: str, encoding: str) -> set[str]:
-    """The files with a line whose quotes don't all enclose whole fields of
-    that line: a quoted field may hold line breaks there."""
-    left = F.regexp_replace(F.replace("value", F.lit('""'), F.lit("")), f'(^|{sep})"[^"]*"(?={sep}|$)', "$1")
-    lines = spark.read.option("encoding", encoding).text(files).select("value", F.col("_metadata.file_path").alias("file"))
-    return {r.file for r in lines.where(left.contains('"')).select("file").distinct().collect()}
+def _raw_lines(spark: SparkSession, files: list[str], encoding: str) -> DataFrame:
+    """(value, file, at, line): lines by their split, in order. The text source
+    keeps bytes as they are, so they are decoded here."""
+    value = F.decode(F.col("value").cast("binary"), encoding).alias("value")
+    return (spark.read.option("lineSep", "\n").text(files)
+            .select(value, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                    F.monotonically_increasing_id().alias("line")))
+
+
+def _leaves_open(sep: str) -> tuple[Column, Column]:
+    """Whether a quoted field is open at the end of the line ``value``: if it
+    began outside quotes, and if it began inside.
+
+    A doubled quote is a quote's text wherever it stands, so it goes first. A
+    field is quoted only if its first character is a quote; a quote elsewhere
+    in a field is text.
+    """
+    s = re.escape(sep)
+    plain = F.replace("value", F.lit('""'), F.lit(""))
+
+    def outside(line: Column) -> Column:
+        # whole quoted fields go, then a quote that starts a field has no end
+        return F.regexp_like(F.regexp_replace(line, f'(^|{s})"[^"]*"', "$1x"), F.lit(f'(^|{s})"'))
+
+    # inside: the first quote ends the field; what follows up to the separator is text
+    first = F.instr(plain, '"')
+    rest = F.concat(F.lit("x"), F.substr(plain, first + 1, F.length(plain)))
+    return outside(plain), F.when(first == 0, F.lit(True)).otherwise(outside(rest))
+
+
+def _runs_on(opens: Column, keeps: Column, order: str, part: list[str]) -> Column:
+    """State after each row, as (known, state, flips): if ``known``, ``state``
+    whatever came before the part; else the state before it, turned over if
+    ``flips`` is odd. Rows map outside -> ``opens``, inside -> ``keeps``: a map
+    is constant (both equal), does nothing, or turns over."""
+    upto = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    flips = F.sum((opens & ~keeps).cast("long")).over(upto)
+    last = F.last(F.when(opens == keeps, F.struct(opens.alias("state"), flips.alias("at"))), ignorenulls=True).over(upto)
+    return F.struct(last.isNotNull().alias("known"), F.coalesce(last.state, F.lit(False)).alias("state"),
+                    (flips - F.coalesce(last["at"], F.lit(0))).alias("flips"))
+
+
+def _after(run: Column, before: Column) -> Column:
+    """The state that a run of rows leaves, given the one before them."""
+    return F.when(run.known, run.state).otherwise(before) != (run.flips % 2 == 1)
+
+
+def quoted_records(spark: SparkSession, files: list[str], sep: str, encoding: str = "ISO-8859-1") -> DataFrame:
+    """``(file, at, line, record)``: the records of files whose quoted fields
+    hold line breaks, read in splits like any text.
+
+    Every line is a map of the state (inside quotes or not). Its prefix over a
+    split's lines gives one map for the split, the prefix over a file's splits
+    (a few numbers each) the state that a split starts in, and that the
+    state before each line. Lines that start inside a quoted field belong to
+    the record before. Lines are shuffled once, by split; only records that
+    cross a split's end are put together from two or more.
+    """
+    lines = _raw_lines(spark, files, encoding)
+    opens, keeps = _leaves_open(sep)
+    split = ["file", "at"]
+    run = _runs_on(F.col("_opens"), F.col("_keeps"), "line", split)
+    lines = lines.withColumns({"_opens": opens, "_keeps": keeps}).withColumn("_run", run)
+    before = Window.partitionBy(*split).orderBy("line")
+    lines = lines.withColumn("_prior", F.lag("_run").over(before)).drop("_opens", "_keeps")
+
+    splits = lines.groupBy(*split).agg(F.max_by("_run", "line").alias("r"))
+    # a split's map, as a row's: what it makes of outside and of inside
+    maps = splits.select(*split, _after(F.col("r"), F.lit(False)).alias("o"), _after(F.col("r"), F.lit(True)).alias("k"))
+    states = maps.withColumn("_all", _runs_on(F.col("o"), F.col("k"), "at", ["file"]))
+    start = F.lag(_after(F.col("_all"), F.lit(False))).over(Window.partitionBy("file").orderBy("at"))
+    states = states.select(*split, F.coalesce(start, F.lit(False)).alias("_inside"))
+
+    lines = lines.join(states, split)
+    inside = F.when(F.col("_prior").isNull(), F.col("_inside")).otherwise(_after(F.col("_prior"), F.col("_inside")))
+    lines = lines.withColumn("_first", F.when(~inside, F.col("line")))
+    lines = lines.withColumn("_of", F.max("_first").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = lines.groupBy(*split, "_of").agg(F.sort_array(F.collect_list(F.struct("line", "value"))).alias("x"))
+    parts = parts.select(*split, "_of", F.array_join(F.col("x.value"), "\n").alias("text"))
+    # a split's head without a start of its own goes on with the last record before it
+    ends = parts.groupBy(*split).agg(F.max("_of").alias("last"), F.max(F.when(F.col("_of").isNull(), F.col("text"))).alias("head"))
+    by_file = Window.partitionBy("file").orderBy("at")
+    owner = F.last(F.when(F.col("last").isNotNull(), F.struct("at", "last")), ignorenulls=True).over(by_file.rowsBetween(Window.unboundedPreceding, -1))
+    heads = ends.withColumn("o", owner).where(F.col("head").isNotNull() & F.col("o").isNotNull())
+    more = heads.groupBy("file", F.col("o.at").alias("at"), F.col("o.last").alias("_of")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "head"))), lambda h: h.head), "\n").alias("more"))
+    whole = parts.where(F.col("_of").isNotNull()).join(more, [*split, "_of"], "left")
+    text = F.concat_ws("\n", "text", "more")
+    return whole.select("file", "at", F.col("_of").alias("line"), F.regexp_replace(text, "\r$", "").alias("record"))
+
+
+def _with_breaks(spark: SparkSession, files: list[str], sep: str, encoding: str) -> set[str]:
+    """The files in which a line leaves a quoted field open."""
+    lines = _raw_lines(spark, files, encoding)
+    return {r.file for r in lines.where(F.col("value").contains('"') & _leaves_open(sep)[0]).select("file").distinct().collect()}
+
+
+def _read_records(spark: SparkSession, files: list[str], sep: str, encoding: str) -> DataFrame:
+    """Files with line breaks in quoted fields, by their header line."""
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    names = spark.read.options(header="true", encoding=encoding, **options).csv(files[:1]).columns
+    records = quoted_records(spark, files, sep, encoding).where(F.trim("record") != "")
+    # the header is a file's first record
+    first = records.groupBy("file").agg(F.min(F.struct("at", "line")).alias("h"))
+    body = records.join(first, "file").where(F.struct("at", "line") > F.col("h"))
+    row = F.from_csv("record", ", ".join(f"_{i} string" for i in range(len(names))), {**options, "multiLine": "true"})
+    return body.select(row.alias("r")).select("r.*").toDF(*names)
 
 
 def read_bookings_csv(spark: SparkSession, path: str, strict: bool = False,
@@ -91,23 +193,26 @@ def read_bookings_csv(spark: SparkSession, path: str, strict: bool = False,
 
     Every file is read by its own header line, so files of a folder may have
     other separators or columns; columns meet by name. Quoted fields may hold
-    line breaks: a pass over the lines finds the files that can have some, and
-    only those are read whole, by one task each; all others are split.
-    ``multiline`` saves that pass and reads all files whole, or none.
+    line breaks: a pass over the lines finds the files that have some, and
+    those are cut into records by :func:`quoted_records`, in splits as well.
+    ``multiline`` saves that pass and takes all files to have some, or none.
     """
     out = None
     for head, files in _layouts(spark, path, encoding).items():
         sep = _separator(head)
         if sep is None and strict:
             raise ValueError(f"no separator gives more than 2 columns in {files[0]}")
-        whole = _spanning(spark, files, sep or ";", encoding) if multiline is None else set(files) if multiline else set()
+        broken = _with_breaks(spark, files, sep or ";", encoding) if multiline is None else set(files) if multiline else set()
         for together in (False, True):
-            some = [f for f in files if (f in whole) == together]
+            some = [f for f in files if (f in broken) == together]
             if not some:
                 continue
-            df = (spark.read.option("header", True).option("sep", sep or ";").option("encoding", encoding)
-                  .option("quote", '"').option("escape", '"').option("inferSchema", False)
-                  .option("multiLine", together).option("mode", "PERMISSIVE").csv(some))
+            if together:
+                df = _read_records(spark, some, sep or ";", encoding)
+            else:
+                df = (spark.read.option("header", True).option("sep", sep or ";").option("encoding", encoding)
+                      .option("quote", '"').option("escape", '"').option("inferSchema", False)
+                      .option("mode", "PERMISSIVE").csv(some))
             df = df.toDF(*[clean_header(c) for c in df.columns]) if sep else df
             out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:

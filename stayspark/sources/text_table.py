@@ -13,8 +13,8 @@ def text_table_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     runs of blanks into positional cells (``cells`` array; ``line_no`` is the
     line's position in the text)."""
     lines = docs.select(key, F.posexplode(F.split(F.col(text), "\\n")).alias("line_no", "line"))
-    lines = lines.where(SF.py_strip("line") != "")
-    return lines.select(key, "line_no", SF.py_split("line").alias("cells"))
+    lines = lines.select(key, "line_no", SF.py_strip("line").alias("line")).where(F.col("line") != "")
+    return lines.select(key, "line_no", F.split("line", f"{SF.PY_WS}+").alias("cells"))
 
 
 def to_columns(lines: DataFrame, n: int | None = None, key: str = "doc_id") -> DataFrame:

@@ -130,3 +130,32 @@ def test_py_split_matches_python(spark):
     lines = ["  a  b\tc ", " x y　", "solo"]
     df = one_col(spark, lines).select("x", SF.py_split("x").alias("y"))
     assert {r.x: list(r.y) for r in df.collect()} == {s: s.split() for s in lines}
+
+
+def test_dates_of_unknown_layouts(spark):
+    """Layouts come from the shapes that a column has, the old fixed list's
+    and others."""
+    from stayspark.operators.clean import parse_dates
+    t = dt.datetime
+    cases = {
+        "03/10/2024 10:30:05": t(2024, 10, 3, 10, 30, 5), "3/10/2024 9:05": t(2024, 10, 3, 9, 5), "03/10/2024": t(2024, 10, 3),
+        "03-10-2024 10:30:05": t(2024, 10, 3, 10, 30, 5), "3-10-2024": t(2024, 10, 3), "2024-10-03 1:02:03": t(2024, 10, 3, 1, 2, 3),
+        "2024-10-03T01:02:03": t(2024, 10, 3, 1, 2, 3), "2024-10-03": t(2024, 10, 3), "3.10.2024": t(2024, 10, 3), "03/10/24": t(2024, 10, 3), "29/02/96": t(1996, 2, 29),
+        "20241003": t(2024, 10, 3), "3/10/2024 1:02:03 PM": t(2024, 10, 3, 13, 2, 3), "3/10/2024 1:02 AM": t(2024, 10, 3, 1, 2),
+        "2024-10-03T01:02:03+02:00": t(2024, 10, 2, 23, 2, 3), "3 Oct 2024": t(2024, 10, 3), "3 October 2024": t(2024, 10, 3),
+        "Oct 3, 2024": t(2024, 10, 3), "October 3, 2024": t(2024, 10, 3),
+        # outside the list
+        "2024/10/03 10:30": t(2024, 10, 3, 10, 30), "3-Oct-2024 08:15": t(2024, 10, 3, 8, 15), "2024.10.03": t(2024, 10, 3),
+        "2024-10-03T01:02:03Z": t(2024, 10, 3, 1, 2, 3), "2024-10-03 01:02:03.250": t(2024, 10, 3, 1, 2, 3, 250000), "Thu, 3 Oct 2024 10:00:00": t(2024, 10, 3, 10),
+        "3 10 2024": t(2024, 10, 3), "10/25/2024": t(2024, 10, 25), "  03.10.24 5:07 PM ": t(2024, 10, 3, 17, 7), "2024-10-03T01:02:03.5+0200": t(2024, 10, 2, 23, 2, 3, 500000),
+        "soon": None, "": None, None: None, "99/99/2024": None, "31/02/2024": None, "1234": None, "12/2024": None, "Foo 3, 2024": None}
+    df = one_col(spark, list(cases))
+    got = {r.x: r.y for r in df.select("x", parse_dates(df, ["x"])["x"].alias("y")).collect()}
+    assert got == cases
+
+
+def test_money_keeps_its_rules(spark):
+    cases = {"1.234,56 €": 1234.56, "$1,234.56": 1234.56, "99": 99.0, "12,5": 12.5, "1,234,567": 0.0, "-5.5": -5.5, "nan": 0.0, "": 0.0, " ": 0.0, None: 0.0,
+             "abc": 0.0, "1 234.5": 1234.5, "EUR\u00a07": 7.0, "1.2.3": 0.0, "1.234.567,89": 1234567.89, "1,234,567.89": 1234567.89, "5-6": 0.0}
+    df = one_col(spark, list(cases)).select("x", SF.clean_money("x").alias("y"))
+    assert {r.x: r.y for r in df.collect()} == cases

@@ -1,6 +1,7 @@
 """Operator semantics on small hand-made inputs (FIXTURES.md §3)."""
 
 import datetime as dt
+import random
 import math
 
 from pyspark.sql import functions as F
@@ -133,17 +134,64 @@ def test_page_cards_markers(spark):
                                   "page_id long, html string")
     got = {(r.page_id, r.card_no): r.text for r in MK.page_cards(pages, ['data-testid="card-container"', "li"])
            .collect()}
-    assert got == {(1, 0): "Casa A 120 €", (1, 1): "Casa B x", (2, 0): "uno", (2, 1): "dos"}
+    assert got == {(1, 0): "Casa A 120 €", (1, 1): "Casa B", (2, 0): "uno", (2, 1): "dos"}
     flags = pages.select(MK.robot_page_flag(pages).alias("f")).collect()
     assert [r.f for r in flags] == [False, False, False]
 
 
+def test_cards_end_where_their_element_closes(spark):
+    m = 'data-testid="card-container"'
+    pages = [
+        f"<div><div {m}>A <div>b <div>c</div></div> d</div> between <DIV class=x {m}>E<br/><div/>f</DIV><footer><div>999 €</div></footer></div>",
+        f"<script>x = '<div {m}>no</div>'</script><!-- <div {m}>no</div> --><section {m}>one <div></section> open <i>x</i>",
+        f"<div {m}>outer <div {m}>inner</div> rest</div>tail<div {m}>last <p>never closed",
+        "<ul><li>a<ul><li>b</li><li>c</ul> d</li><li>e<li>f</ul>text<p>g<p>h</p>i",
+        "no cards", None]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
+    got = {}
+    for r in MK.page_cards(df, [m, "li", "p"]).orderBy("page_id", "card_no").collect():
+        got.setdefault(r.page_id, []).append(r.text)
+    assert got == {0: ["A b c d", "E f"], 1: ["one"], 2: ["outer inner rest", "last never closed"], 3: ["a b c d", "e", "f"]}
+    assert [r.text for r in MK.page_cards(df.where("page_id = 3"), ["p"]).orderBy("card_no").collect()] == ["g", "h"]
+    html = f'<div {m}><div id="title_1">Casa <div>azul</div> grande</div><span class="pricingText">80 € <span>noche</span></span></div><p>total 999 €</p>'
+    out = MK.page_listings(spark.createDataFrame([(1, html)], "page_id int, html string"), "2026-07-15", "2026-07-18", "2026-07-01", F.lit("X"), F.lit("Y")).first()
+    assert (out.nombre, out.precio_noche) == ("Casa azul grande", 80)
+
+
+def test_keyword_join_of_many_keywords(spark, monkeypatch):
+    """100,000 keywords, broadcast or shuffled, against the literal rule."""
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("abcdeé") for _ in range(n))
+    words = [word(rnd.randrange(3, 9)) for _ in range(99_990)] + ["a", "casa azul", "", "no such", "ABC", "a", "bb", "é", "cab", "dd"]
+    keywords = [(i, k, f"city {i}") for i, k in enumerate(words) if k != ""]
+    names = [word(rnd.randrange(0, 14)) for _ in range(120)] + ["Mi Casa Azul", "ABC", "x", None, "Mi Casa Azul"]
+
+    def literal(name):
+        return next((c for _, k, c in keywords if k in name.lower()), None)
+
+    want = {n: literal(n) for n in names if n is not None and literal(n)}
+    table = spark.createDataFrame(keywords, "prio int, keyword string, ciudad string")
+    props = spark.createDataFrame([(n,) for n in names], "propiedad string")
+    for most in (100_000, 10):
+        monkeypatch.setattr(PL, "BROADCAST_KEYWORDS", most)
+        df = PL.detect_city_join(props, table)
+        assert {r.propiedad: r.ciudad for r in df.collect()} == want
+        assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+    every = spark.createDataFrame([(0, "zz", "Z"), (1, "", "all")], table.schema)
+    assert {r.ciudad for r in PL.detect_city_join(props, every).collect()} == {"all"}
+    assert PL.detect_city_join(props, table.where("false")).count() == 0
+
+
 def test_wide_matrix_and_peak_summary(spark):
     from stayspark.operators import summary as SM
     df = spark.createDataFrame([("P", "2024-01", 10.0), ("P", "2024-02", 5.0), ("Q", "2024-02", 7.0)],
                                "property string, year_month string, amount double")
     wide = {r.property: (r["2024-01"], r["2024-02"]) for r in SM.property_month_matrix(df).collect()}
     assert wide == {"P": (10.0, 5.0), "Q": (0.0, 7.0)}
+    given = SM.property_month_matrix(df, ["2024-02", "2024-03"])
+    assert {tuple(r) for r in given.collect()} == {("P", 5.0, 0.0), ("Q", 7.0, 0.0)}
+    assert {r.property: r.ingresos_por_mes for r in SM.property_month_rows(df).collect()} == {"P": {"2024-01": 10.0, "2024-02": 5.0}, "Q": {"2024-02": 7.0}}
+    assert SM.property_month_matrix(df.where("false")).columns == ["property"]
     rows = [(m, 1.0, 1.0, 10.0) for m in range(1, 13) for _ in range(10 if m in (7, 8) else (1 if m == 1 else 5))]
     b = spark.createDataFrame(rows, "month int, amount double, nights double, price_per_night double")
     s = ST.demand_peaks_summary(b).first()

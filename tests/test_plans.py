@@ -35,14 +35,19 @@ def test_all_queries_run_small(spark):
         build(spark, SF_SMALL).limit(5).collect()
 
 
-def test_table_materialization_same_result(spark):
-    from stayspark.session import MATERIALIZE_CONF
-    q = E.queries()["channel_summary"]
-    base = sorted(tuple(r) for r in q(spark, SF_SMALL).collect())
-    spark.conf.set(MATERIALIZE_CONF, "table")
-    try:
-        df = q(spark, SF_SMALL)
-        assert "InMemoryRelation" not in df._jdf.queryExecution().optimizedPlan().toString()
-        assert sorted(tuple(r) for r in df.collect()) == base
-    finally:
-        spark.conf.unset(MATERIALIZE_CONF)
+def test_money_is_cleaned_by_few_regexes(spark):
+    """The amount's text is bound once: its regex stands in the filter and in
+    the projection, and no other rule's text is copied into either."""
+    df = E.queries()["monthly_summary"](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^0-9.,") <= 3
+    assert "percentile" not in plan and "doubleToLongBits" not in plan
+
+
+def test_quantile_plans_are_small(spark):
+    """Statistics are literals: the rows are read once more, nothing is
+    shuffled for them."""
+    plan = E.queries()["outliers_iqr"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+    plan = E.queries()["market_kpis"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") < 10

@@ -2,30 +2,53 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stayspark.operators.market import count_below
-from stayspark.operators.quantiles import column_quantiles, exact_quantiles, small_quantile
+from stayspark.operators.quantiles import attach, column_quantiles, exact_quantiles, order_key, small_quantile
 
 
 def test_fixture_values(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "x double")
-    r = exact_quantiles(df, "x", {"q1": 0.25, "m": 0.5, "q3": 0.75}, buckets=4).first()
+    r = exact_quantiles(df, "x", {"q1": 0.25, "m": 0.5, "q3": 0.75}).first()
     assert (r.q1, r.m, r.q3, r.n) == (1.75, 2.5, 4.75, 4)
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 16])
-def test_matches_numpy_with_hot_value(spark, buckets):
+def test_matches_numpy_with_hot_value(spark):
     rng = np.random.default_rng(7)
     vals = np.concatenate([rng.normal(100, 30, 3000), np.full(2000, 42.5), rng.integers(0, 50, 1000)])
     rows = [(float(v),) for v in vals] + [(None,)] * 10
     df = spark.createDataFrame(rows, "x double")
     probs = {"p0": 0.0, "p05": 0.05, "q1": 0.25, "m": 0.5, "q3": 0.75, "p95": 0.95, "p100": 1.0}
-    r = exact_quantiles(df, "x", probs, buckets=buckets).first()
+    r = exact_quantiles(df, "x", probs).first()
     for k, p in probs.items():
         assert r[k] == pytest.approx(float(np.quantile(vals, p)), rel=0, abs=1e-9), k
     assert r.n == len(vals)
 
 
+def test_radix_order_and_extremes(spark):
+    """Keys order as numbers do; signs, zeros, denormals, infinities and
+    values that share 48 bits are told apart."""
+    x = [0.0, -0.0, 5e-324, -5e-324, 1.0, float(np.nextafter(1, 2)), float(np.nextafter(1, 0)), -1.0, 1e308, -1e308, float("inf"), float("-inf"), 2.0 ** -1022, 42.5, -42.5]
+    df = spark.createDataFrame([(v,) for v in x] + [(float("nan"),), (None,)], "x double")
+    got = [r.x for r in df.where("x is not null and not isnan(x)").orderBy(order_key(F.col("x")), "x").collect()]
+    assert got == sorted(x)
+    probs = {f"r{i}": i / (len(x) - 1) for i in range(len(x))}
+    r = exact_quantiles(df, "x", probs, neighbors=True).first()
+    assert r.n == len(x) and [r[f"r{i}_a"] for i in range(len(x))] == sorted(x)
+    close = [float(v) for v in np.nextafter(100.0, 200.0) + np.arange(40) * 1e-13]
+    d = spark.createDataFrame([(v,) for v in close], "x double")
+    assert exact_quantiles(d, "x", {"m": 0.37}).first().m == pytest.approx(np.quantile(close, 0.37), rel=0, abs=0)
+
+
+def test_attach_takes_one_row_only(spark):
+    df = spark.range(3)
+    assert attach(df, "s", spark.createDataFrame([(1, "a")], "x int, y string")).select("s.y").collect() == [("a",)] * 3
+    assert attach(df, "s", spark.createDataFrame([], "x int")).where("s is null").count() == 3
+    with pytest.raises(Exception, match="more than one row"):
+        attach(df, "s", spark.createDataFrame([(1,), (2,)], "x int")).collect()
+
+
 def test_empty_column(spark):
     df = spark.createDataFrame([(None,)], "x double")
     r = exact_quantiles(df, "x", {"m": 0.5}).first()

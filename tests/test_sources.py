@@ -3,6 +3,7 @@
 import datetime as dt
 import io
 import os
+import random
 import zipfile
 
 import pytest
@@ -149,16 +150,90 @@ def test_market_csv_store_and_snapshot(spark, tmpdir_path):
     assert snap.endswith("snapshot_date=20260702") and spark.read.parquet(snap).count() == 3
 
 
-@pytest.mark.parametrize("mode", ["table", "checkpoint"])
-def test_materialize_modes(spark, mode):
-    from stayspark.session import MATERIALIZE_CONF, materialize
-    spark.conf.set(MATERIALIZE_CONF, mode)
-    try:
-        df = materialize(spark.range(10).selectExpr("id * 2 AS x"), "t")
-        assert sorted(r.x for r in df.collect()) == list(range(0, 20, 2))
-        assert "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
-    finally:
-        spark.conf.unset(MATERIALIZE_CONF)
+def test_written_and_dropped(spark):
+    from stayspark.session import drop_written, run_folder, written
+    a, b = (written(spark.range(10).selectExpr("id * 2 AS x"), "t") for _ in range(2))
+    assert sorted(r.x for r in a.collect()) == list(range(0, 20, 2))
+    assert "Range" not in a._jdf.queryExecution().optimizedPlan().toString()
+    drop_written(spark, a)
+    assert not os.path.exists(a.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]) and b.count() == 10
+    assert os.listdir(run_folder(spark).removeprefix("file:"))
+
+
+def test_market_csv_keeps_rows_with_decimals(spark, tmpdir_path):
+    p = write(os.path.join(tmpdir_path, "m.csv"), "url,extra,precio_noche,num_reviews,rating,capacidad\nu1,x,120.0,7.0,4.5,2\nu2,x, 99 ,a,,\nu3,x,1e12,,,3.9\n", "utf-8")
+    from stayspark.operators.market import coerce_market, upsert_listings
+    m = MS.read_market_csv(spark, p)
+    rows = {r.url: (r.precio_noche, r.num_reviews, r.rating, r.capacidad, r.checkin) for r in m.collect()}
+    assert rows == {"u1": (120, 7, 4.5, 2, None), "u2": (99, None, None, None, None), "u3": (None, None, None, 3, None)}
+    assert coerce_market(m).count() == 2
+    assert {r.url: r.precio_noche for r in upsert_listings(None, m).collect()} == {"u1": 120, "u2": 99, "u3": 0}
+
+
+def _listings(spark, rows):
+    return spark.createDataFrame(rows, "url string, checkin date, precio_noche int, fecha_scraping string")
+
+
+def test_listing_store_merges_only_what_a_batch_touches(spark, tmpdir_path):
+    root, day = os.path.join(tmpdir_path, "store"), dt.date(2026, 7, 1)
+    store = MS.ListingStore(spark, root, ["fecha_scraping"], buckets=8)
+    assert store.listings() is None and store.versions() == []
+    first = [(f"u{i}", day, i, "2026-07-01") for i in range(60)] + [("u0", day, 5, "2026-06-01"), (None, None, 3, "2026-07-01")]
+    assert store.merge(_listings(spark, first), "run", 0) == 1
+    before = store.manifest()
+    assert store.merge(_listings(spark, [("u7", day, 700, "2026-07-02"), ("u8", day, 800, "2026-06-30")]), "run", 1) == 2
+    after = MS.ListingStore(spark, root, ["fecha_scraping"]).manifest()  # the store knows its buckets
+    changed = {b for b in after if after[b] != before.get(b)}
+    assert 1 <= len(changed) <= 2 and set(after) == set(before)
+    want = {f"u{i}": i for i in range(60)} | {"u7": 700, None: 3}
+    assert {r.url: r.precio_noche for r in store.listings().collect()} == want
+    assert {r.url: r.precio_noche for r in store.listings(1).collect()} == want | {"u7": 7}
+    store.merge(_listings(spark, [("u7", day, 700, "2026-07-02")]), "run", 1)  # a replayed batch
+    assert store.merge(_listings(spark, []), "run", 2) == 3
+    assert {r.url: r.precio_noche for r in store.listings().collect()} == want
+    store.vacuum(keep=1)
+    assert store.versions() == [3] and len(os.listdir(os.path.join(root, "state"))) == len(set(store.manifest().values()))
+    assert {r.url: r.precio_noche for r in store.listings().collect()} == want
+    with pytest.raises(ValueError):
+        store.listings(1)
+
+
+def test_killed_or_second_writer_leaves_the_old_version(spark, tmpdir_path, monkeypatch):
+    root, day = os.path.join(tmpdir_path, "store"), dt.date(2026, 7, 1)
+    store = MS.ListingStore(spark, root, ["fecha_scraping"], buckets=4)
+    store.merge(_listings(spark, [("u1", day, 1, "a")]), "run", 0)
+
+    def die(*_):
+        raise KeyboardInterrupt
+    with monkeypatch.context() as m:
+        m.setattr(MS.ListingStore, "_publish", die)  # after the state is written, before the manifest
+        with pytest.raises(KeyboardInterrupt):
+            store.merge(_listings(spark, [("u1", day, 2, "b")]), "run", 1)
+    assert [r.precio_noche for r in MS.ListingStore(spark, root, ["fecha_scraping"]).listings().collect()] == [1]
+    with monkeypatch.context() as m:
+        m.setattr(MS.ListingStore, "versions", lambda self: [])  # a writer that saw no version
+        with pytest.raises(RuntimeError, match="another writer"):
+            store.merge(_listings(spark, [("u1", day, 3, "c")]), "other", 0)
+    assert store.versions() == [1] and [r.precio_noche for r in store.listings().collect()] == [1]
+    store.merge(_listings(spark, [("u1", day, 2, "b")]), "run", 1)
+    assert [r.precio_noche for r in store.listings().collect()] == [2]
+    store.vacuum(1)
+    assert len(os.listdir(os.path.join(root, "state"))) == 1
+
+
+def test_snapshots_as_of_and_diff(spark, tmpdir_path):
+    root, day = os.path.join(tmpdir_path, "snaps"), dt.date(2026, 8, 1)
+    assert MS.snapshot_at(spark, root, day) is None
+    MS.snapshot(_listings(spark, [("a", day, 1, "x"), ("b", day, 2, "x"), ("c", None, 3, "x"), ("d", day, None, "x")]), root, dt.date(2026, 7, 1))
+    MS.snapshot(_listings(spark, [("b", day, 5, "x"), ("c", None, 3, "x"), ("d", day, None, "x"), ("e", day, None, "x")]), root, dt.date(2026, 7, 9))
+    assert MS.snapshot_dates(spark, root) == [dt.date(2026, 7, 1), dt.date(2026, 7, 9)]
+    assert MS.snapshot_at(spark, root, dt.date(2026, 6, 30)) is None
+    old, new = MS.snapshot_at(spark, root, dt.date(2026, 7, 8)), MS.snapshot_at(spark, root, dt.date(2026, 7, 9))
+    assert sorted((r.url, r.change, r.old_price, r.new_price) for r in MS.snapshot_diff(old, new).collect()) == [
+        ("a", "gone", 1, None), ("b", "repriced", 2, 5), ("e", "added", None, None)]
+    assert MS.snapshot_diff(old, old).count() == 0
+    one = MS.snapshots(spark, root).where(F.col("snapshot_date") == dt.date(2026, 7, 9))
+    assert one.count() == 4
 
 
 def test_planner_csv_strict(spark, tmpdir_path):
@@ -227,3 +302,60 @@ def test_only_files_with_open_quotes_are_read_whole(spark, tmpdir_path):
         assert got == {tuple(r) for r in FS.read_bookings_csv(spark, tmpdir_path, multiline=True).select("id", "status", "note").collect()}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def _quoted_csv(seed: int, sep: str) -> tuple[str, list[list[str]]]:
+    """A CSV with line breaks, separators and quotes in quoted fields, quotes
+    inside plain ones, and its rows."""
+    rnd = random.Random(seed)
+    pieces = ["a", "bb", " ", '"', sep, "\n", "\n\n", '""', "é", "x y"]
+    rows, text = [], sep.join(["id", "name", "note", "last"]) + "\n"
+    for i in range(60):
+        row, out = [str(i)], [str(i)]
+        for _ in range(2):
+            v = "".join(rnd.choice(pieces) for _ in range(rnd.randrange(1, 9)))
+            if any(ch in v for ch in '"\n' + sep) or rnd.random() < 0.3:
+                out.append('"' + v.replace('"', '""') + '"')
+            else:
+                out.append(v)
+            row.append(v)
+        plain = rnd.choice(["end", '5" pipe', "z" * rnd.randrange(1, 200)])
+        rows.append(row + [plain])
+        text += sep.join(out + [plain]) + "\n"
+    return text, rows
+
+
+@pytest.mark.parametrize("size,sep,seeds", [(37, ";", [0]), (150, ",", [1, 2]), (1 << 20, ";", [3])])
+def test_quoted_line_breaks_are_read_in_splits(spark, tmpdir_path, size, sep, seeds):
+    for seed in seeds:
+        text, rows = _quoted_csv(seed, sep)
+        d = os.path.join(tmpdir_path, f"d{seed}")
+        os.makedirs(d)
+        write(os.path.join(d, "a.csv"), text)
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        try:
+            got = FS.quoted_records(spark, [os.path.join(d, "a.csv")], sep).select("record").collect()
+            df = FS.read_bookings_csv(spark, os.path.join(d, "a.csv"), multiline=True)
+            read = sorted((tuple(r) for r in df.collect()), key=lambda r: int(r[0]))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        whole = spark.read.options(header=True, sep=sep, quote='"', escape='"', multiLine=True, encoding="ISO-8859-1").csv(os.path.join(d, "a.csv"))
+        assert len(got) == 61
+        assert read == sorted((tuple(r) for r in whole.collect()), key=lambda r: int(r[0])) == [tuple(r) for r in rows]
+
+
+def test_records_over_many_splits_and_crlf(spark, tmpdir_path):
+    long = "\n".join(str(i) for i in range(200))
+    p = write(os.path.join(tmpdir_path, "long.csv"), f'a;b;c\n1;"{long}";x\n2;"";"y"\n\n3;"q\nopen;never closed\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50")
+    try:
+        got = {r.a: (r.b, r.c) for r in FS.read_bookings_csv(spark, p).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got["1"] == (long, "x") and got["2"][1] == "y" and got["3"][0].startswith("q\nopen")
+    p = os.path.join(tmpdir_path, "crlf.csv")
+    with open(p, "wb") as f:
+        f.write(b'a;b;c\r\n1;"x\r\ny";2\r\n3;4;5\r\n')
+    assert sorted(tuple(r) for r in FS.read_bookings_csv(spark, p).collect()) == [("1", "x\r\ny", "2"), ("3", "4", "5")]

@@ -29,3 +29,18 @@ def test_stream_upsert(spark, tmpdir_path):
     start_listing_upsert(stream, store, os.path.join(tmpdir_path, "ckpt2")).awaitTermination(120)
     got = {r.url: r.precio_noche for r in current_listings(spark, store, ["fecha_scraping"]).collect()}
     assert got == {"https://www.airbnb.es/rooms/1": 100, "https://www.airbnb.es/rooms/2": 90, "https://www.airbnb.es/rooms/3": 70}
+
+
+def test_stream_merge(spark, tmpdir_path):
+    """Two runs of a stream into the bucketed store, the second with a later
+    price of a listing."""
+    from stayspark.sources.market_store import ListingStore
+    from stayspark.streaming.listings import start_listing_merge
+    card = lambda n, price, day: (f"Casa {n}", f"{price} €", "Cabaña", f"/rooms/{n}", "2026-07-15", "2026-07-16", "Valencia", "P", day)
+    store, src, ckpt = (os.path.join(tmpdir_path, x) for x in ("store", "in", "ckpt"))
+    for b, rows in enumerate(([card(1, 90, "2026-07-01"), card(2, 80, "2026-07-01")], [card(1, 95, "2026-07-02")])):
+        spark.createDataFrame(rows, SCHEMA).write.json(os.path.join(src, f"b{b}"))
+        stream = spark.readStream.schema(SCHEMA).json(src + "/*")
+        start_listing_merge(stream, store, ckpt, ["fecha_scraping"], buckets=4).awaitTermination(120)
+    got = {r.url[-1]: r.precio_noche for r in ListingStore(spark, store, ["fecha_scraping"]).listings().collect()}
+    assert got == {"1": 95, "2": 80}
