@@ -226,14 +226,22 @@ def planted(doc_id: Column, text: Column) -> Column:
     """The text, words joined by one space, with the contract's repeats: of a
     tenth of the documents (by crc32 of the id) the words from ``a`` on go on
     with period ``p``. A null id has none."""
-    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[ \x09-\x0D]+"), "")
     h = F.crc32(doc_id.cast("string").cast("binary"))
-    g, n = F.floor(h / 10), F.size(words)
-    a = (g % F.greatest(n, F.lit(1))).cast("int")
-    p = (F.lit(1) + F.floor((n - a) / (3 + g % 8))).cast("int")
-    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
-    whole = F.concat(F.slice(words, F.lit(1), a), F.slice(again, F.lit(1), n - a))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(whole, " ")).otherwise(text)
+    g = F.floor(h / 10)
+
+    def let(value: Column, body) -> Column:
+        """``value`` is computed once, however often the body uses it."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def repeated(words: Column, a: Column) -> Column:
+        n = F.size(words)
+        p = (F.lit(1) + F.floor((n - a) / (3 + g % 8))).cast("int")
+        again = let(p, lambda p: F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))))
+        return F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
+
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[ \x09-\x0D]+"), "")
+    changed = let(words, lambda w: F.when(F.size(w) > 0, let((g % F.size(w)).cast("int"), lambda a: repeated(w, a))).otherwise(F.lit("")))
+    return F.when(h % 10 == 0, changed).otherwise(text)
 
 
 @query
