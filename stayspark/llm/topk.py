@@ -318,10 +318,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     to the smaller id; all of them if there are fewer.
 
     Rows with a null id, a null vector or a null or non-finite component take
-    no part. Each different vector of a repeated id counts: as a candidate it
-    is a result of its own, as queries they share the k places of their id
-    and are not candidates of each other. A row repeated with an equal vector
-    counts once. Vectors are compared with vectors of their own length (at
+    no part. Every row counts, repeated ones as often as they are there: as a
+    candidate it is a result of its own; rows of one query id share its k
+    places and are not candidates of each other. Vectors are compared with vectors of their own length (at
     most MAX_DIMENSIONS lengths). Scores are exact up to 2**53. Other columns
     are ignored; an empty table, or no queries, gives an empty table.
     """
@@ -329,7 +328,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     ok = x.isNotNull() & F.col("id").isNotNull() & F.forall(
         x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False)))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec")).where(ok)
-    rows = written(rows.dropDuplicates(["id", "vec"]).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     dims = [r.n for r in rows.select(F.size("vec").alias("n")).distinct().limit(MAX_DIMENSIONS + 1).collect()]
     if len(dims) > MAX_DIMENSIONS:
         raise ValueError(f"vectors of more than {MAX_DIMENSIONS} lengths")
