@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import written
 
-#: Most listed keys of one action; the levels' bits are literals of the plan.
+#: Most listed keys of one cascade: its levels' bits are literals of the plan.
+#: More keys make more cascades, by the keys' hash.
 MAX_LISTED = 1_000_000
 MAX_LEVELS = 40
 #: Least bits of a level.
@@ -53,8 +54,8 @@ def candidates(host: Column, path: Column, path_lengths: list[int]) -> Column:
     labels = F.split(host, r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in path_lengths]),
-                        lambda p: p.isNotNull())
+    lengths = F.split(F.lit(",".join(map(str, path_lengths))), ",").cast("array<int>")
+    prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length(path)), lambda n: F.substr(path, F.lit(1), n))
     return F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(
         (F.length(h) + F.length(p)).alias("size"), h.alias("host"), p.alias("path")))))
 
@@ -121,8 +122,6 @@ def build_cascade(keys: DataFrame, universe: DataFrame) -> list[Level]:
     n = keys.count()
     if n == 0:
         return []
-    if n > MAX_LISTED:
-        raise ValueError(f"{n} listed keys; the bound is {MAX_LISTED}")
     others = universe.join(keys, "key", "left_anti")
     total = max(universe.count(), 1)
     per_key = max(10.0, 1.44 * math.log2(max(total / n, 2)))
@@ -145,6 +144,10 @@ def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
     return spark.createDataFrame(rules, "action string, host string, path string")
 
 
+def _group(key: Column, groups: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("group"), key), F.lit(groups)).cast("int")
+
+
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str = "page_id",
           default: str = "allow") -> DataFrame:
     """``(id, host, path, rule, verdict)``, one row per row of ``pages``.
@@ -152,14 +155,22 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str
     The rule is the longest that fits (host and path together; then the
     longer host), null if none, and the verdict its action (a key listed
     under both actions is allowed), else ``default``: a url that the cascade
-    does not list. Null urls and urls without ``://`` have an empty host and
-    path and fit no rule with a host. Ids may be null or repeat. Empty tables
-    give an empty result, no rules the default for every page.
+    does not list. A rule's host is compared with A-Z lower-cased, as a url's;
+    an action other than ``allow`` and ``block`` is an error; rules without a
+    host or path column value are left out. Null urls and urls without ``://``
+    have an empty host and path and fit no rule with a host. Ids may be null or
+    repeat. Empty tables give an empty result, no rules the default for every
+    page.
+
+    Only listed keys that some url has are encoded, so a long rule list costs
+    one join with the corpus's distinct keys. More than ``MAX_LISTED`` of them
+    are dealt to several cascades, and the urls are read once for each.
     """
-    rules = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull())
-    lengths = [r.n for r in rules.select(F.length("path").alias("n")).distinct().limit(1001).collect()]
-    if len(lengths) > 1000:
-        raise ValueError("more than 1000 different lengths of rule paths")
+    rules = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull()).withColumn("host", F.translate("host", UPPER, LOWER))
+    odd = rules.where(~F.coalesce(F.col("action").isin("allow", "block"), F.lit(False))).select("action").limit(1).collect()
+    if odd:
+        raise ValueError(f"a rule's action is allow or block, not {odd[0].action!r}")
+    lengths = [r.n for r in rules.select(F.length("path").alias("n")).distinct().collect()]
     host, path = host_and_path(F.col("_url"))
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("_url")) \
         .select("id", host.alias("host"), path.alias("path"))
@@ -169,15 +180,27 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str
     urls = urls.withColumn("_keys", candidates(F.col("host"), F.col("path"), sorted(lengths)))
     keys = urls.select(F.explode("_keys").alias("k")).select(key_of(F.col("k.host"), F.col("k.path")).alias("key"))
     universe = written(keys.distinct(), "key_universe")
-    cascades = {a: build_cascade(rules.where(F.col("action") == a).select(key_of(F.col("host"), F.col("path")).alias("key")), universe)
-                for a in ("allow", "block")}
-
-    def is_listed(k: Column, action: str) -> Column:
-        return listed(key_of(k["host"], k["path"]), cascades[action]) if cascades[action] else F.lit(False)
-
-    fits = F.transform(F.filter("_keys", lambda k: is_listed(k, "allow") | is_listed(k, "block")), lambda k: F.struct(
-        k["size"].alias("size"), F.length(k["host"]).alias("host_size"), k["host"].alias("host"), k["path"].alias("path")))
-    best = urls.withColumn("_best", F.array_max(fits))
+    asked = rules.select("action", key_of(F.col("host"), F.col("path")).alias("key")).distinct().join(universe, "key", "left_semi")
+    asked = written(asked, "rules_in_use")
+    most = asked.groupBy("action").count().agg(F.max("count")).first()[0] or 0
+    groups = max(1, math.ceil(most / MAX_LISTED))
+
+    def fits(group: int) -> Column:
+        mine = lambda df: df if groups == 1 else df.where(_group(F.col("key"), groups) == group)
+        cascades = {a: build_cascade(mine(asked.where(F.col("action") == a).select("key")), mine(universe)) for a in ("allow", "block")}
+
+        def is_listed(k: Column, action: str) -> Column:
+            key = key_of(k["host"], k["path"])
+            inside = listed(key, cascades[action]) if cascades[action] else F.lit(False)
+            return inside if groups == 1 else (_group(key, groups) == group) & inside
+
+        return F.transform(F.filter("_keys", lambda k: is_listed(k, "allow") | is_listed(k, "block")), lambda k: F.struct(
+            k["size"].alias("size"), F.length(k["host"]).alias("host_size"), k["host"].alias("host"), k["path"].alias("path"),
+            is_listed(k, "allow").alias("allow")))
+
+    best = urls.withColumn("_best", F.array_max(fits(0)))
+    for group in range(1, groups):  # a plan holds one group's literals
+        best = written(best, "best_so_far").withColumn("_best", F.array_max(F.array_append(fits(group), F.col("_best"))))
     b = F.col("_best")
-    action = F.when(b.isNull(), F.lit(default)).when(is_listed(b, "allow"), F.lit("allow")).otherwise(F.lit("block"))
+    action = F.when(b.isNull(), F.lit(default)).when(b["allow"], F.lit("allow")).otherwise(F.lit("block"))
     return best.select("id", "host", "path", F.concat(b["host"], b["path"]).alias("rule"), action.alias("verdict"))

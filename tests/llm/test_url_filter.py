@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from stayspark.llm import url_filter as U
@@ -58,3 +59,26 @@ def test_cascade_levels(spark, monkeypatch):
     assert len(levels) > 2
     wrong = universe.where(U.listed(F.col("key"), levels) != (F.col("key").cast("int") % 7 == 0))
     assert wrong.count() == 0
+
+
+@pytest.mark.parametrize("most", [1_000_000, 9])
+def test_long_lists(spark, monkeypatch, most):
+    """Two million listed keys of which a few occur, more path lengths than
+    a thousand, and (with a low bound) several cascades."""
+    monkeypatch.setattr(U, "MAX_LISTED", most)
+    rnd = random.Random(5)
+    few = [(rnd.choice(["allow", "block"]), f"h{i}.net", "/" + "p" * n) for i in range(40) for n in (0, i * 29)]
+    few = list({(h, p): (a, h, p) for a, h, p in few}.values())
+    many = spark.range(2_000_000 if most > 9 else 2000).select(F.when(F.col("id") % 2 == 0, "allow").otherwise("block").alias("action"),
+                                                               F.concat(F.lit("x"), F.col("id").cast("string"), F.lit(".org")).alias("host"),
+                                                               F.concat(F.lit("/"), F.repeat(F.lit("q"), (F.col("id") % 1100).cast("int"))).alias("path"))
+    urls = [(i, f"http://w.H{rnd.randrange(45)}.net/{'p' * rnd.randrange(1200)}") for i in range(300)] + [(900 + i, f"http://x{i}.org/{'q' * 1200}") for i in range(20)]
+    rules = U.rules_frame(spark, [(a, h.upper(), p) for a, h, p in few]).unionByName(many)
+    known = few + [(["allow", "block"][i % 2], f"x{i}.org", "/" + "q" * (i % 1100)) for i in range(20)]
+    got = sorted(tuple(r) for r in U.judge(spark.createDataFrame(urls, "page_id long, url string"), rules).collect())
+    assert got == sorted((i, *brute(u, known)) for i, u in urls)
+
+
+def test_unknown_action(spark):
+    with pytest.raises(ValueError, match="deny"):
+        U.judge(spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string"), U.rules_frame(spark, [("deny", "net", "/")]))
