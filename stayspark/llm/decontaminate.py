@@ -194,10 +194,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, one_in:
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, one_in: int = 20, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns) that aren't contaminated."""
-    bad = contamination(docs, items, size, one_in, id_col, text_col).where("contaminated").select(
-        F.col("id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    bad = _small(written(bad, "contaminated"))
-    key = free_name(docs, "_text_key")
+    bad = contamination(docs, items, size, one_in, id_col, text_col).where("contaminated").select("id", "text_key").distinct()
+    # names that docs doesn't have
+    key, bad_id, bad_key = (free_name(docs, n) for n in ("_text_key", "_bad_id", "_bad_key"))
+    bad = _small(written(bad, "contaminated").toDF(bad_id, bad_key))
     keyed = docs.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
-    same = keyed[id_col].eqNullSafe(F.col("_bad_id")) & (keyed[key] == F.col("_bad_key"))
+    same = keyed[id_col].eqNullSafe(F.col(bad_id)) & (keyed[key] == F.col(bad_key))
     return keyed.join(bad, same, "left_anti").drop(key)

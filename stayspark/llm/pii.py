@@ -307,18 +307,20 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     found = (rows.join(per, "row").groupBy(F.col("id").alias("_span_id"), F.col("text_key").alias("_span_key"))
              .agg(F.min("_spans").alias("_spans")))
     found = written(found, "pii_spans")
+    # names that docs doesn't have
+    key, of_id, of_key, cuts = (free_name(docs, n) for n in ("_text_key", "_span_id", "_span_key", "_spans"))
+    found = found.toDF(of_id, of_key, cuts)
     found = F.broadcast(found) if small_enough(found, BROADCAST_ROWS) else found
-    key = free_name(docs, "_text_key")
     keyed = docs.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
-    joined = keyed.join(found, keyed[id_col].eqNullSafe(F.col("_span_id")) & (keyed[key] == F.col("_span_key")), "left")
+    joined = keyed.join(found, keyed[id_col].eqNullSafe(F.col(of_id)) & (keyed[key] == F.col(of_key)), "left")
     tag = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     t = F.col(text_col).cast("string")
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    done = F.aggregate("_spans", state, lambda a, s: F.struct(
+    done = F.aggregate(cuts, state, lambda a, s: F.struct(
         F.concat(a["out"], F.substring(t, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")),
                  F.element_at(tag, s["kind"] + 1)).alias("out"), s["end"].alias("at")))
-    new = F.when(F.col("_spans").isNull(), t).otherwise(F.concat(done["out"], F.substring(t, (done["at"] + 1).cast("int"), F.length(t))))
+    new = F.when(F.col(cuts).isNull(), t).otherwise(F.concat(done["out"], F.substring(t, (done["at"] + 1).cast("int"), F.length(t))))
     out = {text_col: new}
     if size_col in docs.columns:
-        out[size_col] = F.when(F.col("_spans").isNull(), F.col(size_col)).otherwise(F.length(new).cast(docs.schema[size_col].dataType))
+        out[size_col] = F.when(F.col(cuts).isNull(), F.col(size_col)).otherwise(F.length(new).cast(docs.schema[size_col].dataType))
     return joined.withColumns(out).select(*docs.columns)

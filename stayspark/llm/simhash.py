@@ -321,14 +321,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     chosen = F.col("id").eqNullSafe(F.col("_keep_id")) & (F.col("text_key") == F.col("_keep_key"))
     drop = written(rows.join(keep, chosen, "left_anti").select("id", "text_key"), "dropped_rows")
     twice = written(rows.where("n > 1").join(keep, chosen, "left_semi").select("id", "text_key"), "repeated_rows")
-    key = free_name(docs, "_text_key")
+    # names that docs doesn't have
+    key, some_id, some_key = (free_name(docs, n) for n in ("_text_key", "_some_id", "_some_key"))
     keyed = docs.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
 
     def only(df: DataFrame, some: DataFrame, how: str) -> DataFrame:
         """A short list goes to every task; a long one is joined by shuffle."""
-        some = some.select(F.col("id").alias("_some_id"), F.col("text_key").alias("_some_key"))
+        some = some.select(F.col("id").alias(some_id), F.col("text_key").alias(some_key))
         some = F.broadcast(some) if small_enough(some, LISTED_ROWS) else some
-        return df.join(some, df[id_col].eqNullSafe(F.col("_some_id")) & (df[key] == F.col("_some_key")), how)
+        return df.join(some, df[id_col].eqNullSafe(F.col(some_id)) & (df[key] == F.col(some_key)), how)
 
     kept = only(keyed, drop, "left_anti")
     if not twice.isEmpty():

@@ -1,3 +1,6 @@
+import os
+import re
+
 import corpus_pipeline as C
 
 from stayspark.llm import quality
@@ -44,6 +47,11 @@ def test_odd_rows_pass_through(spark):
     rows = [(1, None, None, None, None, "x"), (None, "", "en", "s", 0, "x"), (2, "word " * 40, "en", "s", 200, "x"), (2, "word " * 40, "en", "s", 200, "x"),
             (3, "a b " * 30_000, None, None, 120_000, "x"), (4, "mail a@b.cd now", "en", "s", 15, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string")
+    # every name that a stage uses for columns of its own
+    own = {n for f in ("common", "quality", "simhash", "components", "decontaminate", "pii", "packing") for n in
+           re.findall(r"""["'](_?[a-z][a-z_]*)["']""", open(f"{os.path.dirname(quality.__file__)}/{f}.py").read())}
+    df = df.withColumns({n: F.lit(7) for n in sorted(own) if n not in {c.lower() for c in df.columns}})
+    assert {"_spans", "_span_id", "_span_key", "_bad_id", "_bad_key", "_some_id", "_some_key", "_text_key", "fingerprint", "row"} <= set(df.columns)
     for table in (df, df.where("false")):
         seen = table
         for name, stage in C.STAGES:
