@@ -31,7 +31,7 @@ END_ID = 1
 CACHED_WORDS = 200_000
 CACHED_BYTES = 64
 #: Bytes of text tokenised at once.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 
 # --- tokens -----------------------------------------------------------------
@@ -99,6 +99,36 @@ class WordTokenizer:
         text = data[inside]
         size = e - s
         word = np.cumsum(size) - size
+        words = np.searchsorted(row, np.arange(len(starts)))
+        del inside, s, e, row
+        cut = self._cuts(text, word, size)
+        kept = np.repeat(np.logical_or.reduceat(_KEEP_CASE[text], word), size)
+        text = np.where(kept, text, B.LOWER[text])
+        first = np.flatnonzero(cut)
+        del cut, kept
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.append(first, len(text))), pa.py_buffer(text)])
+        # Words before each row, units before each of those words.
+        before = np.searchsorted(first, np.append(word, len(text))[words])
+        del size, word, first
+        coded = units.dictionary_encode()
+        del units, text
+        ids = self.units(coded.dictionary.to_pylist())
+        at = coded.indices.to_numpy()
+        del coded
+        n_of = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        del ids
+        n = n_of[at]
+        end = np.cumsum(n, dtype=np.int64)
+        # the place of every id, from that of its unit's first
+        shift = (np.cumsum(n_of, dtype=np.int64) - n_of)[at] - (end - n)
+        out = np.repeat(shift, n)
+        out += np.arange(end[-1])
+        return flat[out], np.concatenate([[0], end])[before]
+
+    @staticmethod
+    def _cuts(text: np.ndarray, word: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Where a unit starts."""
         letter, plain = _LETTER[text], _ASCII[text]
         cut = np.zeros(len(text), bool)
         cut[1:] = (letter[1:] != letter[:-1]) & plain[1:] & plain[:-1]
@@ -106,22 +136,7 @@ class WordTokenizer:
         if whole.any():
             cut &= ~np.repeat(np.logical_or.reduceat(whole, word), size)
         cut[word] = True
-        text = np.where(np.repeat(np.logical_or.reduceat(_KEEP_CASE[text], word), size), text, B.LOWER[text])
-        first = np.flatnonzero(cut)
-        off = np.append(first, len(text))
-        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(off), pa.py_buffer(text)])
-        coded = units.dictionary_encode()
-        ids = self.units(coded.dictionary.to_pylist())
-        n_of = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        at = coded.indices.to_numpy()
-        n = n_of[at]
-        end = np.cumsum(n)
-        begin = (np.cumsum(n_of) - n_of)[at]
-        out = flat[np.repeat(begin - (end - n), n) + np.arange(end[-1])]
-        # Words before each row, units before each of those words, ids before each of those units.
-        words_before = np.append(word, len(text))[np.searchsorted(row, np.arange(len(starts)))]
-        return out, np.concatenate([[0], end])[np.searchsorted(first, words_before)]
+        return cut
 
 
 def _piece_batches(path: str, capacity: int):
