@@ -80,7 +80,8 @@ def _ints(col: pa.Array, dims: int) -> np.ndarray:
 
 
 class _Tables:
-    """Lookup tables of one set of centroids."""
+    """Lookup tables of one set of centroids. What is sent to the tasks are
+    the centroids and the cells' bounds; each makes the tables for itself."""
 
     def __init__(self, centroids: np.ndarray, bounds: np.ndarray):
         self.c = centroids
@@ -93,6 +94,9 @@ class _Tables:
         high = np.concatenate([bounds - 1, bounds[:, -1:]], axis=1)
         self.least, self.most = self._span(low, high)
 
+    def __reduce__(self):
+        return _Tables, (self.c, self.bounds)
+
     def _span(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a = low[:, :, None] * self.slope.T[:, None, :]
         b = high[:, :, None] * self.slope.T[:, None, :]
