@@ -45,6 +45,8 @@ CELL = 2048
 PAIRS = 1 << 21
 #: Hot anchors whose table may be broadcast.
 HOT_ROWS = 200_000
+#: Fingerprints of one component that are joined in one place.
+LARGE = 200_000
 #: Rows to drop (an id and a hash each) whose list may be broadcast.
 LISTED_ROWS = 300_000
 
@@ -228,29 +230,24 @@ def _cell_links(cell: np.ndarray, fp: np.ndarray, home: np.ndarray, max_bits: in
 
 
 def _link_batches(max_bits: int):
-    """Rows arrive sorted by cell. Whole cells are compared when their last
-    row has come; links found are thinned per call."""
+    """Rows arrive sorted by cell, homes first. A batch's rows are compared
+    with the homes of their cell as they come; of a cell that goes on in the
+    next batch only its homes (about ``CELL`` at most) are kept, however many
+    visitors it has. Links found are thinned per batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, ...] | None = None
-
-        def links(c, f, h):
-            u, v = _cell_links(c, f, h, max_bits)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
+        kept: tuple[np.ndarray, ...] | None = None
         for b in batches:
             if b.num_rows == 0:
                 continue
             c = b.column(0).to_numpy(zero_copy_only=False)
             f = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             h = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            if rest is not None:
-                c, f, h = (np.concatenate([x, y]) for x, y in zip(rest, (c, f, h)))
-            cut = int(np.searchsorted(c, c[-1]))
-            if cut:
-                yield links(c[:cut], f[:cut], h[:cut])
-            rest = (c[cut:], f[cut:], h[cut:])
-        if rest is not None and len(rest[0]):
-            yield links(*rest)
+            if kept is not None and len(kept[0]) and kept[0][0] == c[0]:
+                c, f, h = (np.concatenate([x, y]) for x, y in zip(kept, (c, f, h)))
+            u, v = _cell_links(c, f, h, max_bits)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+            last = (c == c[-1]) & h
+            kept = (c[last], f[last], h[last])
     return run
 
 
@@ -274,7 +271,7 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 4, blocks: int = 3) -
                 .withColumn("cell", F.col("anchor") + F.shiftleft(F.col("c").cast("long"), 44)))
     else:
         rows = rows.withColumnRenamed("anchor", "cell")
-    rows = rows.select("cell", "fp", "home").repartition(wide(spark), "cell").sortWithinPartitions("cell")
+    rows = rows.select("cell", "fp", "home").repartition(wide(spark), "cell").sortWithinPartitions("cell", F.desc("home"))
     return rows.mapInArrow(lean(_link_batches(max_bits)), "u long, v long").distinct()
 
 
@@ -288,6 +285,21 @@ def _classes(prints: DataFrame, max_bits: int, blocks: int) -> DataFrame:
     return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
+def _of_component(classes: DataFrame, least: DataFrame) -> DataFrame:
+    """``classes`` with their component's id. A large component is a key that
+    many fingerprints share: those (at most one for each ``LARGE`` fingerprints) are
+    dealt out by salt, the others are joined as they are."""
+    salts = F.when(F.col("members") > LARGE, F.ceil(F.col("members") / LARGE)).otherwise(1).cast("int")
+    if least.where(F.col("members") > LARGE).isEmpty():
+        return classes.join(least.drop("members"), "root")
+    large = least.where(F.col("members") > LARGE).select("root", salts.alias("salts"))
+    large = F.broadcast(large) if small_enough(large, HOT_ROWS) else large
+    salt = F.pmod(F.xxhash64("fp", F.lit(3)), F.coalesce("salts", F.lit(1))).cast("int")
+    dealt = classes.join(large, "root", "left").withColumn("salt", salt)
+    ids = least.select("root", "component_id", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return dealt.join(ids, ["root", "salt"]).drop("salt", "salts")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
                     max_bits: int = 4, blocks: int = 3) -> DataFrame:
     """``(id, fingerprint, component_id)``, one row per row of ``docs``.
@@ -301,8 +313,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
     own = prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("id").alias("least_id"))
     classes = _classes(prints, max_bits, blocks).join(own, "fp")
-    least = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = written(classes.join(least, "root").select("fp", "component_id"), "print_components")
+    least = written(classes.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members")), "components")
+    of = written(_of_component(classes, least).select("fp", "component_id"), "print_components")
     return prints.join(of, prints.fingerprint == of.fp).select("id", "fingerprint", "component_id")
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -78,6 +79,45 @@ def test_hot_anchor_is_split(spark, monkeypatch):
     assert set(whole) == set(split) and len(whole) == 63
 
 
+def test_cells_that_span_batches():
+    """One cell's rows come in batches of any size: homes first, then
+    visitors; only homes are kept, no link is lost."""
+    rnd = np.random.default_rng(8)
+    base = rnd.integers(0, 1 << 63, 9, dtype=np.uint64)
+    fp = np.unique(np.concatenate([base ^ (np.uint64(1) << rnd.integers(0, 64, 9).astype(np.uint64)) for _ in range(40)]))
+    cell = np.sort(rnd.integers(0, 4, len(fp)))
+    home = np.arange(len(fp)) % 3 == 0
+    order = np.lexsort((~home, cell))
+    c, f, h = cell[order], fp[order], home[order]
+    want = {frozenset((int(f[i]), int(f[j]))) for i in range(len(f)) for j in range(len(f))
+            if h[j] and i != j and c[i] == c[j] and int(f[i] ^ f[j]).bit_count() <= 4}
+
+    def groups(links):
+        root = {}
+        find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+        for a, b in links:
+            root[find(a)] = find(b)
+        out = {}
+        for x in list(root):
+            out.setdefault(find(x), set()).add(x)
+        return {frozenset(g) for g in out.values()}
+    for size in (1, 7, 50, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[i: i + size]), pa.array(f[i: i + size].view(np.int64)), pa.array(h[i: i + size])], ["cell", "fp", "home"])
+                   for i in range(0, len(c), size)]
+        got = [(u % (1 << 64), v % (1 << 64)) for b in simhash._link_batches(4)(iter(batches)) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        assert groups(got) == groups(tuple(p) for p in want)
+
+
+def test_large_component_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE", 3)
+    for rows in (100_000, 0):
+        monkeypatch.setattr(simhash, "HOT_ROWS", rows)
+        classes = spark.createDataFrame([(i, 0 if i < 50 else i % 5 + 100) for i in range(80)], "fp long, root long")
+        least = spark.createDataFrame([(0, 7, 50)] + [(r, r * 2, 6 if r < 104 else 2) for r in range(100, 105)], "root long, component_id long, members long")
+        got = {(r.fp, r.component_id) for r in simhash._of_component(classes, least).collect()}
+        assert got == {(i, 7 if i < 50 else (i % 5 + 100) * 2) for i in range(80)}
+
+
 @pytest.mark.parametrize("listed", [0, 300_000])
 def test_odd_tables(spark, monkeypatch, listed):
     monkeypatch.setattr(simhash, "LISTED_ROWS", listed)  # joins by shuffle, or broadcast
