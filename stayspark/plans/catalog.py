@@ -1220,3 +1220,42 @@ def q_robot_mixed(spark, sf):
     p = FX.pages_with_cards(spark, sf)
     p = p.withColumn("html", F.regexp_replace("html", 'itemprop="x"', 'itemprop="itemListElement"'))
     return p.select("page_id", MK.robot_page_flag(p).alias("is_robot"))
+
+
+# ---------------------------------------------------------------------------
+# Files (S1-S3): written from the tables, read back by the readers
+# ---------------------------------------------------------------------------
+
+_CSV_COLS = ["R_STATUS", "R_ARRIVAL", "R_DEPARTURE", "R_NIGHTS", "R_PROPERTY_NAME", "R_SOURCE", "R_GUEST_NAME"]
+
+
+def _as_csv(df, name: str, sep: str) -> str:
+    """A folder of Latin-1 files, as an upload would deliver them."""
+    from stayspark.session import run_folder
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.csv"
+    df.write.options(header=True, sep=sep, quote='"', escape='"', encoding="ISO-8859-1", emptyValue="", nullValue="").csv(path)
+    return path
+
+
+@register("csv_bookings", with_views(f"""
+SELECT CAST(R_ID AS VARCHAR) AS R_ID, {', '.join(_CSV_COLS)}, replace(R_TOTAL_AMOUNT, '€', 'EUR') AS R_TOTAL_AMOUNT,
+       CASE R_ID % 3 WHEN 0 THEN concat('Llegada; tarde', chr(10), chr(10), 'habitación "', CAST(R_ID AS VARCHAR), '"')
+                     WHEN 1 THEN concat('5" ', R_GUEST_NAME) END AS note
+FROM bookings_raw""", BOOKINGS_RAW))
+def q_csv_bookings(spark, sf):
+    """S1 + S2: bookings with notes that hold line breaks, separators and
+    quotes, written as CSV and loaded by suffix, separator and header."""
+    from stayspark.sources.files import load_file
+    raw = FX.bookings_raw(spark, sf)
+    note = (F.when(F.col("R_ID") % 3 == 0, F.concat(F.lit('Llegada; tarde\n\nhabitación "'), F.col("R_ID").cast("string"), F.lit('"')))
+            .when(F.col("R_ID") % 3 == 1, F.concat(F.lit('5" '), F.col("R_GUEST_NAME"))))
+    out = raw.select("R_ID", *_CSV_COLS, F.replace("R_TOTAL_AMOUNT", F.lit("€"), F.lit("EUR")).alias("R_TOTAL_AMOUNT"), note.alias("note"))
+    return load_file(spark, _as_csv(out, "bookings", ";"))
+
+
+@register("csv_planner_inputs", with_views("SELECT * FROM si", BOOKINGS_RAW, _search_inputs_sql()))
+def q_csv_planner_inputs(spark, sf):
+    """S3 -> N10: the planner's read of a comma-separated file."""
+    from stayspark.sources.files import read_planner_bookings
+    raw = FX.bookings_raw(spark, sf).select("R_ID", *_CSV_COLS)
+    return PL.search_inputs(read_planner_bookings(spark, _as_csv(raw, "planner", ",")), FX.FIXTURE_CITY_KEYWORDS)

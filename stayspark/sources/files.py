@@ -29,7 +29,7 @@ SEPARATORS = [";", ",", "\t"]
 # Words that a spreadsheet export writes for a missing value (fixed values).
 MISSING_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
                  "NULL", "NaN", "None", "n/a", "nan", "null"]
-#: Different header lines that one folder may have.
+#: Different header lines that are read one by one; of more, the files of a separator are read together, by position.
 MAX_LAYOUTS = 100
 
 
@@ -43,16 +43,14 @@ def _header_fields(line: str, sep: str) -> list[str]:
 
 
 def _layouts(spark: SparkSession, path: str, encoding: str) -> dict[str, list[str]]:
-    """Files by their first non-blank line."""
+    """Files by their first non-blank line (a list as long as the folder's)."""
     lines = (spark.read.option("encoding", encoding).text(path)
              .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
                      F.monotonically_increasing_id().alias("line"))
              .where("at = 0 and trim(value) <> ''"))
     # Ids grow along a file's first block; the least is its first line.
     heads = lines.groupBy("file").agg(F.min_by("value", "line").alias("head"))
-    found = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).limit(MAX_LAYOUTS + 1).collect()
-    if len(found) > MAX_LAYOUTS:
-        raise ValueError(f"{path}: more than {MAX_LAYOUTS} different header lines")
+    found = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
     return {r.head: r.files for r in sorted(found, key=lambda r: r.files[0])}
 
 
@@ -173,16 +171,56 @@ def _with_breaks(spark: SparkSession, files: list[str], sep: str, encoding: str)
     return {r.file for r in lines.where(F.col("value").contains('"') & _leaves_open(sep)[0]).select("file").distinct().collect()}
 
 
-def _read_records(spark: SparkSession, files: list[str], sep: str, encoding: str) -> DataFrame:
-    """Files with line breaks in quoted fields, by their header line."""
-    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    names = spark.read.options(header="true", encoding=encoding, **options).csv(files[:1]).columns
+def _body_records(spark: SparkSession, files: list[str], sep: str, encoding: str, width: int) -> DataFrame:
+    """(file, _0 ...): the cells of files with line breaks in quoted fields,
+    without each file's first record, its header."""
     records = quoted_records(spark, files, sep, encoding).where(F.trim("record") != "")
-    # the header is a file's first record
     first = records.groupBy("file").agg(F.min(F.struct("at", "line")).alias("h"))
     body = records.join(first, "file").where(F.struct("at", "line") > F.col("h"))
-    row = F.from_csv("record", ", ".join(f"_{i} string" for i in range(len(names))), {**options, "multiLine": "true"})
-    return body.select(row.alias("r")).select("r.*").toDF(*names)
+    row = F.from_csv("record", ", ".join(f"_{i} string" for i in range(width)), {**_options(sep), "multiLine": "true"})
+    return body.select("file", row.alias("r")).select("file", "r.*")
+
+
+def _options(sep: str) -> dict[str, str]:
+    return {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+
+
+def _read_records(spark: SparkSession, files: list[str], sep: str, encoding: str) -> DataFrame:
+    """Files of one header line with line breaks in quoted fields."""
+    names = spark.read.options(header="true", encoding=encoding, **_options(sep)).csv(files[:1]).columns
+    return _body_records(spark, files, sep, encoding, len(names)).drop("file").toDF(*names)
+
+
+def _read_by_position(spark: SparkSession, heads: dict[str, list[str]], encoding: str, broken_of) -> DataFrame:
+    """Files of any number of header lines: those of a separator are read
+    together by position, and their cells found by each file's own names. Of
+    a name that a header repeats, the first column counts."""
+    by_sep: dict[str, dict[str, list[str]]] = {}
+    for head, files in heads.items():
+        sep = _separator(head) or ";"
+        names = [clean_header(n) if _separator(head) else n for n in _header_fields(head, sep)]
+        for f in files:
+            by_sep.setdefault(sep, {})[f] = names
+    columns = list(dict.fromkeys(n for files in by_sep.values() for names in files.values() for n in names))
+    out = None
+    for sep, names_of in by_sep.items():
+        width = max(len(n) for n in names_of.values())
+        cells = [f"_{i}" for i in range(width)]
+        broken = broken_of(list(names_of), sep)
+        parts = []
+        if plain := [f for f in names_of if f not in broken]:
+            # a given schema: each file's header line is left out, whatever it says
+            parts.append(spark.read.schema(", ".join(f"{c} string" for c in cells)).options(header="true", encoding=encoding, **_options(sep))
+                         .csv(plain).select(F.col("_metadata.file_path").alias("file"), *cells))
+        if broken:
+            parts.append(_body_records(spark, sorted(broken), sep, encoding, width))
+        names = spark.createDataFrame(list(names_of.items()), "of string, names array<string>")
+        for part in parts:
+            rows = part.join(names, F.col("file") == F.col("of")).select("names", F.array(*cells).alias("cells"))
+            at = lambda n: F.array_position("names", F.lit(n)).cast("int")
+            rows = rows.select(*[F.when(at(n) > 0, F.get("cells", at(n) - 1)).alias(n) for n in columns])
+            out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def read_bookings_csv(spark: SparkSession, path: str, strict: bool = False,
@@ -197,12 +235,18 @@ def read_bookings_csv(spark: SparkSession, path: str, strict: bool = False,
     those are cut into records by :func:`quoted_records`, in splits as well.
     ``multiline`` saves that pass and takes all files to have some, or none.
     """
-    out = None
-    for head, files in _layouts(spark, path, encoding).items():
-        sep = _separator(head)
-        if sep is None and strict:
+    heads = _layouts(spark, path, encoding)
+    for head, files in heads.items():
+        if _separator(head) is None and strict:
             raise ValueError(f"no separator gives more than 2 columns in {files[0]}")
-        broken = _with_breaks(spark, files, sep or ";", encoding) if multiline is None else set(files) if multiline else set()
+
+    def broken_of(files: list[str], sep: str) -> set[str]:
+        return _with_breaks(spark, files, sep, encoding) if multiline is None else set(files) if multiline else set()
+
+    out = _read_by_position(spark, heads, encoding, broken_of) if len(heads) > MAX_LAYOUTS else None
+    for head, files in heads.items() if out is None else ():
+        sep = _separator(head)
+        broken = broken_of(files, sep or ";")
         for together in (False, True):
             some = [f for f in files if (f in broken) == together]
             if not some:
@@ -210,9 +254,7 @@ def read_bookings_csv(spark: SparkSession, path: str, strict: bool = False,
             if together:
                 df = _read_records(spark, some, sep or ";", encoding)
             else:
-                df = (spark.read.option("header", True).option("sep", sep or ";").option("encoding", encoding)
-                      .option("quote", '"').option("escape", '"').option("inferSchema", False)
-                      .option("mode", "PERMISSIVE").csv(some))
+                df = spark.read.options(header="true", encoding=encoding, inferSchema="false", **_options(sep or ";")).csv(some)
             df = df.toDF(*[clean_header(c) for c in df.columns]) if sep else df
             out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:

@@ -359,3 +359,22 @@ def test_records_over_many_splits_and_crlf(spark, tmpdir_path):
     with open(p, "wb") as f:
         f.write(b'a;b;c\r\n1;"x\r\ny";2\r\n3;4;5\r\n')
     assert sorted(tuple(r) for r in FS.read_bookings_csv(spark, p).collect()) == [("1", "x\r\ny", "2"), ("3", "4", "5")]
+
+
+def test_any_number_of_layouts(spark, tmpdir_path, monkeypatch):
+    """Files of other separators, columns and orders, some with breaks in
+    quotes: read by position as one by one."""
+    for i in range(12):
+        sep = ";,\t"[i % 3]
+        names = ["id", "amount", f"extra{i % 5}", "Ñame"]
+        names = names[i % 4:] + names[: i % 4]
+        value = {"id": str(i), "amount": f"{i}.5", f"extra{i % 5}": '"two\nlines"' if i % 4 == 0 else f"e{i}", "Ñame": "é"}
+        text = sep.join(f'"{n}"' for n in names) + "\n" + sep.join(value[n] for n in names) + "\n" + sep.join(["x", "NULL", "y"]) + "\n"
+        write(os.path.join(tmpdir_path, f"f{i:02}.csv"), text)
+
+    def read():
+        df = FS.read_bookings_csv(spark, tmpdir_path)
+        return sorted(str(sorted(r.asDict().items())) for r in df.collect())
+    one_by_one = read()
+    monkeypatch.setattr(FS, "MAX_LAYOUTS", 3)
+    assert read() == one_by_one and len(one_by_one) == 24
