@@ -44,8 +44,9 @@ def _header_fields(line: str, sep: str) -> list[str]:
 
 def _layouts(spark: SparkSession, path: str, encoding: str) -> dict[str, list[str]]:
     """Files by their first non-blank line (a list as long as the folder's)."""
-    lines = (spark.read.option("encoding", encoding).text(path)
-             .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+    # the text source keeps bytes as they are
+    lines = (spark.read.text(path)
+             .select(F.decode(F.col("value").cast("binary"), encoding).alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
                      F.monotonically_increasing_id().alias("line"))
              .where("at = 0 and trim(value) <> ''"))
     # Ids grow along a file's first block; the least is its first line.
