@@ -204,3 +204,20 @@ def test_price_sample_caps_at_quantile(spark):
     got = sorted(r.p for r in ST.price_sample(df, cap_quantile=0.95).collect())
     # positive prices 1..100; the 95th percentile is 95.05, so 1..95 stay
     assert got == [float(v) for v in range(1, 96)]
+
+
+def test_card_prices_are_computed_once(spark):
+    """No filter repeats the price, and each text of it is read by one regex;
+    dates as text and as dates give the same nights."""
+    rows = [("a", "300 € en total", None, "2026-07-15", "2026-07-18"), ("b", None, "Casa\n1.250 € noche", "2026-07-15", "2026-07-14"),
+            ("c", "0 €", "90 €", "2026-07-15", "2026-07-18"), ("d", "", "00 €", "2026-07-15", None), ("e", None, None, None, None),
+            ("f", "80 € total", "x", None, "2026-07-18"), ("g", "10 € total", "", "2026-07-01", "2026-08-30"), ("h", "", "sin precio", None, None)]
+    df = spark.createDataFrame([(*r, None, "X", "Y", "2026-07-01") for r in rows],
+                               "href string, price_raw string, text string, checkin string, checkout string, title_raw string, "
+                               "ciudad string, propiedad_referencia string, scraped_on string")
+    dates = df.withColumns({"checkin": F.col("checkin").cast("date"), "checkout": F.col("checkout").cast("date")})
+    for cards in (df, dates):
+        out = MK.extract_cards(cards, keep=["href"])
+        assert {r.href: r.precio_noche for r in out.collect()} == {"a": 100, "b": 1250, "f": 80, "g": 1}
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(r"(\d{2,5})") == plan.count(r"(\d[\d.\s,]*)") == 1
