@@ -197,8 +197,9 @@ def upsert_listings(existing: DataFrame | None, new: DataFrame, order: Sequence[
     "Last" = rows of ``new`` after rows of ``existing``, then the ``order``
     columns ascending (arrival order inside a batch; NULLs first), then the
     row's hash, so that ties keep the same row however partitions are dealt.
-    Done as a grouped ``max_by`` so duplicates collapse in the map-side partial
-    aggregation: a hot key never reaches one task as raw rows. ``drop``
+    Done as a grouped ``max`` of one struct, rank first and then the other
+    columns, so that no column is carried twice and duplicates collapse in the
+    map-side partial aggregation: a hot key never reaches one task as raw rows. ``drop``
     removes helper columns (e.g. the arrival keys) from the result.
     """
     parts = [new.withColumn("_seq", F.lit(1))]
@@ -209,8 +210,10 @@ def upsert_listings(existing: DataFrame | None, new: DataFrame, order: Sequence[
         u = u.unionByName(p, allowMissingColumns=True)
     cols = [c for c in u.columns if c != "_seq"]
     keep = [c for c in cols if c not in ("url", "checkin")]
-    rank = F.struct(F.col("_seq"), *[F.col(c) for c in order], F.xxhash64(*keep))
-    g = u.groupBy("url", "checkin").agg(F.max_by(F.struct(*keep), rank).alias("r"))
+    # an order column that isn't one of the row's own (a key, a field of a struct, one named twice) ranks under another name
+    rank = [F.col(c).alias(c if c in keep and c not in order[:i] else f"_order{i}") for i, c in enumerate(order)]
+    rest = [c for c in keep if c not in order]
+    g = u.groupBy("url", "checkin").agg(F.max(F.struct("_seq", *rank, F.xxhash64(*keep).alias("_hash"), *rest)).alias("r"))
     out = g.select("url", "checkin", *[F.col(f"r.{c}").alias(c) for c in keep])
     out = out.withColumn("precio_noche",
                          F.coalesce(F.col("precio_noche").cast("string").try_cast("double").try_cast("int"),

@@ -32,6 +32,11 @@ from stayspark.functions.text import plain_number
 from stayspark.operators.market import upsert_listings
 
 
+_MANIFEST = "buckets int, folders map<string,string>, hashed string"
+#: The hash of new stores: the one that Spark partitions by.
+_HASHED = "murmur3"
+
+
 def read_market_csv(spark: SparkSession, path: str) -> DataFrame:
     """Listings CSV (UTF-8, optional BOM) with the fixed columns, found by
     header name whatever their order; columns that a file lacks are NULL.
@@ -108,7 +113,10 @@ class ListingStore:
     ``order`` names the columns that say which row of a (url, checkin) is
     later, as in :func:`current_listings`; they are part of the listings.
     ``buckets`` counts when the store is new, and is kept in its manifest. A
-    version is a manifest: bucket -> folder. It appears by the rename of one
+    row's bucket is that of Spark's own hash partitioning by the key, so that
+    what the keep-last aggregate shuffles is dealt by bucket as well and is
+    written without another shuffle; a store made before that keeps its hash
+    (a manifest without ``hashed``). A version is a manifest: bucket -> folder. It appears by the rename of one
     file, after its folders are complete; a writer that dies before that leaves
     the version before it as it was. Two writers of one version: the second
     fails, and may try again.
@@ -118,6 +126,7 @@ class ListingStore:
         if not order:
             raise ValueError("name the columns that order captures")
         self.spark, self.root, self.order, self.buckets = spark, root.rstrip("/"), list(order), buckets
+        self.hashed = _HASHED
 
     def _path(self, *parts: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
@@ -138,14 +147,13 @@ class ListingStore:
             if version is not None:
                 raise ValueError(f"{self.root} has no version {version}")
             return {}
-        row = self.spark.read.schema("buckets int, folders map<string,string>").json(
-            f"{self.root}/manifests/{known[-1] if version is None else version}").first()
-        self.buckets = row.buckets
+        row = self.spark.read.schema(_MANIFEST).json(f"{self.root}/manifests/{known[-1] if version is None else version}").first()
+        self.buckets, self.hashed = row.buckets, row.hashed or "xxhash64"
         return {int(b): f for b, f in row.folders.items()}
 
     def _publish(self, version: int, folders: dict[int, str]) -> None:
         """One file, renamed into place; fails if the version is there."""
-        row = self.spark.createDataFrame([(self.buckets, {str(b): f for b, f in folders.items()})], "buckets int, folders map<string,string>")
+        row = self.spark.createDataFrame([(self.buckets, {str(b): f for b, f in folders.items()}, self.hashed)], _MANIFEST)
         token = f"manifests/.{version}-{uuid.uuid4().hex}"
         row.coalesce(1).write.json(f"{self.root}/{token}")
         fs, made = self._path(token)
@@ -161,7 +169,13 @@ class ListingStore:
         return self.spark.read.parquet(*paths) if paths else None
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("url", F.col("checkin").cast("string")), F.lit(self.buckets)).cast("int")
+        key = F.xxhash64("url", F.col("checkin").cast("string")) if self.hashed == "xxhash64" else F.hash("url", "checkin")
+        return F.pmod(key, F.lit(self.buckets)).cast("int")
+
+    def _written(self, folder: str) -> list[int]:
+        """Buckets that a folder of the state holds."""
+        fs, path = self._path("state", folder)
+        return sorted(int(n[7:]) for n in (s.getPath().getName() for s in fs.listStatus(path)) if n.startswith("bucket="))
 
     def merge(self, listings: DataFrame, run_id: str, batch_id: int) -> int:
         """K1 + N8: merge a batch, return the new version. Rows that tie on
@@ -171,17 +185,23 @@ class ListingStore:
         known = self.versions()
         folders = self.manifest()
         batch = listings.withColumns({"_batch_id": F.lit(int(batch_id)).cast("long"), "_run_id": F.lit(str(run_id))})
-        # At most one row for each bucket.
-        touched = sorted(r.b for r in batch.select(self._bucket().alias("b")).distinct().collect())
-        if not touched and known:
-            return known[-1]
-        old = self._read({b: f for b, f in folders.items() if b in touched})
+        every = self._read(folders)
+        old = None
+        if every is not None:
+            # the key has the store's types, which its hash depends on
+            batch = batch.withColumns({c: F.col(c).cast(every.schema[c].dataType) for c in ("url", "checkin")})
+            # At most one row for each bucket.
+            touched = {r.b for r in batch.select(self._bucket().alias("b")).distinct().collect()}
+            if not touched:
+                return known[-1]
+            old = every if touched >= set(folders) else self._read({b: f for b, f in folders.items() if b in touched})
         merged = upsert_listings(None, batch if old is None else old.unionByName(batch, allowMissingColumns=True),
                                  order=[*self.order, "_batch_id", "_run_id"])
         folder = uuid.uuid4().hex
-        if touched:
-            (merged.withColumn("bucket", self._bucket()).repartition(max(1, len(touched)), "bucket")
-             .write.partitionBy("bucket").parquet(f"{self.root}/state/{folder}"))
+        merged.withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(f"{self.root}/state/{folder}")
+        touched = self._written(folder)
+        if not touched and known:
+            return known[-1]
         version = known[-1] + 1 if known else 1
         self._publish(version, {**folders, **{b: folder for b in touched}})
         return version

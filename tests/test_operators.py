@@ -221,3 +221,16 @@ def test_card_prices_are_computed_once(spark):
         assert {r.href: r.precio_noche for r in out.collect()} == {"a": 100, "b": 1250, "f": 80, "g": 1}
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count(r"(\d{2,5})") == plan.count(r"(\d[\d.\s,]*)") == 1
+
+
+def test_upsert_ranks_by_keys_and_fields(spark):
+    """Order columns may be keys, fields of a struct or named twice; what
+    ties on them keeps one row; no column is carried twice."""
+    rows = [("u", "2026-07-01", 1, "a", 5), ("u", "2026-07-01", 2, "b", 4), ("u", "2026-07-01", 3, "b", 4), ("v", None, None, None, None)]
+    df = spark.createDataFrame(rows, "url string, checkin string, precio_noche int, day string, n int").withColumn("at", F.struct("day", "n"))
+    for order, price in ((["url", "at.day", "precio_noche"], 3), (["n", "n", "day"], 1), (["day", "precio_noche", "day"], 3)):
+        out = MK.upsert_listings(None, df, order=order, drop=["at"])
+        assert out.columns == ["url", "checkin", "precio_noche", "day", "n"]
+        assert {r.url: r.precio_noche for r in out.collect()} == {"u": price, "v": 0}
+    plan = MK.upsert_listings(None, df, order=["day"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan

@@ -1,6 +1,7 @@
 """Readers and writers on small files written to a temporary folder."""
 
 import datetime as dt
+import json
 import io
 import os
 import random
@@ -198,6 +199,44 @@ def test_listing_store_merges_only_what_a_batch_touches(spark, tmpdir_path):
         store.listings(1)
 
 
+def test_listing_store_is_dealt_by_the_key_once(spark, tmpdir_path, monkeypatch):
+    """Buckets are those of Spark's hash partitioning by the key, so a merge
+    needs no shuffle after the aggregate's."""
+    from pyspark.sql import functions as F
+    root, day = os.path.join(tmpdir_path, "store"), dt.date(2026, 7, 1)
+    store = MS.ListingStore(spark, root, ["fecha_scraping"], buckets=8)
+    first = _listings(spark, [(f"u{i}", day, i, "a") for i in range(60)] + [("u1", day, 99, "b"), (None, None, 3, "a")])
+    monkeypatch.setattr(type(first), "repartition", None)
+    store.merge(first, "run", 0)
+    text = first.limit(0).unionByName(_listings(spark, [("u2", day, 200, "b")])).withColumn("checkin", F.col("checkin").cast("string"))
+    assert store.merge(text, "run", 1) == 2  # the key takes the store's types
+    for b, folder in store.manifest().items():
+        df = spark.read.parquet(f"{root}/state/{folder}/bucket={b}")
+        assert {r[0] for r in df.select(F.pmod(F.hash("url", "checkin"), F.lit(8))).collect()} == {b}
+    assert {r.url: r.precio_noche for r in store.listings().collect()} == {f"u{i}": i for i in range(60)} | {"u1": 99, "u2": 200, None: 3}
+
+
+def test_listing_store_of_an_earlier_hash(spark, tmpdir_path, monkeypatch):
+    """A manifest without the name of its hash goes on with xxhash64."""
+    root, day = os.path.join(tmpdir_path, "store"), dt.date(2026, 7, 1)
+    with monkeypatch.context() as m:
+        m.setattr(MS, "_HASHED", "xxhash64")
+        MS.ListingStore(spark, root, ["fecha_scraping"], buckets=8).merge(_listings(spark, [(f"u{i}", day, i, "a") for i in range(40)]), "run", 0)
+    for name in os.listdir(os.path.join(root, "manifests")):  # the manifest and its checksum
+        path = os.path.join(root, "manifests", name)
+        if name == "1":
+            row = json.load(open(path))
+            del row["hashed"]
+            made = json.dumps(row)
+        else:
+            os.remove(path)
+    with open(os.path.join(root, "manifests", "1"), "w") as f:
+        f.write(made)
+    store = MS.ListingStore(spark, root, ["fecha_scraping"])
+    store.merge(_listings(spark, [(f"u{i}", day, -i, "b") for i in range(1, 40, 2)]), "run", 1)
+    assert sorted((r.url, r.precio_noche) for r in store.listings().collect()) == sorted((f"u{i}", -i if i % 2 else i) for i in range(40))
+
+
 def test_killed_or_second_writer_leaves_the_old_version(spark, tmpdir_path, monkeypatch):
     root, day = os.path.join(tmpdir_path, "store"), dt.date(2026, 7, 1)
     store = MS.ListingStore(spark, root, ["fecha_scraping"], buckets=4)
