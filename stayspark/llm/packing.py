@@ -14,6 +14,7 @@ distributed count, and look their place up in the plan.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ END_ID = 1
 #: Units of text that a worker remembers the ids of (twice as many at most), and the longest such unit in bytes.
 CACHED_WORDS = 200_000
 CACHED_BYTES = 64
+#: Simple words tokenised as one text.
+WORDS_AT_ONCE = 256
 #: Bytes of text tokenised at once.
 TEXT_BYTES = 2 << 20
 
@@ -40,6 +43,8 @@ _LETTER = B.byte_set((65, 90), (97, 122))
 _ASCII = B.byte_set((0, 127))
 _WHOLE = B.byte_set((39, 39), (60, 60))  # ' of contractions, < of special tokens
 _KEEP_CASE = B.byte_set((60, 60), (128, 255))
+#: Whether a unit is letters that the normalizer leaves alone but for A-Z (the bytes C3 9F to C3 BF are small letters, save C3 B7).
+_SIMPLE = re.compile(rb"(?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 #: Tokenizers of this Python worker, with the words that they know, by path.
 _open: dict[str, "WordTokenizer"] = {}
 
@@ -52,12 +57,24 @@ class WordTokenizer:
     unit is a word cut where an ASCII letter meets another ASCII character.
     Words with an apostrophe or a ``<`` stay whole (contractions, special
     tokens); those with ``<`` or other than ASCII keep their case.
+
+    Units of ASCII letters and small letters of Latin-1 alone are a word each
+    to the tokenizer, whose normalizer only lowers their ASCII letters: many
+    are tokenised as one text, split at spaces, and take their ids up to each
+    that ends a word.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        # The same model behind a split at spaces alone, and the ids that end a word.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "),
+                                                            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -81,8 +98,22 @@ class WordTokenizer:
                 new.append(i)
             else:
                 got[i] = known[units[i]] = ids
-        for lo in range(0, len(new), 20_000):
-            part = new[lo: lo + 20_000]
+        simple = [i for i in new if _SIMPLE(units[i])]
+        for lo in range(0, len(simple), 20_000):
+            part = simple[lo: lo + 20_000]
+            lines = [b" ".join([units[i] for i in part[k: k + WORDS_AT_ONCE]]).lower().decode() for k in range(0, len(part), WORDS_AT_ONCE)]
+            flat = array("I")
+            for e in self.words.encode_batch_fast(lines, add_special_tokens=False):
+                flat.extend(e.ids)
+            blob = flat.tobytes()
+            ends = ((np.flatnonzero(self.last[np.frombuffer(flat, np.uint32)]) + 1) * 4).tolist()
+            for i, a, z in zip(part, [0, *ends[:-1]], ends, strict=True):
+                got[i] = ids = blob[a: z]
+                if len(units[i]) <= CACHED_BYTES:
+                    known[units[i]] = ids
+        other = [i for i in new if got[i] is None]
+        for lo in range(0, len(other), 20_000):
+            part = other[lo: lo + 20_000]
             found = self.tokenizer.encode_batch_fast([units[i].decode() for i in part], add_special_tokens=False)
             for i, e in zip(part, found):
                 got[i] = ids = array("I", e.ids).tobytes()

@@ -131,3 +131,30 @@ def test_odd_rows(spark):
     assert P.pack_documents(df.where("false"), PATH).count() == 0
     with pytest.raises(ValueError):
         P.pack(spark.createDataFrame([(1, 65)], "id long, length long"), ["id"], 64)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abSTß÷×ÿÿþÑñéªºİſKé̈'.5", min_size=1, max_size=9), max_size=20))
+def test_words_at_once_have_the_tokenizers_ids(words):
+    tok = P.WordTokenizer(PATH)
+    units = [w.encode() for w in dict.fromkeys(words)]
+    for u, ids in zip(units, tok.units(units), strict=True):
+        assert np.frombuffer(ids, np.uint32).tolist() == TOK.encode(u.decode(), add_special_tokens=False).ids
+
+
+def test_simple_words_are_tokenised_many_at_once():
+    tok = P.WordTokenizer(PATH)
+    calls = []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **kw):
+            calls.extend(texts)
+            return self.tokenizer.encode_batch_fast(texts, **kw)
+    tok.tokenizer, tok.words = Counted(tok.tokenizer), Counted(getattr(tok, "words", None))
+    words = sorted({f"{a}{b}ñ{c}" for a in "abcdeF" for b in "stuvwx" for c in ("", "la", "ción", "OS", "ßt", "éé", "im", "z", "w", "k")})
+    got = tok.units([w.encode() for w in words])
+    assert [np.frombuffer(i, np.uint32).tolist() for i in got] == [e.ids for e in TOK.encode_batch(words, add_special_tokens=False)]
+    assert len(calls) == -(-len(words) // P.WORDS_AT_ONCE)
